@@ -38,11 +38,17 @@ def norm(a: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    """The vector divided by its length; a zero vector stays zero."""
-    length = norm(a)
-    return F.when(length > 0, F.transform(a, lambda x: x / length)).otherwise(
-        F.transform(a, lambda x: x.cast("double"))
-    )
+    """The vector divided by its length; a zero vector stays zero.
+
+    The one-element array binds the length once per row, not once per element.
+    """
+
+    def divided(length: Column) -> Column:
+        return F.transform(
+            a, lambda x: F.when(length > 0, x / length).otherwise(x.cast("double"))
+        )
+
+    return F.transform(F.array(norm(a)), divided)[0]
 
 
 def fixed_vector(values: list[float]) -> Column:
