@@ -22,43 +22,55 @@ from trove.functions import vectors as vec
 class HashEmbedder:
     """Signed hashed bag of words of unit length, without Python in the path.
 
-    A term's bucket is its first four md5 hex digits modulo ``dim``; the next
-    digit gives its sign. Each row is embedded on its own, so nothing shuffles:
-    the signed buckets of a text are counted by a count vectoriser whose
-    vocabulary is the fixed list of ``2 * dim`` bucket names.
+    The first hex digits of a term's md5 are its code; the code modulo ``dim``
+    is its bucket and the upper half of all codes counts negative. Each row is
+    embedded on its own, so nothing shuffles: a count vectoriser whose
+    vocabulary is the fixed list of codes counts them in one pass.
     """
 
     def __init__(self, dim: int = 64):
         self.dim = dim
+        self.digits = next(n for n in range(1, 9) if 16**n >= 2 * dim)
 
-    def embed(self, df: DataFrame, text_col: str, out_col: str = "embedding") -> DataFrame:
-        dim = self.dim
+    def _fold(self, counts: Column) -> Column:
+        """Sum the code counts of each bucket with their signs."""
+        half = 16**self.digits // 2
+        pieces = [
+            (sign, F.slice(counts, 1 + start + first, min(self.dim, half - first)))
+            for sign, start in ((1, 0), (-1, half))
+            for first in range(0, half, self.dim)
+        ]
+
+        def plus(a: Column, b: Column) -> Column:
+            return a + F.coalesce(b, F.lit(0.0))
+
+        def minus(a: Column, b: Column) -> Column:
+            return a - F.coalesce(b, F.lit(0.0))
 
-        def bucket_name(term: Column) -> Column:
-            digest = F.md5(term)
-            bucket = F.conv(F.substring(digest, 1, 4), 16, 10).cast("int") % dim
-            negative = F.substring(digest, 5, 1) >= "8"
-            return F.when(negative, bucket + dim).otherwise(bucket).cast("string")
+        folded = pieces[0][1]
+        for sign, piece in pieces[1:]:
+            folded = F.zip_with(folded, piece, plus if sign > 0 else minus)
+        return folded
 
+    def embed(self, df: DataFrame, text_col: str, out_col: str = "embedding") -> DataFrame:
+        width = self.digits
         counter = CountVectorizerModel.from_vocabulary(
-            [str(i) for i in range(2 * dim)], inputCol="_names", outputCol="_counts"
+            [f"{i:0{width}x}" for i in range(16**width)], inputCol="_codes", outputCol="_counts"
         )
         kept = df.columns
-        named = df.withColumn(
-            "_names",
-            F.transform(txt.tokens(F.coalesce(F.col(text_col), F.lit(""))), bucket_name),
+        coded = df.withColumn(
+            "_codes",
+            F.transform(
+                txt.tokens(F.coalesce(F.col(text_col), F.lit(""))),
+                lambda term: F.substring(F.md5(term), 1, width),
+            ),
         )
-        counted = counter.transform(named).select(
+        counted = counter.transform(coded).select(
             *kept, vector_to_array("_counts").alias("_counts")
         )
-        signed = counted.select(
-            *kept,
-            F.zip_with(
-                F.slice("_counts", 1, dim), F.slice("_counts", dim + 1, dim), lambda a, b: a - b
-            ).alias("_signed"),
-        )
-        return signed.withColumn(out_col, vec.unit(F.col("_signed")).cast("array<float>")).drop(
-            "_signed"
+        signed = counted.select(*kept, self._fold(F.col("_counts")).alias("_signed"))
+        return signed.select(
+            *kept, vec.unit(F.col("_signed")).cast("array<float>").alias(out_col)
         )
 
 

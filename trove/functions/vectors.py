@@ -59,7 +59,8 @@ def similarity(vector: Column, query: list[float], metric: str, digits: int = SC
     """Score of ``vector`` against one query vector.
 
     Scores are rounded so that ranking does not depend on the order in which
-    floating point sums are taken. A zero vector has cosine 0.
+    floating point sums are taken. A zero vector has cosine 0; a missing one
+    has no score.
     """
     check_metric(metric)
     fixed = fixed_vector(query)
@@ -69,9 +70,11 @@ def similarity(vector: Column, query: list[float], metric: str, digits: int = SC
         return F.round(dot(vector, fixed), digits)
     query_norm = sum(float(v) ** 2 for v in query) ** 0.5
     lengths = norm(vector) * F.lit(query_norm)
-    return F.round(F.when(lengths > 0, dot(vector, fixed) / lengths).otherwise(F.lit(0.0)), digits)
+    cosine = F.when(lengths > 0, dot(vector, fixed) / lengths).when(lengths == 0, F.lit(0.0))
+    return F.round(cosine, digits)
 
 
 def best_first(score: str, metric: str) -> Column:
     """Sort order that puts the best score first."""
-    return F.col(score).asc() if metric == "l2" else F.col(score).desc()
+    column = F.col(score)
+    return column.asc_nulls_last() if metric == "l2" else column.desc_nulls_last()

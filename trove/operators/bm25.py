@@ -47,8 +47,12 @@ def term_counts(
     rows = text_rows(df, text_col).select(id_col, text_col)
     if terms is None:
         rows = rows.repartition(id_col)
-    words = rows.select(id_col, txt.tokens(text_col).alias("_words")).select(
-        id_col, F.size("_words").alias("doc_len"), F.explode("_words").alias("term")
+    # explode_outer: an inner explode would add a filter that splits each text
+    # three times over.
+    words = (
+        rows.select(id_col, txt.tokens(text_col).alias("_words"))
+        .select(id_col, F.size("_words").alias("doc_len"), F.explode_outer("_words").alias("term"))
+        .where(F.col("term").isNotNull())
     )
     if terms is not None:
         words = words.join(terms.select("term"), "term", "left_semi")

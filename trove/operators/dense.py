@@ -6,13 +6,17 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from trove.functions import vectors as vec
+from trove.operators.moments import as_matrix
 from trove.operators.prep import filter_expression
 from trove.operators.ranking import top_k
+from trove.session import small_side
 
 # Default result sizes.
 SEARCH_LIMIT = 100
@@ -41,10 +45,12 @@ def search(
     ``k`` and only those meet.
     """
     fields = [c for c in (output_fields or []) if c != id_col]
-    scored = filter_expression(corpus, where).where(F.col(vector_col).isNotNull()).select(
+    scored = filter_expression(corpus, where).select(
         id_col, *fields, vec.similarity(F.col(vector_col), query, metric).alias("score")
     )
     best = scored.orderBy(vec.best_first("score", metric), id_col).limit(k)
+    # After the limit, so that the score is not computed again for a filter.
+    best = best.where(F.col("score").isNotNull())
     return top_k(
         best.withColumn("_all", F.lit(0)), k, "_all", [vec.best_first("score", metric), id_col]
     ).select("rank", id_col, "score", *fields)
@@ -55,14 +61,10 @@ def restrict(corpus: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame
     return corpus.join(ids.select(id_col), id_col, "left_semi")
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """A list column of equal lengths as a float64 matrix."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    if len(column) == 0:
-        return np.zeros((0, 0))
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
+def _present(rows, column: str):
+    """Drop rows without a vector; done here, not as a filter below the task,
+    so that an embedding computed on the way is computed once."""
+    return rows.filter(pc.is_valid(rows.column(column)))
 
 
 def _gains(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
@@ -87,7 +89,7 @@ class _Best:
         self.floor = np.full(n_queries, -np.inf)
         self.slots = np.zeros(0, dtype=np.int64)
         self.gains = np.zeros(0)
-        self.ids = np.zeros(0, dtype=object)
+        self.ids: np.ndarray | None = None
 
     def add(self, slots: np.ndarray, gains: np.ndarray, ids: np.ndarray) -> None:
         """Merge a score block: one row per slot, one column per id."""
@@ -98,7 +100,7 @@ class _Best:
         at, col = np.nonzero(gains >= floor[:, None])
         self.slots = np.concatenate([self.slots, slots[at]])
         self.gains = np.concatenate([self.gains, gains[at, col]])
-        self.ids = np.concatenate([self.ids, ids[col]])
+        self.ids = ids[col] if self.ids is None else np.concatenate([self.ids, ids[col]])
         if len(self.slots) > 0:
             self._trim()
 
@@ -120,13 +122,16 @@ class _Best:
 def _hits(best: _Best, query_ids: np.ndarray, metric: str, schema: pa.Schema) -> pa.RecordBatch:
     score = -best.gains if metric == "l2" else best.gains
     # Adding zero turns the negative zero of a negated distance into zero.
-    columns = [query_ids[best.slots].tolist(), best.ids.tolist(), score + 0.0]
+    ids = [] if best.ids is None else best.ids.tolist()
+    columns = [query_ids[best.slots].tolist(), ids, score + 0.0]
     return pa.RecordBatch.from_arrays(
         [pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema
     )
 
 
-def _ids(column) -> np.ndarray:
+def _ids(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    if pa.types.is_integer(column.type):
+        return column.to_numpy()
     return np.asarray(column.to_pylist(), dtype=object)
 
 
@@ -157,12 +162,12 @@ def knn_join(
     """
     vec.check_metric(metric)
     cells = [] if cell is None else [cell]
-    left = queries.where(F.col(query_vector).isNotNull()).select(
+    left = queries.select(
         F.col(query_col).alias("_query"),
         F.col(query_vector).alias("_query_vector"),
         *[F.col(c).cast("long").alias("_cell") for c in cells],
     )
-    right = corpus.where(F.col(vector_col).isNotNull()).select(
+    right = corpus.select(
         F.col(id_col).alias("_id"),
         F.col(vector_col).alias("_vector"),
         *[F.col(c).cast("long").alias("_cell") for c in cells],
@@ -178,12 +183,12 @@ def knn_join(
         ]
     )
     keep = k + 1 if exclude_self else k
-    head = left.first()
+    head = left.where(F.col("_query_vector").isNotNull()).first()
     if head is None:
         hits = queries.sparkSession.createDataFrame([], schema)
     else:
         limit = max(1, max_shipped // max(1, len(head["_query_vector"])))
-        near = left.limit(limit + 1).toArrow()
+        near = _present(left.limit(limit + 1).toArrow(), "_query_vector")
         if near.num_rows <= limit:
             hits = _scan(near, right, keep, metric, schema)
         else:
@@ -196,18 +201,12 @@ def knn_join(
     )
 
 
-def _arrow_schema(schema: T.StructType) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(schema)
-
-
 def _scan(
     near: pa.Table, right: DataFrame, k: int, metric: str, schema: T.StructType
 ) -> DataFrame:
     """Score every row against a shipped, size-checked set of queries."""
-    out = _arrow_schema(schema)
-    vectors = _matrix(near["_query_vector"])
+    out = to_arrow_schema(schema)
+    vectors = as_matrix(near["_query_vector"])
     cell_of = near["_cell"].to_numpy()
     names, slot_of = np.unique(_ids(near["_query"]), return_inverse=True)
     by_cell = {int(c): np.flatnonzero(cell_of == c) for c in np.unique(cell_of)}
@@ -217,7 +216,8 @@ def _scan(
         vectors, names, slot_of, by_cell = sent.value
         best = _Best(len(names), k)
         for batch in batches:
-            rows, ids = _matrix(batch.column("_vector")), _ids(batch.column("_id"))
+            batch = _present(batch, "_vector")
+            rows, ids = as_matrix(batch.column("_vector")), _ids(batch.column("_id"))
             cells = batch.column("_cell").to_numpy()
             for c in np.unique(cells):
                 mine = by_cell.get(int(c))
@@ -250,14 +250,14 @@ def _block_pairs(
     and likewise its queries; a row is copied once per query block of its cell
     and a query once per row block.
     """
-    out = _arrow_schema(schema)
+    out = to_arrow_schema(schema)
 
     def blocks(df: DataFrame, name: str) -> DataFrame:
         n = F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int")
         return df.groupBy("_cell").agg(n.alias(name))
 
     # One row per cell that both sides hold.
-    grid = small_grid(blocks(left, "_lefts").join(blocks(right, "_rights"), "_cell"))
+    grid = small_side(blocks(left, "_lefts").join(blocks(right, "_rights"), "_cell"))
 
     def placed(df: DataFrame, key: str, own: str, other: str, at: str, copy: str) -> DataFrame:
         return (
@@ -271,10 +271,11 @@ def _block_pairs(
     r = placed(right, "_id", "_rights", "_lefts", "_col", "_row")
 
     def score(a: pa.Table, b: pa.Table) -> pa.Table:
+        a, b = _present(a, "_query_vector"), _present(b, "_vector")
         names, slots = np.unique(_ids(a["_query"]), return_inverse=True)
         best = _Best(len(names), k)
         if a.num_rows and b.num_rows:
-            gains = _gains(_matrix(a["_query_vector"]), _matrix(b["_vector"]), metric)
+            gains = _gains(as_matrix(a["_query_vector"]), as_matrix(b["_vector"]), metric)
             best.add(slots, gains, _ids(b["_id"]))
         return pa.Table.from_batches([_hits(best, names, metric, out)])
 
@@ -282,13 +283,6 @@ def _block_pairs(
     return l.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInArrow(score, schema)
 
 
-def small_grid(grid: DataFrame) -> DataFrame:
-    """The block counts per cell, broadcast only when few enough."""
-    from trove.session import small_side
-
-    return small_side(grid)
-
-
 def knn_graph(
     df: DataFrame,
     k: int | None = None,
@@ -313,6 +307,4 @@ def knn_graph(
 
 def with_fields(hits: DataFrame, corpus: DataFrame, fields: list[str], id_col: str = "id") -> DataFrame:
     """Add corpus columns to hits; the few hits go to the scan when small."""
-    from trove.session import small_side
-
     return corpus.select(id_col, *fields).join(small_side(hits), id_col)
