@@ -324,7 +324,7 @@ def single_gaussian_bic(df: DataFrame, vector_col: str) -> DataFrame:
         spread.agg(
             F.max("_n").alias("n_rows"),
             F.count(F.lit(1)).alias("n_dims"),
-            F.sum(F.log(2 * math.pi * (F.col("_var") + RIDGE)) + 1).alias("_terms"),
+            F.sum(F.log(2 * math.pi * F.greatest("_var", F.lit(RIDGE))) + 1).alias("_terms"),
         )
         .withColumn("log_likelihood", -0.5 * F.col("n_rows") * F.col("_terms"))
         .withColumn(
