@@ -5,18 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trove.operators.ranking import top_k
 
-def history_by_user(
-    df: DataFrame, user_col: str, time_col: str, id_col: str, limit: int | None = None
-) -> DataFrame:
-    """Each user's rows, newest first; rows without a user are nobody's.
+BLOCK_TURNS = 1000
+
+
+def history_by_user(df: DataFrame, user_col: str, time_col: str, id_col: str) -> DataFrame:
+    """Each user's rows with their ``place``, newest first; a row without a
+    user is nobody's.
 
-    Without a ``limit`` the place in a user's history is the whole result; with
-    one, every task keeps only that many rows per user before the shuffle.
+    Places are counted in two steps, rows of later hours plus the place inside
+    the hour, so that no task has to sort the whole history of a busy user.
     """
-    window = Window.partitionBy(user_col).orderBy(F.desc(time_col), F.desc(id_col))
-    out = df.where(F.col(user_col).isNotNull()).withColumn("place", F.row_number().over(window))
-    return out if limit is None else out.where(F.col("place") <= limit)
+    rows = df.where(F.col(user_col).isNotNull()).withColumn(
+        "_hour", F.date_trunc("hour", F.col(time_col))
+    )
+    hours = rows.groupBy(user_col, "_hour").agg(F.count(F.lit(1)).alias("_n"))
+    later = Window.partitionBy(user_col).orderBy(F.desc("_hour")).rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    before = hours.select(
+        user_col, "_hour", F.coalesce(F.sum("_n").over(later), F.lit(0)).alias("_later")
+    )
+    inside = Window.partitionBy(user_col, "_hour").orderBy(F.desc(time_col), F.desc(id_col))
+    return (
+        rows.withColumn("_inside", F.row_number().over(inside))
+        .join(before, [user_col, "_hour"])
+        .withColumn("place", F.col("_later") + F.col("_inside"))
+        .drop("_hour", "_inside", "_later")
+    )
+
+
+def newest(df: DataFrame, user_col: str, time_col: str, id_col: str, limit: int) -> DataFrame:
+    """Only the ``limit`` newest rows per user; tasks cut before the shuffle."""
+    order = [F.desc(time_col), F.desc(id_col)]
+    return top_k(df.where(F.col(user_col).isNotNull()), limit, user_col, order)
 
 
 def owned(df: DataFrame, requests: DataFrame, id_col: str, user_col: str) -> DataFrame:
@@ -25,14 +48,15 @@ def owned(df: DataFrame, requests: DataFrame, id_col: str, user_col: str) -> Dat
 
 
 def nest_messages(
-    df: DataFrame, chat_col: str, order_col: str, fields: list[str]
+    df: DataFrame, chat_col: str, order_col: str, fields: list[str], block_turns: int = BLOCK_TURNS
 ) -> DataFrame:
-    """One row per chat with its messages in order.
+    """``(chat, block, messages, n_messages)``: a chat with its ordered messages.
 
-    A chat row holds its messages by definition, so it is as large as one chat.
+    A chat is one row, block 0, up to ``block_turns`` turns; a longer one goes
+    on in further blocks, so no array outgrows a task.
     """
-    message = F.struct(order_col, *fields)
-    return df.groupBy(chat_col).agg(
-        F.array_sort(F.collect_list(message)).alias("messages"),
+    block = F.floor(F.col(order_col) / block_turns).alias("block")
+    return df.groupBy(chat_col, block).agg(
+        F.array_sort(F.collect_list(F.struct(order_col, *fields))).alias("messages"),
         F.count(F.lit(1)).alias("n_messages"),
     )

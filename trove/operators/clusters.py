@@ -16,7 +16,7 @@ from trove.functions.models import ColumnTextModel
 from trove.operators import mixture
 from trove.operators.bm25 import WEIGHT_DIGITS, encode_documents, fit
 from trove.operators.reduce import reduce_global, reduce_local
-from trove.session import stored
+from trove.session import small_side, stored
 
 # Fixed value: reduced dimension used for clustering.
 REDUCED_DIM = 10
@@ -29,16 +29,14 @@ def split_small(
     df: DataFrame, group_col: str, dim: int = REDUCED_DIM
 ) -> tuple[DataFrame, DataFrame]:
     """Rows of groups that hold at most ``dim + 1`` rows, and the other rows."""
-    sized = df.join(
-        F.broadcast(mixture_sizes(df, group_col, dim)), group_col, "left"
-    )
+    sized = df.join(small_side(small_groups(df, group_col, dim)), group_col, "left")
     return (
         sized.where(F.col("_small").isNotNull()).drop("_small"),
         sized.where(F.col("_small").isNull()).drop("_small"),
     )
 
 
-def mixture_sizes(df: DataFrame, group_col: str, dim: int) -> DataFrame:
+def small_groups(df: DataFrame, group_col: str, dim: int) -> DataFrame:
     return (
         df.groupBy(group_col)
         .agg(F.count(F.lit(1)).alias("_n"))
@@ -151,14 +149,19 @@ def joined_texts(
 ) -> DataFrame:
     """``(cluster, block, joined)``: a cluster's texts in key order.
 
-    A block holds the keys of one range of ``block_rows`` integers, so no group
-    outgrows a task; the blocks of a cluster in order are its whole text.
+    A cluster of up to ``block_rows`` texts is block 0. A larger one gets a
+    block per range of ``block_rows`` integer keys, so no group outgrows a
+    task; its blocks in order are its whole text.
     """
-    block = F.floor(F.col(id_col) / block_rows).cast("bigint").alias("block")
+    sizes = members.groupBy(cluster_col).agg(F.count(F.lit(1)).alias("_n"))
+    block = F.when(F.col("_n") <= block_rows, F.lit(0)).otherwise(
+        F.floor(F.col(id_col) / block_rows)
+    )
     quoted = delimiter.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
     return (
-        members.select(cluster_col, block, id_col, F.col(text_col).alias("_text"))
-        .groupBy(cluster_col, "block")
+        members.select(cluster_col, id_col, F.col(text_col).alias("_text"))
+        .join(small_side(sizes), cluster_col)
+        .groupBy(cluster_col, block.cast("bigint").alias("block"))
         .agg(F.expr(f"listagg(_text, '{quoted}') within group (order by {id_col})").alias("joined"))
     )
 

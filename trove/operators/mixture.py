@@ -233,7 +233,7 @@ def best_by_bic(fitted: dict[int, dict[int, Mixture]]) -> dict[int, Mixture]:
 
 def bic_table(spark, fitted: dict[int, dict[int, Mixture]]) -> DataFrame:
     rows = [
-        (g, c, m.log_likelihood, m.bic, m is min(by_k.values(), key=lambda x: (x.bic, x.k)))
+        (g, c, m.log_likelihood, float(m.bic), m is min(by_k.values(), key=lambda x: (x.bic, x.k)))
         for g, by_k in sorted(fitted.items())
         for c, m in sorted(by_k.items())
     ]

@@ -87,5 +87,5 @@ def group_covariance(df: DataFrame, group_col: str, vector_col: str) -> DataFram
     product = F.col("_pair._values") / F.col("_n")
     means = (F.col("_mine") / F.col("_n")) * (F.col("_pair._sums") / F.col("_n"))
     return rows.select(
-        F.col("_group").alias(group_col), "i", "j", (product - means).alias("covariance")
+        F.col("_group").cast(df.schema[group_col].dataType).alias(group_col), "i", "j", (product - means).alias("covariance")
     )

@@ -63,18 +63,20 @@ def reduce_local(
     out_col: str = "reduced",
 ) -> DataFrame:
     """Project each group's unit vectors on that group's own main axes."""
-    unit = df.withColumn("_unit", vec.unit(F.col(vector_col)))
+    unit = df.select(group_col, vec.unit(F.col(vector_col)).alias("_unit"))
     axes = local_axes(unit, group_col, "_unit", dim)
     sent = df.sparkSession.sparkContext.broadcast(axes)
 
     @F.pandas_udf("array<double>")
     def project(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for groups, vectors in batches:
-            rows = np.vstack(vectors.to_numpy()) if len(vectors) else np.zeros((0, 1))
+            rows = np.vstack(vectors.to_numpy()).astype(np.float64)
+            lengths = np.linalg.norm(rows, axis=1, keepdims=True)
+            rows = np.divide(rows, lengths, out=np.zeros_like(rows), where=lengths > 0)
             out = np.zeros((len(rows), dim))
             for g in groups.unique():
                 at = (groups == g).to_numpy()
                 out[at] = rows[at] @ sent.value[int(g)].T
             yield pd.Series(list(out))
 
-    return unit.withColumn(out_col, project(F.col(group_col), F.col("_unit"))).drop("_unit")
+    return df.withColumn(out_col, project(F.col(group_col).cast("long"), F.col(vector_col)))
