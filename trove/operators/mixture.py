@@ -262,13 +262,13 @@ def soft_assign(
     @F.pandas_udf("array<double>")
     def shares(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for groups, vectors in batches:
-            out = pd.Series([None] * len(groups), dtype=object)
+            out: list[list[float]] = [[]] * len(groups)
             for g in groups.unique():
                 at = np.flatnonzero((groups == g).to_numpy())
                 rows = np.vstack(vectors.to_numpy()[at]).astype(np.float64)
                 for i, row in zip(at, sent.value[int(g)].responsibilities(rows)[0]):
-                    out.iat[i] = row
-            yield out
+                    out[i] = row.tolist()
+            yield pd.Series(out, dtype=object)
 
     def pair(p, i):
         return F.struct(i.cast("int").alias("component"), p.alias("probability"))
