@@ -23,17 +23,12 @@ WEIGHT_DIGITS = 6
 
 @dataclass(frozen=True)
 class BM25Model:
-    """``stats`` is one row ``(n_docs, avg_len)``; ``terms`` is ``(term, df)``."""
+    """Number of texts, their mean length, and ``terms (term, df)``."""
 
-    stats: DataFrame
+    n_docs: int
+    avg_len: float
     terms: DataFrame
 
-    def n_docs(self):
-        return self.stats.select("n_docs").scalar()
-
-    def avg_len(self):
-        return self.stats.select("avg_len").scalar()
-
 
 def term_counts(
     df: DataFrame, id_col: str, text_col: str, terms: DataFrame | None = None
@@ -42,7 +37,9 @@ def term_counts(
 
     The whole vocabulary: texts are hashed by key before they are split, so the
     one shuffle carries each text once and the grouping needs no other.
-    With ``terms`` the rest of the vocabulary is dropped before any shuffle.
+    With ``terms`` the rest of the vocabulary is dropped before the shuffle.
+    Either way the result is hashed by key, so grouping it by key and anything
+    else, as scoring does, moves no row again.
     """
     rows = text_rows(df, text_col).select(id_col, text_col)
     if terms is None:
@@ -55,7 +52,7 @@ def term_counts(
         .where(F.col("term").isNotNull())
     )
     if terms is not None:
-        words = words.join(terms.select("term"), "term", "left_semi")
+        words = words.join(terms.select("term"), "term", "left_semi").repartition(id_col)
     return words.groupBy(id_col, "term", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -64,18 +61,28 @@ def fit(
 ) -> BM25Model:
     """Count texts, mean length and, per term, the texts that hold it.
 
+    The two corpus numbers are computed here; the frequencies stay a DataFrame.
+
     ``terms`` limits the document frequencies to a known vocabulary, such as
     the terms of the queries at hand; the other statistics stay whole.
     """
-    stats = text_rows(df, text_col).agg(
-        F.count(F.lit(1)).alias("n_docs"), F.avg(txt.token_count(text_col)).alias("avg_len")
+    stats = (
+        text_rows(df, text_col)
+        .agg(
+            F.count(F.lit(1)).alias("n_docs"),
+            F.avg(txt.token_count(text_col)).alias("avg_len"),
+        )
+        .first()
     )
     counts = term_counts(df, id_col, text_col, terms)
-    return BM25Model(stats, counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    # Counting on tf keeps these counts the same plan as the encoder's, so Spark
+    # splits and shuffles the texts once for both.
+    holding = F.count_if(F.col("tf") > 0).alias("df")
+    return BM25Model(stats["n_docs"], stats["avg_len"] or 0.0, counts.groupBy("term").agg(holding))
 
 
 def _saturated(model: BM25Model, k1: float, b: float):
-    share = F.col("doc_len") / model.avg_len()
+    share = F.col("doc_len") / F.lit(model.avg_len)
     return F.round(
         F.col("tf") / (F.col("tf") + k1 * (1 - b + b * share)), WEIGHT_DIGITS
     ).alias("weight")
@@ -114,7 +121,7 @@ def encode_queries(
     if mode != "idf":
         raise ValueError("mode must be 'idf' or 'tf'")
     counts = term_counts(df, id_col, text_col).select(id_col, "term")
-    idf = F.log((model.n_docs() + 1) / (F.coalesce(F.col("df"), F.lit(1)) + 0.5))
+    idf = F.log(F.lit(model.n_docs + 1) / (F.coalesce(F.col("df"), F.lit(1)) + 0.5))
     weighed = counts.join(model.terms, "term", "left").select(id_col, "term", idf.alias("_idf"))
     whole = F.sum("_idf").over(Window.partitionBy(id_col))
     return weighed.select(

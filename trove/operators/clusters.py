@@ -83,7 +83,9 @@ def cluster(
         rows = mixture.soft_assign(
             points, best, group_col, threshold=threshold, keep_unassigned=keep_unassigned
         )
-        return best, rows.withColumn("_component", F.explode("members.component"))
+        # explode_outer: an inner explode would add a filter that scores twice.
+        placed = rows.withColumn("_component", F.explode_outer("members.component"))
+        return best, placed.where(F.col("_component").isNotNull())
 
     points = stored(
         reduce_global(base, dim, vector_col).withColumn("_all", F.lit(0).cast("long")), "points"
@@ -132,7 +134,8 @@ def membership_arrays(members: DataFrame, id_col: str) -> DataFrame:
 
 def explode_membership(df: DataFrame, cluster_col: str = "cluster") -> DataFrame:
     """One row per text and cluster; rows without a cluster vanish."""
-    return df.withColumn(cluster_col, F.explode(cluster_col))
+    out = df.withColumn(cluster_col, F.explode_outer(cluster_col))
+    return out.where(F.col(cluster_col).isNotNull())
 
 
 def distinct_clusters(members: DataFrame, cluster_col: str = "cluster") -> DataFrame:

@@ -40,7 +40,8 @@ def build_from_labels(
 
 def mean_vectors(df: DataFrame, key: str, vector_col: str) -> DataFrame:
     """``(key, centroid)``; positions are averaged inside tasks first."""
-    parts = df.select(key, F.posexplode(vector_col).alias("_at", "_x"))
+    parts = df.select(key, F.posexplode_outer(vector_col).alias("_at", "_x"))
+    parts = parts.where(F.col("_x").isNotNull())
     means = parts.groupBy(key, "_at").agg(F.avg(F.col("_x").cast("double")).alias("_mean"))
     in_order = F.array_sort(F.collect_list(F.struct("_at", "_mean")))
     return means.groupBy(key).agg(

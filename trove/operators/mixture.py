@@ -49,18 +49,16 @@ class Mixture:
 
     def log_densities(self, rows: np.ndarray) -> np.ndarray:
         """Log of weight times density, one column per component."""
-        d = rows.shape[1]
-        out = np.empty((len(rows), self.k))
-        for c in range(self.k):
-            low = np.linalg.cholesky(self.covariances[c])
-            gaps = np.linalg.solve(low, (rows - self.means[c]).T)
-            out[:, c] = (
-                math.log(self.weights[c] + 1e-300)
-                - 0.5 * d * math.log(2 * math.pi)
-                - np.log(np.diag(low)).sum()
-                - 0.5 * (gaps**2).sum(0)
-            )
-        return out
+        k, d = self.means.shape
+        low = np.linalg.cholesky(self.covariances)
+        whiten = np.linalg.inv(low)
+        # (k * d, rows): every component's whitened gaps in one product.
+        centre = np.einsum("kij,kj->ki", whiten, self.means).reshape(k * d, 1)
+        gaps = whiten.reshape(k * d, d) @ rows.T - centre
+        half = 0.5 * (gaps.reshape(k, d, -1) ** 2).sum(1)
+        scale = np.log(np.diagonal(low, axis1=1, axis2=2)).sum(1)
+        front = np.log(self.weights + 1e-300) - 0.5 * d * math.log(2 * math.pi) - scale
+        return (front[:, None] - half).T
 
     def responsibilities(self, rows: np.ndarray) -> tuple[np.ndarray, float]:
         """Membership probabilities and the total log likelihood."""
@@ -72,7 +70,9 @@ class Mixture:
     def statistics(self, rows: np.ndarray) -> np.ndarray:
         """``[log likelihood, counts, sums, outer products]`` of some rows."""
         shares, total = self.responsibilities(rows)
-        outer = np.stack([(rows * s[:, None]).T @ rows for s in shares.T])
+        n, d = rows.shape
+        pairs = (rows[:, :, None] * rows[:, None, :]).reshape(n, d * d)
+        outer = shares.T @ pairs
         return np.concatenate([[total], shares.sum(0), (shares.T @ rows).ravel(), outer.ravel()])
 
     def updated(self, stats: np.ndarray) -> Mixture:
@@ -179,19 +179,22 @@ def fit_groups(
     done: dict[tuple[int, int], Mixture] = {}
     source = points.select(F.col(group_col).cast("long"), F.col(vector_col))
     for turn in range(rounds):
-        sent = spark.sparkContext.broadcast(live)
+        # Plain arrays: a broadcast is read without this package.
+        sent = spark.sparkContext.broadcast(
+            {key: (m.weights, m.means, m.covariances) for key, m in live.items()}
+        )
 
         def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            wanted: dict[int, list[int]] = {}
-            for g, c in sent.value:
-                wanted.setdefault(g, []).append(c)
+            wanted: dict[int, list[tuple[int, Mixture]]] = {}
+            for (g, c), parameters in sent.value.items():
+                wanted.setdefault(g, []).append((c, Mixture(*parameters)))
             held: dict[tuple[int, int], np.ndarray] = {}
             for batch in batches:
                 groups, rows = batch.column(0).to_numpy(), as_matrix(batch.column(1))
                 for g in np.unique(groups):
                     part = rows[groups == g]
-                    for c in wanted.get(int(g), ()):
-                        new = sent.value[int(g), c].statistics(part)
+                    for c, mixture in wanted.get(int(g), ()):
+                        new = mixture.statistics(part)
                         old = held.get((int(g), c))
                         held[int(g), c] = new if old is None else old + new
             yield pa.RecordBatch.from_arrays(
@@ -257,16 +260,19 @@ def soft_assign(
     With ten or more components a row may pass in none;
     ``keep_unassigned`` then gives it its likeliest component.
     """
-    sent = points.sparkSession.sparkContext.broadcast(mixtures)
+    sent = points.sparkSession.sparkContext.broadcast(
+        {g: (m.weights, m.means, m.covariances) for g, m in mixtures.items()}
+    )
 
     @F.pandas_udf("array<double>")
     def shares(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        given = {g: Mixture(*parameters) for g, parameters in sent.value.items()}
         for groups, vectors in batches:
             out: list[list[float]] = [[]] * len(groups)
             for g in groups.unique():
                 at = np.flatnonzero((groups == g).to_numpy())
                 rows = np.vstack(vectors.to_numpy()[at]).astype(np.float64)
-                for i, row in zip(at, sent.value[int(g)].responsibilities(rows)[0]):
+                for i, row in zip(at, given[int(g)].responsibilities(rows)[0]):
                     out[i] = row.tolist()
             yield pd.Series(out, dtype=object)
 

@@ -66,12 +66,12 @@ def stored(df: DataFrame, label: str = "stored") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Repartition by ``key`` only when the scan yields fewer tasks than cores."""
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out evenly, only when a scan yields fewer tasks than cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
-    return df.repartition(cores, key)
+    return df.repartition(cores)
 
 
 def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:

@@ -42,7 +42,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"), "doc_id")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def all_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -271,7 +271,7 @@ def preview_top5(spark, sf_dir):
 def hash_embed(spark, sf_dir):
     rows = HashEmbedder().embed(documents(spark, sf_dir).select("doc_id", "text"), "text")
     return (
-        rows.select("doc_id", F.posexplode("embedding").alias("bucket", "value"))
+        rows.select("doc_id", F.posexplode_outer("embedding").alias("bucket", "value"))
         .where(F.col("value") != 0)
         .select("doc_id", "bucket", F.round(F.col("value").cast("double"), 6).alias("value"))
     )
@@ -289,7 +289,7 @@ def token_length_stats(spark, sf_dir):
 def bm25_fit(spark, sf_dir):
     model = bm25.fit(table(spark, sf_dir, "documents"), "doc_id", "text")
     return model.terms.select(
-        "term", "df", model.n_docs().alias("n_docs"), F.round(model.avg_len(), 6).alias("avg_len")
+        "term", "df", F.lit(model.n_docs).cast("long").alias("n_docs"), F.round(F.lit(model.avg_len), 6).alias("avg_len")
     )
 
 
