@@ -92,6 +92,17 @@ class FunctionEmbedder:
         return df.withColumn(out_col, run(F.col(text_col)))
 
 
+def encoder_token_count(encode: Callable[[str], list]) -> Callable[[Column], Column]:
+    """A token count by a caller's encoder, such as a byte-pair one."""
+
+    @F.pandas_udf("int")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda t: len(encode(t or "")))
+
+    return run
+
+
 class ColumnTextModel:
     """A text model given as a function from a prompt column to a column."""
 

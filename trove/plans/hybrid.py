@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 
 from trove.functions.models import HashEmbedder
 from trove.operators import bm25, dense, fusion, sparse
 from trove.operators.prep import filter_expression
-from trove.session import small_side
+from trove.session import small_side, stored, work_path
 
 
 def sparse_search(
@@ -93,7 +95,85 @@ def hybrid_search(
     return fusion.fuse(legs, limit, query_col, id_col)
 
 
-def hits_with_fields(
-    hits: DataFrame, docs: DataFrame, fields: list[str], id_col: str
+@dataclass(frozen=True)
+class TextIndex:
+    """A stored collection: ``docs`` with vectors, ``postings`` by term slot,
+    and the BM25 model they were coded with."""
+
+    docs: DataFrame
+    postings: DataFrame
+    model: bm25.BM25Model
+    id_col: str
+
+
+def build_index(
+    docs: DataFrame,
+    id_col: str,
+    text_col: str = "text",
+    path: str | None = None,
+    embedder=None,
+    drop_ratio: float = sparse.DROP_RATIO,
+) -> TextIndex:
+    """Embed, code and store documents once, for any number of searches."""
+    spark = docs.sparkSession
+    path = path or work_path(spark, "index")
+    (embedder or HashEmbedder()).embed(docs, text_col).write.parquet(f"{path}/docs")
+    model = bm25.fit(docs, id_col, text_col)
+    model.terms.write.parquet(f"{path}/terms")
+    numbers = [(model.n_docs, float(model.avg_len), id_col)]
+    spark.createDataFrame(numbers, "n_docs long, avg_len double, id_col string").write.parquet(
+        f"{path}/numbers"
+    )
+    postings = stored(bm25.encode_documents(docs, model, id_col, text_col), "postings")
+    sparse.write_index(sparse.build_index(postings, drop_ratio), f"{path}/postings", id_col)
+    return open_index(spark, path)
+
+
+def open_index(spark: SparkSession, path: str) -> TextIndex:
+    numbers = spark.read.parquet(f"{path}/numbers").first()
+    model = bm25.BM25Model(
+        numbers["n_docs"], numbers["avg_len"], spark.read.parquet(f"{path}/terms")
+    )
+    return TextIndex(
+        spark.read.parquet(f"{path}/docs"),
+        sparse.read_index(spark, f"{path}/postings"),
+        model,
+        numbers["id_col"],
+    )
+
+
+def search_index(
+    queries: DataFrame,
+    index: TextIndex,
+    query_col: str,
+    query_text: str = "text",
+    where: str | None = None,
+    limit: int = 1,
+    leg_limit: int | None = None,
+    mode: str = "idf",
+    drop_ratio: float = sparse.DROP_RATIO,
+    metric: str = "cosine",
+    embedder=None,
+    output_fields: list[str] | None = None,
 ) -> DataFrame:
-    return dense.with_fields(hits, docs, fields, id_col)
+    """Hybrid search of a stored collection; texts are not read again unless
+    they are among ``output_fields``."""
+    each = limit if leg_limit is None else leg_limit
+    docs = filter_expression(index.docs, where)
+    asked = (embedder or HashEmbedder()).embed(
+        queries.select(query_col, query_text), query_text, "_vector"
+    )
+    wanted = bm25.encode_queries(queries, index.model, query_col, query_text, mode)
+    legs = [
+        dense.knn_join(
+            asked, docs, each, metric, query_col, index.id_col, "_vector", "embedding"
+        ),
+        sparse.search(
+            wanted, index.postings, each, query_col, index.id_col, drop_ratio,
+            allowed=None if where is None else docs,
+        ),
+    ]
+    hits = fusion.fuse(legs, limit, query_col, index.id_col)
+    if not output_fields:
+        return hits
+    return dense.with_fields(hits, index.docs, output_fields, index.id_col)

@@ -21,8 +21,13 @@ def embed_batch(df: DataFrame, text_col: str, keep_text: bool = True, embedder=N
 
 def ingest_batch(df: DataFrame, path: str, text_col: str, **options) -> None:
     """Embed and append to a parquet folder; parallelism is the partitions."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(CHUNK_ROWS))
-    embed_batch(df, text_col, **options).write.mode("append").parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(CHUNK_ROWS))
+    try:
+        embed_batch(df, text_col, **options).write.mode("append").parquet(path)
+    finally:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
 def ingest_stream(

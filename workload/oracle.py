@@ -145,12 +145,16 @@ means AS (SELECT label, position, avg(x) AS mean FROM parts GROUP BY ALL),
 cells AS (SELECT label AS cell, list(mean ORDER BY position) AS centroid FROM means GROUP BY label)"""
 
 
-def hybrid(limit: int, leg: int, where: str = "TRUE") -> str:
-    """CTEs ending in ``h``: the fused scores of both legs."""
+def hybrid(limit: int, leg: int, where: str = "TRUE", cut: float = 0.0) -> str:
+    """CTEs ending in ``h``: the fused scores of both legs.
+
+    ``cut`` drops the lightest share of all document weights first.
+    """
     return f"""
 {DOCS}, {QUERY_IDF}, {dropped("qd", "q_w", "item_id")},
 kept AS (SELECT * FROM documents WHERE {where}),
-p AS (SELECT d_w.* FROM d_w SEMI JOIN kept USING (doc_id)),
+cut AS (SELECT quantile_cont(weight, {cut}) AS c FROM d_w),
+p AS (SELECT d_w.* FROM d_w SEMI JOIN kept USING (doc_id) WHERE weight >= (SELECT c FROM cut)),
 {sparse_scores("s", "qd", "p", "item_id", "doc_id")},
 sl AS ({ranked("s", "item_id", "doc_id", leg)}),
 {embed("qe", "benchmark", "item_id")}, {embed("de", "kept", "doc_id")},
@@ -328,6 +332,8 @@ vl AS ({ranked("v", "item_id", "doc_id", 10)}),
 {fused("f", ["sl", "vl"], "item_id", "doc_id")}
 {ranked("f", "item_id", "doc_id", 10)}""",
         "hybrid_search": f"""WITH {hybrid(10, 20, "lang = 'en'")} SELECT * FROM h""",
+        "hybrid_search_stored": f"""WITH {hybrid(10, 20, "lang = 'en'", 0.2)}
+SELECT h.*, source, lang FROM h JOIN documents USING (doc_id)""",
         "hybrid_top1": f"""WITH {hybrid(1, 10)} SELECT item_id, source AS "SOURCE_NAME",
 lang AS "LANGUAGE", text AS "TEXT" FROM h JOIN documents USING (doc_id)""",
         "group_covariance": """WITH p AS (SELECT vec_id, label,

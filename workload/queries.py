@@ -457,6 +457,14 @@ def hybrid_search(spark, sf_dir):
     )
 
 
+def hybrid_search_stored(spark, sf_dir):
+    index = hybrid.build_index(documents(spark, sf_dir), "doc_id")
+    return hybrid.search_index(
+        table(spark, sf_dir, "benchmark"), index, "item_id", where="lang = 'en'", limit=10,
+        leg_limit=20, output_fields=["source", "lang"],
+    )
+
+
 def hybrid_top1(spark, sf_dir):
     docs = documents(spark, sf_dir)
     hits = hybrid.hybrid_search(
@@ -627,6 +635,7 @@ def equal_embedding_pairs(spark, sf_dir):
 
 def table_cards(spark, sf_dir):
     built = cards.build(all_tables(spark, sf_dir), SCHEMA_NAME)
+    built = cards.save(built, work_path(spark, "cards"))
     return built.select("card_id", "table_name", "description", "access", vector_total())
 
 
@@ -696,7 +705,7 @@ ALL = [
     date_display, text_preview, currency_display, hex_bytes, search_cosine, search_l2, search_ip,
     search_filtered_semi, knn_join_topk, ivf_build_label_cells, ivf_search_label_cells,
     ivf_full_probe, ivf_kmeans_cells, sparse_index_build, bm25_search, bm25_search_drop, rrf_fuse,
-    hybrid_search, hybrid_top1, reduce_global, reduce_local, group_covariance, knn_graph,
+    hybrid_search, hybrid_search_stored, hybrid_top1, reduce_global, reduce_local, group_covariance, knn_graph,
     bic_single_gaussian, bic_choice, mixture_members, soft_assign, cluster_offsets,
     small_group_bypass, embed_cluster, explode_membership, distinct_clusters, concat_cluster,
     summarise_extractive, raptor_tree_fixed, flatten_tree, tree_export, raptor_tree,
