@@ -31,6 +31,7 @@ HEADLINE = [
     work.bm25_search,
     work.rrf_fuse,
     work.hybrid_search,
+    work.hybrid_search_stored,
     work.knn_graph,
     work.soft_assign,
     work.group_covariance,

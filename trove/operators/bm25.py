@@ -57,7 +57,11 @@ def term_counts(
 
 
 def fit(
-    df: DataFrame, id_col: str, text_col: str, terms: DataFrame | None = None
+    df: DataFrame,
+    id_col: str,
+    text_col: str,
+    terms: DataFrame | None = None,
+    counts: DataFrame | None = None,
 ) -> BM25Model:
     """Count texts, mean length and, per term, the texts that hold it.
 
@@ -65,6 +69,7 @@ def fit(
 
     ``terms`` limits the document frequencies to a known vocabulary, such as
     the terms of the queries at hand; the other statistics stay whole.
+    ``counts`` passes term counts that are already stored.
     """
     stats = (
         text_rows(df, text_col)
@@ -74,7 +79,8 @@ def fit(
         )
         .first()
     )
-    counts = term_counts(df, id_col, text_col, terms)
+    if counts is None:
+        counts = term_counts(df, id_col, text_col, terms)
     # Counting on tf keeps these counts the same plan as the encoder's, so Spark
     # splits and shuffles the texts once for both.
     holding = F.count_if(F.col("tf") > 0).alias("df")
@@ -98,7 +104,13 @@ def encode_documents(
     b: float = B,
 ) -> DataFrame:
     """``(id, term, weight)`` with saturated, length-normalised term counts."""
-    counts = term_counts(df, id_col, text_col, terms)
+    return encode_counts(term_counts(df, id_col, text_col, terms), model, id_col, k1, b)
+
+
+def encode_counts(
+    counts: DataFrame, model: BM25Model, id_col: str, k1: float = K1, b: float = B
+) -> DataFrame:
+    """The document encoding of term counts already at hand."""
     return counts.select(id_col, "term", _saturated(model, k1, b))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from trove.functions import vectors as vec
+from trove.functions.vectors import SCORE_DIGITS
 from trove.operators.moments import as_matrix
 from trove.operators.prep import filter_expression
 from trove.operators.ranking import top_k
@@ -73,12 +74,12 @@ def _gains(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
         gaps = (
             (queries**2).sum(1)[:, None] + (rows**2).sum(1)[None, :] - 2.0 * queries @ rows.T
         )
-        return -np.round(np.maximum(gaps, 0.0), vec.SCORE_DIGITS)
+        return -np.round(np.maximum(gaps, 0.0), SCORE_DIGITS)
     products = queries @ rows.T
     if metric == "cosine":
         lengths = np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(rows, axis=1)[None, :]
         products = np.divide(products, lengths, out=np.zeros_like(products), where=lengths > 0)
-    return np.round(products, vec.SCORE_DIGITS)
+    return np.round(products, SCORE_DIGITS)
 
 
 class _Best:

@@ -14,8 +14,8 @@ from trove.session import SMALL_ROWS, small_side
 DROP_RATIO = 0.2
 
 # Folders of a stored index, and query terms that may become a scan filter.
-SLOTS = 256
-FEW_TERMS = 10_000
+SLOTS = 64
+FEW_TERMS = 500
 
 
 def weight_quantile(postings: DataFrame, ratio: float) -> DataFrame:
@@ -61,15 +61,16 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _prune(postings: DataFrame, wanted: DataFrame, slots: int) -> DataFrame:
-    """Read only the slots, and if few the terms, that the queries hold."""
+    """Read only the slots and terms that the queries hold, when they are few;
+    many terms fall in every slot."""
     terms = wanted.select("term", _slot("term", slots).alias("slot")).distinct()
     few = terms.limit(FEW_TERMS + 1).collect()
-    if len(few) <= FEW_TERMS:
-        return postings.where(
-            F.col("slot").isin(sorted({r["slot"] for r in few}))
-            & F.col("term").isin(sorted(r["term"] for r in few))
-        )
-    return postings
+    if len(few) > FEW_TERMS:
+        return postings
+    return postings.where(
+        F.col("slot").isin(sorted({r["slot"] for r in few}))
+        & F.col("term").isin(sorted(r["term"] for r in few))
+    )
 
 
 def drop_light_terms(queries: DataFrame, query_col: str, ratio: float) -> DataFrame:

@@ -118,13 +118,14 @@ def build_index(
     spark = docs.sparkSession
     path = path or work_path(spark, "index")
     (embedder or HashEmbedder()).embed(docs, text_col).write.parquet(f"{path}/docs")
-    model = bm25.fit(docs, id_col, text_col)
+    counts = stored(bm25.term_counts(docs, id_col, text_col), "counts")
+    model = bm25.fit(docs, id_col, text_col, counts=counts)
     model.terms.write.parquet(f"{path}/terms")
     numbers = [(model.n_docs, float(model.avg_len), id_col)]
     spark.createDataFrame(numbers, "n_docs long, avg_len double, id_col string").write.parquet(
         f"{path}/numbers"
     )
-    postings = stored(bm25.encode_documents(docs, model, id_col, text_col), "postings")
+    postings = bm25.encode_counts(counts, model, id_col)
     sparse.write_index(sparse.build_index(postings, drop_ratio), f"{path}/postings", id_col)
     return open_index(spark, path)
 
