@@ -247,3 +247,21 @@ def test_hybrid_filter_comes_before_ranking(spark):
 
     hits = hybrid.dense_search(asked, stored, 1, "qid", "id", embedder=Fixed(), vector_col="v")
     assert [r["id"] for r in hits.collect()] == [2]
+
+
+def test_many_queries_look_up_hot_terms(spark, monkeypatch):
+    docs = spark.createDataFrame(DOCS, "id long, text string")
+    asked = spark.createDataFrame([(i, f"apple pear w{i % 3}") for i in range(9)], "qid long, text string")
+    model = bm25.fit(docs, "id", "text")
+    plain = sorted(bm25.encode_queries(asked, model, "qid", "text").collect())
+    monkeypatch.setattr(bm25, "SMALL_ROWS", 3)
+    assert sorted(bm25.encode_queries(asked, model, "qid", "text").collect()) == plain
+
+
+def test_lookup_is_a_left_join(spark):
+    from trove.operators.skew import lookup
+
+    rows = spark.createDataFrame([(i, "a" if i % 3 == 0 else f"k{i}") for i in range(30)], "id int, k string")
+    sizes = spark.createDataFrame([("a", 10, 1.0), ("k1", 1, 2.0)], "k string, n int, v double")
+    got = lookup(rows, sizes, "k", F.col("n"), F.lit(11), parts=2)
+    assert sorted(got.collect()) == sorted(rows.join(sizes, "k", "left").select("id", "k", "n", "v").collect())

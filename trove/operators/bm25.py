@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from trove.functions import text as txt
 from trove.operators.prep import text_rows
+from trove.operators.skew import lookup
+from trove.session import SMALL_ROWS
 
 # Fixed values.
 K1 = 1.2
@@ -134,7 +136,14 @@ def encode_queries(
         raise ValueError("mode must be 'idf' or 'tf'")
     counts = term_counts(df, id_col, text_col).select(id_col, "term")
     idf = F.log(F.lit(model.n_docs + 1) / (F.coalesce(F.col("df"), F.lit(1)) + 0.5))
-    weighed = counts.join(model.terms, "term", "left").select(id_col, "term", idf.alias("_idf"))
+    if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+        matched = counts.join(model.terms, "term", "left")
+    else:
+        # Many queries share their common terms; all frequencies together are
+        # at most the number of words.
+        words = F.lit(model.n_docs * model.avg_len)
+        matched = lookup(counts, model.terms, "term", F.col("df"), words)
+    weighed = matched.select(id_col, "term", idf.alias("_idf"))
     whole = F.sum("_idf").over(Window.partitionBy(id_col))
     return weighed.select(
         id_col, "term", F.round(F.col("_idf") / whole, WEIGHT_DIGITS).alias("weight")

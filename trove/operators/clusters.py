@@ -15,6 +15,7 @@ from trove.functions import text as txt
 from trove.functions.models import ColumnTextModel
 from trove.operators import mixture
 from trove.operators.bm25 import WEIGHT_DIGITS, encode_documents, fit
+from trove.operators.skew import lookup
 from trove.operators.reduce import reduce_global, reduce_local
 from trove.session import small_side, stored
 
@@ -179,7 +180,8 @@ def extractive_summaries(
     """``(cluster, id, summary)``: the member whose terms weigh most on average.
 
     Ties go to the lowest key; a text without terms scores 0. Only keys and
-    scores are compared per cluster, and the winners' texts are looked up.
+    scores are compared per cluster; the winners, one per cluster, are stored
+    and sent to the texts, which do not move.
     """
     model = fit(texts, id_col, text_col)
     weights = encode_documents(texts, model, id_col, text_col)
@@ -187,8 +189,9 @@ def extractive_summaries(
     scored = members.select(id_col, cluster_col).join(means, id_col, "left")
     loss = (-F.coalesce(F.col("_mean"), F.lit(0.0))).alias("loss")
     best = scored.groupBy(cluster_col).agg(F.min(F.struct(loss, id_col)).alias("_best"))
-    chosen = best.select(cluster_col, F.col(f"_best.{id_col}").alias(id_col))
-    return texts.select(id_col, F.col(text_col).alias("summary")).join(chosen, id_col).select(
+    chosen = stored(best.select(cluster_col, F.col(f"_best.{id_col}").alias(id_col)), "chosen")
+    shown = texts.select(id_col, F.col(text_col).alias("summary"))
+    return shown.join(small_side(chosen), id_col).select(
         cluster_col, id_col, "summary"
     )
 
@@ -235,26 +238,11 @@ def equal_vectors(df: DataFrame, id_col: str = "id", vector_col: str = "embeddin
         .agg(F.min(id_col).alias("first_id"), F.count(F.lit(1)).alias("copies"))
         .where(F.col("copies") > 1)
     )
-    # At most a thousand values can each hold a thousandth of the rows; they go
-    # to the rows whole, and the rest join through a shuffle without hot keys.
-    total = df.agg(F.count(F.lit(1)).alias("n"))
-    hot = F.col("copies") * 1000 >= total.select("n").scalar()
-    often = F.broadcast(
-        classes.where(hot).select("_value", F.col("first_id").alias("_f"), F.col("copies").alias("_c"))
+    total = df.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+    rows = df.select(id_col, F.col(vector_col).alias("_value"))
+    found = lookup(rows, classes, "_value", F.col("copies"), total)
+    return found.select(
+        id_col,
+        F.coalesce("first_id", id_col).alias("first_id"),
+        F.coalesce("copies", F.lit(1).cast("long")).alias("copies"),
     )
-    seldom = classes.where(~hot)
-    rows = df.select(id_col, F.col(vector_col).alias("_value")).join(often, "_value", "left")
-    common = rows.where(F.col("_f").isNotNull()).select(
-        id_col, F.col("_f").alias("first_id"), F.col("_c").alias("copies")
-    )
-    others = (
-        rows.where(F.col("_f").isNull())
-        .select(id_col, "_value")
-        .join(seldom, "_value", "left")
-        .select(
-            id_col,
-            F.coalesce("first_id", id_col).alias("first_id"),
-            F.coalesce("copies", F.lit(1).cast("long")).alias("copies"),
-        )
-    )
-    return common.unionByName(others)

@@ -17,7 +17,7 @@ from trove.functions.vectors import SCORE_DIGITS
 from trove.operators.moments import as_matrix
 from trove.operators.prep import filter_expression
 from trove.operators.ranking import top_k
-from trove.session import small_side
+from trove.session import small_side, stored
 
 # Default result sizes.
 SEARCH_LIMIT = 100
@@ -307,5 +307,7 @@ def knn_graph(
 
 
 def with_fields(hits: DataFrame, corpus: DataFrame, fields: list[str], id_col: str = "id") -> DataFrame:
-    """Add corpus columns to hits; the few hits go to the scan when small."""
+    """Add corpus columns to hits. The few hits are stored, counted and sent to
+    the scan, so the corpus does not move."""
+    hits = stored(hits, "hits")
     return corpus.select(id_col, *fields).join(small_side(hits), id_col)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trove.operators import dense
-from trove.session import work_path
+from trove.session import stored, work_path
 
 # Index and probe sizes.
 NLIST = 1024
@@ -116,7 +116,7 @@ def probes(
     nearest = dense.knn_join(
         queries, centroids, nprobe, metric, query_col, "cell", vector_col, "centroid"
     )
-    return queries.join(nearest.select(query_col, "cell"), query_col)
+    return stored(queries.join(nearest.select(query_col, "cell"), query_col), "visits")
 
 
 def search(

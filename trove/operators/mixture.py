@@ -32,6 +32,7 @@ SEED = 224
 # Rows per group that starting points are drawn from, and the most groups.
 POOL_ROWS = 256
 MAX_GROUPS = 1000
+MAX_NUMBERS = 4_000_000
 
 
 @dataclass
@@ -307,10 +308,12 @@ def group_gaussians(df: DataFrame, group_col: str, vector_col: str) -> Mixture:
     rows = (
         parts.groupBy("_group", "_at")
         .agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"), F.var_pop(x).alias("var"))
-        .limit(MAX_GROUPS * 4096)
+        .limit(MAX_NUMBERS + 1)
         .toPandas()
         .sort_values(["_group", "_at"])
     )
+    if len(rows) > MAX_NUMBERS:
+        raise ValueError("too many groups and positions for one mixture")
     counts = rows.groupby("_group")["n"].first().to_numpy(dtype=float)
     k = len(counts)
     means = rows["mean"].to_numpy().reshape(k, -1)

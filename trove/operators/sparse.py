@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trove.functions.vectors import SCORE_DIGITS
 from trove.operators.bm25 import WEIGHT_DIGITS
 from trove.operators.ranking import top_k
-from trove.session import SMALL_ROWS, small_side
+from trove.session import SMALL_ROWS
 
 # Fixed value.
 DROP_RATIO = 0.2
@@ -114,7 +114,10 @@ def search(
     )
     if "slot" in postings.columns:
         postings = _prune(postings, wanted, slots).drop("slot")
-    wanted = small_side(wanted, max_broadcast_rows)
+    # The size is checked before light terms go: dropping only shrinks it, and
+    # counting the dropped ones would take every weight twice.
+    if queries.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
+        wanted = F.broadcast(wanted)
     scores = (
         postings.join(wanted, "term")
         .groupBy(query_col, id_col)
