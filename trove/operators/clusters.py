@@ -15,8 +15,8 @@ from trove.functions import text as txt
 from trove.functions.models import ColumnTextModel
 from trove.operators import mixture
 from trove.operators.bm25 import WEIGHT_DIGITS, encode_documents, fit
-from trove.operators.skew import lookup
 from trove.operators.reduce import reduce_global, reduce_local
+from trove.operators.skew import attach
 from trove.session import small_side, stored
 
 # Fixed value: reduced dimension used for clustering.
@@ -30,19 +30,11 @@ def split_small(
     df: DataFrame, group_col: str, dim: int = REDUCED_DIM
 ) -> tuple[DataFrame, DataFrame]:
     """Rows of groups that hold at most ``dim + 1`` rows, and the other rows."""
-    sized = df.join(small_side(small_groups(df, group_col, dim)), group_col, "left")
+    sizes = df.groupBy(group_col).agg(F.count(F.lit(1)).alias("_n"))
+    sized = attach(df, sizes, group_col, "_n")
     return (
-        sized.where(F.col("_small").isNotNull()).drop("_small"),
-        sized.where(F.col("_small").isNull()).drop("_small"),
-    )
-
-
-def small_groups(df: DataFrame, group_col: str, dim: int) -> DataFrame:
-    return (
-        df.groupBy(group_col)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") <= dim + 1)
-        .select(group_col, F.lit(True).alias("_small"))
+        sized.where(F.col("_n") <= dim + 1).drop("_n"),
+        sized.where(F.col("_n") > dim + 1).drop("_n"),
     )
 
 
@@ -162,9 +154,9 @@ def joined_texts(
         F.floor(F.col(id_col) / block_rows)
     )
     quoted = delimiter.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
+    texts = members.select(cluster_col, id_col, F.col(text_col).alias("_text"))
     return (
-        members.select(cluster_col, id_col, F.col(text_col).alias("_text"))
-        .join(small_side(sizes), cluster_col)
+        attach(texts, sizes, cluster_col, "_n")
         .groupBy(cluster_col, block.cast("bigint").alias("block"))
         .agg(F.expr(f"listagg(_text, '{quoted}') within group (order by {id_col})").alias("joined"))
     )
@@ -238,9 +230,9 @@ def equal_vectors(df: DataFrame, id_col: str = "id", vector_col: str = "embeddin
         .agg(F.min(id_col).alias("first_id"), F.count(F.lit(1)).alias("copies"))
         .where(F.col("copies") > 1)
     )
-    total = df.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
     rows = df.select(id_col, F.col(vector_col).alias("_value"))
-    found = lookup(rows, classes, "_value", F.col("copies"), total)
+    # Vectors are wide: few are broadcast.
+    found = attach(rows, classes, "_value", "copies", small_rows=1000, parts=1000)
     return found.select(
         id_col,
         F.coalesce("first_id", id_col).alias("first_id"),

@@ -5,7 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,13 +40,13 @@ def build_from_labels(
 
 
 def mean_vectors(df: DataFrame, key: str, vector_col: str) -> DataFrame:
-    """``(key, centroid)``; positions are averaged inside tasks first."""
-    parts = df.select(key, F.posexplode_outer(vector_col).alias("_at", "_x"))
-    parts = parts.where(F.col("_x").isNotNull())
-    means = parts.groupBy(key, "_at").agg(F.avg(F.col("_x").cast("double")).alias("_mean"))
-    in_order = F.array_sort(F.collect_list(F.struct("_at", "_mean")))
-    return means.groupBy(key).agg(
-        F.transform(in_order, lambda p: p["_mean"]).alias("centroid")
+    """``(key, centroid)``; whole vectors are averaged, inside tasks first."""
+    vector = array_to_vector(F.col(vector_col).cast("array<double>"))
+    return (
+        df.where(F.col(vector_col).isNotNull())
+        .groupBy(key)
+        .agg(Summarizer.mean(vector).alias("_mean"))
+        .select(key, vector_to_array("_mean").alias("centroid"))
     )
 
 

@@ -15,6 +15,8 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +34,6 @@ SEED = 224
 # Rows per group that starting points are drawn from, and the most groups.
 POOL_ROWS = 256
 MAX_GROUPS = 1000
-MAX_NUMBERS = 4_000_000
 
 
 @dataclass
@@ -296,48 +297,47 @@ def soft_assign(
     )
 
 
+def _spread(df: DataFrame, keys: list[str], vector_col: str) -> DataFrame:
+    """``(keys, n, mean, variance)`` of whole vectors; the variance is per row."""
+    vector = array_to_vector(F.col(vector_col).cast("array<double>"))
+    summary = Summarizer.metrics("count", "mean", "variance").summary(vector).alias("_s")
+    n = F.col("_s.count")
+    return (
+        df.where(F.col(vector_col).isNotNull())
+        .groupBy(*keys)
+        .agg(summary)
+        .select(
+            *keys,
+            n.alias("n"),
+            vector_to_array("_s.mean").alias("mean"),
+            F.transform(vector_to_array("_s.variance"), lambda v: v * (n - 1) / n).alias("variance"),
+        )
+    )
+
+
 def group_gaussians(df: DataFrame, group_col: str, vector_col: str) -> Mixture:
     """One diagonal Gaussian per group as a mixture, weighted by group size.
 
     Groups become components in ascending order of their value.
     """
-    parts = df.select(
-        F.col(group_col).alias("_group"), F.posexplode(vector_col).alias("_at", "_x")
-    )
-    x = F.col("_x").cast("double")
-    rows = (
-        parts.groupBy("_group", "_at")
-        .agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"), F.var_pop(x).alias("var"))
-        .limit(MAX_NUMBERS + 1)
-        .toPandas()
-        .sort_values(["_group", "_at"])
-    )
-    if len(rows) > MAX_NUMBERS:
-        raise ValueError("too many groups and positions for one mixture")
-    counts = rows.groupby("_group")["n"].first().to_numpy(dtype=float)
-    k = len(counts)
-    means = rows["mean"].to_numpy().reshape(k, -1)
-    spread = rows["var"].to_numpy().reshape(k, -1) + RIDGE
-    return Mixture(counts / counts.sum(), means, np.stack([np.diag(v) for v in spread]))
+    rows = _spread(df, [group_col], vector_col).orderBy(group_col).limit(MAX_GROUPS + 1).collect()
+    if len(rows) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups for one mixture")
+    counts = np.array([float(r["n"]) for r in rows])
+    spread = [np.diag(np.array(r["variance"]) + RIDGE) for r in rows]
+    return Mixture(counts / counts.sum(), np.array([r["mean"] for r in rows]), np.stack(spread))
 
 
 def single_gaussian_bic(df: DataFrame, vector_col: str) -> DataFrame:
     """One row: the criterion of one diagonal Gaussian, in closed form."""
-    x = F.col("_x").cast("double")
-    spread = (
-        df.select(F.posexplode(vector_col).alias("_at", "_x"))
-        .groupBy("_at")
-        .agg(F.count(F.lit(1)).alias("_n"), F.var_pop(x).alias("_var"))
-    )
+    term = lambda v: F.log(2 * math.pi * F.greatest(v, F.lit(RIDGE))) + 1
+    terms = F.aggregate(F.transform("variance", term), F.lit(0.0), lambda acc, x: acc + x)
     return (
-        spread.agg(
-            F.max("_n").alias("n_rows"),
-            F.count(F.lit(1)).alias("n_dims"),
-            F.sum(F.log(2 * math.pi * F.greatest("_var", F.lit(RIDGE))) + 1).alias("_terms"),
-        )
-        .withColumn("log_likelihood", -0.5 * F.col("n_rows") * F.col("_terms"))
-        .withColumn(
-            "bic", -2 * F.col("log_likelihood") + 2 * F.col("n_dims") * F.log("n_rows")
+        _spread(df, [], vector_col)
+        .select(
+            F.col("n").alias("n_rows"),
+            F.size("mean").cast("long").alias("n_dims"),
+            (-0.5 * F.col("n") * terms).alias("log_likelihood"),
         )
-        .drop("_terms")
+        .withColumn("bic", -2 * F.col("log_likelihood") + 2 * F.col("n_dims") * F.log("n_rows"))
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trove.session import SMALL_ROWS, stored
+
 # At most this many keys can each hold one part in HOT_KEYS of a total.
 HOT_KEYS = 10_000
 
@@ -28,3 +30,23 @@ def lookup(
     return common.unionByName(
         others.join(seldom, key, "left").select(*rows.columns, *extra)
     )
+
+
+def attach(
+    rows: DataFrame,
+    sizes: DataFrame,
+    key: str,
+    size_col: str,
+    small_rows: int = SMALL_ROWS,
+    parts: int = HOT_KEYS,
+) -> DataFrame:
+    """Left join to per-key sizes of the rows themselves.
+
+    The sizes are stored once. Few of them are broadcast whole; otherwise only
+    the hot keys are.
+    """
+    sizes = stored(sizes, "sizes")
+    if sizes.limit(small_rows + 1).count() <= small_rows:
+        return rows.join(F.broadcast(sizes), key, "left")
+    total = sizes.agg(F.sum(size_col)).first()[0]
+    return lookup(rows, sizes, key, F.col(size_col), F.lit(total), parts)
