@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from trove.functions.models import FunctionEmbedder, HashEmbedder
 from trove.operators import prep
-from trove.session import shared_dir, small_side, spread, stored
+from trove.session import shared_dir, sized, small_side, spread, stored
 from trove.sources import catalog, collections, files
 from trove.streaming import ingest
 
@@ -198,3 +198,12 @@ def test_size_checked_helpers(spark):
     assert spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == 8
     assert spread(spark.range(0, 10, 1, 30)).rdd.getNumPartitions() == 30
     assert stored(df.select(F.col("id").alias("x"))).count() == 50
+
+
+def test_partition_sizes():
+    small = sized(1 << 30, 8)
+    assert small["spark__sql__shuffle__partitions"] == "24"
+    assert small["spark__sql__files__maxPartitionBytes"] == str(128 << 20)
+    huge = sized(100 << 40, 8000)
+    assert huge["spark__sql__shuffle__partitions"] == "50000"
+    assert huge["spark__sql__files__maxPartitionBytes"] == str(1 << 30)

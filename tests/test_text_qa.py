@@ -1,6 +1,7 @@
 """Display forms, chat look-ups, cards, questions and plan shapes."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -135,3 +136,17 @@ def test_shipped_queries_scan_without_a_shuffle(spark, small_dir):
     rows = q._vectors(spark, small_dir)
     shown = plan(dense.knn_join(q._as_queries(rows), rows, 3, "l2"))
     assert shown.count("Exchange") == 1 and "WindowGroupLimit" in shown
+
+
+def test_stored_index_reads_only_what_a_query_holds(spark, small_dir):
+    docs = q.documents(spark, small_dir)
+    index = hybrid.build_index(docs, "doc_id", drop_ratio=0.0)
+    asked = spark.createDataFrame([(1, "the than")], "qid long, text string")
+    hits = hybrid.search_index(asked, index, "qid", limit=5, drop_ratio=0.0)
+    shown = plan(hits)
+    assert "PartitionFilters: [isnotnull(slot" in shown or "PartitionFilters: [slot" in shown
+    assert "In(term" in shown
+    read = re.findall(r"ReadSchema: struct<([^>]*)", shown)
+    assert read and not any("text" in columns for columns in read)
+    fresh = hybrid.hybrid_search(asked, docs, "qid", "doc_id", limit=5, drop_ratio=0.0)
+    assert sorted(hits.collect()) == sorted(fresh.collect())

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 # Largest row count that may be shipped whole to every executor.
 SMALL_ROWS = 100_000
 
+PARTITION_BYTES = 128 << 20
+MAX_SCAN_BYTES = 1 << 30
+MAX_PARTITIONS = 50_000
+
 _local_dirs: dict[str, str] = {}
 
 
@@ -32,6 +36,22 @@ def build_session(app: str = "trove", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
+def sized(input_bytes: int, cores: int) -> dict[str, str]:
+    """Settings for an input of this size, to pass to ``build_session``.
+
+    Shuffle partitions hold about 128 MB, are never fewer than three per core,
+    and grow beyond 128 MB rather than exceed ``MAX_PARTITIONS``: the number of
+    shuffle blocks is their square. Adaptive execution merges small ones.
+    """
+    wanted = max(3 * cores, -(-input_bytes // PARTITION_BYTES))
+    partitions = min(wanted, max(3 * cores, MAX_PARTITIONS))
+    scan = max(PARTITION_BYTES, min(MAX_SCAN_BYTES, input_bytes // max(1, partitions)))
+    return {
+        "spark__sql__shuffle__partitions": str(partitions),
+        "spark__sql__files__maxPartitionBytes": str(scan),
+    }
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named in ``spark.checkpoint.dir``.
 
