@@ -56,14 +56,14 @@ def main() -> None:
         spark__ui__enabled="false",
     )
     spark.sparkContext.setLogLevel("ERROR")
-    # Start the JVM code paths and the Python workers before timing.
-    work.search_l2(spark, sf_dir).write.format("noop").mode("overwrite").save()
-    work.knn_graph(spark, sf_dir).write.format("noop").mode("overwrite").save()
-    times = {}
-    for query in HEADLINE:
-        start = time.perf_counter()
-        query(spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[query.__name__] = round(time.perf_counter() - start, 3)
+    # The first pass compiles the JVM code paths and starts the Python workers;
+    # the second is the result.
+    first, times = {}, {}
+    for taken in (first, times):
+        for query in HEADLINE:
+            start = time.perf_counter()
+            query(spark, sf_dir).write.format("noop").mode("overwrite").save()
+            taken[query.__name__] = round(time.perf_counter() - start, 3)
     print(
         json.dumps(
             {
@@ -71,6 +71,7 @@ def main() -> None:
                 "value": round(sum(times.values()), 3),
                 "unit": "sec",
                 "queries": times,
+                "first_pass": first,
                 "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
             }
         )

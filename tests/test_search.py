@@ -77,6 +77,16 @@ def test_graph_size_defaults_to_square_root(spark):
     assert dense.knn_graph(frame).groupBy("query_id").count().where("count <> 5").count() == 0
 
 
+def test_queries_without_a_vector_hide_no_others(spark):
+    rows = made(30, 3, 8)
+    asked = [(900 + i, None, 0) for i in range(5)] + rows
+    got = dense.knn_join(
+        vectors(spark, asked, id_name="query_id").coalesce(1), vectors(spark, rows), 2, "l2",
+        max_shipped=12, block_rows=7,
+    )
+    assert found(got) == brute(rows, rows, 2, "l2")
+
+
 def test_no_queries_and_no_rows(spark):
     some, none = vectors(spark, made(5, 3, 7)), vectors(spark, [])
     assert dense.knn_join(none.withColumnRenamed("id", "query_id"), some, 3).count() == 0

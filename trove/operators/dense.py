@@ -189,8 +189,9 @@ def knn_join(
         hits = queries.sparkSession.createDataFrame([], schema)
     else:
         limit = max(1, max_shipped // max(1, len(head["_query_vector"])))
-        near = _present(left.limit(limit + 1).toArrow(), "_query_vector")
+        near = left.limit(limit + 1).toArrow()
         if near.num_rows <= limit:
+            near = _present(near, "_query_vector")
             hits = _scan(near, right, keep, metric, schema)
         else:
             hits = _block_pairs(left, right, keep, metric, schema, block_rows)
