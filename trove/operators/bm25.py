@@ -124,19 +124,28 @@ def encode_queries(
     mode: str = "idf",
     k1: float = K1,
     b: float = B,
+    counts: DataFrame | None = None,
+    few: bool | None = None,
 ) -> DataFrame:
     """``(id, term, weight)`` for queries.
 
+    ``counts`` passes term counts of the queries that are already stored, and
+    ``few`` whether they are few; without it that is checked.
+
     ``idf``: inverse document frequencies that sum to one per query; a term the
     corpus lacks counts as held by one text. ``tf``: the document encoding.
     """
-    if mode == "tf":
-        return encode_documents(df, model, id_col, text_col, k1=k1, b=b)
-    if mode != "idf":
+    if mode not in ("idf", "tf"):
         raise ValueError("mode must be 'idf' or 'tf'")
-    counts = term_counts(df, id_col, text_col).select(id_col, "term")
+    if counts is None:
+        counts = term_counts(df, id_col, text_col)
+    if mode == "tf":
+        return encode_counts(counts, model, id_col, k1, b)
+    counts = counts.select(id_col, "term")
+    if few is None:
+        few = df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
     idf = F.log(F.lit(model.n_docs + 1) / (F.coalesce(F.col("df"), F.lit(1)) + 0.5))
-    if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+    if few:
         matched = counts.join(model.terms, "term", "left")
     else:
         # Many queries share their common terms; all frequencies together are

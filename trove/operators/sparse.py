@@ -98,11 +98,13 @@ def search(
     max_broadcast_rows: int = SMALL_ROWS,
     allowed: DataFrame | None = None,
     slots: int = SLOTS,
+    few: bool | None = None,
 ) -> DataFrame:
     """``(query, rank, id, score)`` by inner product.
 
     ``allowed`` limits the candidates to the keys it holds, before ranking. A
-    stored index is recognised by its ``slot`` column.
+    stored index is recognised by its ``slot`` column. ``few`` tells whether
+    the query side may be broadcast, where the caller has counted it already.
 
     A small query side goes to the postings, so a term that most documents
     share costs a scan and no shuffle of its postings; a large one joins on the
@@ -116,7 +118,9 @@ def search(
         postings = _prune(postings, wanted, slots).drop("slot")
     # The size is checked before light terms go: dropping only shrinks it, and
     # counting the dropped ones would take every weight twice.
-    if queries.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
+    if few is None:
+        few = queries.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows
+    if few:
         wanted = F.broadcast(wanted)
     scores = (
         postings.join(wanted, "term")

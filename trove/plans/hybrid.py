@@ -5,11 +5,19 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trove.functions.models import HashEmbedder
 from trove.operators import bm25, dense, fusion, sparse
 from trove.operators.prep import filter_expression
-from trove.session import small_side, stored, work_path
+from trove.session import SMALL_ROWS, stored, work_path
+
+
+def _asked(queries: DataFrame, query_col: str, query_text: str) -> tuple[DataFrame, bool]:
+    """The queries' term counts, stored, and whether they are few enough to send
+    to every task: split once and counted once, whatever uses them."""
+    counts = stored(bm25.term_counts(queries, query_col, query_text), "asked")
+    return counts, counts.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
 
 
 def sparse_search(
@@ -30,14 +38,18 @@ def sparse_search(
     carries the postings that can match and not the whole vocabulary. The
     filter limits the candidates; corpus statistics stay those of all documents.
     """
-    asked = bm25.term_counts(queries, query_col, query_text).select("term").distinct()
-    asked = small_side(asked)
+    counts, few = _asked(queries, query_col, query_text)
+    asked = counts.select("term").distinct()
+    if few:
+        asked = F.broadcast(asked)
     model = bm25.fit(docs, id_col, text_col, asked)
-    wanted = bm25.encode_queries(queries, model, query_col, query_text, mode)
+    wanted = bm25.encode_queries(
+        queries, model, query_col, query_text, mode, counts=counts, few=few
+    )
     postings = bm25.encode_documents(
         filter_expression(docs, where), model, id_col, text_col, asked
     )
-    return sparse.search(wanted, postings, k, query_col, id_col, drop_ratio)
+    return sparse.search(wanted, postings, k, query_col, id_col, drop_ratio, few=few)
 
 
 def dense_search(
@@ -164,14 +176,17 @@ def search_index(
     asked = (embedder or HashEmbedder()).embed(
         queries.select(query_col, query_text), query_text, "_vector"
     )
-    wanted = bm25.encode_queries(queries, index.model, query_col, query_text, mode)
+    counts, few = _asked(queries, query_col, query_text)
+    wanted = bm25.encode_queries(
+        queries, index.model, query_col, query_text, mode, counts=counts, few=few
+    )
     legs = [
         dense.knn_join(
             asked, docs, each, metric, query_col, index.id_col, "_vector", "embedding"
         ),
         sparse.search(
             wanted, index.postings, each, query_col, index.id_col, drop_ratio,
-            allowed=None if where is None else docs,
+            allowed=None if where is None else docs, few=few,
         ),
     ]
     hits = fusion.fuse(legs, limit, query_col, index.id_col)
