@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trove.llm import packing, pii, tokens
+from trove.llm import licenses, packing, pii, sharding, tokens
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -15,11 +15,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licenses.summary(licenses.scan(docs, licenses.fit(docs)))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(BYTE_BPE)
     return packing.pack(table(spark, sf_dir, "documents"), path)
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return sharding.shard(docs, ["lang", "source", "n_chars"]).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+        "place",
+    )
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
     return found.select(
@@ -35,4 +54,4 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), path)
 
 
-ALL = [op2_packing, op8_pii, op9_token_counts]
+ALL = [op1_licenses, op2_packing, op4_sharding, op8_pii, op9_token_counts]
