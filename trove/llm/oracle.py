@@ -2,6 +2,29 @@
 
 from __future__ import annotations
 
+# Words as the operators take them: A-Z lower-cased, split at ASCII white space.
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "list_filter(string_split_regex(" + _LOWER + ", '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+
+
+def _shingles(table: str, key: str) -> str:
+    """``key`` and ``s``: the distinct runs of five words; fewer words are one run."""
+    words = _WORDS.format("coalesce(text, '')")
+    return f"""
+        SELECT DISTINCT {key}, unnest(CASE WHEN len(w) = 0 THEN [] ELSE list_transform(
+            range(1, greatest(len(w) - 4, 1) + 1),
+            lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) END) AS s
+        FROM (SELECT {key}, {words} AS w FROM {table})"""
+
+
+_OP6 = f"""
+WITH d AS ({_shingles("documents", "doc_id")}), b AS ({_shingles("benchmark", "item_id")}),
+size AS (SELECT item_id, count(*) AS n FROM b GROUP BY 1)
+SELECT doc_id, item_id, count(*) AS shared, any_value(n) AS n_shingles
+FROM d JOIN b USING (s) JOIN size USING (item_id)
+GROUP BY doc_id, item_id HAVING 100 * count(*) >= 80 * any_value(n)
+"""
+
 
 def statements() -> dict[str, str]:
-    return {}
+    return {"op6_decontamination": _OP6}
