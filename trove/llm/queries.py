@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trove.llm import decontaminate, licenses, packing, pii, sharding, tokens
+from trove.llm import decontaminate, licenses, packing, pii, quality, sharding, tokens
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -44,6 +44,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(docs, items)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.judge(docs, quality.fit(docs, labels))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
     return found.select(
@@ -59,4 +64,4 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), path)
 
 
-ALL = [op1_licenses, op2_packing, op4_sharding, op6_decontamination, op8_pii, op9_token_counts]
+ALL = [op1_licenses, op2_packing, op4_sharding, op6_decontamination, op7_quality, op8_pii, op9_token_counts]
