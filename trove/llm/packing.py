@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trove.llm.tokens import BATCH_CHARS, Encoder, PartCache
+from trove.llm.tokens import BATCH_CHARS, shared_cache
 from trove.llm.words import by_bytes, keyed
 from trove.session import stored
 
@@ -73,14 +73,14 @@ def token_pieces(
         schema = schema.add(name, "long")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = PartCache(Encoder(path), lambda ids: np.array(ids, "<u4").tobytes())
+        encoded = shared_cache(path)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for low, high in by_bytes(texts, BATCH_CHARS):
                 at, rows = [], []
-                for k, found in enumerate(packed(texts[low:high]), low):
-                    data = b"".join(found) + end
+                for k, ids in enumerate(encoded(texts[low:high]), low):
+                    data = ids + end
                     total = len(data) // 4
                     for start in range(0, total, length):
                         piece = data[4 * start : 4 * (start + length)]

@@ -11,6 +11,7 @@ import os
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,19 +19,23 @@ from pyspark.sql import functions as F
 from trove.llm.words import by_bytes, keyed
 
 BATCH_CHARS = 1 << 20
-CACHE_PARTS = 500_000
+CACHE_PARTS = 600_000
 LONGEST_CACHED = 64
+JOINED_PARTS = 256
 
 # A part is white space and what follows it; cuts lie before " " or "\n" only,
 # and only in texts without other white space, whose runs could straddle them.
 _PARTS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85᠎​﻿]")
+_OTHER_SPACE = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff" + "".join(
+    map(chr, range(0x2000, 0x200B))
+)
+_RUNS = ("  ", "\n\n", " \n", "\n ", "\0")
 # In those, a cut lies before one space between two ASCII letters, digits or marks.
 _SAFE = re.compile(r"(?<=[!-~])(?= [!-~])")
 
 
 class Encoder:
-    """Ids of parts by a ``tokenizers`` file, in one thread."""
+    """Ids of parts by a ``tokenizers`` file of a byte-level vocabulary, in one thread."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -39,39 +44,100 @@ class Encoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
-
-    def ids(self, parts: list[str]) -> list[list[int]]:
-        encode = getattr(self._tokenizer, "encode_batch_fast", self._tokenizer.encode_batch)
-        return [x.ids for x in encode(parts, add_special_tokens=False)]
-
-
-class PartCache:
-    """A value for each part of a text, computed from its ids once while kept."""
-
-    def __init__(self, encoder: Encoder, value):
-        self._encoder, self._value, self._kept = encoder, value, {}
-
-    def __call__(self, texts: list[str]) -> list[list]:
-        split = [parts(text) for text in texts]
-        seen = set().union(*split)
-        kept = self._kept
-        new = [x for x in seen if x not in kept]
-        if len(kept) + len(new) > CACHE_PARTS:
-            kept.clear()
-            new = list(seen)
-        kept.update(zip(new, map(self._value, self._encoder.ids(new)), strict=True))
-        out = [[kept[x] for x in one] for one in split]
-        for x in new:
-            if len(x) > LONGEST_CACHED:
-                del kept[x]
+        vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
+        # A token is written with one character per byte.
+        self._bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, number in vocabulary.items():
+            self._bytes[number] = len(token)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(x.ids, "<u4") for x in found]
+
+    def ids(self, parts: list[str]) -> list[bytes]:
+        """The ids of each part, as little-endian unsigned 32-bit numbers.
+
+        Parts that begin with one white space and end visibly are encoded joined
+        together, where they split as they do alone, and cut by byte lengths.
+        """
+        out: list[bytes] = [b""] * len(parts)
+        joined, others = [], []
+        for i, x in enumerate(parts):
+            plain = len(x) > 1 and x[0] in " \n" and not (x[1].isspace() or x[-1].isspace())
+            (joined if plain else others).append(i)
+        for low in range(0, len(joined), JOINED_PARTS):
+            places = joined[low : low + JOINED_PARTS]
+            some = [parts[i] for i in places]
+            (ids,) = self._encode(["".join(some)])
+            ends = np.cumsum([len(x.encode()) for x in some])
+            stops = np.searchsorted(self._bytes[ids].cumsum(), ends, "right") * 4
+            data, start = ids.tobytes(), 0
+            for i, stop in zip(places, stops.tolist(), strict=True):
+                out[i] = data[start:stop]
+                start = stop
+        for i, ids in zip(others, self._encode([parts[i] for i in others]), strict=True):
+            out[i] = ids.tobytes()
         return out
 
 
+class PartCache(dict):
+    """The ids of each part of a text, encoded once while they are kept.
+
+    Two generations of parts are kept: when the young one is full it becomes the
+    old one, from which parts that occur again move back.
+    """
+
+    def __init__(self, encoder: Encoder):
+        self._encoder = encoder
+        self._ids: list[bytes] = []
+        self._new: list[str] = []
+        self._old: tuple[dict, list[bytes]] = ({}, [])
+
+    def __missing__(self, part: str) -> int:
+        """A new part's place in the list of ids; those not known yet follow later."""
+        place = self._old[0].get(part)
+        if place is None:
+            self._new.append(part)
+            self._ids.append(b"")
+        else:
+            self._ids.append(self._old[1][place])
+        self[part] = number = len(self._ids) - 1
+        return number
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit numbers."""
+        if len(self) > CACHE_PARTS:
+            self._old = (dict(self), self._ids)
+            self.clear()
+            self._ids = []
+        places = [list(map(self.__getitem__, parts(text))) for text in texts]
+        for part, ids in zip(self._new, self._encoder.ids(self._new), strict=True):
+            self._ids[self[part]] = ids
+        found = [b"".join(map(self._ids.__getitem__, one)) for one in places]
+        for part in self._new:
+            if len(part) > LONGEST_CACHED:
+                self._ids[self.pop(part)] = b""
+        self._new = []
+        return found
+
+
+_CACHES: dict[str, PartCache] = {}
+
+
+def shared_cache(path: str) -> PartCache:
+    """The cache of this Python worker for a tokenizer file, kept between its tasks."""
+    if path not in _CACHES:
+        _CACHES[path] = PartCache(Encoder(path))
+    return _CACHES[path]
+
+
 def parts(text: str) -> list[str]:
     """Pieces that join to ``text`` and encode as they do inside it."""
-    if _OTHER_SPACE.search(text):
+    if any(map(text.__contains__, _OTHER_SPACE)):
         return _SAFE.split(text)
-    return _PARTS.findall(text)
+    if any(map(text.__contains__, _RUNS)):
+        return _PARTS.findall(text)
+    return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
 
 
 def token_counts(
@@ -91,12 +157,12 @@ def token_counts(
     schema = docs.select(F.col(id_col)).schema.add("n_bytes", "long").add("n_tokens", "long")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = PartCache(Encoder(path), len)
+        encoded = shared_cache(path)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             totals: list[int] = []
             for start, stop in by_bytes(texts, BATCH_CHARS):
-                totals += map(sum, lengths(texts[start:stop]))
+                totals += (len(ids) // 4 for ids in encoded(texts[start:stop]))
             sizes = [len(x.encode()) for x in texts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(totals, pa.int64())],
