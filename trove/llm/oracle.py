@@ -25,6 +25,23 @@ FROM d JOIN b USING (s) JOIN size USING (item_id)
 GROUP BY doc_id, item_id HAVING 100 * count(*) >= 80 * any_value(n)
 """
 
+_OP3 = f"""
+WITH RECURSIVE d AS MATERIALIZED ({_shingles("documents", "doc_id")}),
+size AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM d GROUP BY 1),
+links AS MATERIALIZED (
+    SELECT a.doc_id AS a, b.doc_id AS b
+    FROM d a JOIN d b USING (s) JOIN size x ON x.doc_id = a.doc_id JOIN size y ON y.doc_id = b.doc_id
+    WHERE a.doc_id <> b.doc_id
+    GROUP BY 1, 2 HAVING 100 * count(*) >= 80 * (any_value(x.n) + any_value(y.n) - count(*))),
+reach AS (
+    SELECT a AS doc_id, a AS other FROM links
+    UNION
+    SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other),
+least AS (SELECT doc_id, min(other) AS m FROM reach GROUP BY 1)
+SELECT t.doc_id, coalesce(n, 0) AS n_shingles, coalesce(m, t.doc_id) AS component_id
+FROM documents t LEFT JOIN size USING (doc_id) LEFT JOIN least USING (doc_id)
+"""
+
 
 def statements() -> dict[str, str]:
-    return {"op6_decontamination": _OP6}
+    return {"op3_ngram_join": _OP3, "op6_decontamination": _OP6}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trove.llm import decontaminate, licenses, packing, pii, quality, sharding, tokens
+from trove.llm import decontaminate, licenses, ngram_join, packing, pii, quality, sharding, tokens
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -25,6 +25,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), path)
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return sharding.shard(docs, ["lang", "source", "n_chars"]).select(
@@ -64,4 +68,4 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), path)
 
 
-ALL = [op1_licenses, op2_packing, op4_sharding, op6_decontamination, op7_quality, op8_pii, op9_token_counts]
+ALL = [op1_licenses, op2_packing, op3_ngram_join, op4_sharding, op6_decontamination, op7_quality, op8_pii, op9_token_counts]
