@@ -6,7 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trove.llm import decontaminate, licenses, ngram_join, packing, pii, quality, sharding, tokens
+from trove.llm import (
+    decontaminate,
+    licenses,
+    line_dedup,
+    ngram_join,
+    packing,
+    pii,
+    quality,
+    sharding,
+    tokens,
+)
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -43,6 +53,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = line_dedup.removed_lines(table(spark, sf_dir, "documents"))
+    return removed.select("doc_id", "line", "n_words")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate.contained_items(docs, items)
@@ -68,4 +83,4 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), path)
 
 
-ALL = [op1_licenses, op2_packing, op3_ngram_join, op4_sharding, op6_decontamination, op7_quality, op8_pii, op9_token_counts]
+ALL = [op1_licenses, op2_packing, op3_ngram_join, op4_sharding, op5_line_dedup, op6_decontamination, op7_quality, op8_pii, op9_token_counts]
