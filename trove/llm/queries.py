@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from trove.llm import (
     decontaminate,
+    hpylm,
     licenses,
     line_dedup,
     ngram_join,
@@ -83,4 +84,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), path)
 
 
-ALL = [op1_licenses, op2_packing, op3_ngram_join, op4_sharding, op5_line_dedup, op6_decontamination, op7_quality, op8_pii, op9_token_counts]
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.expr("crc32(coalesce(CAST(doc_id AS string), '')) % 10 = 0").alias("held_out")
+    model, rest = hpylm.fit(docs.where(~held_out))
+    scored = hpylm.score(docs, model, rest, held_out)
+    return scored.withColumn("train_tokens", F.lit(model.tokens).cast("long"))
+
+
+ALL = [op1_licenses, op2_packing, op3_ngram_join, op4_sharding, op5_line_dedup, op6_decontamination, op7_quality, op8_pii, op9_token_counts, op10_lm_scoring]
