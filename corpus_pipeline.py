@@ -4,18 +4,46 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trove.llm import packing
+from trove.llm import decontaminate, line_dedup, ngram_join, packing, quality
 from trove.llm.queries import BYTE_BPE
 from trove.session import stored
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the fitted trees."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.keep_good(docs, quality.fit(docs, labels))
+
+
+def line_dedups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without lines that an earlier line matches; emptied documents go."""
+    return line_dedup.dedup_lines(docs).withColumn(
+        "n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)
+    )
+
+
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return ngram_join.keep_first(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packing: the pieces of what is left, in sequences."""
+    """The pieces of what is left, packed in sequences."""
     return packing.pack(docs, public_tokenizers.path(BYTE_BPE))
 
 
 STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedups),
+    ("n-gram Jaccard join", ngram_jaccard),
+    ("benchmark decontamination", decontaminated),
     ("packing", packed),
 ]
 
