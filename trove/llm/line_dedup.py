@@ -118,12 +118,13 @@ def dedup_lines(
     that lost lines and has no word left goes; rows without text stay as they
     are. Only rows that lose lines are moved, if few do.
     """
-    names = docs.columns
     key = F.xxhash64(id_col, text_col).alias("_key")
     lost = removed_lines(docs, id_col, text_col, percent)
     lost = lost.groupBy("_key").agg(F.sort_array(F.collect_set("line")).alias("_lost"))
-    marked = docs.select(key, *(f"`{c}`" for c in names)).join(lost, "_key", "left")
-    at = 1 + names.index(text_col)
+    # Columns of documents are numbered, so that none can clash.
+    body = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    marked = docs.select(key, *body).join(lost, "_key", "left")
+    at, at_end = 1 + docs.columns.index(text_col), 1 + len(docs.columns)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,8 +140,8 @@ def dedup_lines(
                 keep.append(not (drop_emptied and lines and not (text or b"").strip()))
             column = pa.array(texts, pa.binary()).cast(batch.column(at).type)
             columns = [column if i == at else c for i, c in enumerate(batch.columns)]
-            out = pa.RecordBatch.from_arrays(columns, batch.schema.names)
-            yield out.filter(pa.array(keep, pa.bool_())).select(list(range(1, at_end)))
+            out = pa.RecordBatch.from_arrays(columns[1:at_end], names)
+            yield out.filter(pa.array(keep, pa.bool_()))
 
-    at_end = 1 + len(names)
+    names = docs.columns
     return marked.mapInArrow(cut, docs.schema)

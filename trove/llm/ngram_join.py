@@ -208,14 +208,15 @@ def keep_first(
     Of rows that are equal in id and text one stays. Rows without words are in
     no component and stay. All columns come out as they were.
     """
-    names = [f"`{c}`" for c in docs.columns]
     rows = stored(components_of(docs, id_col, text_col, percent), "rows")
     gone = rows.where("n > 0 AND NOT (first <=> named_struct('_id', _id, '_key', _key))")
-    marked = docs.withColumn("_key", F.xxhash64(id_col, text_col))
+    # Columns of documents are numbered, so that none can clash.
+    body = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    marked = docs.select(F.xxhash64(id_col, text_col).alias("_key"), *body)
     left = marked.join(gone.select("_key").distinct(), "_key", "left_anti")
     again = rows.where("n > 0").groupBy("_key").count().where("count > 1").select("_key")
     again = stored(again.join(gone, "_key", "left_anti"), "again")
     if not again.isEmpty():
         once = left.join(again, "_key", "left_semi").dropDuplicates(["_key"])
         left = left.join(again, "_key", "left_anti").unionByName(once)
-    return left.select(*names)
+    return left.drop("_key").toDF(*docs.columns)
