@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
-from trove.llm.words import WordHashes, keyed, raw_texts, shingles
+from trove.llm.words import keyed, raw_texts, shingle_sets, words_of
 from trove.session import stored
 
 SHINGLE = 5
@@ -84,14 +84,13 @@ class ItemIndex:
         return out
 
 
-def shingle_sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def item_sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``_id``, ``_n`` and ``_set`` (sorted 64-bit hashes) of rows that have words."""
     schema = df.select(F.col(id_col).alias("_id")).schema.add("_n", "long").add("_set", "binary")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            sets = [shingles(hashes.of(t.lower().split()), SHINGLE) for t in raw_texts(batch, 1)]
+            sets = list(shingle_sets(words_of(raw_texts(batch, 1)), SHINGLE))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -133,7 +132,7 @@ def contained_items(
 
 def indexes(docs, items, item_col, item_text_col, percent, slice_shingles) -> list[Broadcast]:
     """Item ids and their index, shipped in slices of about ``slice_shingles``."""
-    sets = stored(shingle_sets(items, item_col, item_text_col), "items")
+    sets = stored(item_sets(items, item_col, item_text_col), "items")
     total = sets.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     slices = max(1, -(-total // slice_shingles))
     out = []
@@ -154,12 +153,10 @@ def _search_slice(
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         item_ids, index = shipped.value
-        hashes = WordHashes()
         for batch in batches:
             rows = []
-            for i, text in enumerate(raw_texts(batch, 1)):
-                words = hashes.of(text.lower().split())
-                rows += [(i, no, shared) for no, shared in index.search(shingles(words, SHINGLE))]
+            for i, found in enumerate(shingle_sets(words_of(raw_texts(batch, 1)), SHINGLE)):
+                rows += [(i, no, shared) for no, shared in index.search(found)]
             at, no, shared = np.array(rows, np.int64).reshape(-1, 3).T
             sizes = np.array([len(index.sets[k]) for k in no], np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -193,10 +190,10 @@ def decontaminate(
     for shipped in indexes(docs, items, item_col, item_text_col, percent, slice_shingles):
 
         def clean(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            index, hashes = shipped.value[1], WordHashes()
+            index = shipped.value[1]
             for batch in batches:
-                texts = raw_texts(batch, at)
-                sets = (shingles(hashes.of((t or b"").lower().split()), SHINGLE) for t in texts)
+                texts = [t or b"" for t in raw_texts(batch, at)]
+                sets = shingle_sets(words_of(texts), SHINGLE)
                 yield batch.filter(pa.array([not index.search(x) for x in sets], pa.bool_()))
 
         docs = docs.mapInArrow(clean, docs.schema)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trove.llm.words import WordHashes, keyed, raw_texts
+from trove.llm.words import keyed, raw_texts, word_hash, words_of
 from trove.session import stored
 
 #: Words with a restaurant and a dish of their own.
@@ -41,9 +41,8 @@ STRENGTH = 1.0
 PARTY = 256
 _FLUSH = 1 << 22
 
-# A word never holds a space, so this is no word's hash.
-END_HASH = xxhash.xxh3_64_intdigest(b" ")
-END_HASH -= END_HASH >> 63 << 64
+# The end is hashed like a word that is no valid UTF-8, which no text holds.
+END_HASH = word_hash(b"\xff")
 
 
 def discount(ones: int, twos: int) -> float:
@@ -107,7 +106,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
     last = len(texts.columns) - 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, have = WordHashes(), [], 0
+        held, have = [], 0
 
         def counted() -> pa.RecordBatch:
             found, times = np.unique(np.concatenate(held), return_counts=True)
@@ -115,13 +114,12 @@ def word_counts(texts: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(found), pa.array(times)], ["h", "c"])
 
         for batch in batches:
-            for text in raw_texts(batch, last):
-                held.append(hashes.of(text.lower().split()).view(np.int64))
-                have += len(held[-1])
-                if have > _FLUSH:
-                    yield counted()
-                    have = 0
+            held.append(words_of(raw_texts(batch, last)).hashes.view(np.int64))
             held.append(np.full(batch.num_rows, END_HASH))
+            have += len(held[-2])
+            if have > _FLUSH:
+                yield counted()
+                have = 0
         if held:
             yield counted()
 
@@ -135,26 +133,15 @@ def head_cells(texts: DataFrame, head: np.ndarray) -> DataFrame:
     shipped = texts.sparkSession.sparkContext.broadcast((head[order], order))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         known, number = shipped.value
         total = np.zeros(size * size, np.int64)
-        held, have = [], 0
-
-        def add() -> None:
-            nonlocal total, have
-            if held:
-                total += np.bincount(np.concatenate(held), minlength=size * size)
-                held.clear()
-            have = 0
-
         for batch in batches:
-            for text in raw_texts(batch, last):
-                dishes = dishes_of(hashes.of(text.lower().split()).view(np.int64), known, number)
-                held.append(cells_of(dishes, size))
-                have += len(dishes)
-                if have > _FLUSH:
-                    add()
-        add()
+            if not batch.num_rows:
+                continue
+            words = words_of(raw_texts(batch, last))
+            found = dishes_of(words.hashes.view(np.int64), known, number)
+            cells = cells_of(*with_ends(found, words.bounds, len(known)), size)
+            total += np.bincount(cells, minlength=size * size)
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], ["cell", "c"])
 
@@ -162,21 +149,30 @@ def head_cells(texts: DataFrame, head: np.ndarray) -> DataFrame:
 
 
 def dishes_of(words: np.ndarray, known: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """The dish of each word and of the end: head number, end, or the class."""
-    out = np.full(len(words) + 1, len(known), np.int64)
-    if len(known):
-        at = np.searchsorted(known, words)
-        at[at == len(known)] = 0
-        out[:-1] = np.where(known[at] == words, number[at], len(known) + 1)
-    else:
-        out[:-1] = 1
-    return out
-
-
-def cells_of(dishes: np.ndarray, size: int) -> np.ndarray:
+    """The dish of each word: its head number, or the class."""
+    if not len(known):
+        return np.full(len(words), 1, np.int64)
+    at = np.searchsorted(known, words)
+    at[at == len(known)] = 0
+    return np.where(known[at] == words, number[at], len(known) + 1)
+
+
+def with_ends(dishes: np.ndarray, bounds: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Dishes with an end after each text, and where each text starts in them."""
+    texts = len(bounds) - 1
+    out = np.full(len(dishes) + texts, end, np.int64)
+    starts = bounds[:-1] + np.arange(texts)
+    is_word = np.ones(len(out), bool)
+    is_word[bounds[1:] + np.arange(texts)] = False
+    out[is_word] = dishes
+    return out, starts
+
+
+def cells_of(dishes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     """Context and dish as one number; a text starts in the context of an end."""
     before = np.empty_like(dishes)
-    before[0], before[1:] = size - 2, dishes[:-1]
+    before[1:] = dishes[:-1]
+    before[starts] = size - 2
     return before * size + dishes
 
 
@@ -320,20 +316,14 @@ def fit(
     return model, table.where(level < least).select("h", base, "lp")
 
 
-class KnownWords(dict):
-    """The place of each word among the shipped ones, or -1."""
-
-    def __init__(self, words: np.ndarray):
-        self.words = words
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = xxhash.xxh3_64_intdigest(word)
-        h -= h >> 63 << 64
-        at = int(np.searchsorted(self.words, h))
-        self[word] = at = at if at < len(self.words) and self.words[at] == h else -1
-        return at
+def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The sum over each text's words."""
+    kind = float if values.dtype == float else np.int64
+    out = np.zeros(len(bounds) - 1, kind)
+    some = np.flatnonzero(np.diff(bounds))
+    if len(some):
+        out[some] = np.add.reduceat(values.astype(kind), bounds[:-1][some])
+    return out
 
 
 def score(
@@ -362,37 +352,37 @@ def score(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
-        places, hashes, size = KnownWords(model.words), WordHashes(), model.head + 2
+        size = model.head + 2
         row = TaskContext.get().partitionId() << 33
         end = int(np.searchsorted(model.words, END_HASH))
         ended = end < len(model.words) and model.words[end] == END_HASH
+        end_base = model.base[end] if ended else model.base_unseen
         for batch in batches:
-            numbers, rest = [], []
-            for text in raw_texts(batch, width):
-                words = text.lower().split()
-                at = np.fromiter(map(places.__getitem__, words), np.int64, len(words))
-                known = at >= 0
-                dishes = np.full(len(at) + 1, size - 2, np.int64)
-                dishes[:-1] = size - 1
-                dishes[:-1][known] = model.dish[at[known]]
-                total = model.after.reshape(-1)[cells_of(dishes, size)].sum()
-                total += model.tail[at[known]].sum()
-                base = model.base[at[known]].sum()
-                base += model.base[end] if ended else model.base_unseen
-                numbers.append((len(dishes), int(known.sum()) + int(ended), base, total))
-                rest.append(hashes.of([words[i] for i in np.flatnonzero(~known)]).view(np.int64))
-            ends = np.cumsum([0, *map(len, rest)]).astype(np.int32)
-            flat = np.concatenate(rest) if rest else np.empty(0, np.int64)
-            n, k, base, total = zip(*numbers, strict=True) if numbers else ((),) * 4
+            if not batch.num_rows:
+                continue
+            words = words_of(raw_texts(batch, width))
+            found, bounds = words.hashes.view(np.int64), words.bounds
+            at = np.searchsorted(model.words, found)
+            at[at == len(model.words)] = 0
+            known = model.words[at] == found if len(model.words) else np.zeros(len(found), bool)
+            dishes = np.full(len(found), size - 1, np.int64)
+            dishes[known] = model.dish[at[known]]
+            base, tail = np.zeros(len(found)), np.zeros(len(found))
+            base[known], tail[known] = model.base[at[known]], model.tail[at[known]]
+            dishes, starts = with_ends(dishes, bounds, size - 2)
+            after = model.after.reshape(-1)[cells_of(dishes, starts, size)]
+            score = np.add.reduceat(after, starts) + sums(tail, bounds)
+            rest = sums(~known, bounds)
+            ends = np.append(0, np.cumsum(rest)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns[:width],
-                    pa.array(n, pa.int64()),
-                    pa.array(k, pa.int64()),
-                    pa.array(base, pa.float64()),
-                    pa.array(total, pa.float64()),
+                    pa.array(np.diff(bounds) + 1),
+                    pa.array(np.diff(bounds) - rest + int(ended)),
+                    pa.array(sums(base, bounds) + end_base),
+                    pa.array(score),
                     pa.array(np.arange(row, row + batch.num_rows)),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(found[~known])),
                 ],
                 schema.names,
             )

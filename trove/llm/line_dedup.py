@@ -22,23 +22,32 @@ from pyspark.sql import functions as F
 
 from trove.llm import setjoin
 from trove.llm.rarity import rarity
-from trove.llm.words import WordHashes, keyed, raw_texts
+from trove.llm.words import distinct, keyed, raw_texts, words_of
 from trove.session import stored
 
 #: Lines of fewer distinct words are never removed and remove nothing.
 LEAST_WORDS = 5
 
 
-def line_sets(text: bytes, hashes: WordHashes) -> list[tuple[int, np.ndarray]]:
+def line_sets(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray]]:
     """The number and word set of each line with enough distinct words."""
-    out = []
-    for number, line in enumerate(text.lower().split(b"\n")):
-        words = set(line.split())
-        if len(words) >= LEAST_WORDS:
-            found = hashes.of(list(words))
-            found.sort()
-            out.append((number, found))
-    return out
+    words = words_of(texts)
+    lines = words.lines()
+    cuts = np.flatnonzero(np.diff(lines)) + 1
+    lows, highs = np.append(0, cuts)[: len(lines)], np.append(cuts, len(lines))[: len(lines)]
+    long = highs - lows >= LEAST_WORDS
+    lows, highs = lows[long], highs[long]
+    owners = np.searchsorted(words.bounds, lows, "right") - 1
+    # Breaks before a text: its own and one between any two texts.
+    breaks = np.flatnonzero(np.frombuffer(words.data, np.uint8) == 10)
+    first = np.searchsorted(breaks, words.offsets[owners])
+    units = lines[lows] - first
+    for low, high, owner, unit in zip(
+        lows.tolist(), highs.tolist(), owners.tolist(), units.tolist(), strict=True
+    ):
+        found = distinct(words.hashes[low:high])
+        if len(found) >= LEAST_WORDS:
+            yield owner, unit, found
 
 
 def removed_lines(

@@ -13,6 +13,7 @@ different components. Members of one component need no further pairs.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
 from math import comb
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from trove.llm import setjoin
 from trove.llm.components import components
 from trove.llm.rarity import SIZES, Rarity, rarity
-from trove.llm.words import WordHashes, keyed, mixed, shingles
+from trove.llm.words import keyed, mixed, shingle_sets, words_of
 from trove.session import stored
 
 SHINGLE = 5
@@ -35,9 +36,10 @@ MOST_SMALL = 16
 VERIFY_COST = 4.0
 
 
-def document_set(text: bytes, hashes: WordHashes) -> list[tuple[int, np.ndarray]]:
-    """The one set of a document: its shingles, none without words."""
-    return [(0, shingles(hashes.of(text.lower().split()), SHINGLE))]
+def document_sets(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """The one set of each document: its shingles, none without words."""
+    for i, found in enumerate(shingle_sets(words_of(texts), SHINGLE)):
+        yield i, 0, found
 
 
 def partner_sizes(n: int, percent: int) -> range:
@@ -147,9 +149,9 @@ def components_of(
     """
     key = F.xxhash64(id_col, text_col).alias("_key")
     texts = keyed(docs, text_col, key, F.col(id_col).alias("_id"))
-    rare = rarity(texts, document_set)
+    rare = rarity(texts, document_sets)
     edge = boundary(rare, percent)
-    made = setjoin.units(texts, document_set, rare, percent, small_subsets(edge, percent))
+    made = setjoin.units(texts, document_sets, rare, percent, small_subsets(edge, percent))
     found = stored(made, "units")
     # A set posts if it may link with one above the boundary.
     posted = setjoin.postings(found.where(f"100 * n > {percent * edge}"))
@@ -158,10 +160,10 @@ def components_of(
     tried = stored(
         stars.select(*setjoin.pair_of(F.col("me.fp"), F.col("lead.fp"))).distinct(), "stars"
     )
-    certain = setjoin.linked(tried, found, texts, document_set, percent).union(small_links(found))
+    certain = setjoin.linked(tried, found, texts, document_sets, percent).union(small_links(found))
     links = stored(certain, "links")
     rest = across(lists, components(links), tried, percent)
-    more = setjoin.linked(rest, found, texts, document_set, percent)
+    more = setjoin.linked(rest, found, texts, document_sets, percent)
     return named(found, components(links.union(more)))
 
 

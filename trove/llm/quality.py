@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trove.llm.words import WordHashes, keyed, raw_texts, windows
+from trove.llm.words import distinct, keyed, raw_texts, windows, words_of
 
 #: The trees are fitted to at most so many labelled rows, those of least id hash.
 SAMPLE_ROWS = 20_000
@@ -58,13 +58,12 @@ def repeated_words(hashes: np.ndarray, size: int = WINDOW) -> int:
     return int((cover[:-1].cumsum() > 0).sum())
 
 
-def statistics_of(text: bytes, hashes: WordHashes) -> tuple[int, ...]:
-    """``COUNTS`` and ``_MORE`` of a whole text."""
+def statistics_of(text: bytes, words: np.ndarray) -> tuple[int, ...]:
+    """``COUNTS`` and ``_MORE`` of a whole text with these word hashes."""
 
     def held(letters: bytes) -> int:
         return len(text) - len(text.translate(None, letters))
 
-    words = hashes.of(text.split())
     points = int(((np.frombuffer(text, np.uint8) & 0xC0) != 0x80).sum())
     lines = [x for x in text.split(b"\n") if x.strip()]
     return (
@@ -76,7 +75,7 @@ def statistics_of(text: bytes, hashes: WordHashes) -> tuple[int, ...]:
         len(lines),
         held(_UPPER),
         held(_DIGITS),
-        len(np.unique(words)),
+        len(distinct(words)),
     )
 
 
@@ -206,11 +205,9 @@ def statistics(docs: DataFrame, text_col: str, *ids) -> DataFrame:
         schema = schema.add(f"_{name}", "long")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             last = batch.num_columns - 1
-            rows = [statistics_of(t, hashes) for t in raw_texts(batch, last)]
-            table = np.array(rows, np.int64).reshape(-1, len(names))
+            table = _counts(raw_texts(batch, last))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:last], *(pa.array(c) for c in table.T)], schema.names
             )
@@ -264,9 +261,8 @@ def judge(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str =
     schema = schema.add("base_failed", "boolean").add("kept", "boolean").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            counts = _counts(raw_texts(batch, 1), hashes)
+            counts = _counts(raw_texts(batch, 1))
             failed, score, kept = verdicts(counts, shipped.value)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(counts[:, j]) for j in range(len(COUNTS)))]
@@ -283,14 +279,14 @@ def keep_good(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFram
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            counts = _counts([t or b"" for t in raw_texts(batch, at)], hashes)
+            counts = _counts([t or b"" for t in raw_texts(batch, at)])
             yield batch.filter(pa.array(verdicts(counts, shipped.value)[2]))
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def _counts(texts: list[bytes], hashes: WordHashes) -> np.ndarray:
-    rows = [statistics_of(t, hashes) for t in texts]
+def _counts(texts: list[bytes]) -> np.ndarray:
+    words = words_of(texts, lower=False)
+    rows = [statistics_of(t, words.of(i)) for i, t in enumerate(texts)]
     return np.array(rows, np.int64).reshape(-1, len(COUNTS) + len(_MORE))

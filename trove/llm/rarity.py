@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trove.llm.words import WordHashes, raw_texts
+from trove.llm.words import raw_texts
 
 WIDTH = 1 << 22
 BLOCK = 1 << 16
@@ -27,8 +27,8 @@ FAN_IN = 256
 SIZES = 64
 _HELD = 1 << 21
 
-#: Makes ``(unit number, sorted set of hashes)`` of a text.
-Sets = Callable[[bytes, WordHashes], list[tuple[int, np.ndarray]]]
+#: Makes ``(text number, unit number, sorted set of hashes)`` of texts.
+Sets = Callable[[list[bytes]], Iterator[tuple[int, int, np.ndarray]]]
 
 
 class Rarity:
@@ -43,8 +43,8 @@ class Rarity:
 
     def order(self, found: np.ndarray) -> np.ndarray:
         """The places of a sorted set's hashes from the rarest to the most frequent."""
-        low = (found & np.uint64(len(self.levels) - 1)).astype(np.int64)
-        return np.argsort(self.levels[low], kind="stable")
+        low = found & np.uint64(len(self.levels) - 1)
+        return np.argsort(self.levels[low.view(np.int64)], kind="stable")
 
 
 def rarity(texts: DataFrame, sets: Sets, width: int = WIDTH) -> Rarity:
@@ -52,7 +52,6 @@ def rarity(texts: DataFrame, sets: Sets, width: int = WIDTH) -> Rarity:
     last = len(texts.columns) - 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         total, sizes = np.zeros(width, np.int64), np.zeros(BLOCK, np.int64)
         held: list[np.ndarray] = []
         have = 0
@@ -66,12 +65,11 @@ def rarity(texts: DataFrame, sets: Sets, width: int = WIDTH) -> Rarity:
             have = 0
 
         for batch in batches:
-            for text in raw_texts(batch, last):
-                for _, found in sets(text, hashes):
-                    held.append(found)
-                    have += len(found)
-                    if len(found) <= SIZES:
-                        sizes[len(found)] += 1
+            for _, _, found in sets(raw_texts(batch, last)):
+                held.append(found)
+                have += len(found)
+                if len(found) <= SIZES:
+                    sizes[len(found)] += 1
                 if have > _HELD:
                     add()
         add()

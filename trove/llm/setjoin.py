@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trove.llm.rarity import Rarity, Sets, members
-from trove.llm.words import WordHashes, fingerprint, raw_texts
+from trove.llm.words import fingerprint, raw_texts
 from trove.session import stored
 
 #: Two sets link when 100 * shared >= PERCENT * union.
@@ -67,28 +67,27 @@ def units(
         schema = schema.add(field)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, done = WordHashes(), set()
+        done: set[int] = set()
         empty = np.empty(0, np.uint64)
         for batch in batches:
             at, no, sizes, prints = [], [], [], []
             posted, subset, lower = [], [], []
-            for i, text in enumerate(raw_texts(batch, len(ids))):
-                for unit, found in sets(text, hashes):
-                    at.append(i)
-                    no.append(unit)
-                    sizes.append(len(found))
-                    fp = fingerprint(found) if len(found) else None
-                    prints.append(fp)
-                    first, signs, small = empty, empty, empty
-                    if fp is not None and fp not in done:
-                        if len(done) > 1_000_000:
-                            done.clear()
-                        done.add(fp)
-                        first = found[shipped.value.order(found)[: prefix_length(len(found), percent)]]
-                        signs, small = subsets(found) or (empty, empty)
-                    posted.append(first)
-                    subset.append(signs)
-                    lower.append(small)
+            for i, unit, found in sets(raw_texts(batch, len(ids))):
+                at.append(i)
+                no.append(unit)
+                sizes.append(len(found))
+                fp = fingerprint(found) if len(found) else None
+                prints.append(fp)
+                first, signs, small = empty, empty, empty
+                if fp is not None and fp not in done:
+                    if len(done) > 1_000_000:
+                        done.clear()
+                    done.add(fp)
+                    first = found[shipped.value.order(found)[: prefix_length(len(found), percent)]]
+                    signs, small = subsets(found) or (empty, empty)
+                posted.append(first)
+                subset.append(signs)
+                lower.append(small)
             yield pa.RecordBatch.from_arrays(
                 [
                     *(c.take(pa.array(at, pa.int64())) for c in batch.columns[: len(ids)]),
@@ -159,23 +158,21 @@ def linked(
     bodies = texts.select("_key", texts.columns[-1])
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, done = WordHashes(), set()
+        done: set[int] = set()
         for batch in batches:
             held = keys.value.holds(batch.column(0).to_numpy())
             batch = batch.filter(pa.array(held))
+            found = [one for _, _, one in sets(raw_texts(batch, 1)) if len(one)]
+            names = np.array([fingerprint(one) for one in found], np.int64)
             out, data = [], []
-            for text in raw_texts(batch, 1):
-                for _, one in sets(text, hashes):
-                    if not len(one):
-                        continue
-                    fp = fingerprint(one)
-                    if fp in done or not prints.value.holds(np.array([fp], np.int64))[0]:
-                        continue
+            for k in np.flatnonzero(prints.value.holds(names)).tolist():
+                fp = int(names[k])
+                if fp not in done:
                     if len(done) > 1_000_000:
                         done.clear()
                     done.add(fp)
                     out.append(fp)
-                    data.append(one.tobytes())
+                    data.append(found[k].tobytes())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out, pa.int64()), pa.array(data, pa.binary())], ["fp", "members"]
             )

@@ -8,6 +8,7 @@ only, so words are maximal runs without ``\\x20`` and ``\\x09-\\x0D``, and only
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -15,26 +16,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CACHE_WORDS = 500_000
+#: Bytes that are hashed at once; a longer word is hashed whole.
+BLOCK = 1 << 19
+
 _ODD = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64
 )
-
-
-class WordHashes(dict):
-    """64-bit word hashes as signed numbers, kept for a bounded number of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = xxhash.xxh3_64_intdigest(word)
-        self[word] = value = value - (value >> 63 << 64)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        """The hashes of ``words``, in their order."""
-        got = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return got.view(np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
@@ -46,22 +36,121 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
+_LETTERS = mixed(np.arange(1, 257, dtype=np.uint64))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    steps = np.full(n, base % (1 << 64), np.uint64)
+    steps[0] = 1
+    return np.cumprod(steps)
+
+
+_POWERS = [_powers(_BASE, 1 << 10), _powers(pow(_BASE, -1, 1 << 64), 1 << 10)]
+
+
+def _hash_block(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words of a block: polynomials in a fixed odd base."""
+    n = len(data)
+    if len(_POWERS[0]) < n + 1:
+        size = 1 << int(n + 1).bit_length()
+        _POWERS[:] = [_powers(_BASE, size), _powers(pow(_BASE, -1, 1 << 64), size)]
+    gap = np.ones(n + 2, bool)
+    gap[1:-1] = _SPACE[data]
+    starts = np.flatnonzero(gap[:-1] & ~gap[1:])[: n + 1]
+    ends = np.flatnonzero(~gap[:-1] & gap[1:])
+    before = np.zeros(n + 1, np.uint64)
+    np.cumsum(_LETTERS[data] * _POWERS[0][:n], out=before[1:])
+    return mixed((before[ends] - before[starts]) * _POWERS[1][starts]), starts
+
+
+@dataclass(frozen=True)
+class Words:
+    """The word hashes of many texts in one array.
+
+    Words ``bounds[i]:bounds[i + 1]`` are those of text ``i``; ``starts`` are
+    their places in ``data``, the texts joined by line breaks.
+    """
+
+    data: bytes
+    offsets: np.ndarray
+    hashes: np.ndarray
+    starts: np.ndarray
+    bounds: np.ndarray
+
+    def of(self, i: int) -> np.ndarray:
+        return self.hashes[self.bounds[i] : self.bounds[i + 1]]
+
+    def lines(self) -> np.ndarray:
+        """The number of line breaks in ``data`` before each word."""
+        breaks = np.flatnonzero(np.frombuffer(self.data, np.uint8) == 10)
+        return np.searchsorted(breaks, self.starts)
+
+
+def words_of(texts: list[bytes], lower: bool = True) -> Words:
+    """The words of whole texts, hashed in blocks that end at white space."""
+    data = b"\n".join(texts)
+    data = data.lower() if lower else data
+    hashes, starts, low = [], [], 0
+    view = np.frombuffer(data, np.uint8)
+    while low < len(data):
+        size = BLOCK
+        while True:
+            high = low + size
+            if high >= len(data):
+                high = len(data)
+                break
+            cut = np.flatnonzero(_SPACE[view[max(low, high - 4096) : high]])
+            if len(cut):
+                high = max(low, high - 4096) + int(cut[-1]) + 1
+                break
+            size *= 2
+        h, at = _hash_block(view[low:high])
+        hashes.append(h)
+        starts.append(at + low)
+        low = high
+    flat = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+    at = np.concatenate(starts) if starts else np.empty(0, np.int64)
+    offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return Words(data, offsets, flat, at, np.searchsorted(at, offsets))
+
+
+def word_hash(word: bytes) -> int:
+    """The signed hash of one word."""
+    (found,) = words_of([word], lower=False).hashes.view(np.int64).tolist()
+    return found
+
+
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     """One hash for each run of ``size`` words, in order; none in fewer words."""
     n = len(hashes) - size + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    total = np.zeros(n, np.uint64)
-    for i in range(size):
-        total = total * _ODD[0] + mixed(hashes[i : i + n])
+    total = hashes[:n].copy()
+    for i in range(1, size):
+        total *= _ODD[0]
+        total += hashes[i : i + n]
     return mixed(total)
 
 
-def shingles(hashes: np.ndarray, size: int = 5) -> np.ndarray:
-    """The sorted set of shingle hashes; fewer words than ``size`` make one."""
-    if not len(hashes):
-        return np.empty(0, np.uint64)
-    return np.unique(windows(hashes, min(size, len(hashes))) + np.uint64(min(size, len(hashes))))
+def shingle_sets(words: Words, size: int = 5) -> Iterator[np.ndarray]:
+    """The sorted set of shingle hashes of each text; fewer words than ``size`` make one."""
+    runs = windows(words.hashes, size)
+    for i in range(len(words.bounds) - 1):
+        low, high = words.bounds[i], words.bounds[i + 1]
+        if high - low >= size:
+            yield distinct(runs[low : high - size + 1])
+        elif high > low:
+            yield windows(words.hashes[low:high], int(high - low)) + np.uint64(high - low)
+        else:
+            yield runs[:0]
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The sorted distinct values."""
+    found = np.sort(values)
+    new = np.ones(len(found), bool)
+    np.not_equal(found[1:], found[:-1], out=new[1:])
+    return found[new]
 
 
 def fingerprint(values: np.ndarray) -> int:
