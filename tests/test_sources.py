@@ -185,6 +185,19 @@ def test_stream_repeats_without_doubling(spark, tmp_path):
     assert sorted(ingest.read_table(spark, batch).collect()) == sorted(table.collect())
 
 
+def test_stream_calls_add_up(spark, tmp_path):
+    schema = "doc_id long, text string"
+    out = str(tmp_path / "out")
+    for n, at in ((10, 0), (20, 100)):
+        folder = str(tmp_path / f"in{at}")
+        spark.createDataFrame([(at + i, f"w{i}") for i in range(n)], schema).write.parquet(folder)
+        types = spark.read.parquet(folder).schema
+        for size in (1, 1000):
+            ingest.ingest_stream(spark, folder, types, out, "text", files_per_batch=size)
+    ids = [r["doc_id"] for r in ingest.read_table(spark, out).select("doc_id").collect()]
+    assert sorted(ids) == [*range(10), *range(100, 120)]
+
+
 def test_size_checked_helpers(spark):
     df = spark.range(50)
     joined = df.join(small_side(spark.range(10), 10), "id")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from trove.operators.prep import fill_missing, prepare_rows
-from trove.session import work_path
 
 # Fixed value: rows handed to an embedding function at once.
 CHUNK_ROWS = 1000
@@ -43,22 +44,29 @@ def ingest_stream(
 ) -> None:
     """Take the new files of a folder through ``embed_batch`` and stop.
 
-    Each micro-batch overwrites its own ``batch_id`` folder, so one that is
-    repeated after a failure leaves the table as it was.
+    What has been read is remembered in ``checkpoint``, by default a hidden
+    folder of the target for each source folder: a later call adds what is new,
+    from the same folder or another, and repeats nothing. Each micro-batch
+    overwrites the folder named after its checkpoint and number: one that is
+    repeated after a failure leaves the table as it was, and streams with
+    different checkpoints never meet.
     """
+    source = hashlib.md5(folder.encode()).hexdigest()[:12]
+    checkpoint = checkpoint or f"{path}/_stream/{source}"
+    name = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         embed_batch(batch, text_col, **options).write.mode("overwrite").parquet(
-            f"{path}/batch_id={batch_id}"
+            f"{path}/batch_id={name}-{batch_id}"
         )
 
     query = (
         reader.parquet(folder)
         .writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint or work_path(spark, "stream"))
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
