@@ -37,25 +37,31 @@ def term_counts(
 ) -> DataFrame:
     """``(id, term, tf, doc_len)`` for each distinct term of each text.
 
-    The whole vocabulary: texts are hashed by key before they are split, so the
-    one shuffle carries each text once and the grouping needs no other.
-    With ``terms`` the rest of the vocabulary is dropped before the shuffle.
-    Either way the result is hashed by key, so grouping it by key and anything
-    else, as scoring does, moves no row again.
+    A text's words are sorted and counted in runs where the row lies, so no
+    text is shuffled. Keys are expected to be unique; rows that share one are
+    counted apart. With ``terms`` the rest of the vocabulary is dropped.
     """
-    rows = text_rows(df, text_col).select(id_col, text_col)
-    if terms is None:
-        rows = rows.repartition(id_col)
-    # explode_outer: an inner explode would add a filter that splits each text
-    # three times over.
-    words = (
-        rows.select(id_col, txt.tokens(text_col).alias("_words"))
-        .select(id_col, F.size("_words").alias("doc_len"), F.explode_outer("_words").alias("term"))
-        .where(F.col("term").isNotNull())
+    rows = text_rows(df, text_col).select(id_col, F.array_sort(txt.tokens(text_col)).alias("_words"))
+    starts = rows.select(
+        id_col,
+        "_words",
+        F.expr(
+            "filter(transform(_words, (w, i) -> IF(i > 0 AND w = _words[i - 1], -1, i)), i -> i >= 0)"
+        ).alias("_at"),
     )
+    runs = starts.select(
+        id_col,
+        F.size("_words").alias("doc_len"),
+        F.expr(
+            "transform(_at, (i, k) -> named_struct('term', _words[i], "
+            "'tf', CAST(coalesce(get(_at, k + 1), size(_words)) - i AS bigint)))"
+        ).alias("_runs"),
+    )
+    # inline_outer: an inner one would add a filter that counts each text again.
+    words = runs.select(id_col, "doc_len", F.inline_outer("_runs")).where(F.col("term").isNotNull())
     if terms is not None:
-        words = words.join(terms.select("term"), "term", "left_semi").repartition(id_col)
-    return words.groupBy(id_col, "term", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
+        words = words.join(terms.select("term"), "term", "left_semi")
+    return words.select(id_col, "term", "doc_len", "tf")
 
 
 def fit(
