@@ -4,12 +4,14 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from trove.operators import bm25, dense, fusion, ivf, prep, sparse
+from trove.operators.moments import as_matrix
 from trove.plans import hybrid
 
 
@@ -145,12 +147,19 @@ def test_full_probe_is_exact_and_written_cells_agree(spark):
 def test_auto_index_choice(spark):
     rows = vectors(spark, made(20, 3, 3)).drop("cell")
     index = ivf.build(rows, 2)
-    assert not ivf.uses_index(rows, None, 1)
-    assert not ivf.uses_index(rows, index, 100)
-    assert ivf.uses_index(rows, index, 5)
     asked = rows.withColumnRenamed("id", "query_id")
-    exact = found(ivf.auto_search(asked, rows, index, k=3))
-    assert found(ivf.auto_search(asked, rows, index, exact_rows=5, k=3, nprobe=2)) == exact
+    exact = found(ivf.auto_search(asked, rows, k=3))
+    assert found(ivf.auto_search(asked, rows, index, k=3, nprobe=2)) == exact
+    assert len(found(ivf.auto_search(asked, rows, index, k=3, nprobe=1))) <= len(exact)
+
+
+@pytest.mark.parametrize("bad", [[1.0, 2.0, 3.0], [1.0, None], None])
+def test_uneven_vectors_are_refused(spark, bad):
+    """Values of one vector never slip into the next."""
+    column = pa.array([[1.0, 2.0], bad], pa.list_(pa.float64()))
+    with pytest.raises(ValueError):
+        as_matrix(column)
+    assert as_matrix(pa.array([[1.0, 2.0], [3.0, 4.0]])).tolist() == [[1, 2], [3, 4]]
 
 
 DOCS = [

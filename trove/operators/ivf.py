@@ -17,11 +17,6 @@ from trove.session import stored, work_path
 NLIST = 1024
 NPROBE = 10
 
-# Rows per cell used to place the centroids; every row is indexed all the same.
-TRAIN_ROWS_PER_CELL = 256
-# Below this many rows an exact scan beats probing.
-EXACT_ROWS = 1_000_000
-
 
 @dataclass(frozen=True)
 class CellIndex:
@@ -57,21 +52,13 @@ def build(
     seed: int = 7,
     iterations: int = 10,
 ) -> CellIndex:
-    """Place ``nlist`` centroids by k-means, then give every row its cell.
-
-    Centroids are trained on a share of a large table, as is usual for this
-    index; the share only shapes the cells, all rows are assigned.
-    """
+    """Place ``nlist`` centroids by k-means over all rows, and give each its cell."""
     n = df.count()
-    share = min(1.0, nlist * TRAIN_ROWS_PER_CELL / max(n, 1))
     vectors = df.withColumn("_features", array_to_vector(F.col(vector_col).cast("array<double>")))
-    train = vectors.select("_features")
-    if share < 1.0:
-        train = train.sample(False, share, seed)
     model = KMeans(
         k=min(nlist, max(2, n)), seed=seed, maxIter=iterations, featuresCol="_features",
         predictionCol="cell",
-    ).fit(train)
+    ).fit(vectors.select("_features"))
     rows = model.transform(vectors).drop("_features").withColumn("cell", F.col("cell").cast("long"))
     spark: SparkSession = df.sparkSession
     centres = spark.createDataFrame(
@@ -145,22 +132,20 @@ def auto_search(
     queries: DataFrame,
     corpus: DataFrame,
     index: CellIndex | None = None,
-    exact_rows: int = EXACT_ROWS,
     k: int = dense.TOP_K,
     metric: str = "cosine",
     nprobe: int = NPROBE,
     **columns: str,
 ) -> DataFrame:
-    """Exact scan for a small corpus or without an index, else probe cells."""
-    if uses_index(corpus, index, exact_rows):
+    """Probe the cells of ``index`` where one is given, else scan exactly.
+
+    Which of the two runs is the caller's choice and does not depend on sizes.
+    """
+    if index is not None:
         return search(queries, index, k, nprobe, metric, **columns)
     return dense.knn_join(queries, corpus, k, metric, **columns)
 
 
-def uses_index(corpus: DataFrame, index: CellIndex | None, exact_rows: int = EXACT_ROWS) -> bool:
-    return index is not None and corpus.count() > exact_rows
-
-
 def cell_sizes(index: CellIndex) -> DataFrame:
     return index.rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n_rows"))
 

@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -17,11 +18,15 @@ from pyspark.sql import functions as F
 
 
 def as_matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """A list column of equal lengths as a float64 matrix."""
+    """A list column of equal lengths, without nulls, as a float64 matrix."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if len(column) == 0:
         return np.zeros((0, 0))
+    lengths = pc.list_value_length(column)
+    bounds = pc.min_max(lengths)
+    if column.null_count or column.flatten().null_count or bounds["min"] != bounds["max"]:
+        raise ValueError("vectors must have one length and no nulls")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)
 
