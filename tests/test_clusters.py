@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trove.functions.models import ColumnTextModel, FunctionTextModel
 from trove.operators import clusters, mixture, moments, reduce as axes
+from trove.operators.ranking import places
 from trove.plans import tree
 from trove.session import stored
 
@@ -150,11 +151,29 @@ def test_joined_texts_are_whole(spark):
     parts = {}
     for r in out.orderBy("cluster", "block").collect():
         parts.setdefault(r["cluster"], []).append(r["joined"])
-    assert len(parts["small"]) == 1 and len(parts["big"]) == 3
+    assert len(parts["small"]) == 1 and len(parts["big"]) == 2
     for name, texts in parts.items():
         assert mark.join(texts) == mark.join(t for _, t, c in rows if c == name)
 
 
+def test_blocks_follow_places_for_any_key(spark):
+    rows = [(f"k{i * 100_000:09d}", f"t{i}", "one" if i % 7 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "id string, text string, cluster string").repartition(5)
+    out = clusters.joined_texts(df, "id", block_rows=50).orderBy("cluster", "block").collect()
+    assert [(r["cluster"], r["block"]) for r in out] == [(None, 0), *(("one", b) for b in range(6))]
+    mark = "--- --- \n --- --- "
+    assert mark.join(r["joined"] for r in out[1:]) == mark.join(t for _, t, c in rows if c)
+
+
+def test_places_of_a_group_that_fills_many_tasks(spark):
+    rows = [(i % 3 == 0, i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "g boolean, v int").repartition(7)
+    got = places(df, "g", [F.desc("v")]).collect()
+    for g in (True, False):
+        mine = sorted((r["place"], r["v"]) for r in got if r["g"] == g)
+        assert mine == list(enumerate(sorted((v for h, v in rows if h == g), reverse=True)))
+
+
 def test_model_summaries_reach_one_per_cluster(spark):
     rows = [(i, f"w{i}", i % 2) for i in range(40)]
     df = spark.createDataFrame(rows, "id long, text string, cluster int")

@@ -15,6 +15,7 @@ from trove.functions import text as txt
 from trove.functions.models import ColumnTextModel
 from trove.operators import mixture
 from trove.operators.bm25 import WEIGHT_DIGITS, encode_documents, fit
+from trove.operators.ranking import places
 from trove.operators.reduce import reduce_global, reduce_local
 from trove.operators.skew import attach
 from trove.session import small_side, stored
@@ -145,20 +146,15 @@ def joined_texts(
 ) -> DataFrame:
     """``(cluster, block, joined)``: a cluster's texts in key order.
 
-    A cluster of up to ``block_rows`` texts is block 0. A larger one gets a
-    block per range of ``block_rows`` integer keys, so no group outgrows a
-    task; its blocks in order are its whole text.
+    A block holds ``block_rows`` texts by their place within the cluster, the
+    last one fewer, so no group outgrows a task; the blocks in order are the
+    whole text. Keys may be of any type that can be ordered.
     """
-    sizes = members.groupBy(cluster_col).agg(F.count(F.lit(1)).alias("_n"))
-    block = F.when(F.col("_n") <= block_rows, F.lit(0)).otherwise(
-        F.floor(F.col(id_col) / block_rows)
-    )
     quoted = delimiter.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
     texts = members.select(cluster_col, id_col, F.col(text_col).alias("_text"))
-    return (
-        attach(texts, sizes, cluster_col, "_n")
-        .groupBy(cluster_col, block.cast("bigint").alias("block"))
-        .agg(F.expr(f"listagg(_text, '{quoted}') within group (order by {id_col})").alias("joined"))
+    placed = places(texts, cluster_col, [F.col(id_col)])
+    return placed.groupBy(cluster_col, F.expr(f"place div {block_rows}").alias("block")).agg(
+        F.expr(f"listagg(_text, '{quoted}') within group (order by place)").alias("joined")
     )
 
 

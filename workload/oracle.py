@@ -249,6 +249,7 @@ UNION ALL SELECT 'rows', 'row_count', count(*)::VARCHAR FROM embeddings""",
 json_extract_string(props, '$.k')::BIGINT AS k FROM events""",
         "ingest_batch": INGESTED,
         "ingest_stream": INGESTED,
+        "ingest_stream_twice": INGESTED,
         "fill_missing": """SELECT doc_id, lang, coalesce(quality, 0) AS quality,
 coalesce(toxic, 0) AS toxic, coalesce(quality / 2.0::DOUBLE, 0.0) AS half,
 coalesce('q' || quality, 'missing-data') AS mark, coalesce(toxic = 1, FALSE) AS is_toxic
@@ -372,11 +373,18 @@ SELECT source, n_local, coalesce(sum(n_local) OVER (ORDER BY source ROWS BETWEEN
 count(*) OVER (PARTITION BY lang || source) <= 11 AS bypassed FROM documents""",
         "explode_membership": f"WITH {MEMBERS} SELECT doc_id, cluster FROM m",
         "distinct_clusters": f"WITH {MEMBERS} SELECT DISTINCT cluster FROM m",
-        "concat_cluster": f"""WITH s AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang),
-j AS (SELECT lang, CASE WHEN n <= 256 THEN 0 ELSE doc_id // 256 END AS block,
+        "concat_cluster": f"""WITH s AS (SELECT lang, doc_id, text,
+    (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) // 256 AS block FROM documents),
+j AS (SELECT lang, block,
     string_agg(text, '--- --- ' || chr(10) || ' --- --- ' ORDER BY doc_id) AS joined
-    FROM documents JOIN s USING (lang) GROUP BY ALL)
+    FROM s GROUP BY ALL)
 SELECT lang, block, length(joined)::INTEGER AS n_chars, md5(joined) AS digest FROM j""",
+        "concat_cluster_text_keys": """WITH s AS (SELECT source, 'k' || (doc_id * 100000)::VARCHAR AS key,
+    text FROM documents),
+p AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY key) - 1) // 20 AS block FROM s),
+j AS (SELECT source, block,
+    string_agg(text, '--- --- ' || chr(10) || ' --- --- ' ORDER BY key) AS joined FROM p GROUP BY ALL)
+SELECT source, block, length(joined)::INTEGER AS n_chars, md5(joined) AS digest FROM j""",
         "summarise_extractive": f"""WITH {DOCS},
 m AS (SELECT doc_id, round(avg(weight), 6) AS m FROM d_w GROUP BY doc_id)
 SELECT source, doc_id, text AS summary FROM (SELECT source, doc_id, text, row_number() OVER (
@@ -394,13 +402,18 @@ count(*) OVER (PARTITION BY embedding) AS copies FROM e""",
         "retrieve_cards": f"""WITH {card_hits()} SELECT item_id, card_id, table_name, description
 FROM h JOIN k USING (card_id)""",
         "question_to_sql": f"""WITH {card_hits()} SELECT item_id,
-'SELECT * FROM warehouse.main.' || table_name || ' LIMIT 10' AS query
+'SELECT * FROM warehouse.main.' || table_name AS query
 FROM h JOIN k USING (card_id)""",
         "question_answer_rows": f"""WITH {card_hits()} SELECT item_id,
 'SELECT count(*) AS row_count FROM warehouse.main.' || table_name AS query,
 '{{"row_count":' || row_count || '}}' AS response,
 'Found: {{"row_count":' || row_count || '}}' AS answer
 FROM h JOIN k USING (card_id) JOIN n USING (table_name)""",
+        "question_answer_all_rows": f"""WITH {card_hits()} SELECT item_id,
+count(*) AS n_blocks, sum(row_count)::BIGINT AS n_rows FROM (
+    SELECT item_id, unnest(range((row_count + 999) // 1000)) AS block,
+        least(1000, row_count - 1000 * unnest(range((row_count + 999) // 1000))) AS row_count
+    FROM h JOIN k USING (card_id) JOIN n USING (table_name)) GROUP BY item_id""",
         "history_by_user": """SELECT event_id, user_id, ts, row_number() OVER (
     PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place
 FROM events WHERE user_id IS NOT NULL""",

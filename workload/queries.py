@@ -205,6 +205,17 @@ def ingest_stream(spark, sf_dir):
     return _ingested(ingest.read_table(spark, path))
 
 
+def ingest_stream_twice(spark, sf_dir):
+    """Two calls on two folders add up in one table."""
+    path = work_path(spark, "stream-table")
+    docs = table(spark, sf_dir, "documents")
+    for part in (0, 1):
+        folder = work_path(spark, "arrived")
+        docs.where(F.pmod("doc_id", F.lit(2)) == part).write.parquet(folder)
+        ingest.ingest_stream(spark, folder, docs.schema, path, "text", pattern="*.parquet")
+    return _ingested(ingest.read_table(spark, path))
+
+
 # Rows
 
 
@@ -583,6 +594,15 @@ def concat_cluster(spark, sf_dir):
     )
 
 
+def concat_cluster_text_keys(spark, sf_dir):
+    """Text keys with gaps, in blocks of 20."""
+    key = F.concat(F.lit("k"), (F.col("doc_id") * 100_000).cast("string")).alias("key")
+    docs = table(spark, sf_dir, "documents").select(key, "text", "source")
+    return clusters.joined_texts(docs, "key", "text", "source", block_rows=20).select(
+        "source", "block", F.length("joined").alias("n_chars"), F.md5("joined").alias("digest")
+    )
+
+
 def summarise_extractive(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return clusters.extractive_summaries(
@@ -652,18 +672,27 @@ def question_to_sql(spark, sf_dir):
     return qa.to_sql(_asked(spark, sf_dir), CATALOG_NAME).select("item_id", "query")
 
 
-def question_answer_rows(spark, sf_dir):
-    asked = stored(
-        qa.to_sql(
-            _asked(spark, sf_dir), CATALOG_NAME, template="SELECT count(*) AS row_count FROM %s"
-        ),
-        "asked",
-    )
+def _answered(spark, sf_dir, template):
+    asked = stored(qa.to_sql(_asked(spark, sf_dir), CATALOG_NAME, template=template), "asked")
     tables = all_tables(spark, sf_dir)
     files.register_views({f"qa_{name}": df for name, df in tables.items()})
     prefix = f"{CATALOG_NAME}.{SCHEMA_NAME}."
     rows = qa.run_statements(spark, asked, lambda text: text.replace(prefix, "qa_"))
-    return qa.answers(asked, rows).select("item_id", "query", "response", "answer")
+    return qa.answers(asked, rows)
+
+
+def question_answer_rows(spark, sf_dir):
+    answered = _answered(spark, sf_dir, "SELECT count(*) AS row_count FROM %s")
+    return answered.select("item_id", "query", "response", "answer")
+
+
+def question_answer_all_rows(spark, sf_dir):
+    """Every row of each question's table reaches its answers."""
+    answered = _answered(spark, sf_dir, "SELECT * FROM %s")
+    lines = F.size(F.split("response", "\n"))
+    return answered.groupBy("item_id").agg(
+        F.count(F.lit(1)).alias("n_blocks"), F.sum(lines).alias("n_rows")
+    )
 
 
 # Conversations
@@ -698,7 +727,7 @@ def nest_messages(spark, sf_dir):
 ALL = [
     csv_roundtrip, run_sql_products, catalog_tables, catalog_columns, catalog_reflect,
     catalog_cards, collection_create_insert, collection_recreate, collection_describe,
-    auto_id_unique, dynamic_fields, ingest_batch, ingest_stream, fill_missing, prepare_rows,
+    auto_id_unique, dynamic_fields, ingest_batch, ingest_stream, ingest_stream_twice, fill_missing, prepare_rows,
     prepare_rows_keep_text, filter_category, filter_search, filter_expr, cast_to_schema,
     preview_top5, hash_embed, token_counts, token_length_stats, bm25_fit, bm25_encode_docs,
     bm25_encode_query_idf, bm25_encode_query_tf, prompt_render, describe_tables, pct_change,
@@ -708,7 +737,9 @@ ALL = [
     hybrid_search, hybrid_search_stored, hybrid_top1, reduce_global, reduce_local, group_covariance, knn_graph,
     bic_single_gaussian, bic_choice, mixture_members, soft_assign, cluster_offsets,
     small_group_bypass, embed_cluster, explode_membership, distinct_clusters, concat_cluster,
+    concat_cluster_text_keys,
     summarise_extractive, raptor_tree_fixed, flatten_tree, tree_export, raptor_tree,
     equal_embedding_pairs, table_cards, retrieve_cards, question_to_sql, question_answer_rows,
+    question_answer_all_rows,
     history_by_user, owned_lookup, nest_messages,
 ]
