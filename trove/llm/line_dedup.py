@@ -1,8 +1,9 @@
 """Line dedup: an exact set-similarity join of the lines of a corpus.
 
 A line is the set of its distinct words. Words are ordered by rarity, each line
-is posted under its prefix, pairs pass the length and positional filters and are
-verified, and of two lines that match the later one goes. Lines are ordered by
+is posted under its prefix, lines in one posting list pass the length and
+positional filters (and one on parities of their words, which loses nothing) and
+are verified, and of two lines that match the later one goes. Lines are ordered by
 document id and then by their place.
 
 Whether a line goes is settled in two steps: against the leader and the earliest
@@ -72,13 +73,14 @@ def removed_lines(
     found = stored(setjoin.units(texts, line_sets, rare, percent), "units")
     first = found.groupBy("fp").agg(F.min(F.struct("_id", "unit", "_key")).alias("at"))
     first = stored(first, "first")
-    lists = setjoin.shared_lists(setjoin.postings(found)).select("token", "me", "lead").distinct()
-    dated = lists.join(first, F.col("me.fp") == F.col("fp")).select("token", "me", "lead", "at")
-    earliest = F.min_by("me", "at").over(W.partitionBy("token")).alias("old")
-    lists = stored(dated.select("*", earliest), "lists")
+    close = stored(setjoin.close_lists(found, percent).distinct(), "close")
+    dated = close.join(first, F.col("me.fp") == F.col("fp")).select("token", "me", "at")
+    per = W.partitionBy("token")
+    leaders = F.min("me").over(per).alias("lead"), F.min_by("me", "at").over(per).alias("old")
+    lists = stored(dated.select("*", *leaders), "lists")
 
     def stars(leader: str) -> DataFrame:
-        apart = lists.where(f"me.fp <> {leader}.fp").where(setjoin.fits("me", leader, percent))
+        apart = lists.where(f"me.fp <> {leader}.fp").where(setjoin.alike("me", leader, percent))
         return apart.select(*setjoin.pair_of(F.col("me.fp"), F.col(f"{leader}.fp")))
 
     tried = stored(stars("lead").union(stars("old")).distinct(), "stars")
@@ -90,7 +92,7 @@ def removed_lines(
     y = lists.select(
         F.col("token").alias("token_"), F.col("me").alias("y"), F.col("at").alias("y_at")
     )
-    met = x.join(y, F.expr("token = token_ AND y_at < x_at") & setjoin.fits("x", "y", percent))
+    met = x.join(y, F.expr("token = token_ AND y_at < x_at") & setjoin.alike("x", "y", percent))
     rest = met.select(*setjoin.pair_of(F.col("x.fp"), F.col("y.fp"))).distinct()
     rest = rest.join(tried, ["a", "b"], "left_anti")
     more = later(setjoin.linked(rest, found, texts, line_sets, percent), first)

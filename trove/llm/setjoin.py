@@ -57,12 +57,16 @@ def units(
     ``posted`` has the prefix in order, once per distinct set of a task. Where
     ``subsets`` answers for a set, ``subset`` has the signatures it gives and
     ``lower`` whether the set is the smaller kind there; ``posted`` may then
-    still be needed for larger partners. Empty sets have no ``fp``.
+    still be needed for larger partners. ``bits`` is the set's ``parity``.
+    Empty sets have no ``fp``.
     """
     shipped = texts.sparkSession.sparkContext.broadcast(rare)
     ids = texts.columns[:-1]
     schema = texts.select(*(f"`{c}`" for c in ids)).schema
-    made = "unit int, n int, fp long, posted array<long>, subset array<long>, lower array<boolean>"
+    made = (
+        "unit int, n int, fp long, bits long, "
+        "posted array<long>, subset array<long>, lower array<boolean>"
+    )
     for field in T.StructType.fromDDL(made):
         schema = schema.add(field)
 
@@ -70,7 +74,7 @@ def units(
         done: set[int] = set()
         empty = np.empty(0, np.uint64)
         for batch in batches:
-            at, no, sizes, prints = [], [], [], []
+            at, no, sizes, prints, bits = [], [], [], [], []
             posted, subset, lower = [], [], []
             for i, unit, found in sets(raw_texts(batch, len(ids))):
                 at.append(i)
@@ -78,6 +82,7 @@ def units(
                 sizes.append(len(found))
                 fp = fingerprint(found) if len(found) else None
                 prints.append(fp)
+                bits.append(parity(found))
                 first, signs, small = empty, empty, empty
                 if fp is not None and fp not in done:
                     if len(done) > 1_000_000:
@@ -94,6 +99,7 @@ def units(
                     pa.array(no, pa.int32()),
                     pa.array(sizes, pa.int32()),
                     pa.array(prints, pa.int64()),
+                    pa.array(np.array(bits, np.uint64).view(np.int64)),
                     _lists(posted, np.int64),
                     _lists(subset, np.int64),
                     _lists(lower, bool),
@@ -111,6 +117,89 @@ def _lists(rows: list[np.ndarray], kind) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
 
 
+def parity(found: np.ndarray) -> int:
+    """64 bits, each telling whether an odd number of members fall on it.
+
+    Two sets differ in at least as many members as these differ in bits.
+    """
+    return int(np.bitwise_xor.reduce(np.uint64(1) << (found >> np.uint64(58)), initial=np.uint64(0)))
+
+
+def close_lists(found: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Postings of small sets that may link with another one in their list.
+
+    Lists lie in tasks, sorted by size. A task compares neighbours within the
+    length filter, as far as it reaches and no further, by the positional filter
+    and by their parities; it emits members that pass with some other set, never
+    pairs. What it holds is the members of one list within one length window.
+    """
+    rows = found.where("fp IS NOT NULL").select(
+        "fp", "n", "bits", F.posexplode("posted").alias("pos", "token")
+    )
+    packed = rows.select(
+        F.shiftright("token", 32).cast("int").alias("token"),
+        (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("npos"),
+        "fp",
+        "bits",
+    )
+    lists = packed.repartition("token").sortWithinPartitions("token", "npos")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64)] * 4
+        close = np.empty(0, bool)
+        for batch in batches:
+            new = [c.to_numpy().astype(np.int64) for c in batch.columns]
+            seen = len(close)
+            held = [np.concatenate(x) for x in zip(held, new, strict=True)]
+            close = np.concatenate([close, np.zeros(batch.num_rows, bool)])
+            token, npos, fp, bits = held
+            n = npos >> 32
+            own = n - (npos & 0xFFFFFFFF)
+            i = np.arange(len(token))
+            step = 0
+            while len(i):
+                step += 1
+                i = i[i + step < len(token)]
+                j = i + step
+                near = (token[i] == token[j]) & (100 * n[i] >= percent * n[j])
+                i, j = i[near], j[near]
+                fresh = j >= seen
+                a, b = i[fresh], j[fresh]
+                most = n[a] + n[b]
+                least = -(-percent * most // (100 + percent))
+                yes = np.minimum(own[a], own[b]) >= least
+                a, b, most, least = a[yes], b[yes], most[yes], least[yes]
+                differ = np.bitwise_count((bits[a] ^ bits[b]).view(np.uint64))
+                yes = (differ <= most - 2 * least) & (fp[a] != fp[b])
+                close[a[yes]] = True
+                close[b[yes]] = True
+            # What later rows may still meet stays.
+            stays = (token == token[-1]) & (100 * n >= percent * n[-1]) if len(token) else close
+            yield pa.RecordBatch.from_arrays([pa.array(x[close & ~stays]) for x in held], names)
+            held, close = [x[stays] for x in held], close[stays]
+        yield pa.RecordBatch.from_arrays([pa.array(x[close]) for x in held], names)
+
+    names = ["token", "npos", "fp", "bits"]
+    made = lists.mapInArrow(scan, "token long, npos long, fp long, bits long")
+    me = F.struct(
+        F.expr("CAST(npos & 4294967295 AS int)").alias("pos"),
+        F.shiftright("npos", 32).cast("int").alias("n"),
+        "fp",
+        "bits",
+    )
+    return made.select("token", me.alias("me"))
+
+
+def alike(a: str, b: str, percent: int = PERCENT) -> Column:
+    """Length, positional and parity filters of postings ``a`` and ``b`` of one hash."""
+    both = f"{a}.n + {b}.n"
+    # Twice the overlap that is needed, rounded up, leaves the most to differ in.
+    least = f"(({percent} * ({both}) + {99 + percent}) div {100 + percent})"
+    return fits(a, b, percent) & F.expr(
+        f"bit_count({a}.bits ^ {b}.bits) <= {both} - 2 * {least}"
+    )
+
+
 def postings(found: DataFrame) -> DataFrame:
     """``token``, ``fp``, ``n`` and ``pos`` of every posted hash."""
     return found.select("fp", "n", F.posexplode("posted").alias("pos", "token"))
