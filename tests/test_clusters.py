@@ -102,9 +102,26 @@ def test_memberships(reduced):
     assert kept.where(F.size("members") != 1).count() == 0
 
 
+def test_covariance_of_text_and_null_groups(spark):
+    rows = [("a", [1.0, 2.0]), ("a", [3.0, 6.0]), (None, [5.0, 5.0]), (None, [5.0, 7.0])]
+    df = spark.createDataFrame(rows, "g string, v array<double>").repartition(3)
+    got = {(r["g"], r["i"], r["j"]): r["covariance"] for r in moments.group_covariance(df, "g", "v").collect()}
+    assert got["a", 0, 0] == pytest.approx(1) and got["a", 0, 1] == pytest.approx(2)
+    assert got[None, 1, 1] == pytest.approx(1) and got[None, 0, 0] == pytest.approx(0)
+
+
+def test_many_groups_are_fitted_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(mixture, "SLICE_GROUPS", 2)
+    rows = [(g * 10 + i, g, [float(g), float(i)]) for g in range(5) for i in range(4)]
+    df = stored(spark.createDataFrame(rows, "id long, g long, reduced array<double>"))
+    fitted = mixture.fit_groups(df, "g", "id", k=1)
+    assert sorted(fitted) == list(range(5))
+    assert all(m[1].converged and np.allclose(m[1].means[0], [g, 1.5]) for g, m in fitted.items())
+
+
 def test_candidate_counts():
     assert mixture.candidate_counts(1) == [1]
-    assert mixture.candidate_counts(12) == [1, 2, 3, 5, 8]
+    assert mixture.candidate_counts(12) == list(range(1, 12))
     assert mixture.candidate_counts(10**6)[-1] == 49
     assert mixture.candidate_counts(10**6, grid=range(1, 60)) == list(range(1, 50))
 

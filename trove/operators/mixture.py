@@ -26,14 +26,16 @@ from trove.operators.moments import as_matrix, sum_rows
 THRESHOLD = 0.1
 MAX_CLUSTERS = 50
 
-GRID = (1, 2, 3, 5, 8, 13, 21, 34, 49)
+# Every count below the most clusters is tried, unless a grid is given.
+GRID = tuple(range(1, MAX_CLUSTERS))
 RIDGE = 1e-6
 TOLERANCE = 1e-3
-ROUNDS = 20
+ROUNDS = 40
 SEED = 224
-# Rows per group that starting points are drawn from, and the most groups.
+# Rows per group that starting points are drawn from, by hash over all rows,
+# and the groups that are fitted at once.
 POOL_ROWS = 256
-MAX_GROUPS = 1000
+SLICE_GROUPS = 1000
 
 
 @dataclass
@@ -44,6 +46,7 @@ class Mixture:
     log_likelihood: float = -math.inf
     bic: float = math.inf
     history: tuple[float, ...] = ()
+    converged: bool = False
 
     @property
     def k(self) -> int:
@@ -128,31 +131,24 @@ def _start(pool: np.ndarray, k: int, seed: int) -> Mixture:
 
 def _pools(
     points: DataFrame, group_col: str, id_col: str, vector_col: str
-) -> tuple[dict[int, int], dict[int, np.ndarray]]:
-    """Row counts, and a bounded pool of rows per group in md5 order of the
-    key, which does not depend on the partitioning."""
-    sizes = {
-        int(r[0]): int(r[1])
-        for r in points.groupBy(F.col(group_col).cast("long")).count().limit(MAX_GROUPS + 1).collect()
-    }
-    if len(sizes) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups to fit")
-    order = Window.partitionBy("_group").orderBy("_order", "_id")
-    drawn = (
-        points.select(
-            F.col(group_col).cast("long").alias("_group"),
-            F.md5(F.col(id_col).cast("string")).alias("_order"),
-            F.col(id_col).alias("_id"),
-            F.col(vector_col).alias("_vector"),
-        )
-        .withColumn("_place", F.row_number().over(order))
-        .where(F.col("_place") <= POOL_ROWS)
-        .select("_group", "_place", "_vector")
-        .toPandas()
-        .sort_values(["_group", "_place"])
+) -> dict[int, np.ndarray]:
+    """A bounded pool of rows per group: those whose key has the least md5,
+    which draws from all rows and does not depend on the partitioning. Rows are
+    first drawn within hash ranges, so that no task sees those of all tasks."""
+    rows = points.select(
+        F.col(group_col).cast("long").alias("_group"),
+        F.md5(F.col(id_col).cast("string")).alias("_order"),
+        F.col(id_col).alias("_id"),
+        F.col(vector_col).alias("_vector"),
     )
-    pools = {int(g): np.vstack(p["_vector"].to_numpy()) for g, p in drawn.groupby("_group")}
-    return sizes, pools
+    salt = F.pmod(F.xxhash64("_id"), F.lit(POOL_ROWS)).alias("_salt")
+    for keys in (["_group", "_salt"], ["_group"]):
+        order = Window.partitionBy(*keys).orderBy("_order", "_id")
+        rows = rows.select("*", salt) if "_salt" not in rows.columns else rows
+        rows = rows.withColumn("_place", F.row_number().over(order))
+        rows = rows.where(F.col("_place") <= POOL_ROWS)
+    drawn = rows.select("_group", "_place", "_vector").toPandas().sort_values(["_group", "_place"])
+    return {int(g): np.vstack(p["_vector"].to_numpy()) for g, p in drawn.groupby("_group")}
 
 
 def fit_groups(
@@ -170,9 +166,29 @@ def fit_groups(
     """Fitted mixtures as ``{group: {k: mixture}}``; ``k`` fixes the count.
 
     ``points`` should be a stored table: it is read once per round, and a pair
-    of group and count drops out of the rounds once its gain is small.
+    of group and count drops out of the rounds once its gain is small; one that
+    is still gaining after the last round is not ``converged``. Many groups are
+    fitted a slice at a time.
     """
-    sizes, pools = _pools(points, group_col, id_col, vector_col)
+    counted = points.groupBy(F.col(group_col).cast("long").alias("g")).count()
+    sizes = {int(g): int(n) for g, n in counted.toLocalIterator() if g is not None}
+    names = sorted(sizes)
+    options = (max_clusters, k, rounds, tolerance, seed, grid)
+    if len(names) <= SLICE_GROUPS:
+        return _fit_slice(points, sizes, group_col, id_col, vector_col, *options)
+    fitted: dict[int, dict[int, Mixture]] = {}
+    for at in range(0, len(names), SLICE_GROUPS):
+        some = names[at : at + SLICE_GROUPS]
+        held = points.where(F.col(group_col).cast("long").isin(some))
+        part = {g: sizes[g] for g in some}
+        fitted |= _fit_slice(held, part, group_col, id_col, vector_col, *options)
+    return fitted
+
+
+def _fit_slice(
+    points, sizes, group_col, id_col, vector_col, max_clusters, k, rounds, tolerance, seed, grid
+) -> dict[int, dict[int, Mixture]]:
+    pools = _pools(points, group_col, id_col, vector_col)
     spark = points.sparkSession
     live: dict[tuple[int, int], Mixture] = {}
     for g, n in sizes.items():
@@ -219,7 +235,8 @@ def fit_groups(
             now.history = (*now.history, float(values[0]))
             now.log_likelihood = float(values[0])
             now.bic = -2 * values[0] + parameter_count(c, now.means.shape[1]) * math.log(n)
-            if gain < tolerance or turn == rounds - 1:
+            now.converged = bool(gain < tolerance)
+            if now.converged or turn == rounds - 1:
                 done[g, c] = live.pop((g, c))
             else:
                 live[g, c] = now.updated(values)
@@ -238,12 +255,15 @@ def best_by_bic(fitted: dict[int, dict[int, Mixture]]) -> dict[int, Mixture]:
 
 def bic_table(spark, fitted: dict[int, dict[int, Mixture]]) -> DataFrame:
     rows = [
-        (g, c, m.log_likelihood, float(m.bic), m is min(by_k.values(), key=lambda x: (x.bic, x.k)))
+        (
+            g, c, m.log_likelihood, float(m.bic),
+            m is min(by_k.values(), key=lambda x: (x.bic, x.k)), m.converged,
+        )
         for g, by_k in sorted(fitted.items())
         for c, m in sorted(by_k.items())
     ]
     return spark.createDataFrame(
-        rows, "group_id bigint, k int, log_likelihood double, bic double, chosen boolean"
+        rows, "group_id bigint, k int, log_likelihood double, bic double, chosen boolean, converged boolean",
     )
 
 
@@ -320,9 +340,7 @@ def group_gaussians(df: DataFrame, group_col: str, vector_col: str) -> Mixture:
 
     Groups become components in ascending order of their value.
     """
-    rows = _spread(df, [group_col], vector_col).orderBy(group_col).limit(MAX_GROUPS + 1).collect()
-    if len(rows) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups for one mixture")
+    rows = _spread(df, [group_col], vector_col).orderBy(group_col).collect()
     counts = np.array([float(r["n"]) for r in rows])
     spread = [np.diag(np.array(r["variance"]) + RIDGE) for r in rows]
     return Mixture(counts / counts.sum(), np.array([r["mean"] for r in rows]), np.stack(spread))

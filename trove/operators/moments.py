@@ -15,6 +15,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def as_matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -48,29 +49,34 @@ def group_moments(df: DataFrame, group_col: str, vector_col: str) -> DataFrame:
     spreads wide vectors over many reducers."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        held: dict = {}
+        kind = None
         for batch in batches:
-            groups, rows = batch.column(0).to_numpy(), as_matrix(batch.column(1))
-            for g in np.unique(groups):
-                part = rows[groups == g]
+            kind = batch.column(0).type
+            rows = as_matrix(batch.column(1))
+            names = batch.column(0).dictionary_encode(null_encoding="encode")
+            groups = names.indices.to_numpy()
+            for code, g in enumerate(names.dictionary.to_pylist()):
+                part = rows[groups == code]
                 new = [float(len(part)), part.sum(0), part.T @ part]
-                old = held.get(int(g))
-                held[int(g)] = new if old is None else [a + b for a, b in zip(old, new)]
+                old = held.get(g)
+                held[g] = new if old is None else [a + b for a, b in zip(old, new)]
         for g, (n, sums, outer) in held.items():
             at = [-1, *range(len(sums))]
             values = [np.r_[n, sums].tolist(), *outer.tolist()]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([g] * len(at), pa.int64()),
+                    pa.array([g] * len(at), kind),
                     pa.array(at, pa.int32()),
                     pa.array(values, pa.list_(pa.float64())),
                 ],
                 names=["_group", "_at", "_values"],
             )
 
-    source = df.select(F.col(group_col).cast("long"), F.col(vector_col).cast("array<double>"))
-    partials = source.mapInArrow(run, "_group bigint, _at int, _values array<double>")
-    return sum_rows(partials, ["_group", "_at"], "_values")
+    source = df.select(F.col(group_col).alias("_group"), F.col(vector_col).cast("array<double>"))
+    schema = source.select("_group").schema.add("_at", T.IntegerType())
+    schema = schema.add("_values", T.ArrayType(T.DoubleType()))
+    return sum_rows(source.mapInArrow(run, schema), ["_group", "_at"], "_values")
 
 
 def group_covariance(df: DataFrame, group_col: str, vector_col: str) -> DataFrame:
@@ -82,7 +88,8 @@ def group_covariance(df: DataFrame, group_col: str, vector_col: str) -> DataFram
         F.slice("_values", 2, F.size("_values") - 1).alias("_sums"),
     )
     outer = moments.where(F.col("_at") >= 0)
-    rows = outer.join(sums, "_group").select(
+    same = outer["_group"].eqNullSafe(sums["_group"])
+    rows = outer.join(sums, same).drop(sums["_group"]).select(
         "_group",
         F.col("_at").alias("i"),
         "_n",
@@ -92,5 +99,5 @@ def group_covariance(df: DataFrame, group_col: str, vector_col: str) -> DataFram
     product = F.col("_pair._values") / F.col("_n")
     means = (F.col("_mine") / F.col("_n")) * (F.col("_pair._sums") / F.col("_n"))
     return rows.select(
-        F.col("_group").cast(df.schema[group_col].dataType).alias(group_col), "i", "j", (product - means).alias("covariance")
+        F.col("_group").alias(group_col), "i", "j", (product - means).alias("covariance")
     )

@@ -63,7 +63,7 @@ def reduce_local(
     out_col: str = "reduced",
 ) -> DataFrame:
     """Project each group's unit vectors on that group's own main axes."""
-    unit = df.select(group_col, vec.unit(F.col(vector_col)).alias("_unit"))
+    unit = df.select(F.col(group_col).cast("long"), vec.unit(F.col(vector_col)).alias("_unit"))
     axes = local_axes(unit, group_col, "_unit", dim)
     sent = df.sparkSession.sparkContext.broadcast(axes)
 
