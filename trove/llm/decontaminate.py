@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
-from trove.llm.words import keyed, raw_texts, shingle_sets, words_of
+from trove.llm.words import blocks_of, keyed, raw_texts, shingle_sets
 from trove.session import stored
 
 SHINGLE = 5
@@ -84,13 +84,19 @@ class ItemIndex:
         return out
 
 
+def document_shingles(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """The sorted shingle hashes of each text."""
+    for _, _, words in blocks_of(texts):
+        yield from shingle_sets(words, SHINGLE)
+
+
 def item_sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``_id``, ``_n`` and ``_set`` (sorted 64-bit hashes) of rows that have words."""
     schema = df.select(F.col(id_col).alias("_id")).schema.add("_n", "long").add("_set", "binary")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(shingle_sets(words_of(raw_texts(batch, 1)), SHINGLE))
+            sets = list(document_shingles(raw_texts(batch, 1)))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -155,7 +161,7 @@ def _search_slice(
         item_ids, index = shipped.value
         for batch in batches:
             rows = []
-            for i, found in enumerate(shingle_sets(words_of(raw_texts(batch, 1)), SHINGLE)):
+            for i, found in enumerate(document_shingles(raw_texts(batch, 1))):
                 rows += [(i, no, shared) for no, shared in index.search(found)]
             at, no, shared = np.array(rows, np.int64).reshape(-1, 3).T
             sizes = np.array([len(index.sets[k]) for k in no], np.int64)
@@ -193,7 +199,7 @@ def decontaminate(
             index = shipped.value[1]
             for batch in batches:
                 texts = [t or b"" for t in raw_texts(batch, at)]
-                sets = shingle_sets(words_of(texts), SHINGLE)
+                sets = document_shingles(texts)
                 yield batch.filter(pa.array([not index.search(x) for x in sets], pa.bool_()))
 
         docs = docs.mapInArrow(clean, docs.schema)

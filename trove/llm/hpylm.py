@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trove.llm.words import keyed, raw_texts, word_hash, words_of
+from trove.llm.words import blocks_of, keyed, raw_texts, word_hash
 from trove.session import stored
 
 #: Words with a restaurant and a dish of their own.
@@ -114,12 +114,12 @@ def word_counts(texts: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(found), pa.array(times)], ["h", "c"])
 
         for batch in batches:
-            held.append(words_of(raw_texts(batch, last)).hashes.view(np.int64))
-            held.append(np.full(batch.num_rows, END_HASH))
-            have += len(held[-2])
-            if have > _FLUSH:
-                yield counted()
-                have = 0
+            for start, stop, words in blocks_of(raw_texts(batch, last)):
+                held += [words.hashes.view(np.int64), np.full(stop - start, END_HASH)]
+                have += len(words.hashes)
+                if have > _FLUSH:
+                    yield counted()
+                    have = 0
         if held:
             yield counted()
 
@@ -136,12 +136,10 @@ def head_cells(texts: DataFrame, head: np.ndarray) -> DataFrame:
         known, number = shipped.value
         total = np.zeros(size * size, np.int64)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            words = words_of(raw_texts(batch, last))
-            found = dishes_of(words.hashes.view(np.int64), known, number)
-            cells = cells_of(*with_ends(found, words.bounds, len(known)), size)
-            total += np.bincount(cells, minlength=size * size)
+            for _, _, words in blocks_of(raw_texts(batch, last)):
+                found = dishes_of(words.hashes.view(np.int64), known, number)
+                cells = cells_of(*with_ends(found, words.bounds, len(known)), size)
+                np.add.at(total, cells, 1)
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], ["cell", "c"])
 
@@ -188,7 +186,9 @@ def sample_contexts(cells: DataFrame, size: int) -> np.ndarray:
     totals by context and by dish, ``size`` numbers each, pass through the driver.
     """
     spark = cells.sparkSession
-    state = stored(cells.select("cell", "c", F.lit(1).cast("long").alias("t"), F.lit(0).cast("long").alias("sum")), "seats")
+    one, none = F.lit(1).cast("long").alias("t"), F.lit(0).cast("long").alias("sum")
+    state = cells.select("cell", "c", one, none).sortWithinPartitions("cell")
+    state = stored(state, "seats")
     ones = state.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     off = discount(*ones)
 
@@ -258,9 +258,12 @@ def sample_class(tail: DataFrame) -> tuple[DataFrame, float]:
         if sweep >= BURN_IN:
             totals.append((sweep, total))
         total = seated(tail, [(sweep, total)]).agg(F.coalesce(F.sum("t"), F.lit(0))).first()[0]
-    unseen = sum(STRENGTH + off * n for _, n in totals) / len(totals) / (STRENGTH + customers) * share
-    lp = F.log10((F.col("c") - off * F.col("t") / len(totals)) / (STRENGTH + customers) + unseen)
-    return seated(tail, totals).select("h", "c", lp.alias("lp")), float(np.log10(unseen))
+    seats = stored(seated(tail, totals), "class")
+    # With the tables of the very seats that are used, all probabilities add up to 1.
+    tables = seats.agg(F.coalesce(F.sum("t"), F.lit(0))).first()[0] / SAMPLES
+    unseen = (STRENGTH + off * tables) / (STRENGTH + customers) * share
+    lp = F.log10((F.col("c") - off * F.col("t") / SAMPLES) / (STRENGTH + customers) + unseen)
+    return seats.select("h", "c", lp.alias("lp")), float(np.log10(unseen))
 
 
 def fit(
@@ -271,7 +274,8 @@ def fit(
 ) -> tuple[Model, DataFrame]:
     """The model of all ``docs``, and the table of words that are not shipped."""
     texts = keyed(docs, text_col)
-    counts = stored(word_counts(texts), "words")
+    # Sorted, so that seats drawn from the rows of a batch are the same in any run.
+    counts = stored(word_counts(texts).sortWithinPartitions("h"), "words")
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
 
     # The lowest count level from which on no more words than may be shipped lie.
@@ -288,8 +292,7 @@ def fit(
 
     heads = docs.sparkSession.createDataFrame(pa.table({"h": np.append(head, END_HASH)}))
     tail = counts.join(F.broadcast(heads), "h", "left_anti")
-    seated, tail_unseen = sample_class(tail)
-    table = stored(seated, "class")
+    table, tail_unseen = sample_class(tail)
     after = sample_contexts(head_cells(texts, head), len(head) + 2)
 
     norm = tokens + 0.1 * (distinct + 1)
@@ -358,35 +361,32 @@ def score(
         ended = end < len(model.words) and model.words[end] == END_HASH
         end_base = model.base[end] if ended else model.base_unseen
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            words = words_of(raw_texts(batch, width))
-            found, bounds = words.hashes.view(np.int64), words.bounds
-            at = np.searchsorted(model.words, found)
-            at[at == len(model.words)] = 0
-            known = model.words[at] == found if len(model.words) else np.zeros(len(found), bool)
-            dishes = np.full(len(found), size - 1, np.int64)
-            dishes[known] = model.dish[at[known]]
-            base, tail = np.zeros(len(found)), np.zeros(len(found))
-            base[known], tail[known] = model.base[at[known]], model.tail[at[known]]
-            dishes, starts = with_ends(dishes, bounds, size - 2)
-            after = model.after.reshape(-1)[cells_of(dishes, starts, size)]
-            score = np.add.reduceat(after, starts) + sums(tail, bounds)
-            rest = sums(~known, bounds)
-            ends = np.append(0, np.cumsum(rest)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *batch.columns[:width],
-                    pa.array(np.diff(bounds) + 1),
-                    pa.array(np.diff(bounds) - rest + int(ended)),
-                    pa.array(sums(base, bounds) + end_base),
-                    pa.array(score),
-                    pa.array(np.arange(row, row + batch.num_rows)),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(found[~known])),
-                ],
-                schema.names,
-            )
-            row += batch.num_rows
+            for start, stop, words in blocks_of(raw_texts(batch, width)):
+                found, bounds = words.hashes.view(np.int64), words.bounds
+                at = np.searchsorted(model.words, found)
+                at[at == len(model.words)] = 0
+                known = model.words[at] == found if len(model.words) else np.zeros(len(found), bool)
+                dishes = np.full(len(found), size - 1, np.int64)
+                dishes[known] = model.dish[at[known]]
+                base, tail = np.zeros(len(found)), np.zeros(len(found))
+                base[known], tail[known] = model.base[at[known]], model.tail[at[known]]
+                dishes, starts = with_ends(dishes, bounds, size - 2)
+                after = model.after.reshape(-1)[cells_of(dishes, starts, size)]
+                rest = sums(~known, bounds)
+                ends = np.append(0, np.cumsum(rest)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(c.slice(start, stop - start) for c in batch.columns[:width]),
+                        pa.array(np.diff(bounds) + 1),
+                        pa.array(np.diff(bounds) - rest + int(ended)),
+                        pa.array(sums(base, bounds) + end_base),
+                        pa.array(np.add.reduceat(after, starts) + sums(tail, bounds)),
+                        pa.array(np.arange(row, row + stop - start)),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(found[~known])),
+                    ],
+                    schema.names,
+                )
+                row += stop - start
 
     first = stored(keyed(docs, text_col, *ids).mapInArrow(run, schema), "scores")
     asked = first.select("_row", F.explode("_rest").alias("h")).groupBy("_row", "h").count()

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from trove.llm import setjoin
 from trove.llm.rarity import rarity
-from trove.llm.words import distinct, keyed, raw_texts, words_of
+from trove.llm.words import Words, blocks_of, distinct, keyed, raw_texts
 from trove.session import stored
 
 #: Lines of fewer distinct words are never removed and remove nothing.
@@ -32,7 +32,11 @@ LEAST_WORDS = 5
 
 def line_sets(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray]]:
     """The number and word set of each line with enough distinct words."""
-    words = words_of(texts)
+    for start, _, words in blocks_of(texts):
+        yield from ((start + owner, unit, found) for owner, unit, found in _sets_of(words))
+
+
+def _sets_of(words: Words) -> Iterator[tuple[int, int, np.ndarray]]:
     lines = words.lines()
     cuts = np.flatnonzero(np.diff(lines)) + 1
     lows, highs = np.append(0, cuts)[: len(lines)], np.append(cuts, len(lines))[: len(lines)]

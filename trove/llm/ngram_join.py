@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from trove.llm import setjoin
 from trove.llm.components import components
 from trove.llm.rarity import SIZES, Rarity, rarity
-from trove.llm.words import keyed, mixed, shingle_sets, words_of
+from trove.llm.words import blocks_of, keyed, mixed, shingle_sets
 from trove.session import stored
 
 SHINGLE = 5
@@ -38,8 +38,9 @@ VERIFY_COST = 4.0
 
 def document_sets(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray]]:
     """The one set of each document: its shingles, none without words."""
-    for i, found in enumerate(shingle_sets(words_of(texts), SHINGLE)):
-        yield i, 0, found
+    for start, _, words in blocks_of(texts):
+        for i, found in enumerate(shingle_sets(words, SHINGLE), start):
+            yield i, 0, found
 
 
 def partner_sizes(n: int, percent: int) -> range:

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Bytes that are hashed at once; a longer word is hashed whole.
 BLOCK = 1 << 19
+#: Bytes of texts that are worked on together; a longer text is alone.
+TEXTS = 8 << 20
 
 _ODD = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64
@@ -114,6 +116,12 @@ def words_of(texts: list[bytes], lower: bool = True) -> Words:
     return Words(data, offsets, flat, at, np.searchsorted(at, offsets))
 
 
+def blocks_of(texts: list[bytes], lower: bool = True) -> Iterator[tuple[int, int, Words]]:
+    """Ranges of neighbouring texts of about ``TEXTS`` bytes, with their words."""
+    for start, stop in by_bytes(texts, TEXTS):
+        yield start, stop, words_of(texts[start:stop], lower)
+
+
 def word_hash(word: bytes) -> int:
     """The signed hash of one word."""
     (found,) = words_of([word], lower=False).hashes.view(np.int64).tolist()
@@ -169,7 +177,7 @@ def keyed(docs: DataFrame, text_col: str, *ids: Column | str) -> DataFrame:
     return docs.select(*ids, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 
 
-def by_bytes(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
+def by_bytes(texts: list[str] | list[bytes], limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of neighbours whose lengths add up to about ``limit``."""
     start = total = 0
     for i, text in enumerate(texts):
