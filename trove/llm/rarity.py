@@ -25,7 +25,7 @@ BLOCK = 1 << 16
 FAN_IN = 256
 #: Sets of at most so many members are also counted by size.
 SIZES = 64
-_HELD = 1 << 21
+_HELD = 1 << 20
 
 #: Makes ``(text number, unit number, sorted set of hashes)`` of texts.
 Sets = Callable[[list[bytes]], Iterator[tuple[int, int, np.ndarray]]]
@@ -52,15 +52,15 @@ def rarity(texts: DataFrame, sets: Sets, width: int = WIDTH) -> Rarity:
     last = len(texts.columns) - 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, sizes = np.zeros(width, np.int64), np.zeros(BLOCK, np.int64)
+        total, sizes = np.zeros(width, np.int32), np.zeros(BLOCK, np.int32)
         held: list[np.ndarray] = []
         have = 0
 
         def add() -> None:
-            nonlocal total, have
+            nonlocal have
             if held:
                 low = np.concatenate(held) & np.uint64(width - 1)
-                total += np.bincount(low.astype(np.int64), minlength=width)
+                np.add.at(total, low.view(np.int64), 1)
                 held.clear()
             have = 0
 
@@ -78,7 +78,11 @@ def rarity(texts: DataFrame, sets: Sets, width: int = WIDTH) -> Rarity:
         for block, part in enumerate(parts):
             if part.any():
                 yield pa.RecordBatch.from_pydict(
-                    {"block": [block], "fan": [fan], "data": [zlib.compress(part.tobytes(), 1)]},
+                    {
+                        "block": [block],
+                        "fan": [fan],
+                        "data": [zlib.compress(part.astype(np.int64).tobytes(), 1)],
+                    },
                     schema=pa.schema([("block", pa.int32()), ("fan", pa.int32()), ("data", pa.binary())]),
                 )
 
