@@ -220,3 +220,18 @@ def test_partition_sizes():
     huge = sized(100 << 40, 8000)
     assert huge["spark__sql__shuffle__partitions"] == "50000"
     assert huge["spark__sql__files__maxPartitionBytes"] == str(1 << 30)
+
+
+@pytest.mark.parametrize("bad", [[1.0, 2.0, 3.0], [1.0, None], []])
+def test_insert_refuses_wrong_vectors(spark, bad):
+    name = f"refusing_{uuid.uuid4().hex}"
+    collections.create(spark, name, collections.collection_schema(dynamic=False), dim=2)
+    schema = "id long, embedding array<float>"
+    collections.insert(spark.createDataFrame([(1, [1.0, 2.0]), (2, None)], schema), name)
+    rows = spark.createDataFrame([(3, [1.0, 2.0]), (4, bad)], schema)
+    with pytest.raises(Exception, match="another length than 2"):
+        collections.insert(rows, name)
+    taken, refused = collections.split_vectors(rows, 2)
+    assert [r["id"] for r in taken.collect()] == [3] and [r["id"] for r in refused.collect()] == [4]
+    assert collections.settings(spark, name) == {"metric": "cosine", "index": "AUTOINDEX", "dim": "2"}
+    spark.sql(f"DROP TABLE {name}")

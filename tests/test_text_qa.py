@@ -153,3 +153,10 @@ def test_stored_index_reads_only_what_a_query_holds(spark, small_dir):
     assert read and not any("text" in columns for columns in read)
     fresh = hybrid.hybrid_search(asked, docs, "qid", "doc_id", limit=5, drop_ratio=0.0)
     assert sorted(hits.collect()) == sorted(fresh.collect())
+
+
+def test_a_history_at_one_instant_is_ranked(spark):
+    rows = [(i, 7, "2024-01-01 00:00:00") for i in range(500)] + [(900, None, "2024-01-02 00:00:00")]
+    df = spark.createDataFrame(rows, "id long, user long, ts string").repartition(6)
+    got = chatlog.history_by_user(df, "user", "ts", "id")
+    assert sorted((r["place"], r["id"]) for r in got.collect()) == [(i + 1, 499 - i) for i in range(500)]

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trove.operators.ranking import top_k
+from trove.operators.ranking import places, top_k
 
 BLOCK_TURNS = 1000
 
@@ -14,26 +14,12 @@ def history_by_user(df: DataFrame, user_col: str, time_col: str, id_col: str) ->
     """Each user's rows with their ``place``, newest first; a row without a
     user is nobody's.
 
-    Places are counted in two steps, rows of later hours plus the place inside
-    the hour, so that no task has to sort the whole history of a busy user.
+    Rows are ranked by ranges of user and time, so that no task has to sort the
+    whole history of a busy user, even if all of it fell on one instant.
     """
-    rows = df.where(F.col(user_col).isNotNull()).withColumn(
-        "_hour", F.date_trunc("hour", F.col(time_col))
-    )
-    hours = rows.groupBy(user_col, "_hour").agg(F.count(F.lit(1)).alias("_n"))
-    later = Window.partitionBy(user_col).orderBy(F.desc("_hour")).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    before = hours.select(
-        user_col, "_hour", F.coalesce(F.sum("_n").over(later), F.lit(0)).alias("_later")
-    )
-    inside = Window.partitionBy(user_col, "_hour").orderBy(F.desc(time_col), F.desc(id_col))
-    return (
-        rows.withColumn("_inside", F.row_number().over(inside))
-        .join(before, [user_col, "_hour"])
-        .withColumn("place", F.col("_later") + F.col("_inside"))
-        .drop("_hour", "_inside", "_later")
-    )
+    rows = df.where(F.col(user_col).isNotNull())
+    found = places(rows, user_col, [F.desc(time_col), F.desc(id_col)])
+    return found.withColumn("place", F.col("place") + 1)
 
 
 def newest(df: DataFrame, user_col: str, time_col: str, id_col: str, limit: int) -> DataFrame:

@@ -11,6 +11,7 @@ from trove.functions.models import HashEmbedder
 from trove.operators import bm25, dense, fusion, sparse
 from trove.operators.prep import filter_expression
 from trove.session import SMALL_ROWS, stored, work_path
+from trove.sources import collections
 
 
 def _asked(queries: DataFrame, query_col: str, query_text: str) -> tuple[DataFrame, bool]:
@@ -107,6 +108,31 @@ def hybrid_search(
     return fusion.fuse(legs, limit, query_col, id_col)
 
 
+def search_collection(
+    queries: DataFrame,
+    name: str,
+    query_col: str,
+    query_text: str = "text",
+    text_col: str = "text",
+    output_fields: list[str] | None = None,
+    **options,
+) -> DataFrame:
+    """Hybrid search of a collection by name, over all rows inserted so far.
+
+    Distances follow the metric that the collection records. Its stored vectors
+    are used as they are, and terms are counted from its texts, so rows that are
+    appended later need no other step.
+    """
+    spark = queries.sparkSession
+    rows = spark.table(name)
+    metric = collections.settings(spark, name).get("metric", collections.DENSE_METRIC)
+    hits = hybrid_search(
+        queries, rows, query_col, "id", query_text, text_col,
+        metric=metric, vector_col="embedding", **options,
+    )
+    return dense.with_fields(hits, rows, output_fields, "id") if output_fields else hits
+
+
 @dataclass(frozen=True)
 class TextIndex:
     """A stored collection: ``docs`` with vectors, ``postings`` by term slot,

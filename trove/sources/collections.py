@@ -90,10 +90,38 @@ def recreate(spark: SparkSession, name: str, schema: T.StructType, **kwargs) ->
     create(spark, name, schema, **kwargs)
 
 
+def settings(spark: SparkSession, name: str) -> dict[str, str]:
+    """What the collection records about itself: ``metric``, ``index``, ``dim``."""
+    rows = spark.sql(f"SHOW TBLPROPERTIES {name}").collect()
+    return {r["key"][len(PREFIX) :]: r["value"] for r in rows if r["key"].startswith(PREFIX)}
+
+
 def insert(df: DataFrame, name: str) -> None:
-    """Append rows, matching columns by name and packing undeclared ones."""
-    target = df.sparkSession.table(name).schema
-    fit(df, target).write.insertInto(name)
+    """Append rows, matching columns by name and packing undeclared ones.
+
+    A vector whose length is not the recorded ``dim``, or that holds a null,
+    fails the insert; see ``split_vectors``.
+    """
+    spark = df.sparkSession
+    rows = fit(df, spark.table(name).schema)
+    dim = settings(spark, name).get("dim")
+    if dim is not None:
+        found = F.format_string("vector of another length than %s or with a null", F.lit(dim))
+        checked = F.when(~wrong_vector(int(dim)), F.col("embedding")).otherwise(F.raise_error(found))
+        rows = rows.withColumn("embedding", checked)
+    rows.write.insertInto(name)
+
+
+def wrong_vector(dim: int, vector_col: str = "embedding") -> Column:
+    """Whether a vector that is there has another length or holds a null."""
+    uneven = (F.size(vector_col) != dim) | F.exists(vector_col, lambda x: x.isNull())
+    return F.coalesce(F.col(vector_col).isNotNull() & uneven, F.lit(False))
+
+
+def split_vectors(df: DataFrame, dim: int, vector_col: str = "embedding") -> tuple[DataFrame, DataFrame]:
+    """Rows that a collection of this ``dim`` takes, and those that it refuses."""
+    wrong = wrong_vector(dim, vector_col)
+    return df.where(~wrong), df.where(wrong)
 
 
 def insert_row(spark: SparkSession, name: str, **values) -> None:
@@ -154,11 +182,7 @@ def describe(spark: SparkSession, name: str) -> DataFrame:
     """Columns, properties and row count of one collection, as rows."""
     table = spark.table(name)
     columns = [("column", f.name, f.dataType.simpleString()) for f in table.schema.fields]
-    properties = [
-        ("property", r["key"][len(PREFIX):], r["value"])
-        for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()
-        if r["key"].startswith(PREFIX)
-    ]
+    properties = [("property", k, v) for k, v in settings(spark, name).items()]
     listed = spark.createDataFrame(columns + properties, "kind string, name string, value string")
     rows = table.agg(F.count(F.lit(1)).cast("string").alias("value")).select(
         F.lit("rows").alias("kind"), F.lit("row_count").alias("name"), "value"

@@ -244,6 +244,12 @@ schema, table_name, 'read-only' AS access, row_count FROM r JOIN n USING (table_
 ('property', 'metric', 'cosine'), ('property', 'index', 'AUTOINDEX'), ('property', 'dim', '64'))
 AS v(kind, name, value)
 UNION ALL SELECT 'rows', 'row_count', count(*)::VARCHAR FROM embeddings""",
+        "collection_hybrid_search": f"""WITH {hybrid(10, 20)}
+SELECT item_id, rank, doc_id AS id, score FROM h""",
+        "collection_append_search": f"""WITH {hybrid(10, 20)}
+SELECT item_id, rank, doc_id AS id, score, source FROM h JOIN documents USING (doc_id)""",
+        "collection_refused_vectors": """SELECT vec_id AS id, label % 2 = 0 AS taken
+FROM embeddings""",
         "auto_id_unique": "SELECT 2 * count(*) AS n_rows, 2 * count(*) AS n_ids FROM documents",
         "dynamic_fields": """SELECT event_id AS id, value, event_type, user_id,
 json_extract_string(props, '$.k')::BIGINT AS k FROM events""",

@@ -162,6 +162,51 @@ def collection_describe(spark, sf_dir):
     return collections.describe(spark, name)
 
 
+def _text_collection(spark, sf_dir, parts):
+    """Documents in a collection of cosine metric, inserted in ``parts`` steps."""
+    name = _name()
+    kinds = ("text", "lang", "source")
+    fields = T.StructType([T.StructField(c, T.StringType()) for c in kinds])
+    schema = collections.collection_schema(fields, dynamic=False)
+    collections.create(spark, name, schema, metric="cosine", dim=64)
+    rows = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), *kinds)
+    ready = HashEmbedder().embed(prep.fill_missing(rows), "text")
+    for part in range(parts):
+        collections.insert(ready.where(F.pmod("id", F.lit(parts)) == part), name)
+    return name
+
+
+def collection_hybrid_search(spark, sf_dir):
+    """Filled, embedded and inserted rows, searched by the collection's name."""
+    name = _text_collection(spark, sf_dir, 1)
+    return hybrid.search_collection(
+        table(spark, sf_dir, "benchmark"), name, "item_id", limit=10, leg_limit=20
+    )
+
+
+def collection_append_search(spark, sf_dir):
+    """The same rows appended in three steps are all found."""
+    name = _text_collection(spark, sf_dir, 3)
+    return hybrid.search_collection(
+        table(spark, sf_dir, "benchmark"), name, "item_id", limit=10, leg_limit=20,
+        output_fields=["source"],
+    )
+
+
+def collection_refused_vectors(spark, sf_dir):
+    """Vectors of odd labels lose a value; the collection refuses those rows."""
+    rows = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
+    cut = F.when(F.col("label") % 2 == 1, F.slice("embedding", 1, 63)).otherwise(F.col("embedding"))
+    taken, refused = collections.split_vectors(rows.withColumn("embedding", cut), 64)
+    name = _name()
+    schema, _ = _collection(spark, sf_dir, name)
+    collections.create(spark, name, schema, dim=64)
+    collections.insert(taken, name)
+    return spark.table(name).select("id", F.lit(True).alias("taken")).unionByName(
+        refused.select("id", F.lit(False).alias("taken"))
+    )
+
+
 def auto_id_unique(spark, sf_dir):
     name = _name()
     fields = T.StructType([T.StructField("text", T.StringType())])
@@ -727,6 +772,7 @@ def nest_messages(spark, sf_dir):
 ALL = [
     csv_roundtrip, run_sql_products, catalog_tables, catalog_columns, catalog_reflect,
     catalog_cards, collection_create_insert, collection_recreate, collection_describe,
+    collection_hybrid_search, collection_append_search, collection_refused_vectors,
     auto_id_unique, dynamic_fields, ingest_batch, ingest_stream, ingest_stream_twice, fill_missing, prepare_rows,
     prepare_rows_keep_text, filter_category, filter_search, filter_expr, cast_to_schema,
     preview_top5, hash_embed, token_counts, token_length_stats, bm25_fit, bm25_encode_docs,
