@@ -343,6 +343,15 @@ vl AS ({ranked("v", "item_id", "doc_id", 10)}),
 SELECT h.*, source, lang FROM h JOIN documents USING (doc_id)""",
         "hybrid_top1": f"""WITH {hybrid(1, 10)} SELECT item_id, source AS "SOURCE_NAME",
 lang AS "LANGUAGE", text AS "TEXT" FROM h JOIN documents USING (doc_id)""",
+        "reduce_global_products": """WITH u AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)
+SELECT a.vec_id AS id, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v))
+    * sqrt(list_dot_product(b.v, b.v))), 5) + 0.0 AS product
+FROM u a JOIN u b ON b.vec_id = a.vec_id + 1""",
+        "reduce_local_products": """WITH u AS (SELECT vec_id, label, embedding::DOUBLE[] AS v
+    FROM embeddings WHERE label IS NOT NULL)
+SELECT a.vec_id AS id, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v))
+    * sqrt(list_dot_product(b.v, b.v))), 5) + 0.0 AS product
+FROM u a JOIN u b ON b.vec_id = a.vec_id + 1 AND a.label = b.label""",
         "group_covariance": """WITH p AS (SELECT vec_id, label,
     unnest(range(64))::INTEGER AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
 g AS (SELECT a.label, a.i AS i, b.i AS j, avg(a.x * b.x) - avg(a.x) * avg(b.x) AS v

@@ -546,6 +546,29 @@ def reduce_local(spark, sf_dir):
     return _long(axes.reduce_local(_vectors(spark, sf_dir), "label", 10), "id", "reduced")
 
 
+def _products(rows, keys):
+    """Dot products of each reduced vector with that of the next id."""
+    near = rows.select(*keys, F.col("id").alias("before"), F.col("reduced").alias("x"))
+    after = rows.select(*keys, (F.col("id") - 1).alias("before"), F.col("reduced").alias("y"))
+    total = F.aggregate(
+        F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda sum_, v: sum_ + v
+    )
+    return near.join(after, [*keys, "before"]).select(
+        F.col("before").alias("id"), (F.round(total, 5) + F.lit(0.0)).alias("product")
+    )
+
+
+def reduce_global_products(spark, sf_dir):
+    """On all axes, products of neighbours are those of their unit vectors."""
+    return _products(axes.reduce_global(_vectors(spark, sf_dir), 64), [])
+
+
+def reduce_local_products(spark, sf_dir):
+    """The same on the axes of each label, for neighbours of one label."""
+    rows = _vectors(spark, sf_dir).where("label IS NOT NULL")
+    return _products(axes.reduce_local(rows, "label", 64), ["label"])
+
+
 def group_covariance(spark, sf_dir):
     out = moments.group_covariance(_vectors(spark, sf_dir), "label", "embedding")
     return out.select(
@@ -780,7 +803,8 @@ ALL = [
     date_display, text_preview, currency_display, hex_bytes, search_cosine, search_l2, search_ip,
     search_filtered_semi, knn_join_topk, ivf_build_label_cells, ivf_search_label_cells,
     ivf_full_probe, ivf_kmeans_cells, sparse_index_build, bm25_search, bm25_search_drop, rrf_fuse,
-    hybrid_search, hybrid_search_stored, hybrid_top1, reduce_global, reduce_local, group_covariance, knn_graph,
+    hybrid_search, hybrid_search_stored, hybrid_top1, reduce_global, reduce_local, reduce_global_products,
+    reduce_local_products, group_covariance, knn_graph,
     bic_single_gaussian, bic_choice, mixture_members, soft_assign, cluster_offsets,
     small_group_bypass, embed_cluster, explode_membership, distinct_clusters, concat_cluster,
     concat_cluster_text_keys,
