@@ -476,6 +476,17 @@ def ivf_full_probe(spark, sf_dir):
     return ivf.search(_as_queries(rows), index, 10, N_CELLS, "l2")
 
 
+def auto_index_search(spark, sf_dir):
+    """The same call without an index, and with one all of whose cells are probed."""
+    rows = _vectors(spark, sf_dir)
+    index = ivf.write(ivf.build(rows, N_CELLS))
+    found = []
+    for kind, given in (("exact", None), ("cells", index)):
+        hits = ivf.auto_search(_as_queries(rows), rows, given, 10, "l2", N_CELLS)
+        found.append(hits.select("*", F.lit(kind).alias("kind")))
+    return found[0].unionByName(found[1])
+
+
 def ivf_kmeans_cells(spark, sf_dir):
     return ivf.cell_sizes(ivf.build(_vectors(spark, sf_dir), N_CELLS))
 
@@ -802,7 +813,7 @@ ALL = [
     bm25_encode_query_idf, bm25_encode_query_tf, prompt_render, describe_tables, pct_change,
     date_display, text_preview, currency_display, hex_bytes, search_cosine, search_l2, search_ip,
     search_filtered_semi, knn_join_topk, ivf_build_label_cells, ivf_search_label_cells,
-    ivf_full_probe, ivf_kmeans_cells, sparse_index_build, bm25_search, bm25_search_drop, rrf_fuse,
+    ivf_full_probe, auto_index_search, ivf_kmeans_cells, sparse_index_build, bm25_search, bm25_search_drop, rrf_fuse,
     hybrid_search, hybrid_search_stored, hybrid_top1, reduce_global, reduce_local, reduce_global_products,
     reduce_local_products, group_covariance, knn_graph,
     bic_single_gaussian, bic_choice, mixture_members, soft_assign, cluster_offsets,
