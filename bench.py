@@ -35,6 +35,9 @@ HEADLINE = [
     work.knn_graph,
     work.soft_assign,
     work.group_covariance,
+    work.reduce_global,
+    work.reduce_local,
+    work.mixture_members,
     work.concat_cluster,
     work.summarise_extractive,
     work.raptor_tree_fixed,

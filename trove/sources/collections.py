@@ -11,8 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trove.session import work_path
-
 DYNAMIC = "_dynamic"
 PREFIX = "trove."
 
@@ -69,7 +67,10 @@ def create(
     if_absent: bool = False,
     path: str | None = None,
 ) -> None:
-    """Make an empty collection. ``if_absent`` leaves an existing one alone."""
+    """Make an empty collection. ``if_absent`` leaves an existing one alone.
+
+    Without ``path`` its data lie in the warehouse and go when it is dropped.
+    """
     if if_absent and exists(spark, name):
         return
     properties = {"metric": metric, "index": index}
@@ -77,15 +78,12 @@ def create(
         properties["dim"] = str(dim)
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
     listed = ", ".join(f"'{PREFIX}{k}' = '{v}'" for k, v in properties.items())
-    where = path or work_path(spark, name)
-    spark.sql(
-        f"CREATE TABLE {name} ({columns}) USING parquet LOCATION '{where}' "
-        f"TBLPROPERTIES ({listed})"
-    )
+    where = f"LOCATION '{path}' " if path else ""
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet {where}TBLPROPERTIES ({listed})")
 
 
 def recreate(spark: SparkSession, name: str, schema: T.StructType, **kwargs) -> None:
-    """Drop the collection if present and make it anew at a fresh location."""
+    """Drop the collection if present and make it anew."""
     spark.sql(f"DROP TABLE IF EXISTS {name}")
     create(spark, name, schema, **kwargs)
 
