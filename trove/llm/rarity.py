@@ -41,6 +41,10 @@ class Rarity:
         #: How many sets hold a hash, weighted by how often it is met.
         self.mean_list = float((held**2).sum() / max(held.sum(), 1))
 
+    def level_of(self, hashes: np.ndarray) -> np.ndarray:
+        """The level of each hash."""
+        return self.levels[(hashes & np.uint64(len(self.levels) - 1)).view(np.int64)]
+
     def order(self, found: np.ndarray) -> np.ndarray:
         """The places of a sorted set's hashes from the rarest to the most frequent."""
         low = found & np.uint64(len(self.levels) - 1)

@@ -57,14 +57,15 @@ def units(
     ``posted`` has the prefix in order, once per distinct set of a task. Where
     ``subsets`` answers for a set, ``subset`` has the signatures it gives and
     ``lower`` whether the set is the smaller kind there; ``posted`` may then
-    still be needed for larger partners. ``bits`` is the set's ``parity``.
+    still be needed for larger partners. ``bits`` and ``more`` are the
+    set's ``parities``.
     Empty sets have no ``fp``.
     """
     shipped = texts.sparkSession.sparkContext.broadcast(rare)
     ids = texts.columns[:-1]
     schema = texts.select(*(f"`{c}`" for c in ids)).schema
     made = (
-        "unit int, n int, fp long, bits long, "
+        "unit int, n int, fp long, bits long, more long, "
         "posted array<long>, subset array<long>, lower array<boolean>"
     )
     for field in T.StructType.fromDDL(made):
@@ -74,32 +75,38 @@ def units(
         done: set[int] = set()
         empty = np.empty(0, np.uint64)
         for batch in batches:
-            at, no, sizes, prints, bits = [], [], [], [], []
+            at, no, sizes, prints, found_sets = [], [], [], [], []
             posted, subset, lower = [], [], []
             for i, unit, found in sets(raw_texts(batch, len(ids))):
                 at.append(i)
                 no.append(unit)
                 sizes.append(len(found))
+                found_sets.append(found)
+            flat = np.concatenate(found_sets) if found_sets else empty
+            levels, stop = shipped.value.level_of(flat), 0
+            for found in found_sets:
+                start, stop = stop, stop + len(found)
                 fp = fingerprint(found) if len(found) else None
                 prints.append(fp)
-                bits.append(parity(found))
                 first, signs, small = empty, empty, empty
                 if fp is not None and fp not in done:
                     if len(done) > 1_000_000:
                         done.clear()
                     done.add(fp)
-                    first = found[shipped.value.order(found)[: prefix_length(len(found), percent)]]
+                    order = levels[start:stop].argsort(kind="stable")
+                    first = found[order[: prefix_length(len(found), percent)]]
                     signs, small = subsets(found) or (empty, empty)
                 posted.append(first)
                 subset.append(signs)
                 lower.append(small)
+            bits = [parities(flat, np.array(sizes, np.int64), k) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(
                 [
                     *(c.take(pa.array(at, pa.int64())) for c in batch.columns[: len(ids)]),
                     pa.array(no, pa.int32()),
                     pa.array(sizes, pa.int32()),
                     pa.array(prints, pa.int64()),
-                    pa.array(np.array(bits, np.uint64).view(np.int64)),
+                    *map(pa.array, bits),
                     _lists(posted, np.int64),
                     _lists(subset, np.int64),
                     _lists(lower, bool),
@@ -117,12 +124,21 @@ def _lists(rows: list[np.ndarray], kind) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
 
 
-def parity(found: np.ndarray) -> int:
-    """64 bits, each telling whether an odd number of members fall on it.
+def parities(flat: np.ndarray, sizes: np.ndarray, half: int) -> np.ndarray:
+    """Half of 128 bits per set, each telling whether an odd number of members fall on it.
 
-    Two sets differ in at least as many members as these differ in bits.
+    ``flat`` has the members of all sets, one after another; a member falls on
+    one bit of one half. Two sets differ in at least as many members as their
+    parities differ in bits.
     """
-    return int(np.bitwise_xor.reduce(np.uint64(1) << (found >> np.uint64(58)), initial=np.uint64(0)))
+    out = np.zeros(len(sizes), np.uint64)
+    some = np.flatnonzero(sizes)
+    if len(some):
+        one = np.uint64(1) << (flat >> np.uint64(58))
+        one *= ((flat >> np.uint64(57)) & np.uint64(1)) == np.uint64(half)
+        starts = (np.cumsum(sizes) - sizes)[some]
+        out[some] = np.bitwise_xor.reduceat(one, starts)
+    return out.view(np.int64)
 
 
 def close_lists(found: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -134,25 +150,26 @@ def close_lists(found: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs. What it holds is the members of one list within one length window.
     """
     rows = found.where("fp IS NOT NULL").select(
-        "fp", "n", "bits", F.posexplode("posted").alias("pos", "token")
+        "fp", "n", "bits", "more", F.posexplode("posted").alias("pos", "token")
     )
     packed = rows.select(
         F.shiftright("token", 32).cast("int").alias("token"),
         (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("npos"),
         "fp",
         "bits",
+        "more",
     )
     lists = packed.repartition("token").sortWithinPartitions("token", "npos")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64)] * 4
+        held = [np.empty(0, np.int64)] * 5
         close = np.empty(0, bool)
         for batch in batches:
             new = [c.to_numpy().astype(np.int64) for c in batch.columns]
             seen = len(close)
             held = [np.concatenate(x) for x in zip(held, new, strict=True)]
             close = np.concatenate([close, np.zeros(batch.num_rows, bool)])
-            token, npos, fp, bits = held
+            token, npos, fp, bits, more = held
             n = npos >> 32
             own = n - (npos & 0xFFFFFFFF)
             i = np.arange(len(token))
@@ -169,7 +186,8 @@ def close_lists(found: DataFrame, percent: int = PERCENT) -> DataFrame:
                 least = -(-percent * most // (100 + percent))
                 yes = np.minimum(own[a], own[b]) >= least
                 a, b, most, least = a[yes], b[yes], most[yes], least[yes]
-                differ = np.bitwise_count((bits[a] ^ bits[b]).view(np.uint64))
+                differ = np.bitwise_count((bits[a] ^ bits[b]).view(np.uint64)).astype(np.int64)
+                differ += np.bitwise_count((more[a] ^ more[b]).view(np.uint64))
                 yes = (differ <= most - 2 * least) & (fp[a] != fp[b])
                 close[a[yes]] = True
                 close[b[yes]] = True
@@ -179,13 +197,14 @@ def close_lists(found: DataFrame, percent: int = PERCENT) -> DataFrame:
             held, close = [x[stays] for x in held], close[stays]
         yield pa.RecordBatch.from_arrays([pa.array(x[close]) for x in held], names)
 
-    names = ["token", "npos", "fp", "bits"]
-    made = lists.mapInArrow(scan, "token long, npos long, fp long, bits long")
+    names = ["token", "npos", "fp", "bits", "more"]
+    made = lists.mapInArrow(scan, "token long, npos long, fp long, bits long, more long")
     me = F.struct(
         F.expr("CAST(npos & 4294967295 AS int)").alias("pos"),
         F.shiftright("npos", 32).cast("int").alias("n"),
         "fp",
         "bits",
+        "more",
     )
     return made.select("token", me.alias("me"))
 
@@ -196,7 +215,7 @@ def alike(a: str, b: str, percent: int = PERCENT) -> Column:
     # Twice the overlap that is needed, rounded up, leaves the most to differ in.
     least = f"(({percent} * ({both}) + {99 + percent}) div {100 + percent})"
     return fits(a, b, percent) & F.expr(
-        f"bit_count({a}.bits ^ {b}.bits) <= {both} - 2 * {least}"
+        f"bit_count({a}.bits ^ {b}.bits) + bit_count({a}.more ^ {b}.more) <= {both} - 2 * {least}"
     )
 
 
