@@ -540,6 +540,29 @@ def test_model_of_nothing(odd, none):
     assert np.isfinite(got.score).all() and (got.base_score == 0).all() and (got.n_known == 0).all()
 
 
+def test_pairs_beyond_the_head_keep_both_words(spark):
+    """Rare words as context and as next word; everything after a context adds up to 1."""
+    texts = [f"the x{k} y{k} of z" for k in range(30)] * 2 + ["the of the z"] * 20
+    docs = make_docs(spark, list(enumerate(texts)))
+    asked = make_docs(spark, [(0, "x3 y3"), (1, "x3 y4"), (2, "x3 never"), (3, "never y3")])
+    for shipped in (1000, 4):
+        model, table = hpylm.fit(docs, head_words=3, shipped_words=shipped)
+        got = {r.doc_id: r.score for r in hpylm.score(asked, model, table).collect()}
+        assert got[0] > got[1] + 0.5 and got[0] > got[3] + 0.5 and np.isfinite(list(got.values())).all()
+        # A context's pairs and what is left to the parent.
+        counts = collections.Counter()
+        for t in texts:
+            counts.update([hpylm.END_HASH, *(hpylm.word_hash(w.encode()) for w in t.split())])
+        spare = dict(zip(model.words.tolist(), model.spare.tolist(), strict=True))
+        spare |= {r.h: r.spare for r in table.collect()}
+        assert set(spare) == set(counts)
+        net = collections.Counter()
+        for r in model.pairs.collect():
+            net[r.u] += r.net
+        for u, c in counts.items():
+            assert net[u] / (hpylm.STRENGTH + c) + spare[u] == pytest.approx(1)
+
+
 def test_seats_follow_the_restaurant_rule():
     """The mean number of tables agrees with seating customers one by one."""
     off, others, parent, n = 0.6, 12.0, 0.05, 40

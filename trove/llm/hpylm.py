@@ -1,24 +1,26 @@
-"""A hierarchical Pitman-Yor language model, counted and scored on the cluster.
+"""A hierarchical Pitman-Yor bigram model, counted and scored on the cluster.
 
-The most frequent words are the head; all others share one class. Every head
-word, the class, and the start of a text is a context with a restaurant of its
-own whose dishes are head words, the class and the end of a text; all of them
-send their tables as customers to one parent restaurant. Which word of the
-class follows is decided in a restaurant of its own, over all words ever
-counted and one for words never seen, so no word is cut off and the
-probabilities after any context add up to 1.
+Every word, and the start of a text, is a context with a restaurant of its own
+whose dishes are all words and the end of a text; every pair of context and dish
+that occurs is one row. All restaurants send their tables as customers to one
+parent over all words ever counted and one for words never seen, so no word and
+no pair is cut off and the probabilities after any context add up to 1.
 
 Seating is sampled by Gibbs sweeps: in a sweep all customers of a dish get up
 together and sit down one after another, by the Chinese-restaurant rule, while
 the totals and the parent stay as the sweep before left them. Late customers of
-a frequent dish come in small parties that share one decision step each.
-Predictive probabilities are averaged over the sweeps after a burn-in.
+a frequent dish come in small parties that share one decision step each. A pair
+that was met once always has one table, so sweeps touch the other pairs only.
+Seats and the parent's probabilities are averaged over the sweeps after a burn-in.
+
+The most frequent words are the head: what follows a head word among head words
+is shipped to every task as a matrix, all other pairs are looked up by a join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +33,9 @@ from pyspark.sql import types as T
 from trove.llm.words import blocks_of, keyed, raw_texts, word_hash
 from trove.session import stored
 
-#: Words with a restaurant and a dish of their own.
+#: Words whose pairs among each other are shipped to every task.
 HEAD_WORDS = 1024
-#: Most frequent words whose numbers are shipped to every task, 24 bytes each;
+#: Most frequent words whose numbers are shipped to every task, 48 bytes each;
 #: words beyond them are looked up by a shuffle.
 SHIPPED_WORDS = 1 << 19
 BURN_IN, SAMPLES = 3, 4
@@ -81,12 +83,16 @@ def reseat(
 
 @dataclass(frozen=True)
 class Model:
-    """What every task needs to score: fixed in size, whatever the corpus.
-
-    ``words`` are sorted hashes with ``base`` and ``tail`` log10 probabilities
-    (of the class's word, 0 for head words and the end) and their ``dish``;
-    ``after`` is log10 of each dish after each context. ``table`` has the words
-    beyond, ``base_unseen`` and ``tail_unseen`` are for words never counted.
+    """What is needed to score; what every task gets is fixed in size, whatever the corpus.
+
+    ``words`` are sorted hashes with ``base`` log10 probabilities, their ``dish``
+    (head number, or the class of all others), ``tail``, the parent's log10
+    probability within the class (0 for head words and the end), and, as
+    contexts, their ``count`` and ``spare``, the share that goes to the parent.
+    ``after`` is log10 of each dish after each head context; its last row is the
+    parent. The table beside the model has the words beyond, ``base_unseen`` and
+    ``tail_unseen`` are for words never counted. ``pairs`` has every pair ``u``,
+    ``w`` with ``net``, its customers less its discounts; tasks do not get it.
     """
 
     head: int
@@ -96,63 +102,57 @@ class Model:
     base: np.ndarray
     tail: np.ndarray
     dish: np.ndarray
+    count: np.ndarray
+    spare: np.ndarray
     after: np.ndarray
     base_unseen: float
     tail_unseen: float
+    pairs: DataFrame | None
+
+    def at(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of ``hashes`` among the shipped words, and which are there."""
+        at = np.searchsorted(self.words, hashes)
+        at[at == len(self.words)] = 0
+        known = self.words[at] == hashes if len(self.words) else np.zeros(len(hashes), bool)
+        return at, known
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """``h`` and ``c`` of every word hash, the end of each text included."""
+def grouped(*keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows of ``keys`` and how often each occurs."""
+    order = np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    first = np.flatnonzero(new)
+    return [k[first] for k in keys], np.diff(np.append(first, len(order)))
+
+
+def pair_counts(texts: DataFrame) -> DataFrame:
+    """``u``, ``w`` and ``c`` of every pair of neighbours, starts and ends included."""
     last = len(texts.columns) - 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, have = [], 0
 
         def counted() -> pa.RecordBatch:
-            found, times = np.unique(np.concatenate(held), return_counts=True)
+            (u, w), times = grouped(*(np.concatenate(x) for x in zip(*held, strict=True)))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(found), pa.array(times)], ["h", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(w), pa.array(times)], ["u", "w", "c"])
 
         for batch in batches:
-            for start, stop, words in blocks_of(raw_texts(batch, last)):
-                held += [words.hashes.view(np.int64), np.full(stop - start, END_HASH)]
-                have += len(words.hashes)
+            for _, _, words in blocks_of(raw_texts(batch, last)):
+                dishes, starts = with_ends(words.hashes.view(np.int64), words.bounds, END_HASH)
+                held.append((contexts_of(dishes, starts, END_HASH), dishes))
+                have += len(dishes)
                 if have > _FLUSH:
                     yield counted()
                     have = 0
         if held:
             yield counted()
 
-    return texts.mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-
-
-def head_cells(texts: DataFrame, head: np.ndarray) -> DataFrame:
-    """``cell`` (context times dishes plus dish) and ``c`` over all texts."""
-    last, size = len(texts.columns) - 1, len(head) + 2
-    order = np.argsort(head)
-    shipped = texts.sparkSession.sparkContext.broadcast((head[order], order))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, number = shipped.value
-        total = np.zeros(size * size, np.int64)
-        for batch in batches:
-            for _, _, words in blocks_of(raw_texts(batch, last)):
-                found = dishes_of(words.hashes.view(np.int64), known, number)
-                cells = cells_of(*with_ends(found, words.bounds, len(known)), size)
-                np.add.at(total, cells, 1)
-        cells = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], ["cell", "c"])
-
-    return texts.mapInArrow(count, "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c"))
-
-
-def dishes_of(words: np.ndarray, known: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """The dish of each word: its head number, or the class."""
-    if not len(known):
-        return np.full(len(words), 1, np.int64)
-    at = np.searchsorted(known, words)
-    at[at == len(known)] = 0
-    return np.where(known[at] == words, number[at], len(known) + 1)
+    made = texts.mapInArrow(count, "u long, w long, c long")
+    return made.groupBy("u", "w").agg(F.sum("c").alias("c"))
 
 
 def with_ends(dishes: np.ndarray, bounds: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,12 +166,12 @@ def with_ends(dishes: np.ndarray, bounds: np.ndarray, end: int) -> tuple[np.ndar
     return out, starts
 
 
-def cells_of(dishes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """Context and dish as one number; a text starts in the context of an end."""
+def contexts_of(dishes: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
+    """What stands before each dish; a text starts in the context of an end."""
     before = np.empty_like(dishes)
     before[1:] = dishes[:-1]
-    before[starts] = size - 2
-    return before * size + dishes
+    before[starts] = end
+    return before
 
 
 def _seed(sweep: int, numbers: np.ndarray) -> np.random.Generator:
@@ -179,91 +179,77 @@ def _seed(sweep: int, numbers: np.ndarray) -> np.random.Generator:
     return np.random.default_rng([sweep, xxhash.xxh3_64_intdigest(numbers.tobytes())])
 
 
-def sample_contexts(cells: DataFrame, size: int) -> np.ndarray:
-    """log10 probabilities of each dish after each context, averaged over sweeps.
+def sample(pairs: DataFrame, counts: DataFrame, distinct: int) -> tuple[DataFrame, DataFrame, float]:
+    """Pairs with ``net``; words with ``spare`` and ``root``; the root of an unseen word.
 
-    ``cells`` has at most ``size * size`` rows. A sweep is one job over them; the
-    totals by context and by dish, ``size`` numbers each, pass through the driver.
+    ``counts`` has ``h``, ``c`` and the pairs met once with ``h`` as context and as
+    dish, ``ones_u`` and ``ones_w``. A sweep adds up tables by word, seats them in
+    the parent and joins both back to the pairs; only sums reach the driver.
     """
-    spark = cells.sparkSession
-    one, none = F.lit(1).cast("long").alias("t"), F.lit(0).cast("long").alias("sum")
-    state = cells.select("cell", "c", one, none).sortWithinPartitions("cell")
+    off = discount(*pairs.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first())
+    share, zero = 1 / (distinct + 1), F.lit(0).cast("long")
+    state = pairs.where("c > 1").select("u", "w", "c", F.lit(1).cast("long").alias("t"), zero.alias("sum"))
     state = stored(state, "seats")
-    ones = state.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    off = discount(*ones)
-
-    def totals(part: str, value: str) -> np.ndarray:
-        key = F.expr(f"CAST(cell {part} {size} AS int)").alias("k")
-        rows = state.groupBy(key).agg(F.sum(value).alias("v")).toArrow()
-        out = np.zeros(size)
-        out[rows["k"].to_numpy()] = rows["v"].to_numpy()
-        return out
-
-    eaten = totals("div", "c")
-    root = np.full(size, 1 / size)
-    rng = np.random.default_rng(0)
-    kept: list[tuple[np.ndarray, np.ndarray]] = []
-    for sweep in range(BURN_IN + SAMPLES):
-        tables = totals("div", "t")
-        shipped = spark.sparkContext.broadcast((tables, root))
-        add = sweep >= BURN_IN
+    total, unseen = distinct, []
+
+    def tally(state: DataFrame, words: DataFrame, sweep: int) -> DataFrame:
+        """Tables in each context (``own``) and the parent's ``root``, added up from the burn-in on."""
+        nonlocal total
+        sides = F.array(
+            F.struct(F.col("u").alias("h"), F.col("t").alias("tu"), zero.alias("tw")),
+            F.struct(F.col("w").alias("h"), zero.alias("tu"), F.col("t").alias("tw")),
+        )
+        seats = state.select(F.inline(sides)).groupBy("h").agg(F.sum("tu").alias("tu"), F.sum("tw").alias("tw"))
+        own, served = F.expr("ones_u + coalesce(tu, 0L)"), F.expr("ones_w + coalesce(tw, 0L)")
+        kept = ["h", "c", "ones_u", "ones_w", "owns", "roots"]
+        served = words.join(seats, "h", "left").select(*kept, own.alias("own"), served.alias("served"))
+        served = stored(served.sortWithinPartitions("h"), "served")
+        sizes = F.coalesce(F.sum("served"), zero), F.count_if(F.col("served") == 1), F.count_if(F.col("served") == 2)
+        customers, ones, twos = served.agg(*sizes).first()
+        below, others = discount(ones, twos), max(total - 1, 0)
 
-        def sit(batches, shipped=shipped, sweep=sweep, add=add):
-            tables, root = shipped.value
+        def sit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                cell, c, t, total = (x.to_numpy() for x in batch.columns)
-                others = tables[cell // size] - t
-                t = reseat(c, others, root[cell % size], off, _seed(sweep, cell))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(t), pa.array(total + t * add)],
-                    batch.schema.names,
-                )
-
-        state = stored(state.mapInArrow(sit, state.schema), "seats")
-        served = totals("%", "t").astype(np.int64)
-        below = discount(int((served == 1).sum()), int((served == 2).sum()))
-        most = reseat(served, np.full(size, float((served > 0).sum())), 1 / size, below, rng)
-        spare = (STRENGTH + below * most.sum()) / (STRENGTH + served.sum())
-        root = (served - below * most) / (STRENGTH + served.sum()) + spare / size
+                h, c = batch.column(0).to_numpy(), batch.column(7).to_numpy()
+                t = reseat(c, others, share, below, _seed(sweep + 1, h))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(t)], [*batch.schema.names, "most"])
+
+        schema = T.StructType([*served.schema.fields, T.StructField("most", T.LongType())])
+        most = stored(served.mapInArrow(sit, schema), "parent")
+        total = most.agg(F.coalesce(F.sum("most"), zero)).first()[0]
+        spare = (STRENGTH + below * total) / (STRENGTH + customers) * share
+        root = (F.col("served") - below * F.col("most")) / (STRENGTH + customers) + spare
+        add = int(sweep >= BURN_IN)
         if add:
-            kept.append(((STRENGTH + off * totals("div", "t")) / (STRENGTH + eaten), root))
-    after = sum(np.outer(spare, root) for spare, root in kept) / SAMPLES
-    rows = state.select("cell", "c", "sum").toArrow()
-    cell, c, total = (rows[x].to_numpy() for x in ("cell", "c", "sum"))
-    after.reshape(-1)[cell] += (c - off * total / SAMPLES) / (STRENGTH + eaten[cell // size])
-    return np.log10(after)
-
-
-def sample_class(tail: DataFrame) -> tuple[DataFrame, float]:
-    """``tail`` (``h``, ``c``) with ``lp``, and the log10 probability of an unseen word."""
-    found = tail.agg(
-        F.count("*"), F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)
-    ).first()
-    kinds, customers, off = found[0], found[1], discount(found[2], found[3])
-    share = 1 / (kinds + 1)
-
-    def seated(rows: DataFrame, totals: list[tuple[int, int]]) -> DataFrame:
-        """``t``: the tables of each word, added over sweeps of given totals."""
+            unseen.append(spare)
+        return most.select(
+            *kept[:4], (F.col("owns") + F.col("own") * add).alias("owns"), (F.col("roots") + root * add).alias("roots"), "own", root.alias("root")
+        )
+
+    def sit(state: DataFrame, words: DataFrame, sweep: int) -> DataFrame:
+        contexts = words.select(F.col("h").alias("u"), "own")
+        dishes = words.select(F.col("h").alias("w"), "root")
+        met = state.join(contexts, "u").join(dishes, "w").select("u", "w", "c", "t", "sum", "own", "root")
+        add = sweep >= BURN_IN
 
-        def sit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                h, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                t = sum(reseat(c, max(n - 1, 0), share, off, _seed(s, h)) for s, n in totals)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(t)], ["h", "c", "t"])
+                u, w, c, t, done, own, root = (x.to_numpy() for x in batch.columns)
+                t = reseat(c, own - t, root, off, _seed(sweep, u ^ w))
+                made = [pa.array(t), pa.array(done + t * add)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], batch.schema.names[:5])
 
-        return rows.mapInArrow(sit, "h long, c long, t long")
+        return stored(met.sortWithinPartitions("u", "w").mapInArrow(seat, state.schema), "seats")
 
-    total, totals = kinds, []
+    words = tally(state, counts.withColumns({"owns": zero, "roots": F.lit(0.0)}), -1)
     for sweep in range(BURN_IN + SAMPLES):
-        if sweep >= BURN_IN:
-            totals.append((sweep, total))
-        total = seated(tail, [(sweep, total)]).agg(F.coalesce(F.sum("t"), F.lit(0))).first()[0]
-    seats = stored(seated(tail, totals), "class")
-    # With the tables of the very seats that are used, all probabilities add up to 1.
-    tables = seats.agg(F.coalesce(F.sum("t"), F.lit(0))).first()[0] / SAMPLES
-    unseen = (STRENGTH + off * tables) / (STRENGTH + customers) * share
-    lp = F.log10((F.col("c") - off * F.col("t") / SAMPLES) / (STRENGTH + customers) + unseen)
-    return seats.select("h", "c", lp.alias("lp")), float(np.log10(unseen))
+        state = sit(state, words, sweep)
+        words = tally(state, words, sweep)
+    spare = (STRENGTH + off * F.col("owns") / SAMPLES) / (STRENGTH + F.col("c"))
+    once = pairs.where("c = 1").select("u", "w", F.lit(1.0 - off).alias("net"))
+    more = state.select("u", "w", (F.col("c") - off * F.col("sum") / SAMPLES).alias("net"))
+    words = words.select("h", "c", spare.alias("spare"), (F.col("roots") / SAMPLES).alias("root"))
+    return once.union(more), words, sum(unseen) / SAMPLES
 
 
 def fit(
@@ -273,9 +259,12 @@ def fit(
     shipped_words: int = SHIPPED_WORDS,
 ) -> tuple[Model, DataFrame]:
     """The model of all ``docs``, and the table of words that are not shipped."""
-    texts = keyed(docs, text_col)
     # Sorted, so that seats drawn from the rows of a batch are the same in any run.
-    counts = stored(word_counts(texts).sortWithinPartitions("h"), "words")
+    pairs = stored(pair_counts(keyed(docs, text_col)).sortWithinPartitions("u", "w"), "pairs")
+    once = F.count_if(F.col("c") == 1)
+    counts = pairs.groupBy(F.col("w").alias("h")).agg(F.sum("c").alias("c"), once.alias("ones_w"))
+    counts = counts.join(pairs.groupBy(F.col("u").alias("h")).agg(once.alias("ones_u")), "h")
+    counts = stored(counts.select("h", "c", "ones_u", "ones_w").sortWithinPartitions("h"), "words")
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
 
     # The lowest count level from which on no more words than may be shipped lie.
@@ -286,37 +275,51 @@ def fit(
         if n > room:
             break
         least, room = at, room - n
-    frequent = counts.where((level >= least) | (F.col("h") == END_HASH))
-    top = frequent.where(F.col("h") != END_HASH).orderBy(F.desc("c"), "h").limit(head_words)
-    head = top.select("h").toArrow()["h"].to_numpy()
-
-    heads = docs.sparkSession.createDataFrame(pa.table({"h": np.append(head, END_HASH)}))
-    tail = counts.join(F.broadcast(heads), "h", "left_anti")
-    table, tail_unseen = sample_class(tail)
-    after = sample_contexts(head_cells(texts, head), len(head) + 2)
-
+    pairs, words, unseen = sample(pairs, counts, distinct)
     norm = tokens + 0.1 * (distinct + 1)
     base = F.log10((F.col("c") + 0.1) / norm).alias("base")
-    shipped = table.where(level >= least).select("h", base, "lp", F.lit(len(head) + 1).alias("dish"))
-    rows = shipped.toArrow()
+    words = words.select("h", "c", base, "spare", "root")
+    frequent = words.where((level >= least) | (F.col("h") == END_HASH))
+    top = frequent.where(F.col("h") != END_HASH).orderBy(F.desc("c"), "h").limit(head_words)
+    head = top.select("h").toArrow()["h"].to_numpy()
+    size = len(head) + 2
     numbers = dict(zip(head.tolist(), range(len(head)), strict=True)) | {END_HASH: len(head)}
-    own = frequent.join(F.broadcast(heads), "h").select("h", base).toArrow()
-    own_h = own["h"].to_numpy()
-    h = np.concatenate([rows["h"].to_numpy(), own_h])
-    order = np.argsort(h)
+
+    heads = pa.table({"h": np.append(head, END_HASH), "k": np.arange(size - 1)})
+    heads = F.broadcast(docs.sparkSession.createDataFrame(heads))
+    tail = words.join(heads, "h", "left_anti")
+    rest = tail.agg(F.coalesce(F.sum("root"), F.lit(0.0))).first()[0] + unseen
+    rows = frequent.toArrow().sort_by("h")
+    h, c, base_, spare, root = (rows[x].to_numpy() for x in rows.column_names)
+    dish = np.array([numbers.get(x, size - 1) for x in h.tolist()], np.int64)
+    # The head's own pairs as a matrix; the class takes what is left of each context.
+    among = pairs.join(heads.toDF("u", "i"), "u").join(heads.toDF("w", "j"), "w").select("i", "j", "net").toArrow()
+    own = np.flatnonzero(dish < size - 1)
+    parent, share, customers = np.full(size, unseen), np.ones(size), np.zeros(size)
+    parent[size - 1] = rest
+    parent[dish[own]], share[dish[own]], customers[dish[own]] = root[own], spare[own], c[own]
+    net = np.zeros((size, size))
+    net[among["i"].to_numpy(), among["j"].to_numpy()] = among["net"].to_numpy()
+    seated = (1 - share) * (STRENGTH + customers)
+    net[:, size - 1] = np.maximum(seated - net.sum(axis=1), 0)
+    after = np.outer(share, parent) + net / (STRENGTH + customers)[:, None]
+    lp = F.log10(F.col("root") / rest).alias("lp")
     model = Model(
         len(head),
         tokens,
         distinct,
-        h[order],
-        np.concatenate([rows["base"].to_numpy(), own["base"].to_numpy()])[order],
-        np.concatenate([rows["lp"].to_numpy(), np.zeros(len(own_h))])[order],
-        np.concatenate([rows["dish"].to_numpy(), [numbers[x] for x in own_h.tolist()]])[order].astype(np.int64),
-        after,
+        h,
+        base_,
+        np.where(dish < size - 1, 0, np.log10(root / rest)),
+        dish,
+        c,
+        spare,
+        np.log10(after),
         float(np.log10(0.1 / norm)),
-        tail_unseen,
+        float(np.log10(unseen / rest)),
+        pairs,
     )
-    return model, table.where(level < least).select("h", base, "lp")
+    return model, tail.where(level < least).select("h", "c", "base", "spare", lp)
 
 
 def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -345,57 +348,113 @@ def score(
     columns are not read, and an empty table gives no rows. A model fitted to
     nothing gives every token a probability of its own without failing.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped = docs.sparkSession.sparkContext.broadcast(replace(model, pairs=None))
     ids = (F.col(id_col), *extra)
     schema = docs.select(*ids).schema
     for name, kind in (("n_tokens", "long"), ("n_known", "long"), ("base_score", "double"), ("score", "double"), ("_row", "long")):
         schema = schema.add(name, kind)
-    schema = schema.add("_rest", T.ArrayType(T.LongType()))
+    schema = schema.add("_words", T.ArrayType(T.LongType()))
     width = len(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
         size = model.head + 2
         row = TaskContext.get().partitionId() << 33
-        end = int(np.searchsorted(model.words, END_HASH))
-        ended = end < len(model.words) and model.words[end] == END_HASH
+        end, ended = (int(x[0]) for x in model.at(np.array([END_HASH])))
         end_base = model.base[end] if ended else model.base_unseen
         for batch in batches:
             for start, stop, words in blocks_of(raw_texts(batch, width)):
                 found, bounds = words.hashes.view(np.int64), words.bounds
-                at = np.searchsorted(model.words, found)
-                at[at == len(model.words)] = 0
-                known = model.words[at] == found if len(model.words) else np.zeros(len(found), bool)
+                at, known = model.at(found)
                 dishes = np.full(len(found), size - 1, np.int64)
                 dishes[known] = model.dish[at[known]]
-                base, tail = np.zeros(len(found)), np.zeros(len(found))
-                base[known], tail[known] = model.base[at[known]], model.tail[at[known]]
+                base = np.zeros(len(found))
+                base[known] = model.base[at[known]]
                 dishes, starts = with_ends(dishes, bounds, size - 2)
-                after = model.after.reshape(-1)[cells_of(dishes, starts, size)]
+                before = contexts_of(dishes, starts, size - 2)
+                after = np.where((before < size - 1) & (dishes < size - 1), model.after[before, dishes], 0)
                 rest = sums(~known, bounds)
-                ends = np.append(0, np.cumsum(rest)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(c.slice(start, stop - start) for c in batch.columns[:width]),
                         pa.array(np.diff(bounds) + 1),
                         pa.array(np.diff(bounds) - rest + int(ended)),
                         pa.array(sums(base, bounds) + end_base),
-                        pa.array(np.add.reduceat(after, starts) + sums(tail, bounds)),
+                        pa.array(np.add.reduceat(after, starts)),
                         pa.array(np.arange(row, row + stop - start)),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(found[~known])),
+                        pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(found)),
                     ],
                     schema.names,
                 )
                 row += stop - start
 
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each text's pairs that the matrix lacks."""
+        model = shipped.value
+        for batch in batches:
+            lists = batch.column(1)
+            bounds = np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
+            found, starts = with_ends(lists.flatten().to_numpy(), bounds, END_HASH)
+            at, known = model.at(found)
+            inner = found == END_HASH
+            inner[known] |= model.dish[at[known]] <= model.head
+            lengths = np.diff(np.append(starts, len(found)))
+            owner = np.repeat(batch.column(0).to_numpy(), lengths)
+            far = ~(inner & contexts_of(inner, starts, True))
+            before = contexts_of(found, starts, END_HASH)
+            keys, times = grouped(owner[far], before[far], found[far])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, keys), pa.array(times)], ["_row", "u", "w", "n"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of scores where both words are shipped; the other pairs with what is known."""
+        model = shipped.value
+        for batch in batches:
+            row, u, w, n, net = (x.to_numpy() for x in batch.columns)
+            (i, left), (j, right) = model.at(u), model.at(w)
+            count, spare, root = np.zeros(len(u)), np.ones(len(u)), np.full(len(u), np.nan)
+            count[left], spare[left] = model.count[i[left]], model.spare[i[left]]
+            root[right] = 10 ** (model.after[-1, model.dish[j[right]]] + model.tail[j[right]])
+            both = left & right
+            rows, slot = np.unique(row[both], return_inverse=True)
+            lp = np.log10(net[both] / (STRENGTH + count[both]) + spare[both] * root[both])
+            added, rest = np.bincount(slot, lp * n[both], len(rows)), np.flatnonzero(~both)
+            none = pa.nulls(len(rows))
+            far = [row, u, w, n, net, left, right, count, spare, root]
+            far = [pa.array(x[rest]) for x in far] + [pa.nulls(len(rest), pa.float64())]
+            near = [pa.array(rows), *(none.cast(x.type) for x in far[1:-1]), pa.array(added, pa.float64())]
+            names = ["_row", "u", "w", "n", "net", "left", "right", "count", "spare", "root", "l"]
+            yield pa.RecordBatch.from_arrays(near, names)
+            yield pa.RecordBatch.from_arrays(far, names)
+
     first = stored(keyed(docs, text_col, *ids).mapInArrow(run, schema), "scores")
-    asked = first.select("_row", F.explode("_rest").alias("h")).groupBy("_row", "h").count()
-    met = asked.join(table, "h", "left").groupBy("_row").agg(
-        F.sum(F.when(F.col("base").isNotNull(), F.col("count")).otherwise(0)).alias("k"),
-        F.sum(F.col("count") * F.coalesce("base", F.lit(model.base_unseen))).alias("b"),
-        F.sum(F.col("count") * F.coalesce("lp", F.lit(model.tail_unseen))).alias("l"),
-    )
+    asked = first.select("_row", "_words").mapInArrow(ask, "_row long, u long, w long, n long")
     zero = F.lit(0)
+    asked = asked.join(model.pairs, ["u", "w"], "left").select("_row", "u", "w", "n", F.coalesce("net", F.lit(0.0)).alias("net"))
+    kind = "_row long, u long, w long, n long, net double, left boolean, right boolean, count double, spare double, root double, l double"
+    judged = stored(asked.mapInArrow(judge, kind), "judged")
+    # Only words that are not shipped are joined, so no key here is frequent.
+    far = judged.where("l IS NULL").drop("l")
+    contexts = table.select(F.col("h").alias("u"), F.col("c").alias("c_"), F.col("spare").alias("s_"))
+    here = far.where("NOT `left`").join(contexts, "u", "left").withColumns(
+        {"count": F.coalesce("c_", F.lit(0.0)), "spare": F.coalesce("s_", F.lit(1.0))}
+    )
+    far = far.where("`left`").unionByName(here.drop("c_", "s_"))
+    dishes = table.select(F.col("h").alias("w"), "base", "lp")
+    class_lp = F.lit(float(model.after[-1, -1]))
+    here = far.where("NOT `right`").join(dishes, "w", "left").withColumn(
+        "root", F.pow(F.lit(10.0), class_lp + F.coalesce("lp", F.lit(model.tail_unseen)))
+    )
+    none = F.lit(None).cast("double")
+    far = far.where("`right`").withColumns({"base": none, "lp": none}).unionByName(here)
+    p = F.col("net") / (STRENGTH + F.col("count")) + F.col("spare") * F.col("root")
+    far = far.select(
+        "_row",
+        F.when(~F.col("right") & F.col("base").isNotNull(), F.col("n")).otherwise(zero).alias("k"),
+        F.when(~F.col("right"), F.col("n") * F.coalesce("base", F.lit(model.base_unseen))).otherwise(0.0).alias("b"),
+        (F.col("n") * F.log10(p)).alias("l"),
+    )
+    near = judged.where("l IS NOT NULL").select("_row", zero.alias("k"), F.lit(0.0).alias("b"), "l")
+    met = near.union(far).groupBy("_row").agg(*(F.sum(x).alias(x) for x in "kbl"))
     return first.join(met, "_row", "left").select(
         *schema.names[:width],
         "n_tokens",
