@@ -503,6 +503,21 @@ def test_pii_checks_and_context():
     assert pii.redact("mail a@b.de now") == "mail [email] now"
 
 
+def test_iban_before_a_capital_word():
+    """A number ends where it checks, also when a capital word could belong to it."""
+
+    def found(text):
+        return [text[a:b] for a, k, b in pii.added_spans(text) if pii.KINDS[k] == "iban"]
+
+    plain = ["ES9121000418450200051332", "AT611904300234573201", "AT61 1904 3002 3457 3201", "DE89370400440532013000"]
+    for number in plain:
+        for after in ("", " EUR", " BIC", " BANK", " EUR BANK", " A", " EUROPE", "."):
+            assert found(f"pay {number}{after}") == [number]
+    assert found("AB12 AT61 1904 3002 3457 3201") == ["AT61 1904 3002 3457 3201"]
+    assert found(" ".join(plain[:2])) == plain[:2]
+    assert found("AT611904300234573202 EUR") == []
+
+
 # ---- language model
 
 

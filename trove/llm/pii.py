@@ -99,30 +99,46 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _valid(kind: str, text: str) -> bool:
-    if kind == "iban":
-        plain = text.replace(" ", "")
-        return 15 <= len(plain) <= 34 and mod97(plain)
     if kind == "ssn":
         area, group, serial = text.split("-")
         return area not in ("000", "666") and area < "900" and group != "00" and serial != "0000"
     return True
 
 
+def _iban_end(text: str) -> int:
+    """The length of the longest account number that starts ``text`` and ends with a word; 0 for none."""
+    end = len(text)
+    while end > 0:
+        plain = text[:end].replace(" ", "")
+        if 15 <= len(plain) <= 34 and mod97(plain):
+            return end
+        end = text.rfind(" ", 0, end)
+    return 0
+
+
 def added_spans(text: str) -> list[tuple[int, int, int]]:
     """Spans of the added kinds whose score, with context, reaches the threshold."""
     found = []
     if not _DIGITS.search(text):
         return found
     for number, kind, pattern, form in _ADDED:
-        for m in pattern.finditer(text):
-            if not _valid(kind, m[0]):
+        at = 0
+        while m := pattern.search(text, at):
+            start, end = m.span()
+            if kind == "iban":
+                end = start + _iban_end(m[0])
+                # Words that a number leaves over, or a match without one, may start the next.
+                at = end if end > start else start + 2
+            else:
+                at = end
+            if end == start or not _valid(kind, m[0]):
                 continue
-            near = text[max(0, m.start() - CONTEXT_CHARS) : m.start()]
-            near += " " + text[m.end() : m.end() + CONTEXT_CHARS]
+            near = text[max(0, start - CONTEXT_CHARS) : start]
+            near += " " + text[end : end + CONTEXT_CHARS]
             score = form + _GAIN * bool(_NEAR[kind].search(near))
             score -= _LOSS * bool(_AGAINST.search(near))
             if score >= THRESHOLD:
-                found.append((m.start(), number, m.end()))
+                found.append((start, number, end))
     return found
 
 
