@@ -518,6 +518,13 @@ def test_iban_before_a_capital_word():
     assert found("AT611904300234573202 EUR") == []
 
 
+def test_ip_parts_of_any_length(spark):
+    texts = ["1" * 5000 + ".1.1.1", "1.1.1." + "9" * 5000, "0" * 5000 + "255.1.1.1", "0256.1.1.1", "000.00.0.0255"]
+    docs = make_docs(spark, list(enumerate(texts)))
+    got = {r.doc_id: r.base_spans for r in pii.find_pii(docs).collect()}
+    assert got == {0: "", 1: "", 2: "ip:0:5009", 3: "", 4: "ip:0:13"}
+
+
 # ---- language model
 
 

@@ -24,6 +24,7 @@ CONTEXT_CHARS = 40
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-@")
+_IP_PART = re.compile(r"0*[0-9]{1,3}")
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -84,7 +85,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     found = [(a, 0, b) for a, b in _emails(text)]
     if _DIGITS.search(text):
         for m in _IP.finditer(text):
-            if all(int(x) <= 255 for x in m[0].split(".")):
+            if all(_IP_PART.fullmatch(x) and int(x[-3:]) <= 255 for x in m[0].split(".")):
                 found.append((m.start(), 1, m.end()))
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 14:
