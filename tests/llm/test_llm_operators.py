@@ -327,6 +327,25 @@ def test_line_dedup_matches_brute_force(spark, none):
     assert line_dedup.removed_lines(none).count() == 0 and line_dedup.dedup_lines(none).count() == 0
 
 
+@pytest.mark.parametrize("percent", [80, 60])
+def test_short_lines_are_deduplicated(spark, percent):
+    """Lines of any number of words; four words match the same with one more."""
+    rng = random.Random(8)
+    words = ["home", "about", "Help", "legal", "jobs", "x", "y"]
+    rows = [(1, "Home\nabout us\n\na b c d"), (2, "home\nHOME home\nus about\n\na b c d e"), (3, "menu " * 40)]
+    rows += [(4, "MENU\n \nfooter"), (5, "a b c"), (6, "footer\na b c d f")]
+    rows += [(10 + k, "\n".join(" ".join(rng.choices(words, k=rng.randint(0, 7))) for _ in range(4))) for k in range(60)]
+    lines = [(i, n, frozenset(x.split())) for i, t in rows for n, x in enumerate(t.lower().split("\n")) if x.split()]
+    gone = {
+        (i, n)
+        for k, (i, n, x) in enumerate(lines)
+        if any(100 * len(x & y) >= percent * len(x | y) for _, _, y in lines[:k])
+    }
+    got = line_dedup.removed_lines(make_docs(spark, rows), percent=percent).collect()
+    assert {(r.doc_id, r.line) for r in got} == gone and len(got) == len(gone)
+    assert {(2, 0), (2, 1), (2, 2), (4, 0)} <= gone and ((2, 4) in gone) == (percent <= 80)
+
+
 # ---- decontamination
 
 

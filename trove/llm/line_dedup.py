@@ -4,7 +4,8 @@ A line is the set of its distinct words. Words are ordered by rarity, each line
 is posted under its prefix, lines in one posting list pass the length and
 positional filters (and one on parities of their words, which loses nothing) and
 are verified, and of two lines that match the later one goes. Lines are ordered by
-document id and then by their place.
+document id and then by their place. Lines so short that they match only equal sets
+are grouped by fingerprint and not posted.
 
 Whether a line goes is settled in two steps: against the leader and the earliest
 line of each of its lists, and then, for lines that stayed, against all earlier
@@ -26,12 +27,12 @@ from trove.llm.rarity import rarity
 from trove.llm.words import Words, blocks_of, distinct, keyed, raw_texts
 from trove.session import stored
 
-#: Lines of fewer distinct words are never removed and remove nothing.
-LEAST_WORDS = 5
+#: Lines without words are never removed and remove nothing.
+LEAST_WORDS = 1
 
 
 def line_sets(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray]]:
-    """The number and word set of each line with enough distinct words."""
+    """The number and word set of each line with words."""
     for start, _, words in blocks_of(texts):
         yield from ((start + owner, unit, found) for owner, unit, found in _sets_of(words))
 
@@ -67,7 +68,7 @@ def removed_lines(
     after lower-casing A-Z. An earlier line counts whether it stays or not, in
     the same document too. Null and empty texts have no lines; a null id comes
     first; rows equal in id and text are one row here, and so lose the same
-    lines. Lines with fewer than ``LEAST_WORDS`` distinct words never match.
+    lines. Lines without words never match.
     ``_key`` is a hash of id and text. Other columns are not read, and an empty
     table gives no rows.
     """
@@ -77,7 +78,9 @@ def removed_lines(
     found = stored(setjoin.units(texts, line_sets, rare, percent), "units")
     first = found.groupBy("fp").agg(F.min(F.struct("_id", "unit", "_key")).alias("at"))
     first = stored(first, "first")
-    close = stored(setjoin.close_lists(found, percent).distinct(), "close")
+    # A set that cannot match one with a word more matches equal sets only.
+    posted = found.where(F.expr(f"100 * n >= {percent} * (n + 1)"))
+    close = stored(setjoin.close_lists(posted, percent).distinct(), "close")
     dated = close.join(first, F.col("me.fp") == F.col("fp")).select("token", "me", "at")
     per = W.partitionBy("token")
     leaders = F.min("me").over(per).alias("lead"), F.min_by("me", "at").over(per).alias("old")
