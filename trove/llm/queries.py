@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trove.llm import (
+    chat,
     decontaminate,
+    divergence,
     hpylm,
     licenses,
     line_dedup,
@@ -16,6 +18,7 @@ from trove.llm import (
     pii,
     quality,
     sharding,
+    spelling,
     tokens,
 )
 
@@ -92,4 +95,17 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("train_tokens", F.lit(model.tokens).cast("long"))
 
 
-ALL = [op1_licenses, op2_packing, op3_ngram_join, op4_sharding, op5_line_dedup, op6_decontamination, op7_quality, op8_pii, op9_token_counts, op10_lm_scoring]
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.with_probe(table(spark, sf_dir, "conversations"))
+    return chat.digests(chat.format_conversations(turns))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+ALL = [op1_licenses, op2_packing, op3_ngram_join, op4_sharding, op5_line_dedup, op6_decontamination, op7_quality, op8_pii, op9_token_counts, op10_lm_scoring, op11_spelling, op12_chat, op13_divergence]
