@@ -32,38 +32,52 @@ class BM25Model:
     terms: DataFrame
 
 
-def term_counts(
-    df: DataFrame, id_col: str, text_col: str, terms: DataFrame | None = None
-) -> DataFrame:
-    """``(id, term, tf, doc_len)`` for each distinct term of each text.
+def word_counts(df: DataFrame, id_col: str, text_col: str, fields: list[str] | None = None) -> DataFrame:
+    """``(id, fields, doc_len, words)``, where ``words`` has the ``term`` and ``tf``
+    of each distinct term of the text.
 
     A text's words are sorted and counted in runs where the row lies, so no
-    text is shuffled. Keys are expected to be unique; rows that share one are
-    counted apart. With ``terms`` the rest of the vocabulary is dropped.
+    text is shuffled.
     """
-    rows = text_rows(df, text_col).select(id_col, F.array_sort(txt.tokens(text_col)).alias("_words"))
+    kept = [id_col, *(fields or [])]
+    rows = text_rows(df, text_col).select(*kept, F.sort_array(txt.tokens(text_col)).alias("_words"))
     starts = rows.select(
-        id_col,
+        *kept,
         "_words",
         F.expr(
             "filter(transform(_words, (w, i) -> IF(i > 0 AND w = _words[i - 1], -1, i)), i -> i >= 0)"
         ).alias("_at"),
     )
-    runs = starts.select(
-        id_col,
+    return starts.select(
+        *kept,
         F.size("_words").alias("doc_len"),
         F.expr(
             "transform(_at, (i, k) -> named_struct('term', _words[i], "
             "'tf', CAST(coalesce(get(_at, k + 1), size(_words)) - i AS bigint)))"
-        ).alias("_runs"),
+        ).alias("words"),
     )
-    # inline_outer: an inner one would add a filter that counts each text again.
-    words = runs.select(id_col, "doc_len", F.inline_outer("_runs")).where(F.col("term").isNotNull())
+
+
+def term_counts(
+    df: DataFrame, id_col: str, text_col: str, terms: DataFrame | None = None
+) -> DataFrame:
+    """``(id, term, tf, doc_len)`` for each distinct term of each text.
+
+    Keys are expected to be unique; rows that share one are counted apart. With
+    ``terms`` the rest of the vocabulary is dropped.
+    """
+    words = as_terms(word_counts(df, id_col, text_col), id_col)
     if terms is not None:
         words = words.join(terms.select("term"), "term", "left_semi")
     return words.select(id_col, "term", "doc_len", "tf")
 
 
+def as_terms(counts: DataFrame, *kept: str) -> DataFrame:
+    """One row for each word of ``word_counts``."""
+    # inline_outer: an inner one would add a filter that counts each text again.
+    return counts.select(*kept, "doc_len", F.inline_outer("words")).where(F.col("term").isNotNull())
+
+
 def fit(
     df: DataFrame,
     id_col: str,

@@ -68,7 +68,7 @@ def _present(rows, column: str):
     return rows.filter(pc.is_valid(rows.column(column)))
 
 
-def _gains(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
+def gains(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
     """Rounded scores where larger is better (distances are negated)."""
     if metric == "l2":
         gaps = (
@@ -230,7 +230,7 @@ def _scan(
                 step = max(1, 4_000_000 // max(1, len(at)))
                 for i in range(0, len(mine), step):
                     part = mine[i : i + step]
-                    best.add(slot_of[part], _gains(vectors[part], rows[at], metric), ids[at])
+                    best.add(slot_of[part], gains(vectors[part], rows[at], metric), ids[at])
         yield _hits(best, names, metric, out)
 
     if len(by_cell) > 1 or 0 not in by_cell:
@@ -277,8 +277,8 @@ def _block_pairs(
         names, slots = np.unique(_ids(a["_query"]), return_inverse=True)
         best = _Best(len(names), k)
         if a.num_rows and b.num_rows:
-            gains = _gains(as_matrix(a["_query_vector"]), as_matrix(b["_vector"]), metric)
-            best.add(slots, gains, _ids(b["_id"]))
+            scores = gains(as_matrix(a["_query_vector"]), as_matrix(b["_vector"]), metric)
+            best.add(slots, scores, _ids(b["_id"]))
         return pa.Table.from_batches([_hits(best, names, metric, out)])
 
     keys = ["_cell", "_row", "_col"]

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trove.operators import dense
+from trove.operators.moments import as_matrix
 from trove.session import stored, work_path
 
 # Index and probe sizes.
@@ -68,17 +73,51 @@ def build(
     return CellIndex(rows, centres)
 
 
-def write(index: CellIndex, id_col: str = "id", path: str | None = None) -> CellIndex:
-    """Store the rows in one folder per cell, and the centroids beside them.
+def assign(
+    df: DataFrame, centroids: DataFrame, vector_col: str = "embedding", metric: str = "l2"
+) -> DataFrame:
+    """Add ``cell``, that of the nearest centroid; ties go to the lowest cell.
+
+    Centroids, of which there are as many as cells, are shipped to the rows. A
+    row without a vector has no cell.
+    """
+    rows = centroids.orderBy("cell").collect()
+    cells = np.array([r["cell"] for r in rows], np.int64)
+    sent = df.sparkSession.sparkContext.broadcast(np.array([r["centroid"] for r in rows], float))
+    at = df.columns.index(vector_col)
+    schema = T.StructType([*df.schema.fields, T.StructField("cell", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(at)
+            given = np.asarray(column.is_valid())
+            found = np.zeros(len(given), np.int64)
+            if given.any():
+                gains = dense.gains(as_matrix(column.filter(pa.array(given))), sent.value, metric)
+                found[given] = cells[gains.argmax(1)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(found, mask=~given)], names=schema.names
+            )
+
+    return df.mapInArrow(run, schema)
+
+
+def write_rows(rows: DataFrame, path: str, id_col: str = "id") -> None:
+    """Store rows in one folder per cell.
 
     Rows are ranged by cell and key hash: a task writes few folders, and a
     crowded cell is spread over several tasks.
     """
+    rows.withColumn("_place", F.xxhash64(id_col)).repartitionByRange("cell", "_place").drop(
+        "_place"
+    ).write.partitionBy("cell").parquet(path)
+
+
+def write(index: CellIndex, id_col: str = "id", path: str | None = None) -> CellIndex:
+    """Store the rows by cell, and the centroids beside them."""
     spark = index.rows.sparkSession
     path = path or work_path(spark, "cells")
-    index.rows.withColumn("_place", F.xxhash64(id_col)).repartitionByRange(
-        "cell", "_place"
-    ).drop("_place").write.partitionBy("cell").parquet(f"{path}/rows")
+    write_rows(index.rows, f"{path}/rows", id_col)
     index.centroids.write.parquet(f"{path}/centroids")
     return read(spark, path, index)
 

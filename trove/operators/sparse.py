@@ -1,8 +1,11 @@
-"""Inverted index over sparse vectors and inner-product top-k search."""
+"""Sparse vectors: which weights an index keeps, and inner-product top-k search.
+
+A stored index is kept by ``blockmax``.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trove.functions.vectors import SCORE_DIGITS
@@ -13,10 +16,6 @@ from trove.session import SMALL_ROWS
 # Fixed value.
 DROP_RATIO = 0.2
 
-# Folders of a stored index, and query terms that may become a scan filter.
-SLOTS = 64
-FEW_TERMS = 500
-
 
 def weight_quantile(postings: DataFrame, ratio: float) -> DataFrame:
     """One row: the exact quantile of all weights.
@@ -38,41 +37,6 @@ def build_index(postings: DataFrame, drop_ratio: float = DROP_RATIO) -> DataFram
     return postings.where(F.col("weight") >= cut)
 
 
-def _slot(term, slots: int):
-    return F.pmod(F.xxhash64(term), F.lit(slots)).cast("int")
-
-
-def write_index(postings: DataFrame, path: str, id_col: str, slots: int = SLOTS) -> DataFrame:
-    """Store postings in one folder per hash slot of the term.
-
-    They are ranged by slot, term and key: a task writes few folders, a term
-    that most documents share is spread over many files, and within a file
-    terms are in order, so row groups without a wanted term are skipped.
-    """
-    placed = postings.select(_slot("term", slots).alias("slot"), "term", id_col, "weight")
-    placed.repartitionByRange("slot", "term", id_col).sortWithinPartitions(
-        "slot", "term"
-    ).write.partitionBy("slot").parquet(path)
-    return read_index(postings.sparkSession, path)
-
-
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
-
-def _prune(postings: DataFrame, wanted: DataFrame, slots: int) -> DataFrame:
-    """Read only the slots and terms that the queries hold, when they are few;
-    many terms fall in every slot."""
-    terms = wanted.select("term", _slot("term", slots).alias("slot")).distinct()
-    few = terms.limit(FEW_TERMS + 1).collect()
-    if len(few) > FEW_TERMS:
-        return postings
-    return postings.where(
-        F.col("slot").isin(sorted({r["slot"] for r in few}))
-        & F.col("term").isin(sorted(r["term"] for r in few))
-    )
-
-
 def drop_light_terms(queries: DataFrame, query_col: str, ratio: float) -> DataFrame:
     """Drop the lightest ``floor(ratio * terms)`` terms of each query."""
     if ratio <= 0:
@@ -96,15 +60,12 @@ def search(
     id_col: str,
     drop_ratio: float = 0.0,
     max_broadcast_rows: int = SMALL_ROWS,
-    allowed: DataFrame | None = None,
-    slots: int = SLOTS,
     few: bool | None = None,
 ) -> DataFrame:
     """``(query, rank, id, score)`` by inner product.
 
-    ``allowed`` limits the candidates to the keys it holds, before ranking. A
-    stored index is recognised by its ``slot`` column. ``few`` tells whether
-    the query side may be broadcast, where the caller has counted it already.
+    ``few`` tells whether the query side may be broadcast, where the caller has
+    counted it already.
 
     A small query side goes to the postings, so a term that most documents
     share costs a scan and no shuffle of its postings; a large one joins on the
@@ -114,8 +75,6 @@ def search(
     wanted = drop_light_terms(queries, query_col, drop_ratio).select(
         query_col, "term", F.col("weight").alias("_query_weight")
     )
-    if "slot" in postings.columns:
-        postings = _prune(postings, wanted, slots).drop("slot")
     # The size is checked before light terms go: dropping only shrinks it, and
     # counting the dropped ones would take every weight twice.
     if few is None:
@@ -127,8 +86,6 @@ def search(
         .groupBy(query_col, id_col)
         .agg(F.round(F.sum(F.col("weight") * F.col("_query_weight")), SCORE_DIGITS).alias("score"))
     )
-    if allowed is not None:
-        scores = scores.join(allowed.select(id_col), id_col, "left_semi")
     return top_k(scores, k, query_col, [F.desc("score"), id_col]).select(
         query_col, "rank", id_col, "score"
     )

@@ -10,17 +10,11 @@ from pyspark.sql import functions as F
 from trove.functions.models import HashEmbedder
 from trove.operators import bm25, dense, fusion, sparse
 from trove.operators.prep import filter_expression
-from trove.session import SMALL_ROWS, stored, work_path
+from trove.plans import segments
+from trove.session import work_path
 from trove.sources import collections
 
 
-def _asked(queries: DataFrame, query_col: str, query_text: str) -> tuple[DataFrame, bool]:
-    """The queries' term counts, stored, and whether they are few enough to send
-    to every task: split once and counted once, whatever uses them."""
-    counts = stored(bm25.term_counts(queries, query_col, query_text), "asked")
-    return counts, counts.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
-
-
 def sparse_search(
     queries: DataFrame,
     docs: DataFrame,
@@ -39,7 +33,7 @@ def sparse_search(
     carries the postings that can match and not the whole vocabulary. The
     filter limits the candidates; corpus statistics stay those of all documents.
     """
-    counts, few = _asked(queries, query_col, query_text)
+    counts, few = segments.asked_terms(queries, query_col, query_text)
     asked = counts.select("term").distinct()
     if few:
         asked = F.broadcast(asked)
@@ -119,11 +113,16 @@ def search_collection(
 ) -> DataFrame:
     """Hybrid search of a collection by name, over all rows inserted so far.
 
-    Distances follow the metric that the collection records. Its stored vectors
-    are used as they are, and terms are counted from its texts, so rows that are
-    appended later need no other step.
+    Distances follow the metric that the collection records. A collection with
+    an index (``segments.create``) is searched through it. Of another one the
+    stored vectors are used as they are and terms are counted from its texts, so
+    rows that are appended later need no other step.
     """
     spark = queries.sparkSession
+    if segments.is_indexed(spark, name):
+        return segments.search(
+            queries, name, query_col, query_text, output_fields=output_fields, **options
+        )
     rows = spark.table(name)
     metric = collections.settings(spark, name).get("metric", collections.DENSE_METRIC)
     hits = hybrid_search(
@@ -135,12 +134,10 @@ def search_collection(
 
 @dataclass(frozen=True)
 class TextIndex:
-    """A stored collection: ``docs`` with vectors, ``postings`` by term slot,
-    and the BM25 model they were coded with."""
+    """Stored documents with their vectors, and the segments of their terms."""
 
     docs: DataFrame
-    postings: DataFrame
-    model: bm25.BM25Model
+    root: str
     id_col: str
 
 
@@ -152,32 +149,37 @@ def build_index(
     embedder=None,
     drop_ratio: float = sparse.DROP_RATIO,
 ) -> TextIndex:
-    """Embed, code and store documents once, for any number of searches."""
+    """Embed, count and store documents once, for any number of searches.
+
+    Columns other than the text can be filtered on.
+    """
     spark = docs.sparkSession
     path = path or work_path(spark, "index")
     (embedder or HashEmbedder()).embed(docs, text_col).write.parquet(f"{path}/docs")
-    counts = stored(bm25.term_counts(docs, id_col, text_col), "counts")
-    model = bm25.fit(docs, id_col, text_col, counts=counts)
-    model.terms.write.parquet(f"{path}/terms")
-    numbers = [(model.n_docs, float(model.avg_len), id_col)]
-    spark.createDataFrame(numbers, "n_docs long, avg_len double, id_col string").write.parquet(
-        f"{path}/numbers"
-    )
-    postings = bm25.encode_counts(counts, model, id_col)
-    sparse.write_index(sparse.build_index(postings, drop_ratio), f"{path}/postings", id_col)
+    fields = [c for c in docs.columns if c not in (id_col, text_col)]
+    segments.build(docs, f"{path}/terms", id_col, text_col, fields, drop_ratio)
+    spark.createDataFrame([(id_col,)], "id_col string").write.parquet(f"{path}/about")
     return open_index(spark, path)
 
 
 def open_index(spark: SparkSession, path: str) -> TextIndex:
-    numbers = spark.read.parquet(f"{path}/numbers").first()
-    model = bm25.BM25Model(
-        numbers["n_docs"], numbers["avg_len"], spark.read.parquet(f"{path}/terms")
-    )
-    return TextIndex(
-        spark.read.parquet(f"{path}/docs"),
-        sparse.read_index(spark, f"{path}/postings"),
-        model,
-        numbers["id_col"],
+    about = spark.read.parquet(f"{path}/about").first()
+    return TextIndex(spark.read.parquet(f"{path}/docs"), f"{path}/terms", about["id_col"])
+
+
+def search_index_text(
+    queries: DataFrame,
+    index: TextIndex,
+    k: int,
+    query_col: str,
+    query_text: str = "text",
+    mode: str = "idf",
+    drop_ratio: float = 0.0,
+    where: str | None = None,
+) -> DataFrame:
+    """BM25 search of a stored index; no text is read."""
+    return segments.search_text(
+        queries, index.root, k, query_col, index.id_col, query_text, mode, drop_ratio, where
     )
 
 
@@ -195,25 +197,18 @@ def search_index(
     embedder=None,
     output_fields: list[str] | None = None,
 ) -> DataFrame:
-    """Hybrid search of a stored collection; texts are not read again unless
-    they are among ``output_fields``."""
+    """Hybrid search of a stored index; texts are not read again unless they are
+    among ``output_fields``."""
     each = limit if leg_limit is None else leg_limit
     docs = filter_expression(index.docs, where)
     asked = (embedder or HashEmbedder()).embed(
         queries.select(query_col, query_text), query_text, "_vector"
     )
-    counts, few = _asked(queries, query_col, query_text)
-    wanted = bm25.encode_queries(
-        queries, index.model, query_col, query_text, mode, counts=counts, few=few
-    )
     legs = [
         dense.knn_join(
             asked, docs, each, metric, query_col, index.id_col, "_vector", "embedding"
         ),
-        sparse.search(
-            wanted, index.postings, each, query_col, index.id_col, drop_ratio,
-            allowed=None if where is None else docs, few=few,
-        ),
+        search_index_text(queries, index, each, query_col, query_text, mode, drop_ratio, where),
     ]
     hits = fusion.fuse(legs, limit, query_col, index.id_col)
     if not output_fields:

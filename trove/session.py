@@ -74,6 +74,30 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def _folder(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    files, where = _folder(spark, path)
+    return files.exists(where)
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders directly below ``path``, which need not exist."""
+    files, where = _folder(spark, path)
+    if not files.exists(where):
+        return []
+    return sorted(f.getPath().getName() for f in files.listStatus(where) if f.isDirectory())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote."""
+    files, where = _folder(spark, path)
+    files.delete(where, True)
+
+
 def stored(df: DataFrame, label: str = "stored") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

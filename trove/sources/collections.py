@@ -66,20 +66,25 @@ def create(
     dim: int | None = DENSE_DIM,
     if_absent: bool = False,
     path: str | None = None,
+    partition: str | None = None,
+    properties: dict | None = None,
 ) -> None:
     """Make an empty collection. ``if_absent`` leaves an existing one alone.
 
     Without ``path`` its data lie in the warehouse and go when it is dropped.
+    ``partition`` names a last column whose values get folders of their own;
+    further ``properties`` are recorded beside metric, index and dim.
     """
     if if_absent and exists(spark, name):
         return
-    properties = {"metric": metric, "index": index}
+    properties = {"metric": metric, "index": index, **(properties or {})}
     if dim is not None:
         properties["dim"] = str(dim)
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
     listed = ", ".join(f"'{PREFIX}{k}' = '{v}'" for k, v in properties.items())
+    split = f"PARTITIONED BY (`{partition}`) " if partition else ""
     where = f"LOCATION '{path}' " if path else ""
-    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet {where}TBLPROPERTIES ({listed})")
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet {split}{where}TBLPROPERTIES ({listed})")
 
 
 def recreate(spark: SparkSession, name: str, schema: T.StructType, **kwargs) -> None:
@@ -94,6 +99,12 @@ def settings(spark: SparkSession, name: str) -> dict[str, str]:
     return {r["key"][len(PREFIX) :]: r["value"] for r in rows if r["key"].startswith(PREFIX)}
 
 
+def location(spark: SparkSession, name: str) -> str:
+    """The folder that the collection's data lie in."""
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Location'")
+    return rows.first()["data_type"].rstrip("/")
+
+
 def insert(df: DataFrame, name: str) -> None:
     """Append rows, matching columns by name and packing undeclared ones.
 

@@ -165,6 +165,13 @@ xl AS ({ranked("x", "item_id", "doc_id", leg)}),
 h AS ({ranked("f", "item_id", "doc_id", limit)})"""
 
 
+def indexed_step(step: int, where: str) -> str:
+    """The hybrid search over the rows that are in force at one step."""
+    body = hybrid(10, 20, "lang <> 'de'", 0.2).replace("documents", "held")
+    return f"""SELECT {step} AS step, * FROM (WITH held AS (SELECT * FROM documents WHERE {where}), {body}
+SELECT item_id, rank, doc_id AS id, score, source FROM h JOIN held USING (doc_id))"""
+
+
 def card_hits() -> str:
     return f"""{CARDS},
 {bm25("d", "k", "card_id", "description")}, {QUERY_IDF}, {dropped("qd", "q_w", "item_id")},
@@ -248,6 +255,8 @@ UNION ALL SELECT 'rows', 'row_count', count(*)::VARCHAR FROM embeddings""",
 SELECT item_id, rank, doc_id AS id, score FROM h""",
         "collection_append_search": f"""WITH {hybrid(10, 20)}
 SELECT item_id, rank, doc_id AS id, score, source FROM h JOIN documents USING (doc_id)""",
+        "collection_indexed_append_search": f"""{indexed_step(1, "doc_id % 3 = 0")}
+UNION ALL {indexed_step(2, "doc_id % 7 <> 3 AND doc_id % 11 <> 5")}""",
         "collection_refused_vectors": """SELECT vec_id AS id, label % 2 = 0 AS taken
 FROM embeddings""",
         "auto_id_unique": "SELECT 2 * count(*) AS n_rows, 2 * count(*) AS n_ids FROM documents",
@@ -332,6 +341,9 @@ SELECT r.*, kind FROM ({ranked("x", "query_id", "id", 10, ascending=True)}) r,
 SELECT doc_id, term, weight FROM d_w, cut WHERE weight >= c""",
         "bm25_search": f"""WITH {DOCS}, {QUERY_IDF},
 {sparse_scores("s", "q_w", "d_w", "item_id", "doc_id")}
+{ranked("s", "item_id", "doc_id", 10)}""",
+        "bm25_search_stored": f"""WITH {DOCS}, {QUERY_IDF},
+{sparse_scores("s", "q_w", "d_w", "item_id", "doc_id")}
 {ranked("s", "item_id", "doc_id", 10)}""",
         "bm25_search_drop": f"""WITH {DOCS}, {QUERY_IDF}, {dropped("qd", "q_w", "item_id")},
 {sparse_scores("s", "qd", "d_w", "item_id", "doc_id")}

@@ -23,7 +23,7 @@ from trove.operators import (
     reduce as axes,
     sparse,
 )
-from trove.plans import cards, hybrid, qa, tree
+from trove.plans import cards, hybrid, qa, segments, tree
 from trove.session import spread, stored, work_path
 from trove.sources import catalog, collections, files
 from trove.streaming import ingest
@@ -193,6 +193,38 @@ def collection_append_search(spark, sf_dir):
     )
 
 
+def _indexed(spark, index, **options):
+    name = _name()
+    kinds = ("text", "lang", "source")
+    fields = T.StructType([T.StructField(c, T.StringType()) for c in kinds])
+    segments.create(spark, name, fields, index=index, **options)
+    return name
+
+
+def collection_indexed_append_search(spark, sf_dir):
+    """Insert, search, insert, delete, merge and search again: both searches' hits."""
+    name = _indexed(spark, "exact")
+    rows = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text", "lang", "source")
+    asked = table(spark, sf_dir, "benchmark")
+    found = []
+
+    def search():
+        hits = hybrid.search_collection(
+            asked, name, "item_id", where="lang <> 'de'", limit=10, leg_limit=20, output_fields=["source"]
+        )
+        found.append(stored(hits.withColumn("step", F.lit(len(found) + 1)), "hits"))
+
+    segments.insert(rows.where("id % 3 = 0"), name)
+    search()
+    segments.insert(rows.where("id % 3 = 1"), name)
+    segments.insert(rows.where("id % 3 = 2"), name)
+    segments.delete(spark, name, rows.where("id % 7 = 3").select("id"))
+    segments.merge(spark, name)
+    segments.delete(spark, name, rows.where("id % 11 = 5").select("id"))
+    search()
+    return found[0].unionByName(found[1])
+
+
 def collection_refused_vectors(spark, sf_dir):
     """Vectors of odd labels lose a value; the collection refuses those rows."""
     rows = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
@@ -512,6 +544,12 @@ def bm25_search_drop(spark, sf_dir):
     return _sparse(spark, sf_dir, drop_ratio=0.2)
 
 
+def bm25_search_stored(spark, sf_dir):
+    """The search of ``bm25_search`` through a stored index with all weights."""
+    index = hybrid.build_index(documents(spark, sf_dir), "doc_id", drop_ratio=0.0)
+    return hybrid.search_index_text(table(spark, sf_dir, "benchmark"), index, 10, "item_id")
+
+
 def rrf_fuse(spark, sf_dir):
     legs = [_sparse(spark, sf_dir), _sparse(spark, sf_dir, mode="tf")]
     return fusion.fuse(legs, 10, "item_id", "doc_id")
@@ -806,14 +844,14 @@ def nest_messages(spark, sf_dir):
 ALL = [
     csv_roundtrip, run_sql_products, catalog_tables, catalog_columns, catalog_reflect,
     catalog_cards, collection_create_insert, collection_recreate, collection_describe,
-    collection_hybrid_search, collection_append_search, collection_refused_vectors,
+    collection_hybrid_search, collection_append_search, collection_indexed_append_search, collection_refused_vectors,
     auto_id_unique, dynamic_fields, ingest_batch, ingest_stream, ingest_stream_twice, fill_missing, prepare_rows,
     prepare_rows_keep_text, filter_category, filter_search, filter_expr, cast_to_schema,
     preview_top5, hash_embed, token_counts, token_length_stats, bm25_fit, bm25_encode_docs,
     bm25_encode_query_idf, bm25_encode_query_tf, prompt_render, describe_tables, pct_change,
     date_display, text_preview, currency_display, hex_bytes, search_cosine, search_l2, search_ip,
     search_filtered_semi, knn_join_topk, ivf_build_label_cells, ivf_search_label_cells,
-    ivf_full_probe, auto_index_search, ivf_kmeans_cells, sparse_index_build, bm25_search, bm25_search_drop, rrf_fuse,
+    ivf_full_probe, auto_index_search, ivf_kmeans_cells, sparse_index_build, bm25_search, bm25_search_drop, bm25_search_stored, rrf_fuse,
     hybrid_search, hybrid_search_stored, hybrid_top1, reduce_global, reduce_local, reduce_global_products,
     reduce_local_products, group_covariance, knn_graph,
     bic_single_gaussian, bic_choice, mixture_members, soft_assign, cluster_offsets,
