@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from trove.functions.models import FunctionEmbedder, HashEmbedder
 from trove.operators import prep
 from trove.session import shared_dir, sized, small_side, spread, stored
-from trove.sources import catalog, collections, files
+from trove.sources import catalog, collections, files, statements
 from trove.streaming import ingest
 
 
@@ -49,10 +49,83 @@ def test_jdbc_options():
         files.jdbc_options("jdbc:x:y", "t", "id")
 
 
-@pytest.mark.parametrize("bad", ["DROP TABLE x", "SELECT 1; SELECT 2", "insert into t values (1)"])
-def test_only_reading_statements_run(spark, bad):
-    with pytest.raises(ValueError):
+BAD_STATEMENTS = [
+    "DROP TABLE x",
+    "SELECT 1; SELECT 2",
+    "insert into t values (1)",
+    "WITH t AS (SELECT 5 AS a) INSERT OVERWRITE kept SELECT * FROM t",
+    "WITH t AS (SELECT 5 AS a) INSERT INTO seen SELECT * FROM t",
+    "FROM seen INSERT INTO kept SELECT *",
+    "SELECT * FROM kept",
+    "SELECT * FROM parquet.`/root/testdata/sf0.001/region.parquet`",
+    "SELECT 1 FROM seen WHERE a IN (SELECT a FROM kept)",
+    "SELECT (SELECT max(a) FROM kept) FROM seen",
+    "SELECT 1 FROM seen WHERE EXISTS (SELECT 1 FROM kept)",
+    "SELECT * FROM seen, LATERAL (SELECT * FROM kept)",
+    "SELECT * FROM (SELECT * FROM seen UNION ALL SELECT * FROM kept)",
+    # Without RECURSIVE the inner name is still the table.
+    "WITH kept AS (SELECT * FROM kept) SELECT * FROM kept",
+    "WITH a AS (SELECT * FROM b), b AS (SELECT 1) SELECT * FROM a",
+    "SELECT * FROM (WITH kept AS (SELECT 1 AS a) SELECT * FROM kept) x, kept",
+    "SELECT * FROM identifier('kept')",
+    "SELECT * FROM python_worker_logs()",
+    "SELECT java_method('java.lang.System', 'getenv', 'HOME')",
+    "SELECT a FROM seen WHERE reflect('java.lang.System', 'gc') IS NULL",
+    "CACHE TABLE z AS SELECT 1",
+    "EXPLAIN SELECT 1",
+    "SET x = 1",
+    "BEGIN SELECT 1; END",
+    "SELECT TRANSFORM (a) USING 'cat' FROM seen",
+    "not sql",
+    "",
+]
+GOOD_STATEMENTS = {
+    "SELECT a FROM seen": 3,
+    "select A from SEEN;": 3,
+    "SELECT ';' AS a FROM seen": 3,
+    "WITH kept AS (SELECT 1 AS a) SELECT a FROM kept": 1,
+    "WITH t AS (SELECT a FROM seen), u AS (SELECT a FROM t) SELECT a FROM u WHERE a IN (SELECT a FROM t)": 3,
+    "WITH RECURSIVE r AS (SELECT 1 AS a UNION ALL SELECT a + 1 FROM r WHERE a < 4) SELECT a FROM r": 4,
+    "SELECT a, row_number() OVER w AS n FROM seen WINDOW w AS (ORDER BY a)": 3,
+    "SELECT DISTINCT a % 2 AS a FROM seen ORDER BY 1 LIMIT 5 OFFSET 1": 1,
+    "SELECT a FROM seen EXCEPT SELECT 1": 2,
+    "SELECT a FROM (VALUES (1), (2)) v(a) JOIN seen USING (a)": 2,
+    "SELECT count(*) AS a FROM seen GROUP BY a HAVING count(*) > 0": 3,
+    "SELECT id AS a FROM range(4)": 4,
+    "SELECT x AS a FROM seen LATERAL VIEW explode(array(a, a)) t AS x": 6,
+    "FROM seen |> WHERE a > 1": 2,
+}
+
+
+@pytest.fixture(scope="module")
+def seen_and_kept(spark):
+    spark.range(1, 4).toDF("a").createOrReplaceTempView("seen")
+    spark.sql("DROP TABLE IF EXISTS kept")
+    spark.range(1).toDF("a").write.saveAsTable("kept")
+    yield
+    spark.sql("DROP TABLE kept")
+    spark.catalog.dropTempView("seen")
+
+
+@pytest.mark.parametrize("bad", BAD_STATEMENTS)
+def test_only_reading_statements_run(spark, seen_and_kept, bad):
+    with pytest.raises(statements.Refused):
         files.run_sql(spark, bad)
+    assert [r["a"] for r in spark.table("kept").collect()] == [0]
+
+
+@pytest.mark.parametrize("good", GOOD_STATEMENTS)
+def test_reading_statements_run(spark, seen_and_kept, good):
+    assert files.run_sql(spark, good).count() == GOOD_STATEMENTS[good]
+
+
+def test_tables_may_be_listed(spark, seen_and_kept):
+    assert files.run_sql(spark, "SELECT * FROM kept", relations=["KEPT"]).count() == 1
+    assert files.run_sql(spark, "SELECT * FROM default.kept", relations=["default.kept"]).count() == 1
+    for text in ("SELECT * FROM seen", "SELECT * FROM default.kept"):
+        with pytest.raises(statements.Refused):
+            files.run_sql(spark, text, relations=["kept"])
+    assert files.run_sql(spark, "SELECT * FROM default.kept", read_only=False).count() == 1
 
 
 def test_statement_may_end_with_semicolon(spark):
@@ -198,6 +271,22 @@ def test_stream_calls_add_up(spark, tmp_path):
     assert sorted(ids) == [*range(10), *range(100, 120)]
 
 
+def test_batch_and_stream_fill_one_table(spark, tmp_path):
+    schema = "doc_id long, text string"
+    out, folder = str(tmp_path / "out"), str(tmp_path / "in")
+    ingest.ingest_batch(spark.createDataFrame([(i, "a") for i in range(10)], schema), out, "text")
+    spark.createDataFrame([(100 + i, "b") for i in range(10)], schema).write.parquet(folder)
+    types = spark.read.parquet(folder).schema
+    for name in (folder, f"{folder}/", f"file:{folder}", f"{tmp_path}/./in"):
+        ingest.ingest_stream(spark, name, types, out, "text")
+    ingest.ingest_batch(spark.createDataFrame([(50, "c")], schema), out, "text")
+    # Files of another layout beside them count as well.
+    found = ingest.read_table(spark, out)
+    found.where("doc_id = 50").withColumn("doc_id", F.lit(51).cast("long")).write.mode("append").parquet(out)
+    ids = sorted(r["doc_id"] for r in ingest.read_table(spark, out).select("doc_id").collect())
+    assert ids == [*range(10), 50, 51, *range(100, 110)]
+
+
 def test_size_checked_helpers(spark):
     df = spark.range(50)
     joined = df.join(small_side(spark.range(10), 10), "id")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trove.functions import text as txt
@@ -78,6 +78,13 @@ def as_terms(counts: DataFrame, *kept: str) -> DataFrame:
     return counts.select(*kept, "doc_len", F.inline_outer("words")).where(F.col("term").isNotNull())
 
 
+def corpus_numbers(df: DataFrame, text_col: str) -> tuple[int, float]:
+    """How many texts there are, and their mean length in words."""
+    length = F.avg(txt.token_count(text_col))
+    n_docs, avg_len = text_rows(df, text_col).agg(F.count(F.lit(1)), length).first()
+    return n_docs, avg_len or 0.0
+
+
 def fit(
     df: DataFrame,
     id_col: str,
@@ -93,27 +100,31 @@ def fit(
     the terms of the queries at hand; the other statistics stay whole.
     ``counts`` passes term counts that are already stored.
     """
-    stats = (
-        text_rows(df, text_col)
-        .agg(
-            F.count(F.lit(1)).alias("n_docs"),
-            F.avg(txt.token_count(text_col)).alias("avg_len"),
-        )
-        .first()
-    )
+    n_docs, avg_len = corpus_numbers(df, text_col)
     if counts is None:
         counts = term_counts(df, id_col, text_col, terms)
     # Counting on tf keeps these counts the same plan as the encoder's, so Spark
     # splits and shuffles the texts once for both.
     holding = F.count_if(F.col("tf") > 0).alias("df")
-    return BM25Model(stats["n_docs"], stats["avg_len"] or 0.0, counts.groupBy("term").agg(holding))
+    return BM25Model(n_docs, avg_len, counts.groupBy("term").agg(holding))
+
 
+def weight(tf: Column, doc_len: Column, avg_len: float, k1: float = K1, b: float = B) -> Column:
+    """A saturated, length-normalised term count."""
+    return F.round(tf / (tf + k1 * (1 - b + b * (doc_len / F.lit(avg_len)))), WEIGHT_DIGITS)
 
-def _saturated(model: BM25Model, k1: float, b: float):
-    share = F.col("doc_len") / F.lit(model.avg_len)
-    return F.round(
-        F.col("tf") / (F.col("tf") + k1 * (1 - b + b * share)), WEIGHT_DIGITS
-    ).alias("weight")
+
+def mean_weights(df: DataFrame, id_col: str, text_col: str, out_col: str = "mean") -> DataFrame:
+    """``(id, mean)``: the mean weight of each text's terms; none without terms.
+
+    A text's terms are weighed where they lie, so nothing is shuffled.
+    """
+    _, avg_len = corpus_numbers(df, text_col)
+    total = F.aggregate(
+        "words", F.lit(0.0), lambda sum_, w: sum_ + weight(w["tf"], F.col("doc_len"), avg_len)
+    )
+    counts = word_counts(df, id_col, text_col)
+    return counts.select(id_col, F.round(F.try_divide(total, F.size("words")), WEIGHT_DIGITS).alias(out_col))
 
 
 def encode_documents(
@@ -133,7 +144,8 @@ def encode_counts(
     counts: DataFrame, model: BM25Model, id_col: str, k1: float = K1, b: float = B
 ) -> DataFrame:
     """The document encoding of term counts already at hand."""
-    return counts.select(id_col, "term", _saturated(model, k1, b))
+    weighed = weight(F.col("tf"), F.col("doc_len"), model.avg_len, k1, b)
+    return counts.select(id_col, "term", weighed.alias("weight"))
 
 
 def encode_queries(

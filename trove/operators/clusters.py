@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from trove.functions import text as txt
 from trove.functions.models import ColumnTextModel
 from trove.operators import mixture
-from trove.operators.bm25 import WEIGHT_DIGITS, encode_documents, fit
+from trove.operators.bm25 import mean_weights
 from trove.operators.ranking import places
 from trove.operators.reduce import reduce_global, reduce_local
 from trove.operators.skew import attach
@@ -171,9 +171,7 @@ def extractive_summaries(
     scores are compared per cluster; the winners, one per cluster, are stored
     and sent to the texts, which do not move.
     """
-    model = fit(texts, id_col, text_col)
-    weights = encode_documents(texts, model, id_col, text_col)
-    means = weights.groupBy(id_col).agg(F.round(F.avg("weight"), WEIGHT_DIGITS).alias("_mean"))
+    means = mean_weights(texts, id_col, text_col, "_mean")
     scored = members.select(id_col, cluster_col).join(means, id_col, "left")
     loss = (-F.coalesce(F.col("_mean"), F.lit(0.0))).alias("loss")
     best = scored.groupBy(cluster_col).agg(F.min(F.struct(loss, id_col)).alias("_best"))

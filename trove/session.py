@@ -79,6 +79,12 @@ def _folder(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """One spelling of a path, with its file system and without a last slash."""
+    files, where = _folder(spark, path)
+    return files.makeQualified(where).toString().rstrip("/")
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     files, where = _folder(spark, path)
     return files.exists(where)

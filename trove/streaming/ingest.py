@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from trove.operators.prep import fill_missing, prepare_rows
+from trove.session import qualified
 
 # Fixed value: rows handed to an embedding function at once.
 CHUNK_ROWS = 1000
@@ -21,12 +23,17 @@ def embed_batch(df: DataFrame, text_col: str, keep_text: bool = True, embedder=N
 
 
 def ingest_batch(df: DataFrame, path: str, text_col: str, **options) -> None:
-    """Embed and append to a parquet folder; parallelism is the partitions."""
+    """Embed and append to a parquet folder; parallelism is the partitions.
+
+    A call writes a folder of its own below ``path``, as a micro-batch of a
+    stream does, so both may add to one table.
+    """
     conf = df.sparkSession.conf
     before = conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(CHUNK_ROWS))
     try:
-        embed_batch(df, text_col, **options).write.mode("append").parquet(path)
+        name = f"batch_id={uuid.uuid4().hex[:12]}"
+        embed_batch(df, text_col, **options).write.parquet(f"{path}/{name}")
     finally:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
@@ -45,13 +52,13 @@ def ingest_stream(
     """Take the new files of a folder through ``embed_batch`` and stop.
 
     What has been read is remembered in ``checkpoint``, by default a hidden
-    folder of the target for each source folder: a later call adds what is new,
-    from the same folder or another, and repeats nothing. Each micro-batch
+    folder of the target for each source folder, however that is spelt: a later
+    call adds what is new, from the same folder or another, and repeats nothing. Each micro-batch
     overwrites the folder named after its checkpoint and number: one that is
     repeated after a failure leaves the table as it was, and streams with
     different checkpoints never meet.
     """
-    source = hashlib.md5(folder.encode()).hexdigest()[:12]
+    source = hashlib.md5(qualified(spark, folder).encode()).hexdigest()[:12]
     checkpoint = checkpoint or f"{path}/_stream/{source}"
     name = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
@@ -74,7 +81,5 @@ def ingest_stream(
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """The ingested rows without the batch folder column."""
-    df = spark.read.parquet(path)
-    return df.drop("batch_id") if "batch_id" in df.columns else df
-
+    """All ingested rows, whichever way they came."""
+    return spark.read.option("recursiveFileLookup", True).parquet(path)

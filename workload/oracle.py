@@ -237,7 +237,7 @@ def statements() -> dict[str, str]:
     return {
         "csv_roundtrip": "SELECT * FROM part",
         "run_sql_products": "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice "
-        "FROM part WHERE p_retailprice >= 950",
+        "FROM part",
         "catalog_tables": row_counts(),
         "catalog_columns": f"WITH {COLUMNS} SELECT * FROM c JOIN n USING (table_name)",
         "catalog_reflect": f"""WITH {COLUMNS}
@@ -246,6 +246,7 @@ SELECT table_name AS name, schema AS columns, row_count FROM r JOIN n USING (tab
 schema, table_name, 'read-only' AS access, row_count FROM r JOIN n USING (table_name)""",
         "collection_create_insert": COLLECTION,
         "collection_recreate": COLLECTION,
+        "collection_if_absent": COLLECTION,
         "collection_describe": """SELECT * FROM (VALUES ('column', 'id', 'bigint'),
 ('column', 'embedding', 'array<float>'), ('column', 'label', 'int'),
 ('property', 'metric', 'cosine'), ('property', 'index', 'AUTOINDEX'), ('property', 'dim', '64'))
@@ -265,6 +266,7 @@ json_extract_string(props, '$.k')::BIGINT AS k FROM events""",
         "ingest_batch": INGESTED,
         "ingest_stream": INGESTED,
         "ingest_stream_twice": INGESTED,
+        "ingest_batch_then_stream": INGESTED,
         "fill_missing": """SELECT doc_id, lang, coalesce(quality, 0) AS quality,
 coalesce(toxic, 0) AS toxic, coalesce(quality / 2.0::DOUBLE, 0.0) AS half,
 coalesce('q' || quality, 'missing-data') AS mark, coalesce(toxic = 1, FALSE) AS is_toxic

@@ -68,8 +68,7 @@ def run_sql_products(spark, sf_dir):
     files.register_views({"products": table(spark, sf_dir, "part")})
     return files.run_sql(
         spark,
-        "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM products "
-        "WHERE p_retailprice >= 950",
+        "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM products",
     )
 
 
@@ -154,6 +153,16 @@ def collection_recreate(spark, sf_dir):
     return _contents(spark, name)
 
 
+def collection_if_absent(spark, sf_dir):
+    """Making a collection that is there already leaves its rows alone."""
+    name = _name()
+    schema, rows = _collection(spark, sf_dir, name)
+    for part in (0, 1):
+        collections.create(spark, name, schema, metric="l2", dim=64, if_absent=True)
+        collections.insert(rows.where(F.col("id") % 2 == part), name)
+    return _contents(spark, name)
+
+
 def collection_describe(spark, sf_dir):
     name = _name()
     schema, rows = _collection(spark, sf_dir, name)
@@ -293,6 +302,20 @@ def ingest_stream_twice(spark, sf_dir):
     return _ingested(ingest.read_table(spark, path))
 
 
+def ingest_batch_then_stream(spark, sf_dir):
+    """A third of the rows as a batch, and a folder of the others twice as a
+    stream, the second time under another spelling of its path."""
+    path = work_path(spark, "mixed-table")
+    docs = documents(spark, sf_dir)
+    first = F.pmod("doc_id", F.lit(3)) == 0
+    ingest.ingest_batch(docs.where(first), path, "text")
+    folder = work_path(spark, "arrived")
+    docs.where(~first).write.parquet(folder)
+    for name in (folder, f"{folder}/"):
+        ingest.ingest_stream(spark, name, docs.schema, path, "text", pattern="*.parquet")
+    return _ingested(ingest.read_table(spark, path))
+
+
 # Rows
 
 
@@ -375,14 +398,14 @@ def token_length_stats(spark, sf_dir):
 
 
 def bm25_fit(spark, sf_dir):
-    model = bm25.fit(table(spark, sf_dir, "documents"), "doc_id", "text")
+    model = bm25.fit(documents(spark, sf_dir), "doc_id", "text")
     return model.terms.select(
         "term", "df", F.lit(model.n_docs).cast("long").alias("n_docs"), F.round(F.lit(model.avg_len), 6).alias("avg_len")
     )
 
 
 def bm25_encode_docs(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return bm25.encode_documents(docs, bm25.fit(docs, "doc_id", "text"), "doc_id", "text")
 
 
@@ -524,7 +547,7 @@ def ivf_kmeans_cells(spark, sf_dir):
 
 
 def sparse_index_build(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return sparse.build_index(
         stored(bm25.encode_documents(docs, bm25.fit(docs, "doc_id", "text"), "doc_id", "text"))
     )
@@ -721,7 +744,7 @@ def concat_cluster_text_keys(spark, sf_dir):
 
 
 def summarise_extractive(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return clusters.extractive_summaries(
         docs.select("doc_id", "source"), docs, "doc_id", "text", "source"
     )
@@ -729,7 +752,7 @@ def summarise_extractive(spark, sf_dir):
 
 def _fixed_tree(spark, sf_dir):
     """Given cells: the source, then its number modulo 3, then all in one."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source")
+    docs = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text", "source")
 
     def assign(level, items):
         if level == 1:
@@ -843,9 +866,9 @@ def nest_messages(spark, sf_dir):
 
 ALL = [
     csv_roundtrip, run_sql_products, catalog_tables, catalog_columns, catalog_reflect,
-    catalog_cards, collection_create_insert, collection_recreate, collection_describe,
+    catalog_cards, collection_create_insert, collection_recreate, collection_if_absent, collection_describe,
     collection_hybrid_search, collection_append_search, collection_indexed_append_search, collection_refused_vectors,
-    auto_id_unique, dynamic_fields, ingest_batch, ingest_stream, ingest_stream_twice, fill_missing, prepare_rows,
+    auto_id_unique, dynamic_fields, ingest_batch, ingest_stream, ingest_stream_twice, ingest_batch_then_stream, fill_missing, prepare_rows,
     prepare_rows_keep_text, filter_category, filter_search, filter_expr, cast_to_schema,
     preview_top5, hash_embed, token_counts, token_length_stats, bm25_fit, bm25_encode_docs,
     bm25_encode_query_idf, bm25_encode_query_tf, prompt_render, describe_tables, pct_change,
