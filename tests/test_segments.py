@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trove.operators import blockmax, bm25, dense, ivf
+from trove.functions.models import HashEmbedder
+from trove.operators import blockmax, bm25, dense, ivf, pq
 from trove.plans import hybrid, segments
 from trove.session import path_exists, subfolders, work_path
 from trove.sources import collections
@@ -228,7 +229,7 @@ def test_many_deletions_are_cleared_by_a_merge(spark, asked, monkeypatch):
     near(hits(got), brute(rows[10:], ASKED, 5))
 
 
-@pytest.mark.parametrize("index", ["exact", "cells"])
+@pytest.mark.parametrize("index", ["cells", "pq", "auto"])
 def test_search_by_name_uses_the_recorded_index(spark, asked, index):
     name = collection(spark, index, nlist=4, nprobe=4, metric="l2")
     for seed, first in ((1, 0), (2, 500)):
@@ -240,14 +241,24 @@ def test_search_by_name_uses_the_recorded_index(spark, asked, index):
     want = hybrid.hybrid_search(
         asked, docs, "qid", "id", where="source = 'src1'", limit=5, leg_limit=8, metric="l2"
     )
-    if index == "exact":
-        legs = brute(rows, ASKED, 8, lambda r: r[2] == "src1", 0.2)
-        assert {h[0] for h in hits(got)} == {h[0] for h in legs}
-    # All cells are probed, so that both kinds give the same neighbours.
+    # All cells are probed, so that all kinds give the same neighbours. The text
+    # legs may differ, as the index drops its lightest weights.
     assert got.count() == want.count() == 15
     assert {r["source"] for r in got.join(docs, "id").collect()} == {"src1"}
-    folder = f"{segments.root_of(spark, name)}/vectors"
-    assert path_exists(spark, folder) == (index == "cells")
+    known = collections.settings(spark, name)["index"]
+    assert known == ("exact" if index == "auto" else index)
+    root = segments.root_of(spark, name)
+    state = segments.read_state(spark, root)
+    queries = HashEmbedder().embed(asked, "text", "_vector")
+    exact = dense.knn_join(
+        queries, segments.rows(spark, name).where("source = 'src1'"), 8, "l2", "qid", "id", "_vector", "embedding"
+    )
+    if known != "exact":
+        recorded = collections.settings(spark, name)
+        near_ = segments._search_cells(queries, root, state, recorded, 8, "l2", "qid", "source = 'src1'")
+        assert hits(near_) == hits(exact)
+    assert path_exists(spark, f"{root}/vectors") == (known != "exact")
+    assert path_exists(spark, f"{root}/codes") == (known == "pq")
 
 
 def test_cells_of_later_segments_are_the_nearest(spark):
@@ -263,6 +274,51 @@ def test_cells_of_later_segments_are_the_nearest(spark):
     assert got[99] is None
 
 
+@pytest.mark.parametrize("metric", ["l2", "cosine", "ip"])
+@pytest.mark.parametrize("max_shipped", [10**6, 30])
+def test_coded_candidates_are_scored_exactly(spark, metric, max_shipped):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=8).round(2).tolist()) for i in range(150)] + [(900, None), (901, [0.0] * 8)]
+    rows += [(i, rows[0][1]) for i in range(300, 310)]
+    frame = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(3)
+    queries = frame.where("id < 12 OR id = 900").withColumnRenamed("id", "query_id")
+    index = pq.build(frame, 5, parts=4, metric=metric)
+    exact = dense.knn_join(queries, frame, 6, metric)
+    found = pq.search(queries, index, 6, 5, rerank=40, max_shipped=max_shipped)
+    assert hits(found) == hits(exact)
+    some = pq.search(queries, index, 6, 5, rerank=3)
+    both = hits(some) & hits(exact)
+    assert len(both) > 0.8 * exact.count()
+    none = frame.where("false")
+    assert pq.search(none.withColumnRenamed("id", "query_id"), index, 6, 5).count() == 0
+
+
+def test_codes_lie_near_their_vectors(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(400)]
+    frame = spark.createDataFrame(rows, "id long, embedding array<float>")
+    index = pq.build(frame, 4, parts=4)
+    books, (known, centres) = pq.read_books(index.books), pq._centres(index.centroids)
+    given = dict(rows)
+    lost = kept = 0.0
+    for r in index.codes.collect():
+        centre = centres[known.tolist().index(r["cell"])]
+        gap = (np.array(given[r["id"]]) - centre).reshape(4, -1)
+        code = np.array(bytearray(r["code"]))
+        far = ((gap[:, None, :] - books) ** 2).sum(2)
+        assert (far[np.arange(4), code] <= far.min(1) + 1e-6).all()
+        lost, kept = lost + far.min(1).sum(), kept + (gap**2).sum()
+    assert lost < 0.1 * kept
+
+
+def test_index_choice_by_cost():
+    assert pq.choose(500, 64, 1024, 10) == "exact"
+    assert pq.choose(2_000_000, 64, 1024, 10) in ("cells", "pq")
+    assert pq.choose(10**10, 768, 65_536, 32) == "pq"
+    costs = [pq.estimated_cost("exact", n, 64, 16, 4) for n in (10, 1000)]
+    assert costs[0] < costs[1]
+
+
 def test_collections_without_an_index_stay_as_they_were(spark):
     name = f"plain_{uuid.uuid4().hex}"
     collections.create(spark, name, collections.collection_schema(FIELDS, dynamic=False), dim=64)

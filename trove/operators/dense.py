@@ -82,6 +82,17 @@ def gains(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
     return np.round(products, SCORE_DIGITS)
 
 
+def pair_scores(left: np.ndarray, right: np.ndarray, metric: str) -> np.ndarray:
+    """The score of each row of ``left`` with the same row of ``right``."""
+    if metric == "l2":
+        return np.round(((left - right) ** 2).sum(1), SCORE_DIGITS) + 0.0
+    products = (left * right).sum(1)
+    if metric == "cosine":
+        lengths = np.linalg.norm(left, axis=1) * np.linalg.norm(right, axis=1)
+        products = np.divide(products, lengths, out=np.zeros_like(products), where=lengths > 0)
+    return np.round(products, SCORE_DIGITS) + 0.0
+
+
 class _Best:
     """Running best ``k`` per query; equal scores rank by lower id."""
 

@@ -19,6 +19,7 @@ from trove.operators import (
     ivf,
     mixture,
     moments,
+    pq,
     prep,
     reduce as axes,
     sparse,
@@ -542,6 +543,37 @@ def auto_index_search(spark, sf_dir):
     return found[0].unionByName(found[1])
 
 
+def _recall(found, exact):
+    """How many queries there are, and whether nine tenths of their neighbours are found."""
+    hit = exact.select("query_id", "id").join(found.select("query_id", "id"), ["query_id", "id"], "left_semi")
+    share = hit.count() / max(1, exact.count())
+    return exact.agg(
+        F.count_distinct("query_id").alias("n_queries"), F.lit(share >= 0.9).alias("nine_tenths")
+    )
+
+
+def ivf_recall(spark, sf_dir):
+    """Ten neighbours of every row through 10 of 16 cells, against the exact ones."""
+    rows = _vectors(spark, sf_dir)
+    index = ivf.write(ivf.build(rows, N_CELLS))
+    exact = stored(dense.knn_join(_as_queries(rows), rows, 10, "l2"), "exact")
+    return _recall(ivf.search(_as_queries(rows), index, 10, ivf.NPROBE, "l2"), exact)
+
+
+def pq_recall(spark, sf_dir):
+    """The same through coded cells, where 100 candidates by code are scored exactly."""
+    rows = _vectors(spark, sf_dir)
+    exact = stored(dense.knn_join(_as_queries(rows), rows, 10, "l2"), "exact")
+    return _recall(pq.search(_as_queries(rows), pq.build(rows, N_CELLS), 10, ivf.NPROBE), exact)
+
+
+def pq_scores(spark, sf_dir):
+    """All cells probed and every row a candidate: the exact neighbours of each row."""
+    rows = _vectors(spark, sf_dir)
+    index = pq.build(rows, N_CELLS)
+    return pq.search(_as_queries(rows), index, 10, N_CELLS, rerank=rows.count())
+
+
 def ivf_kmeans_cells(spark, sf_dir):
     return ivf.cell_sizes(ivf.build(_vectors(spark, sf_dir), N_CELLS))
 
@@ -874,7 +906,7 @@ ALL = [
     bm25_encode_query_idf, bm25_encode_query_tf, prompt_render, describe_tables, pct_change,
     date_display, text_preview, currency_display, hex_bytes, search_cosine, search_l2, search_ip,
     search_filtered_semi, knn_join_topk, ivf_build_label_cells, ivf_search_label_cells,
-    ivf_full_probe, auto_index_search, ivf_kmeans_cells, sparse_index_build, bm25_search, bm25_search_drop, bm25_search_stored, rrf_fuse,
+    ivf_full_probe, auto_index_search, ivf_kmeans_cells, ivf_recall, pq_recall, pq_scores, sparse_index_build, bm25_search, bm25_search_drop, bm25_search_stored, rrf_fuse,
     hybrid_search, hybrid_search_stored, hybrid_top1, reduce_global, reduce_local, reduce_global_products,
     reduce_local_products, group_covariance, knn_graph,
     bic_single_gaussian, bic_choice, mixture_members, soft_assign, cluster_offsets,
