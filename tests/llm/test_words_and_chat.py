@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_llm_operators import make_docs, odd_texts
-from trove.llm import chat, divergence, spelling
+from trove.llm import chat, divergence, pii, spelling
 
 DIR = "/root/testdata/sf0.001"
 
@@ -324,3 +325,48 @@ def test_terms_of_a_long_text(monkeypatch):
     assert whole["日本語".encode() * 30] == 1 and whole[b"code"] == 20
     monkeypatch.setattr(divergence, "BLOCK", 5)
     assert divergence.terms_of(text) == whole
+
+
+# ---- personal data in texts of any length
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+
+
+def test_linear_patterns_give_the_same_spans():
+    rng = random.Random(9)
+    for n in range(20_000):
+        text = "".join(rng.choices("aB1@.-+ é" if n % 2 else "01239.. -x", k=rng.randint(0, 30)))
+        found = pii.base_spans(text)
+        assert [(a, b) for a, k, b in found if k == 0] == [m.span() for m in EMAIL.finditer(text)], text
+        ips = [m.span() for m in IP.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
+        assert [(a, b) for a, k, b in found if k == 1] == ips, text
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "7" * 1_000_000,
+        "0" * 1_000_000 + ".1.2.3",
+        "1." * 500_000,
+        "1.2.3 " * 170_000,
+        "1@" + "a-" * 500_000,
+        "a" * 1_000_000 + "@" + "b" * 10,
+        "a@" * 500_000,
+        "a@b" * 300_000,
+        "a." * 500_000 + "@",
+        "+1 " * 300_000,
+        "+" + "1 " * 500_000,
+        "1 " * 500_000,
+        "xoxa-" * 200_000,
+        "AB12" * 250_000,
+        "AB12 " * 200_000,
+        "f" * 1_000_000,
+        "sk-" * 300_000,
+    ],
+)
+def test_long_runs_take_linear_time(text):
+    start = time.process_time()
+    pii.base_spans(text)
+    pii.added_spans(text)
+    assert time.process_time() - start < 5
