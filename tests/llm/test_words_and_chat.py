@@ -369,4 +369,4 @@ def test_long_runs_take_linear_time(text):
     start = time.process_time()
     pii.base_spans(text)
     pii.added_spans(text)
-    assert time.process_time() - start < 5
+    assert time.process_time() - start < 8

@@ -63,7 +63,7 @@ def luhn(digits: str) -> bool:
 
 def mod97(iban: str) -> bool:
     """Whether an account number leaves 1 when divided by 97."""
-    return int((iban[4:] + iban[:4]).translate(_NUMBERS)) % 97 == 1
+    return _iban_end(iban) == len(iban)
 
 
 def _digits(text: str) -> str:
@@ -116,14 +116,25 @@ def _valid(kind: str, text: str) -> bool:
 
 
 def _iban_end(text: str) -> int:
-    """The length of the longest account number that starts ``text`` and ends with a word; 0 for none."""
-    end = len(text)
-    while end > 0:
-        plain = text[:end].replace(" ", "")
-        if 15 <= len(plain) <= 34 and mod97(plain):
-            return end
-        end = text.rfind(" ", 0, end)
-    return 0
+    """The length of the longest account number that starts ``text`` and ends with a word; 0 for none.
+
+    The remainder by 97 is carried from word to word; the first four characters
+    count last.
+    """
+    head = text[:4].translate(_NUMBERS)
+    scale, first = 10 ** len(head), int(head)
+    rest = found = at = 0
+    size = 4
+    for word in text[4:].split(" "):
+        digits = word.translate(_NUMBERS)
+        if digits:
+            rest = (rest * 10 ** len(digits) + int(digits)) % 97
+        size += len(word)
+        at += len(word)
+        if 15 <= size <= 34 and (rest * scale + first) % 97 == 1:
+            found = at + 4
+        at += 1
+    return found
 
 
 def added_spans(text: str) -> list[tuple[int, int, int]]:
