@@ -10,7 +10,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from trove.operators import bm25, dense, fusion, ivf, prep, sparse
+from trove.operators import bm25, dense, descent, fusion, ivf, prep, sparse
 from trove.operators.moments import as_matrix
 from trove.plans import hybrid
 
@@ -79,6 +79,28 @@ def test_graph_size_defaults_to_square_root(spark):
     assert dense.knn_graph(frame).groupBy("query_id").count().where("count <> 5").count() == 0
 
 
+@pytest.mark.parametrize("metric, kind", [("l2", "bigint"), ("cosine", "string")])
+def test_descent_finds_nearly_all_neighbours(spark, metric, kind):
+    rng = np.random.RandomState(4)
+    key = str if kind == "string" else int
+    rows = [(key(1000 + i), rng.normal(size=6).round(3).tolist(), 0) for i in range(500)]
+    rows += [(key(2000 + i), rows[0][1], 0) for i in range(4)] + [(key(3000), None, 0)]
+    frame = vectors(spark, rows, kind).repartition(3)
+    got = found(descent.graph(frame, 5, metric, stretch=16))
+    want = brute(rows[:-1], rows, 5, metric, skip_self=True)
+    pairs, wanted = ({(q, i, s) for q, _, i, s in x} for x in (got, want))
+    assert len(got) == len(want) and len(pairs & wanted) > 0.95 * len(wanted)
+    assert not {q for q, *_ in got} & {key(3000)} and all(q != i for q, i, _ in pairs)
+    assert {r for _, r, *_ in got} == set(range(1, 6))
+
+
+def test_descent_of_a_few_rows(spark):
+    rows = vectors(spark, made(4, 3, 7))
+    assert found(descent.graph(rows, 9, "l2")) == brute(made(4, 3, 7), made(4, 3, 7), 9, "l2", skip_self=True)
+    assert descent.graph(rows.where("id = 0"), 3).count() == 0
+    assert descent.graph(rows.where("false"), 3).count() == 0
+
+
 def test_queries_without_a_vector_hide_no_others(spark):
     rows = made(30, 3, 8)
     asked = [(900 + i, None, 0) for i in range(5)] + rows

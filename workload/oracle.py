@@ -335,6 +335,7 @@ x AS (SELECT a.id AS query_id, b.id AS id, {squared("a.embedding", "b.embedding"
     FROM e a, e b)
 {ranked("x", "query_id", "id", 10, ascending=True)}""",
         "ivf_recall": "SELECT count(*) AS n_queries, TRUE AS nine_tenths FROM embeddings",
+        "knn_graph_descent": "SELECT count(*) AS n_queries, TRUE AS nine_tenths FROM embeddings",
         "pq_recall": "SELECT count(*) AS n_queries, TRUE AS nine_tenths FROM embeddings",
         "pq_scores": f"""WITH {CELLS},
 x AS (SELECT a.id AS query_id, b.id AS id, {squared("a.embedding", "b.embedding")} AS score

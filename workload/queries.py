@@ -15,6 +15,7 @@ from trove.operators import (
     chatlog,
     clusters,
     dense,
+    descent,
     fusion,
     ivf,
     mixture,
@@ -684,6 +685,13 @@ def knn_graph(spark, sf_dir):
     return dense.knn_graph(_vectors(spark, sf_dir))
 
 
+def knn_graph_descent(spark, sf_dir):
+    """Ten neighbours of each row by descent, against the exact ones."""
+    rows = _vectors(spark, sf_dir)
+    exact = stored(dense.knn_graph(rows, 10, "l2"), "exact")
+    return _recall(descent.graph(rows, 10, "l2"), exact)
+
+
 def bic_single_gaussian(spark, sf_dir):
     out = mixture.single_gaussian_bic(_vectors(spark, sf_dir), "embedding")
     return out.select(
@@ -908,7 +916,7 @@ ALL = [
     search_filtered_semi, knn_join_topk, ivf_build_label_cells, ivf_search_label_cells,
     ivf_full_probe, auto_index_search, ivf_kmeans_cells, ivf_recall, pq_recall, pq_scores, sparse_index_build, bm25_search, bm25_search_drop, bm25_search_stored, rrf_fuse,
     hybrid_search, hybrid_search_stored, hybrid_top1, reduce_global, reduce_local, reduce_global_products,
-    reduce_local_products, group_covariance, knn_graph,
+    reduce_local_products, group_covariance, knn_graph, knn_graph_descent,
     bic_single_gaussian, bic_choice, mixture_members, soft_assign, cluster_offsets,
     small_group_bypass, embed_cluster, explode_membership, distinct_clusters, concat_cluster,
     concat_cluster_text_keys,
