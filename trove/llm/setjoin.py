@@ -23,6 +23,9 @@ from trove.session import stored
 
 #: Two sets link when 100 * shared >= PERCENT * union.
 PERCENT = 80
+#: Pairs of whole sets that a task holds at once.
+PAIRS_AT_ONCE = 64
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def overlap_needed(a: int, b: int, percent: int = PERCENT) -> int:
@@ -297,7 +300,14 @@ def linked(
                 yes.append(shared(a, b) >= overlap_needed(len(a), len(b), percent))
             yield batch.filter(pa.array(yes, pa.bool_())).select([0, 1])
 
-    return stored(both.select("a", "b", "_a", "_b").mapInArrow(check, "a long, b long"), "links")
+    checked = both.select("a", "b", "_a", "_b").mapInArrow(check, "a long, b long")
+    # Two whole sets a row: few rows at a time keep a task's memory flat.
+    before = spark.conf.get(_BATCH_ROWS)
+    spark.conf.set(_BATCH_ROWS, str(PAIRS_AT_ONCE))
+    try:
+        return stored(checked, "links")
+    finally:
+        spark.conf.set(_BATCH_ROWS, before)
 
 
 def shared(a: np.ndarray, b: np.ndarray) -> int:
