@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trove.functions.models import ColumnTextModel, FunctionTextModel
-from trove.operators import clusters, mixture, moments, reduce as axes
+from trove.operators import clusters, dense, ivf, mixture, moments, reduce as axes
 from trove.operators.ranking import places
 from trove.plans import tree
 from trove.session import stored
@@ -251,3 +251,61 @@ def test_embed_and_cluster_keeps_every_text(spark):
     df = spark.createDataFrame([(i, f"text number {i}") for i in range(8)], "id long, text string")
     out = tree.embed_and_cluster(df, "id", "text").collect()
     assert all(r["cluster"] == [0] and len(r["embedding"]) == 64 for r in out) and len(out) == 8
+
+
+# ---- rows without a vector, values that are no numbers, keys of any type
+
+
+def odd_vectors(spark):
+    rng = np.random.RandomState(3)
+    rows = [(i, rng.normal(size=4).round(3).tolist(), f"g{i % 3}") for i in range(60)]
+    rows += [(100, None, "g0"), (101, None, None), (102, [0.0] * 4, "g1"), (103, [1.0] * 4, None)]
+    schema = "id long, embedding array<double>, name string"
+    return rows, spark.createDataFrame(rows, schema).repartition(3)
+
+
+def test_reduction_with_text_groups_and_missing_vectors(spark):
+    rows, df = odd_vectors(spark)
+    for out in (axes.reduce_global(df, 2), axes.reduce_local(df, "name", 2)):
+        got = {r["id"]: r["reduced"] for r in out.collect()}
+        assert len(got) == len(rows) and {i for i, v in got.items() if v is None} == {100, 101}
+        assert all(len(v) == 2 for v in got.values() if v is not None)
+    by_number = df.withColumn("name", F.substring("name", 2, 1).cast("long"))
+    same = {r["id"]: r["reduced"] for r in axes.reduce_local(by_number, "name", 2).collect()}
+    assert all(v is None or np.allclose(v, same[i]) for i, v in got.items())
+
+
+def test_mixtures_of_text_groups(spark):
+    _, df = odd_vectors(spark)
+    points = stored(axes.reduce_global(df, 2))
+    by_text = mixture.fit_groups(points, "name", "id", k=2, rounds=5)
+    assert sorted(by_text) == ["g0", "g1", "g2"]
+    numbers = points.withColumn("name", F.substring("name", 2, 1).cast("long"))
+    by_number = mixture.fit_groups(numbers, "name", "id", k=2, rounds=5)
+    for g in range(3):
+        assert by_text[f"g{g}"][2].log_likelihood == pytest.approx(by_number[g][2].log_likelihood)
+    table = mixture.bic_table(spark, by_text)
+    assert {r["group_id"] for r in table.collect()} == {"g0", "g1", "g2"}
+    rows = mixture.soft_assign(points, mixture.best_by_bic(by_text), "name", keep_unassigned=True)
+    sizes = {r["id"]: len(r["members"] or []) for r in rows.collect()}
+    assert {i for i, n in sizes.items() if n == 0} == {100, 101, 103}
+
+
+def test_clusters_and_cells_leave_missing_vectors_out(spark):
+    rows, df = odd_vectors(spark)
+    found = clusters.cluster(df.select("id", "embedding"), dim=2, k=2, rounds=3, max_clusters=3, keep_unassigned=True)
+    assert {r["id"] for r in found.collect()} == {r[0] for r in rows} - {100, 101}
+    index = ivf.build(df, 4)
+    cells = {r["id"]: r["cell"] for r in index.rows.collect()}
+    assert {i for i, c in cells.items() if c is None} == {100, 101} and len(cells) == len(rows)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2", "ip"])
+def test_values_that_are_no_numbers_are_no_hits(spark, metric):
+    rows = [(1, [1.0, 0.0]), (2, [float("nan"), 1.0]), (3, [0.5, 0.5]), (4, None)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>").coalesce(1)
+    assert {r["id"] for r in dense.search(df, [1.0, 0.0], 5, metric).collect()} == {1, 3}
+    asked = df.where("id = 1").withColumnRenamed("id", "query_id")
+    for k in (1, 2, 5):
+        got = dense.knn_join(asked, df, k, metric).collect()
+        assert {r["id"] for r in got} == ({1, 3} if k > 1 else {1})

@@ -61,10 +61,11 @@ def cluster(
     """``(id, cluster)``: cluster globally, then again inside each cluster.
 
     ``dim + 1`` rows or fewer all fall in cluster 0. ``k`` fixes the global
-    number of components instead of choosing it by the criterion.
+    number of components instead of choosing it by the criterion. Rows without
+    a vector are in no cluster.
     """
     spark = df.sparkSession
-    base = df.select(id_col, vector_col)
+    base = df.select(id_col, vector_col).where(F.col(vector_col).isNotNull())
     if base.limit(dim + 2).count() <= dim + 1:
         return base.select(id_col, F.lit(0).alias("cluster"))
 

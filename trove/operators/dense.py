@@ -43,11 +43,14 @@ def search(
 
     The filter runs before scoring and reaches the scan; only the key, the
     vector and the requested fields are read. Each task keeps its own best
-    ``k`` and only those meet.
+    ``k`` and only those meet. Rows without a vector, or with a value in it that
+    is no number, are no hits here and in ``knn_join``.
     """
     fields = [c for c in (output_fields or []) if c != id_col]
     scored = filter_expression(corpus, where).select(
-        id_col, *fields, vec.similarity(F.col(vector_col), query, metric).alias("score")
+        id_col,
+        *fields,
+        F.nanvl(vec.similarity(F.col(vector_col), query, metric), F.lit(None).cast("double")).alias("score"),
     )
     best = scored.orderBy(vec.best_first("score", metric), id_col).limit(k)
     # After the limit, so that the score is not computed again for a filter.
@@ -78,7 +81,7 @@ def gains(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
     products = queries @ rows.T
     if metric == "cosine":
         lengths = np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(rows, axis=1)[None, :]
-        products = np.divide(products, lengths, out=np.zeros_like(products), where=lengths > 0)
+        products = np.divide(products, lengths, out=np.where(lengths == 0, 0.0, np.nan), where=lengths > 0)
     return np.round(products, SCORE_DIGITS)
 
 
@@ -89,7 +92,7 @@ def pair_scores(left: np.ndarray, right: np.ndarray, metric: str) -> np.ndarray:
     products = (left * right).sum(1)
     if metric == "cosine":
         lengths = np.linalg.norm(left, axis=1) * np.linalg.norm(right, axis=1)
-        products = np.divide(products, lengths, out=np.zeros_like(products), where=lengths > 0)
+        products = np.divide(products, lengths, out=np.where(lengths == 0, 0.0, np.nan), where=lengths > 0)
     return np.round(products, SCORE_DIGITS) + 0.0
 
 
@@ -106,10 +109,12 @@ class _Best:
     def add(self, slots: np.ndarray, gains: np.ndarray, ids: np.ndarray) -> None:
         """Merge a score block: one row per slot, one column per id."""
         floor = self.floor[slots]
+        # A vector with a value that is no number scores nothing.
+        gains = np.where(np.isnan(gains), -np.inf, gains)
         if gains.shape[1] > self.k:
             kth = gains.shape[1] - self.k
             floor = np.maximum(floor, np.partition(gains, kth, axis=1)[:, kth])
-        at, col = np.nonzero(gains >= floor[:, None])
+        at, col = np.nonzero((gains >= floor[:, None]) & (gains > -np.inf))
         self.slots = np.concatenate([self.slots, slots[at]])
         self.gains = np.concatenate([self.gains, gains[at, col]])
         self.ids = ids[col] if self.ids is None else np.concatenate([self.ids, ids[col]])

@@ -57,14 +57,19 @@ def build(
     seed: int = 7,
     iterations: int = 10,
 ) -> CellIndex:
-    """Place ``nlist`` centroids by k-means over all rows, and give each its cell."""
-    n = df.count()
-    vectors = df.withColumn("_features", array_to_vector(F.col(vector_col).cast("array<double>")))
+    """Place ``nlist`` centroids by k-means over all rows, and give each its cell.
+
+    A row without a vector has no cell, so no search meets it.
+    """
+    given = F.col(vector_col).isNotNull()
+    n = df.where(given).count()
+    vectors = df.where(given).withColumn("_features", array_to_vector(F.col(vector_col).cast("array<double>")))
     model = KMeans(
         k=min(nlist, max(2, n)), seed=seed, maxIter=iterations, featuresCol="_features",
         predictionCol="cell",
     ).fit(vectors.select("_features"))
     rows = model.transform(vectors).drop("_features").withColumn("cell", F.col("cell").cast("long"))
+    rows = rows.unionByName(df.where(~given).withColumn("cell", F.lit(None).cast("long")))
     spark: SparkSession = df.sparkSession
     centres = spark.createDataFrame(
         [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())],

@@ -9,7 +9,7 @@ a broadcast, so the lineage stays one read of the points deep.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Hashable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +19,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from trove.operators.moments import as_matrix, sum_rows
 
@@ -131,12 +133,12 @@ def _start(pool: np.ndarray, k: int, seed: int) -> Mixture:
 
 def _pools(
     points: DataFrame, group_col: str, id_col: str, vector_col: str
-) -> dict[int, np.ndarray]:
+) -> dict[Hashable, np.ndarray]:
     """A bounded pool of rows per group: those whose key has the least md5,
     which draws from all rows and does not depend on the partitioning. Rows are
     first drawn within hash ranges, so that no task sees those of all tasks."""
     rows = points.select(
-        F.col(group_col).cast("long").alias("_group"),
+        F.col(group_col).alias("_group"),
         F.md5(F.col(id_col).cast("string")).alias("_order"),
         F.col(id_col).alias("_id"),
         F.col(vector_col).alias("_vector"),
@@ -148,7 +150,7 @@ def _pools(
         rows = rows.withColumn("_place", F.row_number().over(order))
         rows = rows.where(F.col("_place") <= POOL_ROWS)
     drawn = rows.select("_group", "_place", "_vector").toPandas().sort_values(["_group", "_place"])
-    return {int(g): np.vstack(p["_vector"].to_numpy()) for g, p in drawn.groupby("_group")}
+    return {g: np.vstack(p["_vector"].to_numpy()) for g, p in drawn.groupby("_group")}
 
 
 def fit_groups(
@@ -162,16 +164,17 @@ def fit_groups(
     tolerance: float = TOLERANCE,
     seed: int = SEED,
     grid=GRID,
-) -> dict[int, dict[int, Mixture]]:
+) -> dict[Hashable, dict[int, Mixture]]:
     """Fitted mixtures as ``{group: {k: mixture}}``; ``k`` fixes the count.
 
     ``points`` should be a stored table: it is read once per round, and a pair
     of group and count drops out of the rounds once its gain is small; one that
     is still gaining after the last round is not ``converged``. Many groups are
-    fitted a slice at a time.
+    fitted a slice at a time. Groups may be numbers or texts; rows without a
+    group or a vector have no part.
     """
-    counted = points.groupBy(F.col(group_col).cast("long").alias("g")).count()
-    sizes = {int(g): int(n) for g, n in counted.toLocalIterator() if g is not None}
+    points = points.where(F.col(group_col).isNotNull() & F.col(vector_col).isNotNull())
+    sizes = {g: int(n) for g, n in points.groupBy(group_col).count().toLocalIterator()}
     names = sorted(sizes)
     options = (max_clusters, k, rounds, tolerance, seed, grid)
     if len(names) <= SLICE_GROUPS:
@@ -179,7 +182,7 @@ def fit_groups(
     fitted: dict[int, dict[int, Mixture]] = {}
     for at in range(0, len(names), SLICE_GROUPS):
         some = names[at : at + SLICE_GROUPS]
-        held = points.where(F.col(group_col).cast("long").isin(some))
+        held = points.where(F.col(group_col).isin(some))
         part = {g: sizes[g] for g in some}
         fitted |= _fit_slice(held, part, group_col, id_col, vector_col, *options)
     return fitted
@@ -187,7 +190,7 @@ def fit_groups(
 
 def _fit_slice(
     points, sizes, group_col, id_col, vector_col, max_clusters, k, rounds, tolerance, seed, grid
-) -> dict[int, dict[int, Mixture]]:
+) -> dict[Hashable, dict[int, Mixture]]:
     pools = _pools(points, group_col, id_col, vector_col)
     spark = points.sparkSession
     live: dict[tuple[int, int], Mixture] = {}
@@ -195,7 +198,9 @@ def _fit_slice(
         for c in candidate_counts(n, max_clusters, grid) if k is None else [min(k, n)]:
             live[g, c] = _start(pools[g], c, seed)
     done: dict[tuple[int, int], Mixture] = {}
-    source = points.select(F.col(group_col).cast("long"), F.col(vector_col))
+    source = points.select(F.col(group_col).alias("_group"), F.col(vector_col))
+    kind = to_arrow_type(source.schema["_group"].dataType)
+    schema = source.select("_group").schema.add("_k", "integer").add("_stats", T.ArrayType(T.DoubleType()))
     for turn in range(rounds):
         # Plain arrays: a broadcast is read without this package.
         sent = spark.sparkContext.broadcast(
@@ -206,25 +211,26 @@ def _fit_slice(
             wanted: dict[int, list[tuple[int, Mixture]]] = {}
             for (g, c), parameters in sent.value.items():
                 wanted.setdefault(g, []).append((c, Mixture(*parameters)))
-            held: dict[tuple[int, int], np.ndarray] = {}
+            held: dict[tuple[Hashable, int], np.ndarray] = {}
             for batch in batches:
-                groups, rows = batch.column(0).to_numpy(), as_matrix(batch.column(1))
-                for g in np.unique(groups):
-                    part = rows[groups == g]
-                    for c, mixture in wanted.get(int(g), ()):
+                names, rows = batch.column(0).dictionary_encode(), as_matrix(batch.column(1))
+                groups = names.indices.to_numpy()
+                for code, g in enumerate(names.dictionary.to_pylist()):
+                    part = rows[groups == code]
+                    for c, mixture in wanted.get(g, ()):
                         new = mixture.statistics(part)
-                        old = held.get((int(g), c))
-                        held[int(g), c] = new if old is None else old + new
+                        old = held.get((g, c))
+                        held[g, c] = new if old is None else old + new
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([g for g, _ in held], pa.int64()),
+                    pa.array([g for g, _ in held], kind),
                     pa.array([c for _, c in held], pa.int32()),
                     pa.array([v.tolist() for v in held.values()], pa.list_(pa.float64())),
                 ],
                 names=["_group", "_k", "_stats"],
             )
 
-        partials = source.mapInArrow(run, "_group bigint, _k int, _stats array<double>")
+        partials = source.mapInArrow(run, schema)
         summed = sum_rows(partials, ["_group", "_k"], "_stats").toArrow()
         sent.unpersist()
         for g, c, stats in zip(
@@ -262,14 +268,15 @@ def bic_table(spark, fitted: dict[int, dict[int, Mixture]]) -> DataFrame:
         for g, by_k in sorted(fitted.items())
         for c, m in sorted(by_k.items())
     ]
+    kind = "string" if fitted and isinstance(next(iter(fitted)), str) else "bigint"
     return spark.createDataFrame(
-        rows, "group_id bigint, k int, log_likelihood double, bic double, chosen boolean, converged boolean",
+        rows, f"group_id {kind}, k int, log_likelihood double, bic double, chosen boolean, converged boolean",
     )
 
 
 def soft_assign(
     points: DataFrame,
-    mixtures: dict[int, Mixture],
+    mixtures: dict[Hashable, Mixture],
     group_col: str,
     vector_col: str = "reduced",
     threshold: float = THRESHOLD,
@@ -280,7 +287,8 @@ def soft_assign(
     probability passes the threshold.
 
     With ten or more components a row may pass in none;
-    ``keep_unassigned`` then gives it its likeliest component.
+    ``keep_unassigned`` then gives it its likeliest component. A row without a
+    vector, or of a group without a mixture, has no members.
     """
     sent = points.sparkSession.sparkContext.broadcast(
         {g: (m.weights, m.means, m.covariances) for g, m in mixtures.items()}
@@ -291,10 +299,13 @@ def soft_assign(
         given = {g: Mixture(*parameters) for g, parameters in sent.value.items()}
         for groups, vectors in batches:
             out: list[list[float]] = [[]] * len(groups)
-            for g in groups.unique():
-                at = np.flatnonzero((groups == g).to_numpy())
+            there = vectors.notna().to_numpy()
+            for g in groups[there].unique():
+                if g not in given:
+                    continue
+                at = np.flatnonzero((groups == g).to_numpy() & there)
                 rows = np.vstack(vectors.to_numpy()[at]).astype(np.float64)
-                for i, row in zip(at, given[int(g)].responsibilities(rows)[0]):
+                for i, row in zip(at, given[g].responsibilities(rows)[0]):
                     out[i] = row.tolist()
             yield pd.Series(out, dtype=object)
 
@@ -307,11 +318,11 @@ def soft_assign(
     if keep_unassigned:
         first = F.array_position("_shares", likely).cast("int") - 1
         chosen = F.when(
-            F.size(chosen) == 0,
+            (F.size(chosen) == 0) & (F.size("_shares") > 0),
             F.array(F.struct(first.alias("component"), likely.alias("probability"))),
         ).otherwise(chosen)
     return (
-        points.withColumn("_shares", shares(F.col(group_col).cast("long"), F.col(vector_col)))
+        points.withColumn("_shares", shares(F.col(group_col), F.col(vector_col)))
         .withColumn(out_col, chosen)
         .drop("_shares")
     )

@@ -198,7 +198,7 @@ def build(
     """Place cells, fit code books, and store rows and codes by cell."""
     spark = df.sparkSession
     path = path or work_path(spark, "coded")
-    cells = ivf.write(ivf.build(df.where(F.col(vector_col).isNotNull()), nlist, vector_col), id_col, f"{path}/cells")
+    cells = ivf.write(ivf.build(df, nlist, vector_col), id_col, f"{path}/cells")
     books = fit_books(cells.rows, cells.centroids, parts, metric, id_col, vector_col)
     books_table(spark, books).write.parquet(f"{path}/books")
     codes = encode(cells.rows, cells.centroids, books, metric, id_col, vector_col)
