@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_llm_operators import make_docs, odd_texts
-from trove.llm import chat, divergence, pii, spelling
+from trove.llm import chat, divergence, pii, sharding, spelling
 
 DIR = "/root/testdata/sf0.001"
 
@@ -327,6 +327,44 @@ def test_terms_of_a_long_text(monkeypatch):
     assert divergence.terms_of(text) == whole
 
 
+# ---- shards
+
+
+def brute_shards(rows, shards, bits=4):
+    """Shard and slot of (id, text, lang, source), by whole strings."""
+    side, cells = 1 << bits, []
+    for at in (2, 3):
+        given = sorted(r[at] for r in rows if r[at] is not None)
+        below = {v: sum(x < v for x in given) * side // len(given) for v in set(given)}
+        cells.append([below.get(r[at], 0) for r in rows])
+    places = sharding.hilbert_index(np.array(cells).T, bits)
+    keys = [(int(p), r[0], zlib.crc32(r[1].encode())) for p, r in zip(places, rows)]
+    out = {}
+    begun = collections.Counter()
+    for rank, key in enumerate(sorted(keys)):
+        shard = rank * shards // len(rows)
+        out[key[1]] = (shard, begun[shard])
+        begun[shard] += 1
+    return out
+
+
+def test_shards_follow_whole_strings(spark):
+    rng = random.Random(6)
+    sources = [f"https://site/{c}{d}" for c in "zyabé" for d in range(4)]
+    rows = [
+        (i, f"t{i}", rng.choice(["en", "de", "fr", None, "en"]), rng.choice([*sources, None, sources[0]]))
+        for i in range(600)
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)
+    got = {r.doc_id: (r.shard, r.slot) for r in sharding.shard(docs, ["lang", "source"], shards=40).collect()}
+    assert got == brute_shards(rows, 40)
+    # A common beginning hides nothing: a source lies in few shards.
+    where = collections.defaultdict(set)
+    for i, _, _, source in rows:
+        where[source].add(got[i][0])
+    assert sum(map(len, where.values())) < 0.45 * 40 * len(where)
+
+
 # ---- personal data in texts of any length
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trove.operators.skew import attach
 from trove.session import stored
 
 SHARDS = 40
@@ -50,13 +51,27 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def as_number(df: DataFrame, name: str) -> Column:
-    """An order-keeping number: numbers themselves, or a string's first six bytes."""
-    kind = df.schema[name].dataType
-    if isinstance(kind, T.NumericType):
-        return F.col(f"`{name}`").cast("double")
-    head = F.expr(f"hex(rpad(substring(CAST(`{name}` AS binary), 1, 6), 6, X'00'))")
-    return F.conv(head, 16, 10).cast("double")
+def string_cells(rows: DataFrame, name: str, side: int) -> DataFrame:
+    """``rows`` with ``_level``: the quantile cell of a string among all rows.
+
+    A value's cell is the share of rows with a smaller value, by whole strings.
+    Rows are counted per value inside tasks first; the values are ranked by
+    ranges, and few of them, or those with many rows, are broadcast back.
+    """
+    counts = rows.where(F.col(name).isNotNull()).groupBy(name).agg(F.count(F.lit(1)).alias("_n"))
+    dealt = counts.repartitionByRange(name).withColumn("_task", F.spark_partition_id())
+    dealt = stored(dealt, "values")
+    here = Window.partitionBy("_task").orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("_task").agg(F.sum("_n").alias("_sum"))
+    earlier = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per task.
+    begun = F.broadcast(sums.select("_task", F.sum("_sum").over(earlier).alias("_begun")))
+    total = max(1, sums.agg(F.sum("_sum")).first()[0] or 0)
+    before = F.coalesce(F.sum("_n").over(here), F.lit(0))
+    ranked = dealt.withColumn("_own", before).join(begun, "_task")
+    level = F.floor((F.col("_own") + F.coalesce("_begun", F.lit(0))) * side / total)
+    found = attach(rows, ranked.select(name, "_n", level.alias("_level")), name, "_n")
+    return found.drop("_n")
 
 
 def curve(spark, dims: int, bits: int) -> DataFrame:
@@ -74,18 +89,22 @@ def placed(docs: DataFrame, dims: list[str], bits: int = BITS) -> DataFrame:
         raise ValueError(f"{len(dims)} dimensions of {bits} bits exceed {MAX_BITS}")
     side = 1 << bits
     shares = [i / side for i in range(1, side)]
-    numbers = [as_number(docs, d) for d in dims]
-    cuts = docs.agg(
-        *(F.percentile_approx(x, shares, 10_000).alias(f"c{i}") for i, x in enumerate(numbers))
-    ).first()
-    cell = F.lit(0).cast("long")
-    for i, x in enumerate(numbers):
-        level = F.lit(0)
-        for cut in sorted(set(cuts[i] or [])):
-            level = level + (x > F.lit(cut)).cast("int")
+    numeric = [d for d in dims if isinstance(docs.schema[d].dataType, T.NumericType)]
+    found = [F.percentile_approx(F.col(d).cast("double"), shares, 10_000).alias(d) for d in numeric]
+    cuts = docs.agg(*found).first().asDict() if numeric else {}
+    kept, cell = docs.columns, F.lit(0).cast("long")
+    for i, d in enumerate(dims):
+        if d in numeric:
+            level = F.lit(0)
+            for cut in sorted(set(cuts[d] or [])):
+                level = level + (F.col(d).cast("double") > F.lit(cut)).cast("int")
+        else:
+            docs = string_cells(docs, d, side).withColumnRenamed("_level", f"_level{i}")
+            level = F.col(f"_level{i}")
         cell = cell + F.coalesce(level, F.lit(0)).cast("long") * side**i
+    docs = docs.select(*kept, cell.alias("_cell"))
     spots = curve(docs.sparkSession, len(dims), bits)
-    return docs.withColumn("_cell", cell).join(F.broadcast(spots), "_cell").drop("_cell")
+    return docs.join(F.broadcast(spots), "_cell").drop("_cell")
 
 
 def shard(
@@ -111,7 +130,12 @@ def shard(
         F.col(id_col).alias("_id"),
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        *(F.col(f"`{d}`").alias(name) for d, name in names.items()),
+        *(
+            F.col(f"`{d}`").alias(name)
+            if isinstance(docs.schema[d].dataType, T.NumericType)
+            else F.col(f"`{d}`").cast("string").alias(name)
+            for d, name in names.items()
+        ),
     )
     ordered = placed(rows, list(names.values()), bits).drop(*names.values())
     # The last key tells equal rows apart, so that many of them still spread.
