@@ -45,6 +45,29 @@ def test_stages(spark):
     assert packed == set(clean)
 
 
+def test_odd_and_empty_tables(spark, tmp_path):
+    """Null and empty texts, repeated rows, ties, and tables without rows."""
+    given = spark.read.parquet(f"{DIR}/documents.parquet").limit(30).collect()
+    schema = spark.read.parquet(f"{DIR}/documents.parquet").schema
+    long = " ".join(f"word{i % 977}" for i in range(30_000))
+    odd = [
+        (10_001, None, "en", "src0", None), (10_002, "", None, None, 0), (10_003, " \n\t", "en", "src1", 3),
+        (None, "no id at all", "en", "src1", 12), (10_004, long, "en", "src1", len(long)),
+    ]
+    rows = [tuple(r) for r in given] + [tuple(given[0])] * 2 + odd + odd[:1]
+    for name, some in (("odd", rows), ("empty", [])):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(some, schema).write.parquet(f"{folder}/documents.parquet")
+        for table in ("labels", "benchmark"):
+            of = spark.read.parquet(f"{DIR}/{table}.parquet")
+            (of if some else of.where("false")).write.parquet(f"{folder}/{table}.parquet")
+        out = corpus_pipeline.run(spark, folder).collect()
+        assert bool(out) == bool(some)
+        # Every piece once: no sequence holds two ids in one place.
+        places = [(r.sequence_id, r.offset) for r in out]
+        assert len(set(places)) == len(places)
+
+
 def test_run_gives_the_last_stage(spark):
     out = corpus_pipeline.run(spark, DIR)
     assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(out.columns)
