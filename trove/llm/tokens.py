@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from trove.llm.words import by_bytes, keyed
 
 BATCH_CHARS = 1 << 20
-CACHE_PARTS = 150_000
+CACHE_PARTS = 300_000
 LONGEST_CACHED = 64
 JOINED_PARTS = 256
 
