@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from trove.functions import text as txt
 from trove.functions.models import ColumnTextModel, FunctionTextModel
 from trove.operators import bm25, chatlog, dense
-from trove.plans import cards, hybrid, qa
+from trove.plans import cards, hybrid, joins, qa
+from trove.sources.files import run_sql
 from workload import queries as q
 
 
@@ -161,3 +162,57 @@ def test_a_history_at_one_instant_is_ranked(spark):
     df = spark.createDataFrame(rows, "id long, user long, ts string").repartition(6)
     got = chatlog.history_by_user(df, "user", "ts", "id")
     assert sorted((r["place"], r["id"]) for r in got.collect()) == [(i + 1, 499 - i) for i in range(500)]
+
+
+# ---- how tables join
+
+
+@pytest.fixture(scope="module")
+def shop(spark):
+    make = spark.createDataFrame
+    return {
+        "area": make([(1, "north"), (2, "south")], "a_areakey int, a_name string"),
+        "buyer": make([(i, 1 + i % 2, f"b{i}") for i in range(50)], "b_buyerkey long, b_areakey int, b_name string"),
+        "sale": make(
+            [(i, i % 40, None if i % 7 else "x") for i in range(300)], "s_salekey long, s_buyerkey long, s_note string"
+        ),
+        "apart": make([(-5.0, "z"), (-6.0, "z")], "value double, mark string"),
+        "none": make([], "n_buyerkey long"),
+    }
+
+
+@pytest.mark.parametrize("sketch", [1024, 3])
+def test_inclusions_hold_in_the_data(shop, sketch):
+    found = {tuple(r) for r in joins.inclusions(shop, sketch).collect()}
+    values = {
+        (t, f.name): [r[0] for r in df.select(f.name).collect() if r[0] is not None]
+        for t, df in shop.items()
+        for f in df.schema.fields
+        if f.dataType.typeName() in ("integer", "long", "string")
+    }
+    want = set()
+    for (t, c), mine in values.items():
+        for (u, d), theirs in values.items():
+            key = len(theirs) == len(set(theirs)) > 0
+            if t != u and mine and key and set(mine) <= set(theirs):
+                want.add((t, c, u, d, len(set(mine)), len(set(theirs))))
+    assert found == want and ("sale", "s_buyerkey", "buyer", "b_buyerkey", 40, 50) in want
+
+
+def test_tables_are_linked_at_least_cost(spark, shop):
+    found = joins.edges(joins.inclusions(shop))
+    assert joins.cheapest(found, "sale")["area"][0] == 2 * joins.ALIKE
+    text = joins.join_statement(found, ["sale", "area"], "sale.s_salekey, area.a_name")
+    assert text == (
+        "SELECT sale.s_salekey, area.a_name FROM sale JOIN buyer ON sale.s_buyerkey = buyer.b_buyerkey "
+        "JOIN area ON buyer.b_areakey = area.a_areakey"
+    )
+    for name, df in shop.items():
+        df.createOrReplaceTempView(name)
+    rows = run_sql(spark, text).collect()
+    assert len(rows) == 300 and {r["a_name"] for r in rows if r["s_salekey"] % 40 % 2} == {"south"}
+    for name in shop:
+        spark.catalog.dropTempView(name)
+    with pytest.raises(ValueError, match="apart"):
+        joins.join_tree(found, ["sale", "apart"])
+    assert joins.join_tree(found, ["area"]) == []

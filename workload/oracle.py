@@ -138,6 +138,39 @@ k AS (SELECT row_number() OVER (ORDER BY table_name) - 1 AS card_id, table_name,
     ' columns: ' || schema || '.' AS description FROM r JOIN n USING (table_name)),
 {embed("ke", "k", "card_id", "description")}"""
 
+# The columns that may refer to a key: whole numbers and texts.
+NUMBERS = """benchmark.item_id conversations.conv_id conversations.turn customer.c_custkey
+customer.c_nationkey documents.doc_id documents.n_chars embeddings.vec_id embeddings.label
+events.event_id events.user_id labels.doc_id labels.quality labels.toxic lineitem.l_orderkey
+lineitem.l_partkey lineitem.l_suppkey lineitem.l_linenumber nation.n_nationkey nation.n_regionkey
+orders.o_orderkey orders.o_custkey pages.page_id part.p_partkey part.p_size region.r_regionkey
+supplier.s_suppkey supplier.s_nationkey""".split()
+TEXTS = """benchmark.text conversations.role conversations.text customer.c_name
+customer.c_mktsegment documents.text documents.lang documents.source events.event_type
+events.props lineitem.l_returnflag lineitem.l_linestatus nation.n_name orders.o_orderstatus
+orders.o_orderpriority pages.url pages.html part.p_name part.p_brand part.p_type region.r_name
+supplier.s_name""".split()
+
+
+def join_keys() -> str:
+    """CTEs ending in ``j``: columns whose values all lie in a key of another table."""
+    cells = " UNION ALL ".join(
+        f"SELECT '{t}' AS t, '{c}' AS c, '{kind}' AS kind, {c}::VARCHAR AS x FROM {t}"
+        for kind, names in (("number", NUMBERS), ("text", TEXTS))
+        for t, c in (name.split(".") for name in names)
+    )
+    return f"""
+v AS MATERIALIZED (SELECT t, c, kind, x, count(*) AS n FROM ({cells}) WHERE x IS NOT NULL GROUP BY ALL),
+z AS MATERIALIZED (SELECT t, c, count(*) AS distinct_n, max(n) = 1 AS is_key FROM v GROUP BY t, c),
+shared AS (SELECT a.t AS t1, a.c AS c1, b.t AS t2, b.c AS c2, count(*) AS both_n
+    FROM v a JOIN (SELECT v.* FROM v JOIN z USING (t, c) WHERE is_key) b USING (kind, x)
+    WHERE a.t <> b.t GROUP BY ALL),
+j AS (SELECT t1 AS child_table, c1 AS child_column, t2 AS parent_table, c2 AS parent_column,
+    x.distinct_n AS n_child, y.distinct_n AS n_parent
+    FROM shared JOIN z x ON x.t = t1 AND x.c = c1 JOIN z y ON y.t = t2 AND y.c = c2
+    WHERE both_n = x.distinct_n)"""
+
+
 CELLS = """
 e AS (SELECT vec_id AS id, embedding, label FROM embeddings),
 parts AS (SELECT label, unnest(range(64)) AS position, unnest(embedding)::DOUBLE AS x FROM e),
@@ -455,6 +488,18 @@ count(*) AS n_blocks, sum(row_count)::BIGINT AS n_rows FROM (
     SELECT item_id, unnest(range((row_count + 999) // 1000)) AS block,
         least(1000, row_count - 1000 * unnest(range((row_count + 999) // 1000))) AS row_count
     FROM h JOIN k USING (card_id) JOIN n USING (table_name)) GROUP BY item_id""",
+        "join_keys": f"WITH {join_keys()} SELECT * FROM j",
+        "join_paths": f"""WITH RECURSIVE {join_keys()},
+w AS (SELECT child_table AS a, parent_table AS b, CASE WHEN
+    regexp_replace(child_column, '^[a-z]{{1,2}}_', '') = regexp_replace(parent_column, '^[a-z]{{1,2}}_', '')
+    THEN 1 ELSE 3 END AS cost FROM j),
+e AS MATERIALIZED (SELECT a, b, min(cost) AS cost
+    FROM (SELECT * FROM w UNION ALL SELECT b, a, cost FROM w) GROUP BY a, b),
+p AS (SELECT a, b, cost FROM e
+    UNION SELECT p.a, e.b, p.cost + e.cost FROM p JOIN e ON p.b = e.a WHERE p.cost + e.cost <= 12)
+SELECT a AS from_table, b AS to_table, min(cost)::INTEGER AS cost FROM p WHERE a <> b GROUP BY a, b""",
+        "join_two_tables": """SELECT c_custkey, c_name, r_name FROM customer
+JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
         "history_by_user": """SELECT event_id, user_id, ts, row_number() OVER (
     PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place
 FROM events WHERE user_id IS NOT NULL""",

@@ -25,7 +25,7 @@ from trove.operators import (
     reduce as axes,
     sparse,
 )
-from trove.plans import cards, hybrid, qa, segments, tree
+from trove.plans import cards, hybrid, joins, qa, segments, tree
 from trove.session import spread, stored, work_path
 from trove.sources import catalog, collections, files
 from trove.streaming import ingest
@@ -875,6 +875,32 @@ def question_answer_all_rows(spark, sf_dir):
     )
 
 
+def join_keys(spark, sf_dir):
+    """Columns whose values all lie in a key of another table."""
+    return joins.inclusions(all_tables(spark, sf_dir))
+
+
+def join_paths(spark, sf_dir):
+    """What it costs at least to link each two tables that can be linked."""
+    found = joins.edges(joins.inclusions(all_tables(spark, sf_dir)))
+    rows = [
+        (start, other, cost)
+        for start in TABLES
+        for other, (cost, _) in joins.cheapest(found, start).items()
+        if other != start
+    ]
+    return spark.createDataFrame(rows, "from_table string, to_table string, cost int")
+
+
+def join_two_tables(spark, sf_dir):
+    """A statement that links two tables through what lies between them, run."""
+    tables = all_tables(spark, sf_dir)
+    found = joins.edges(joins.inclusions(tables))
+    files.register_views(tables)
+    columns = "customer.c_custkey, customer.c_name, region.r_name"
+    return files.run_sql(spark, joins.join_statement(found, ["customer", "region"], columns), relations=TABLES)
+
+
 # Conversations
 
 
@@ -922,6 +948,6 @@ ALL = [
     concat_cluster_text_keys,
     summarise_extractive, raptor_tree_fixed, flatten_tree, tree_export, raptor_tree,
     equal_embedding_pairs, table_cards, retrieve_cards, question_to_sql, question_answer_rows,
-    question_answer_all_rows,
+    question_answer_all_rows, join_keys, join_paths, join_two_tables,
     history_by_user, owned_lookup, nest_messages,
 ]
