@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trove.llm.tokens import BATCH_CHARS, shared_cache
+from trove.llm.tokens import BATCH_BYTES, shared_cache
 from trove.llm.words import by_bytes, keyed
 from trove.session import stored
 
@@ -77,7 +77,8 @@ def token_pieces(
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for low, high in by_bytes(texts, BATCH_CHARS):
+            sizes = [len(x.encode()) for x in texts]
+            for low, high in by_bytes(texts, BATCH_BYTES, sizes):
                 at, rows = [], []
                 for k, ids in enumerate(encoded(texts[low:high]), low):
                     data = ids + end

@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 
 from trove.llm.words import by_bytes, keyed
 
-BATCH_CHARS = 1 << 20
+BATCH_BYTES = 1 << 20
 CACHE_PARTS = 300_000
 LONGEST_CACHED = 64
-JOINED_PARTS = 256
+JOINED_PARTS = 1024
 
 # A part is white space and what follows it; cuts lie before " " or "\n" only,
 # and only in texts without other white space, whose runs could straddle them.
@@ -160,10 +160,10 @@ def token_counts(
         encoded = shared_cache(path)
         for batch in batches:
             texts = batch.column(1).to_pylist()
+            sizes = [len(x.encode()) for x in texts]
             totals: list[int] = []
-            for start, stop in by_bytes(texts, BATCH_CHARS):
+            for start, stop in by_bytes(texts, BATCH_BYTES, sizes):
                 totals += (len(ids) // 4 for ids in encoded(texts[start:stop]))
-            sizes = [len(x.encode()) for x in texts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(totals, pa.int64())],
                 schema.names,

@@ -177,11 +177,13 @@ def keyed(docs: DataFrame, text_col: str, *ids: Column | str) -> DataFrame:
     return docs.select(*ids, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 
 
-def by_bytes(texts: list[str] | list[bytes], limit: int) -> Iterator[tuple[int, int]]:
-    """Ranges of neighbours whose lengths add up to about ``limit``."""
+def by_bytes(
+    texts: list[str] | list[bytes], limit: int, sizes: list[int] | None = None
+) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours whose lengths, or ``sizes``, add up to about ``limit``."""
     start = total = 0
     for i, text in enumerate(texts):
-        total += len(text)
+        total += len(text) if sizes is None else sizes[i]
         if total >= limit:
             yield start, i + 1
             start, total = i + 1, 0
