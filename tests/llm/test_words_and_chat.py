@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_llm_operators import make_docs, odd_texts
-from trove.llm import chat, divergence, pii, sharding, spelling
+from trove.llm import chat, divergence, licenses, pii, sharding, spelling
 
 DIR = "/root/testdata/sf0.001"
 
@@ -327,6 +327,40 @@ def test_terms_of_a_long_text(monkeypatch):
     assert divergence.terms_of(text) == whole
 
 
+# ---- licences
+
+PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+
+
+def brute_licences(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+    found = [
+        (i, label)
+        for phrase, label in PHRASES.items()
+        for i in range(len(words))
+        if words[i : i + len(phrase.split())] == phrase.split()
+    ]
+    starts = [i for i, _ in found]
+    labels = ",".join(sorted({label for _, label in found}))
+    return len(words), len(found), min(starts, default=None), max(starts, default=None), labels
+
+
+def test_base_licences_match_brute_force(spark):
+    rng = random.Random(7)
+    pieces = ["under", "the", "MIT", "license", "Apache", "License,", "version", "2", "2.0", "cc", "by", "nc", "BY-NC", "é", "x"]
+    rows = [(i, " ".join(rng.choices(pieces, k=rng.randint(0, 60)))) for i in range(400)] + odd_texts()
+    rows += [(9000 + i, " - ".join(rng.sample(list(PHRASES), 3)).upper()) for i in range(5)]
+    rows += [(r.doc_id, r.text) for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()]
+    docs = make_docs(spark, rows)
+    got = licenses.summary(licenses.scan(docs, licenses.fit(docs))).collect()
+    found = collections.Counter(
+        (r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got
+    )
+    assert found == collections.Counter((i, *brute_licences(t)) for i, t in rows)
+    assert sum(r.n_base > 0 for r in got) > 20
+    assert all(set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) for r in got)
+
+
 # ---- shards
 
 
