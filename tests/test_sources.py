@@ -1,5 +1,7 @@
 """Files, catalogue, collections, row preparation and ingest."""
 
+import os
+import shutil
 import uuid
 
 import numpy as np
@@ -271,6 +273,25 @@ def test_stream_calls_add_up(spark, tmp_path):
     assert sorted(ids) == [*range(10), *range(100, 120)]
 
 
+@pytest.mark.parametrize("kind", ["folder", "file"])
+def test_stream_of_a_named_table(spark, tmp_path, kind):
+    """A table beside others may be one file or a folder of part files."""
+    made, base, out = (str(tmp_path / p) for p in ("made", "base", "out"))
+    rows = spark.range(20).selectExpr("id AS doc_id", "concat('w', id) AS text")
+    rows.repartition(1 if kind == "file" else 4).write.parquet(made)
+    os.makedirs(base)
+    if kind == "file":
+        (part,) = (f for f in os.listdir(made) if f.endswith(".parquet"))
+        shutil.copy(f"{made}/{part}", f"{base}/docs.parquet")
+    else:
+        shutil.copytree(made, f"{base}/docs.parquet")
+    rows.selectExpr("doc_id + 100 AS doc_id", "text").write.parquet(f"{base}/other.parquet")
+    for _ in range(2):
+        ingest.ingest_stream(spark, base, rows.schema, out, "text", pattern="docs.parquet")
+    ids = [r["doc_id"] for r in ingest.read_table(spark, out).select("doc_id").collect()]
+    assert sorted(ids) == [*range(20)]
+
+
 def test_batch_and_stream_fill_one_table(spark, tmp_path):
     schema = "doc_id long, text string"
     out, folder = str(tmp_path / "out"), str(tmp_path / "in")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from trove.operators.prep import fill_missing, prepare_rows
-from trove.session import qualified
+from trove.session import qualified, subfolders
 
 # Fixed value: rows handed to an embedding function at once.
 CHUNK_ROWS = 1000
@@ -56,13 +56,16 @@ def ingest_stream(
     call adds what is new, from the same folder or another, and repeats nothing. Each micro-batch
     overwrites the folder named after its checkpoint and number: one that is
     repeated after a failure leaves the table as it was, and streams with
-    different checkpoints never meet.
+    different checkpoints never meet. A table that ``pattern`` names in the folder
+    may be one file or a folder of part files.
     """
     source = hashlib.md5(qualified(spark, folder).encode()).hexdigest()[:12]
     checkpoint = checkpoint or f"{path}/_stream/{source}"
     name = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-    if pattern:
+    if pattern in subfolders(spark, folder):
+        folder = f"{folder}/{pattern}"
+    elif pattern:
         reader = reader.option("pathGlobFilter", pattern)
 
     def write(batch: DataFrame, batch_id: int) -> None:
