@@ -101,6 +101,21 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_long_answers_hold_one_block_at_a_time(spark):
+    """The questions go to a statement's blocks; none of both meets the others."""
+    card = "array(named_struct('name', 'v', 'type', 'int')) AS schema"
+    asked = spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (3, "b", "z"), (4, None, "w")], "qid int, query string, question string")
+    asked = asked.selectExpr("*", card)
+    rows = spark.range(25).selectExpr("'a' AS query", "to_json(struct(id)) AS row")
+    out = qa.answers(asked, rows, block_rows=10)
+    shown = plan(out)
+    assert "collect_list" not in shown and "SortMergeJoin" not in shown
+    texts = sorted(f'{{"id":{i}}}' for i in range(25))
+    want = {(q, b): "\n".join(texts[10 * b : 10 * b + 10]) for q in (1, 2) for b in range(3)}
+    got = {(r["qid"], r["block"]): r["response"] for r in out.collect()}
+    assert got == want | {(3, 0): "", (4, 0): ""}
+
+
 def test_filter_and_columns_reach_the_scan(spark, small_dir):
     shown = plan(q.filter_search(spark, small_dir))
     assert "EqualTo(p_brand,Brand#7)" in shown and "GreaterThanOrEqual(p_retailprice" in shown
