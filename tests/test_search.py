@@ -111,6 +111,38 @@ def test_queries_without_a_vector_hide_no_others(spark):
     assert found(got) == brute(rows, rows, 2, "l2")
 
 
+@pytest.mark.parametrize("cell", [None, "cell"])
+def test_more_queries_than_are_shipped_copy_no_rows(spark, cell):
+    rows, asked = made(90, 4, 1, copies=0.4) + [(500, None, 0)], made(25, 4, 2)
+    got = dense.knn_join(
+        vectors(spark, asked, id_name="query_id"), vectors(spark, rows).repartition(5), 7, "l2", cell=cell, max_shipped=40
+    )
+    assert "CoGroup" not in got._jdf.queryExecution().executedPlan().toString()
+    assert found(got) == brute(asked, rows, 7, "l2", same_cell=cell is not None)
+
+
+def test_neighbours_of_some_rows_among_all(spark):
+    rows = made(40, 3, 5)
+    got = found(dense.knn_graph(vectors(spark, rows), 4, "l2", of="id % 20 = 0"))
+    assert got == brute([r for r in rows if r[0] % 20 == 0], rows, 4, "l2", skip_self=True)
+
+
+def test_best_is_as_sorted():
+    """Blocks in any order, with ties, repeated slots and more wanted than there is."""
+    rng = np.random.default_rng(3)
+    for k in (1, 3, 50):
+        best, seen = dense._Best(5, k, 6, 0.0), {}
+        for ids in np.split(rng.permutation(36), 6):
+            slots = rng.integers(0, 5, 4)
+            block = -rng.integers(0, 4, (4, 6)).astype(float) + rng.normal(scale=1e-9, size=(4, 6))
+            best.add(slots, block, ids)
+            for s, line in zip(slots, block):
+                seen.setdefault(s, []).extend((-min(0.0, round(g, 6)), i) for g, i in zip(line, ids))
+        for s, pairs in seen.items():
+            held = best.gains[s] > -np.inf
+            assert list(zip(-best.gains[s][held], best.ids[s][held])) == sorted(pairs)[:k]
+
+
 def test_no_queries_and_no_rows(spark):
     some, none = vectors(spark, made(5, 3, 7)), vectors(spark, [])
     assert dense.knn_join(none.withColumnRenamed("id", "query_id"), some, 3).count() == 0
@@ -302,3 +334,15 @@ def test_lookup_is_a_left_join(spark):
     sizes = spark.createDataFrame([("a", 10, 1.0), ("k1", 1, 2.0)], "k string, n int, v double")
     got = lookup(rows, sizes, "k", F.col("n"), F.lit(11), parts=2)
     assert sorted(got.collect()) == sorted(rows.join(sizes, "k", "left").select("id", "k", "n", "v").collect())
+
+
+def test_texts_are_split_once(spark):
+    """Texts without words and filtered ones count in the statistics."""
+    rows = [(1, "a b a", "x"), (2, "b c", "y"), (3, "", "x"), (4, None, "x"), (5, "a d", None), (5, "a", "x")]
+    docs = spark.createDataFrame(rows, "id long, text string, lang string")
+    terms = spark.createDataFrame([("a",), ("b",), ("zz",)], "term string")
+    model, counts = bm25.asked_counts(docs, "id", "text", terms, "lang = 'x'")
+    want = bm25.fit(docs, "id", "text", terms)
+    assert (model.n_docs, model.avg_len) == (want.n_docs, want.avg_len) == (5, 1.6)
+    assert sorted(model.terms.collect()) == sorted(want.terms.collect())
+    assert sorted(tuple(r) for r in counts.collect()) == [(1, "a", 3, 2), (1, "b", 3, 1), (5, "a", 1, 1)]
