@@ -309,3 +309,16 @@ def test_values_that_are_no_numbers_are_no_hits(spark, metric):
     for k in (1, 2, 5):
         got = dense.knn_join(asked, df, k, metric).collect()
         assert {r["id"] for r in got} == ({1, 3} if k > 1 else {1})
+
+
+def test_fits_of_a_group_add_up_together():
+    """All mixtures of a group in one pass, as by whitened gaps one after another."""
+    rng = np.random.default_rng(5)
+    rows = rng.normal(size=(3000, 4)) + 3.0
+    fits = [mixture._start(rows[:200], k, 1) for k in (1, 2, 7)]
+    together = mixture._Fits.of(fits)
+    for one, found in zip(fits, together.statistics(*together.sums(rows))):
+        shares, total = one.responsibilities(rows)
+        outer = np.einsum("nk,ni,nj->kij", shares, rows, rows)
+        want = np.concatenate([[total], shares.sum(0), (shares.T @ rows).ravel(), outer.ravel()])
+        np.testing.assert_allclose(found, want, rtol=1e-9, atol=1e-9)

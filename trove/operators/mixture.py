@@ -37,6 +37,8 @@ SEED = 224
 # Rows per group that starting points are drawn from, by hash over all rows,
 # and the groups that are fitted at once.
 POOL_ROWS = 256
+# Rows scored at once, against all components of a group.
+ROWS_AT_ONCE = 1024
 SLICE_GROUPS = 1000
 
 
@@ -74,13 +76,19 @@ class Mixture:
         whole = top + np.log(np.exp(logs - top).sum(1, keepdims=True))
         return np.exp(logs - whole), float(whole.sum())
 
-    def statistics(self, rows: np.ndarray) -> np.ndarray:
-        """``[log likelihood, counts, sums, outer products]`` of some rows."""
-        shares, total = self.responsibilities(rows)
-        n, d = rows.shape
-        pairs = (rows[:, :, None] * rows[:, None, :]).reshape(n, d * d)
-        outer = shares.T @ pairs
-        return np.concatenate([[total], shares.sum(0), (shares.T @ rows).ravel(), outer.ravel()])
+    def coefficients(self, origin: np.ndarray) -> np.ndarray:
+        """Log of weight times density as factors of ``_features``, by component."""
+        k, d = self.means.shape
+        low = np.linalg.cholesky(self.covariances)
+        whiten = np.linalg.inv(low)
+        precision = whiten.transpose(0, 2, 1) @ whiten
+        means = self.means - origin
+        line = np.einsum("kij,kj->ki", precision, means)
+        scale = np.log(np.diagonal(low, axis1=1, axis2=2)).sum(1)
+        front = np.log(self.weights + 1e-300) - 0.5 * d * math.log(2 * math.pi) - scale
+        i, j = np.triu_indices(d)
+        square = -precision[:, i, j] * np.where(i == j, 0.5, 1.0)
+        return np.concatenate([(front - 0.5 * (line * means).sum(1))[:, None], line, square], axis=1)
 
     def updated(self, stats: np.ndarray) -> Mixture:
         k, d = self.means.shape
@@ -95,6 +103,58 @@ class Mixture:
         )
 
 
+def _features(rows: np.ndarray) -> np.ndarray:
+    """One, the values, and their products two by two, each pair once."""
+    i, j = np.triu_indices(rows.shape[1])
+    return np.concatenate([np.ones((len(rows), 1)), rows, rows[:, i] * rows[:, j]], axis=1)
+
+
+@dataclass
+class _Fits:
+    """All mixtures of one group, whose rows are scored and added up together."""
+
+    counts: list[int]
+    origin: np.ndarray
+    factors: np.ndarray
+
+    @classmethod
+    def of(cls, mixtures: list[Mixture]) -> _Fits:
+        # Values are taken from a mean of the group, so that little cancels.
+        origin = mixtures[0].weights @ mixtures[0].means
+        factors = np.concatenate([m.coefficients(origin) for m in mixtures]).T
+        return cls([m.k for m in mixtures], origin, factors)
+
+    def sums(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The log likelihood by mixture, and shares times features by component."""
+        starts = np.r_[0, np.cumsum(self.counts)[:-1]]
+        likely, total = np.zeros(len(starts)), np.zeros(self.factors.T.shape)
+        for at in range(0, len(rows), ROWS_AT_ONCE):
+            features = _features(rows[at : at + ROWS_AT_ONCE] - self.origin)
+            shares = features @ self.factors
+            top = np.maximum.reduceat(shares, starts, axis=1)
+            shares -= np.repeat(top, self.counts, axis=1)
+            np.exp(shares, out=shares)
+            whole = np.add.reduceat(shares, starts, axis=1)
+            likely += (top + np.log(whole)).sum(0)
+            shares *= np.repeat(1.0 / whole, self.counts, axis=1)
+            total += shares.T @ features
+        return likely, total
+
+    def statistics(self, likely: np.ndarray, total: np.ndarray) -> list[np.ndarray]:
+        """``[log likelihood, counts, sums, outer products]`` by mixture."""
+        d, out = len(self.origin), []
+        i, j = np.triu_indices(d)
+        for value, part in zip(likely, np.split(total, np.cumsum(self.counts)[:-1])):
+            n, sums = part[:, 0], part[:, 1 : 1 + d]
+            outer = np.zeros((len(n), d, d))
+            outer[:, i, j] = outer[:, j, i] = part[:, 1 + d :]
+            cross = sums[:, :, None] * self.origin
+            outer += cross + cross.transpose(0, 2, 1) + n[:, None, None] * np.outer(self.origin, self.origin)
+            whole = sums + n[:, None] * self.origin
+            out.append(np.concatenate([[value], n, whole.ravel(), outer.ravel()]))
+        return out
+
+
 def _positive(covariances: np.ndarray) -> np.ndarray:
     """Symmetric with every eigenvalue at least the ridge."""
     values, axes = np.linalg.eigh((covariances + covariances.transpose(0, 2, 1)) / 2)
@@ -208,19 +268,27 @@ def _fit_slice(
         )
 
         def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            wanted: dict[int, list[tuple[int, Mixture]]] = {}
+            wanted: dict[Hashable, list[tuple[int, Mixture]]] = {}
             for (g, c), parameters in sent.value.items():
                 wanted.setdefault(g, []).append((c, Mixture(*parameters)))
-            held: dict[tuple[Hashable, int], np.ndarray] = {}
+            fits: dict[Hashable, _Fits] = {}
+            added: dict[Hashable, tuple[np.ndarray, np.ndarray]] = {}
             for batch in batches:
                 names, rows = batch.column(0).dictionary_encode(), as_matrix(batch.column(1))
                 groups = names.indices.to_numpy()
                 for code, g in enumerate(names.dictionary.to_pylist()):
-                    part = rows[groups == code]
-                    for c, mixture in wanted.get(g, ()):
-                        new = mixture.statistics(part)
-                        old = held.get((g, c))
-                        held[g, c] = new if old is None else old + new
+                    if g not in wanted:
+                        continue
+                    if g not in fits:
+                        fits[g] = _Fits.of([m for _, m in wanted[g]])
+                    new = fits[g].sums(rows[groups == code])
+                    old = added.get(g)
+                    added[g] = new if old is None else (old[0] + new[0], old[1] + new[1])
+            held = {
+                (g, c): stats
+                for g, sums in added.items()
+                for (c, _), stats in zip(wanted[g], fits[g].statistics(*sums))
+            }
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([g for g, _ in held], kind),
