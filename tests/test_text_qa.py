@@ -231,3 +231,19 @@ def test_tables_are_linked_at_least_cost(spark, shop):
     with pytest.raises(ValueError, match="apart"):
         joins.join_tree(found, ["sale", "apart"])
     assert joins.join_tree(found, ["area"]) == []
+
+
+@pytest.mark.parametrize("sketch", [1024, 3])
+def test_sketches_sort_few_hashes(spark, sketch):
+    """Bounded, the sketch is that of all hashes; one with too few below is whole."""
+    values = spark.range(5000).selectExpr("'t' AS table", "'c' AS column", "'number' AS kind", "xxhash64(id) AS hash")
+    high = spark.range(400).selectExpr("'t' AS table", "'d' AS column", "'number' AS kind", "id + 9000000000000 AS hash")
+    values = values.unionByName(high)
+    columns = values.groupBy("table", "column", "kind").agg(F.count("hash").alias("distinct"))
+    low = joins._lowest(values, columns, sketch)
+    got = sorted((r["column"], r["hash"]) for r in low.collect())
+    want = []
+    for c in "cd":
+        hashes = sorted(r["hash"] for r in values.where(F.col("column") == c).collect())
+        want += [(c, h) for h in hashes[:sketch]]
+    assert got == want

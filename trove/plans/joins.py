@@ -20,6 +20,8 @@ from trove.session import stored
 
 #: Smallest hashes that a column's sketch holds.
 SKETCH = 1024
+#: How many times as many hashes are looked at for it.
+SPARE = 4
 #: What an edge costs whose columns are called alike, and any other.
 ALIKE, UNLIKE = 1, 3
 
@@ -58,23 +60,49 @@ def column_values(tables: dict[str, DataFrame]) -> DataFrame:
     """
     parts = []
     for name, df in sorted(tables.items()):
-        cells = []
+        cells, names, kinds = [], [], []
         for field in df.schema.fields:
             kind = _kind(field.dataType)
             if kind:
                 value = F.col(f"`{field.name}`").cast("long" if kind == "number" else "string")
                 hashed = F.when(value.isNotNull(), F.xxhash64(value))
-                cells.append(F.struct(F.lit(field.name).alias("column"), F.lit(kind).alias("kind"), hashed.alias("hash")))
+                cells.append(F.struct(F.lit(len(cells)).alias("at"), hashed.alias("hash")))
+                names.append(F.lit(field.name))
+                kinds.append(F.lit(kind))
         if cells:
+            # A column is a number while its values are counted: names are long.
             rows = df.select(F.explode(F.array(*cells)).alias("c")).where("c.hash IS NOT NULL")
-            counted = rows.groupBy("c.column", "c.kind", "c.hash").agg(F.count(F.lit(1)).alias("n"))
-            parts.append(counted.select(F.lit(name).alias("table"), "column", "kind", "hash", "n"))
+            counted = rows.groupBy("c.at", "c.hash").agg(F.count(F.lit(1)).alias("n"))
+            named = [F.array(*x)[F.col("at")].alias(c) for x, c in ((names, "column"), (kinds, "kind"))]
+            parts.append(counted.select(F.lit(name).alias("table"), *named, "hash", "n"))
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
     return found
 
 
+def _lowest(values: DataFrame, columns: DataFrame, sketch: int) -> DataFrame:
+    """The ``sketch`` smallest hashes of each column.
+
+    Hashes are spread evenly, so a few times as many as are wanted lie below a
+    bound that follows from their number, and only those are sorted. A column
+    with too few below its bound is sorted whole.
+    """
+    names = ["table", "column"]
+    share = F.lit(float(SPARE * sketch)) / F.col("distinct")
+    bound = F.when(share < 0.5, (F.lit(-(2.0**63)) + share * F.lit(2.0**64)).cast("long"))
+    bounds = columns.select(*names, bound.alias("_bound"))
+    near = values.join(F.broadcast(bounds), names).where("_bound IS NULL OR hash <= _bound")
+    near = stored(near.select(*names, "kind", "hash"), "near-hashes")
+    have = columns.join(near.groupBy(*names).agg(F.count(F.lit(1)).alias("_have")), names, "left")
+    short = have.where(F.coalesce("_have", F.lit(0)) < F.least("distinct", F.lit(sketch))).select(*names)
+    short = F.broadcast(stored(short, "short"))
+    whole = values.join(short, names, "left_semi").select(*names, "kind", "hash")
+    found = near.join(short, names, "left_anti").unionByName(whole)
+    place = F.row_number().over(Window.partitionBy(*names).orderBy("hash"))
+    return found.withColumn("_place", place).where(F.col("_place") <= sketch).drop("_place")
+
+
 def inclusions(tables: dict[str, DataFrame], sketch: int = SKETCH) -> DataFrame:
     """``(child_table, child_column, parent_table, parent_column, n_child, n_parent)``.
 
@@ -83,15 +111,13 @@ def inclusions(tables: dict[str, DataFrame], sketch: int = SKETCH) -> DataFrame:
     numbers or texts alike. ``n_`` are numbers of distinct values.
     """
     values = stored(column_values(tables), "column-values")
-    of = Window.partitionBy("table", "column").orderBy("hash")
     columns = stored(
         values.groupBy("table", "column", "kind").agg(
             F.count(F.lit(1)).alias("distinct"), (F.max("n") == 1).alias("key")
         ),
         "columns",
     )
-    lowest = values.withColumn("_place", F.row_number().over(of)).where(F.col("_place") <= sketch)
-    lowest = stored(lowest.select("table", "column", "kind", "hash"), "sketches")
+    lowest = stored(_lowest(values, columns, sketch), "sketches")
     # What a whole sketch says nothing about lies above its largest hash.
     reach = lowest.groupBy("table", "column").agg(F.max("hash").alias("reach"))
     keys = columns.where("key").join(reach, ["table", "column"])
