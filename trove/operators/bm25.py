@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from trove.functions import text as txt
 from trove.operators.prep import text_rows
 from trove.operators.skew import lookup
-from trove.session import SMALL_ROWS
+from trove.session import SMALL_ROWS, stored
 
 # Fixed values.
 K1 = 1.2
@@ -78,6 +78,27 @@ def as_terms(counts: DataFrame, *kept: str) -> DataFrame:
     return counts.select(*kept, "doc_len", F.inline_outer("words")).where(F.col("term").isNotNull())
 
 
+def asked_counts(
+    df: DataFrame, id_col: str, text_col: str, terms: DataFrame, where: str | None = None
+) -> tuple[BM25Model, DataFrame]:
+    """The model of all texts for a few terms, and the counts of these terms in
+    the texts that pass the filter.
+
+    Each text is split once: its asked words are stored beside a row without a
+    word that stands for the text itself.
+    """
+    held = F.lit(True) if where is None else F.coalesce(F.expr(where), F.lit(False))
+    texts = word_counts(df.withColumn("_held", held), id_col, text_col, ["_held"])
+    itself = F.array(F.struct(F.lit("").alias("term"), F.lit(0).cast("long").alias("tf")))
+    found = as_terms(texts.withColumn("words", F.concat(itself, "words")), id_col, "_held")
+    wanted = terms.select("term").unionByName(df.sparkSession.createDataFrame([("",)], "term string"))
+    found = stored(found.join(F.broadcast(wanted), "term", "left_semi"), "asked-counts")
+    n_docs, avg_len = found.where("term = ''").agg(F.count(F.lit(1)), F.avg("doc_len")).first()
+    counts = found.where("term <> ''")
+    model = BM25Model(n_docs, avg_len or 0.0, counts.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df")))
+    return model, counts.where("_held").select(id_col, "term", "doc_len", "tf")
+
+
 def corpus_numbers(df: DataFrame, text_col: str) -> tuple[int, float]:
     """How many texts there are, and their mean length in words."""
     length = F.avg(txt.token_count(text_col))

@@ -36,14 +36,14 @@ def sparse_search(
     counts, few = segments.asked_terms(queries, query_col, query_text)
     asked = counts.select("term").distinct()
     if few:
-        asked = F.broadcast(asked)
-    model = bm25.fit(docs, id_col, text_col, asked)
+        model, held = bm25.asked_counts(docs, id_col, text_col, asked, where)
+    else:
+        model = bm25.fit(docs, id_col, text_col, asked)
+        held = bm25.term_counts(filter_expression(docs, where), id_col, text_col, asked)
     wanted = bm25.encode_queries(
         queries, model, query_col, query_text, mode, counts=counts, few=few
     )
-    postings = bm25.encode_documents(
-        filter_expression(docs, where), model, id_col, text_col, asked
-    )
+    postings = bm25.encode_counts(held, model, id_col)
     return sparse.search(wanted, postings, k, query_col, id_col, drop_ratio, few=few)
 
 
