@@ -100,6 +100,29 @@ def test_stored_search_is_exact(spark, asked, where, range_postings):
     near(hits(passes), brute(rows, ASKED, 7, keep))
 
 
+def test_each_range_is_a_task_of_its_own(spark):
+    rows = [(i, f"a b{i % 3} " + "c " * (i % 200), "s") for i in range(900)] + [(7, "a a d", "s"), (None, "a", "s")]
+    docs = spark.createDataFrame(rows, "id long, text string, source string")
+    path = work_path(spark, "postings")
+    blockmax.write_postings(bm25.word_counts(docs, "id", "text", ["source"]), path, "id", ["source"], 9000, 1000)
+    postings = spark.read.parquet(path)
+    writers = {f.split("/part-")[1].split("-")[0] for f in postings.inputFiles()}
+    assert len(writers) == len(subfolders(spark, path)) == 9
+    found = postings.select("_term", F.arrays_zip("_ids", "_tfs", "_lens").alias("_p"), "_tops", "_lows", "source")
+    counted = Counter()
+    for term, places, tops, lows, source in found.collect():
+        held = [(-1 if p["_ids"] is None else p["_ids"], p["_tfs"], p["_lens"]) for p in places]
+        assert held == sorted(held) and (source == "s") == (term == "")
+        blocks = [held[i : i + blockmax.BLOCK] for i in range(0, len(held), blockmax.BLOCK)]
+        assert tops == [max(p[1] for p in b) for b in blocks] and lows == [min(p[2] for p in b) for b in blocks]
+        counted.update((term, *p) for p in held)
+    want = Counter()
+    for i, text, _ in rows:
+        words = text.split()
+        want.update((w, -1 if i is None else i, c, len(words)) for w, c in [("", 0), *Counter(words).items()])
+    assert counted == want
+
+
 def test_blocks_are_skipped():
     rng = np.random.default_rng(1)
     scoring = blockmax.Scoring(50.0)

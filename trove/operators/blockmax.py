@@ -19,6 +19,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,9 +32,11 @@ from trove.session import SMALL_ROWS, stored
 
 BLOCK = 128
 #: Postings of one range, and so of one task and one file.
-RANGE_POSTINGS = 8_000_000
+RANGE_POSTINGS = 4_000_000
 #: A small corpus is still cut in a range for each core, down to this size.
 LEAST_POSTINGS = 50_000
+#: Postings that leave a task's Python together.
+BATCH_POSTINGS = 500_000
 #: Beyond any range, so that a file is a single row group.
 ROW_GROUP_BYTES = 1 << 30
 
@@ -66,47 +69,93 @@ def write_postings(
     """Write ``counts (id, fields, doc_len, words)`` as ranges of postings.
 
     A range is a hash of the key, so ranges are even and any key finds its own.
-    One shuffle deals the counts out; lists are gathered within a range.
+    One shuffle deals the counts out; a task sorts the numbers of a range's postings
+    by term and id, and cuts them into lists.
     """
     cores = counts.sparkSession.sparkContext.defaultParallelism
     ranges = max(1, -(-n_postings // range_postings), min(cores, n_postings // LEAST_POSTINGS))
-    key = F.col(id_col)
-    dealt = counts.withColumn("_range", F.pmod(F.xxhash64(key), F.lit(ranges)).cast("int"))
-    first = F.struct(F.lit("").alias("term"), F.lit(0).cast("long").alias("tf"))
-    dealt = dealt.repartition("_range").withColumn("_w", F.explode(F.concat(F.array(first), "words")))
-    is_doc = F.col("_w.term") == ""
-    rows = dealt.select(
-        "_range",
-        F.col("_w.term").alias("_term"),
-        F.when(is_doc, key).alias("_key"),
-        F.struct(key.alias("id"), F.col("_w.tf").cast("int").alias("tf"), F.col("doc_len").alias("len")).alias("_p"),
-        *(F.when(is_doc, F.col(f)).alias(f) for f in fields),
-    )
-    # Spread over _range already, which is part of the key: no further shuffle.
-    lists = rows.groupBy("_range", "_term", "_key").agg(
-        F.sort_array(F.collect_list("_p")).alias("_p"), *(F.first(f).alias(f) for f in fields)
-    )
-    starts = F.sequence(F.lit(1), F.size("_p"), F.lit(BLOCK))
-
-    def bound(pick, name):
-        return F.transform(starts, lambda i: pick(F.transform(F.slice("_p", i, BLOCK), lambda p: p[name])))
-
-    out = lists.select(
-        "_range",
-        "_term",
-        F.col("_p.id").alias("_ids"),
-        F.col("_p.tf").alias("_tfs"),
-        F.col("_p.len").alias("_lens"),
-        bound(F.array_max, "tf").alias("_tops"),
-        bound(F.array_min, "len").alias("_lows"),
-        *fields,
-    )
+    span = F.pmod(F.xxhash64(F.col(id_col)), F.lit(ranges)).cast("int").alias("_range")
+    rows = counts.where("words IS NOT NULL").select(span, F.col(id_col).alias("_id"), "doc_len", "words", *fields)
+    types = {f.name: f.dataType for f in rows.schema.fields}
+    schema = T.StructType().add("_range", types["_range"]).add("_term", T.StringType()).add("_ids", T.ArrayType(types["_id"]))
+    for name in ("_tfs", "_lens", "_tops", "_lows"):
+        schema = schema.add(name, T.ArrayType(T.IntegerType()))
+    for name in fields:
+        schema = schema.add(name, types[name])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [batch for batch in batches if batch.num_rows]
+        if held:
+            yield from _lists_of(pa.Table.from_batches(held), to_arrow_schema(schema))
+
+    # One task for each range: by number, so that no two ranges fall together.
+    out = rows.repartitionById(ranges, "_range").mapInArrow(gather, schema)
     # Terms are in order within a file, so pages without a wanted term are skipped.
     out.sortWithinPartitions("_range", "_term").write.option(
         "parquet.block.size", ROW_GROUP_BYTES
     ).partitionBy("_range").parquet(path)
 
 
+def _lists_of(rows: pa.Table, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The documents and the lists, by term, of a range's ``rows (_range, _id, doc_len, words, fields)``."""
+    span, ids = rows.column("_range")[0].as_py(), rows.column("_id").combine_chunks()
+    fields = [rows.column(f.name).combine_chunks() for f in list(schema)[len(INNER) + 1 :]]
+    doc_lens = rows.column("doc_len").to_numpy().astype(np.int32)
+    words = rows.column("words")
+    sizes = np.concatenate([np.diff(chunk.offsets.to_numpy()) for chunk in words.chunks])
+    flat = [chunk.flatten() for chunk in words.chunks]
+    doc = np.repeat(np.arange(len(ids)), sizes)
+    tfs = np.concatenate([pc.struct_field(x, "tf").to_numpy() for x in flat]).astype(np.int32)
+    names = pa.chunked_array([pc.struct_field(x, "term") for x in flat]).combine_chunks().dictionary_encode()
+    del rows, words, flat
+    # Numbers of ids and terms in their order; equal ids, and null ones, share one.
+    by_id = pc.sort_indices(ids, null_placement="at_start").to_numpy()
+    coded = ids.dictionary_encode(null_encoding="encode").indices.to_numpy()[by_id]
+    id_no = np.empty(len(ids), np.int64)
+    id_no[by_id] = np.cumsum(np.append(False, coded[1:] != coded[:-1]))
+    by_term = pc.sort_indices(names.dictionary).to_numpy()
+    term_no = np.empty(len(by_term), np.int64)
+    term_no[by_term] = np.arange(len(by_term))
+
+    def batch_of(terms: pa.Array, doc, tfs, starts, more: list[pa.Array]) -> pa.RecordBatch:
+        """Rows that begin at ``starts`` of the postings, which are in order."""
+        lens, stops = doc_lens[doc], np.append(starts[1:], len(doc))
+        blocks = -(-(stops - starts) // BLOCK)
+        ends = np.cumsum(blocks)
+        at = np.repeat(starts - (ends - blocks) * BLOCK, blocks) + np.arange(ends[-1]) * BLOCK
+        lists = [
+            (starts, ids.take(pa.array(doc))),
+            (starts, pa.array(tfs)),
+            (starts, pa.array(lens)),
+            (ends - blocks, pa.array(np.maximum.reduceat(tfs, at))),
+            (ends - blocks, pa.array(np.minimum.reduceat(lens, at))),
+        ]
+        arrays = [pa.array(np.full(len(starts), span, np.int32)), terms] + [
+            pa.ListArray.from_arrays(pa.array(np.append(begin, len(x)), pa.int32()), x) for begin, x in lists
+        ]
+        return pa.RecordBatch.from_arrays(arrays + more, schema=schema)
+
+    order = np.lexsort((doc_lens, id_no))
+    starts = np.flatnonzero(np.append(True, id_no[order][1:] != id_no[order][:-1]))
+    first = pa.array(np.minimum.reduceat(order, starts))
+    kept = [x.take(first) for x in fields]
+    yield batch_of(pa.array([""] * len(starts)), order, np.zeros(len(order), np.int32), starts, kept)
+    if not len(doc):
+        return
+    key = term_no[names.indices.to_numpy()] * len(ids) + id_no[doc]
+    unique = id_no.max() + 1 == len(ids)
+    order = np.argsort(key) if unique else np.lexsort((doc_lens[doc], tfs, key))
+    doc, tfs, term = doc[order], tfs[order], key[order] // len(ids)
+    starts = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
+    terms = names.dictionary.take(pa.array(by_term))
+    # Every term of the dictionary occurs, so row i is about term i.
+    cuts = np.unique(np.searchsorted(starts, np.arange(0, len(doc), BATCH_POSTINGS)))
+    for low, high in zip(cuts, np.append(cuts[1:], len(starts))):
+        begin, end = starts[low], starts[high] if high < len(starts) else len(doc)
+        none = [pa.nulls(high - low, x.type) for x in fields]
+        yield batch_of(terms[low:high], doc[begin:end], tfs[begin:end], starts[low:high] - begin, none)
+
+
 class _Top:
     """The best ``k`` of a query so far; equal scores rank by lower id."""
 
