@@ -196,6 +196,19 @@ def test_token_cache_forgets_and_stays_right(monkeypatch):
 # ---- near duplicates
 
 
+
+def test_words_are_encoded_once_whatever_mark_ends_them():
+    encoder, asked = tokens.Encoder(BPE), []
+    encode = encoder.ids
+    encoder.ids = lambda some: asked.extend(some) or encode(some)
+    cache = tokens.PartCache(encoder)
+    texts = ["a seldom. seldom, seldom\nseldom; é. 9. it's. x.. \t seldom!", "", ".", " seldom? a.b.", "\n."]
+    for text, ids in zip(texts * 2, cache(texts) + cache(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == reference_ids(text)
+    assert len(asked) == len(set(asked)) and asked.count(" seldom") == 1
+    assert not {" seldom.", " seldom,", " seldom?"} & set(asked)
+
+
 def brute_components(rows):
     sets = [shingle_set(t) for _, t in rows]
     parent = list(range(len(rows)))

@@ -13,13 +13,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trove.llm.words import by_bytes, keyed
 
-BATCH_BYTES = 1 << 20
-CACHE_PARTS = 300_000
+BATCH_BYTES = 4 << 20
+CACHE_PARTS = 600_000
 LONGEST_CACHED = 64
 JOINED_PARTS = 1024
 
@@ -30,6 +31,10 @@ _OTHER_SPACE = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u200b\u2028\u2029\u
     map(chr, range(0x2000, 0x200B))
 )
 _RUNS = ("  ", "\n\n", " \n", "\n ", "\0")
+# Between one of these letters and one of these marks there always is a cut.
+_LETTER = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]").match
+_MARKS = frozenset(".,;:!?")
+_UNEVEN = (*_RUNS, *_OTHER_SPACE)
 # In those, a cut lies before one space between two ASCII letters, digits or marks.
 _SAFE = re.compile(r"(?<=[!-~])(?= [!-~])")
 
@@ -89,37 +94,70 @@ class PartCache(dict):
 
     def __init__(self, encoder: Encoder):
         self._encoder = encoder
-        self._ids: list[bytes] = []
-        self._new: list[str] = []
-        self._old: tuple[dict, list[bytes]] = ({}, [])
-
-    def __missing__(self, part: str) -> int:
-        """A new part's place in the list of ids; those not known yet follow later."""
-        place = self._old[0].get(part)
-        if place is None:
-            self._new.append(part)
-            self._ids.append(b"")
-        else:
-            self._ids.append(self._old[1][place])
-        self[part] = number = len(self._ids) - 1
-        return number
+        self._old: dict[str, bytes] = {}
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian unsigned 32-bit numbers."""
+    def _ids_of(self, some: list[str]) -> list[bytes]:
+        """The ids of distinct parts; those not known yet are encoded together."""
         if len(self) > CACHE_PARTS:
-            self._old = (dict(self), self._ids)
+            self._old = dict(self)
             self.clear()
-            self._ids = []
-        places = [list(map(self.__getitem__, parts(text))) for text in texts]
-        for part, ids in zip(self._new, self._encoder.ids(self._new), strict=True):
-            self._ids[self[part]] = ids
-        found = [b"".join(map(self._ids.__getitem__, one)) for one in places]
-        for part in self._new:
-            if len(part) > LONGEST_CACHED:
-                self._ids[self.pop(part)] = b""
-        self._new = []
+        found = list(map(self.get, some))
+        again = [i for i, ids in enumerate(found) if ids is None]
+        new: dict[str, bytes] = {}
+        marked = []
+        for i in again:
+            part = some[i]
+            found[i] = self._old.get(part)
+            if found[i] is not None:
+                continue
+            # A mark that ends a part is cut off after a letter: words recur without it.
+            if len(part) > 2 and part[-1] in _MARKS and _LETTER(part[-2]):
+                marked.append(i)
+                for piece in (part[:-1], part[-1]):
+                    if piece not in new:
+                        new[piece] = self.get(piece) or self._old.get(piece) or b""
+            else:
+                new[part] = b""
+        fresh = [piece for piece, ids in new.items() if not ids]
+        new.update(zip(fresh, self._encoder.ids(fresh), strict=True))
+        for i in marked:
+            found[i] = new[some[i][:-1]] + new[some[i][-1]]
+        for i in again:
+            if found[i] is None:
+                found[i] = new[some[i]]
+        self.update((part, ids) for part, ids in new.items() if len(part) <= LONGEST_CACHED)
+        self.update((some[i], found[i]) for i in again if len(some[i]) <= LONGEST_CACHED)
         return found
 
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit numbers.
+
+        Equal parts are found and counted off by Arrow; only distinct ones are
+        looked up, and the ids of all places are copied together.
+        """
+        simple = [not any(map(text.__contains__, _UNEVEN)) for text in texts]
+        marked = pa.array([x for x, one in zip(texts, simple) if one], pa.large_string())
+        for space in " \n":
+            marked = pc.replace_substring(marked, space, "\0" + space)
+        cut = pc.split_pattern(marked, "\0")
+        others = [parts(x) for x, one in zip(texts, simple) if not one]
+        flat = [cut.flatten(), pa.array([x for one in others for x in one], pa.large_string())]
+        coded = pa.concat_arrays(flat).dictionary_encode()
+        sizes = np.empty(len(texts), np.int64)
+        sizes[np.array(simple, bool)] = pc.list_value_length(cut).to_numpy()
+        sizes[~np.array(simple, bool)] = list(map(len, others))
+        # Where the parts of each text begin: first those of the simple texts.
+        order = np.argsort(~np.array(simple, bool), kind="stable")
+        stops = np.empty(len(texts), np.int64)
+        stops[order] = np.cumsum(sizes[order])
+        ids = self._ids_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        lengths = np.array(list(map(len, ids)), np.int64) // 4
+        begins, codes = np.cumsum(lengths) - lengths, coded.indices.to_numpy()
+        ends = np.append(0, np.cumsum(lengths[codes]))
+        at = np.repeat(begins[codes] - ends[:-1], lengths[codes]) + np.arange(ends[-1])
+        data = np.frombuffer(b"".join(ids), "<u4")[at].tobytes()
+        return [data[4 * low : 4 * high] for low, high in zip(ends[stops - sizes].tolist(), ends[stops].tolist())]
+
 
 _CACHES: dict[str, PartCache] = {}
 
