@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -557,6 +558,17 @@ def test_ip_parts_of_any_length(spark):
     assert got == {0: "", 1: "", 2: "ip:0:5009", 3: "", 4: "ip:0:13"}
 
 
+def test_texts_are_decoded_range_by_range(monkeypatch):
+    """No more than a range of a batch is held as strings, and a long text is alone or last."""
+    monkeypatch.setattr(tokens, "BATCH_BYTES", 100)
+    texts = ["\u00fc" * 30, "", "a" * 50, "b" * 500, "c", "\u4e2d" * 40, "d" * 30]
+    for column in (pa.array(texts), pa.array(texts, pa.large_string()), pa.array(["x", *texts])[1:]):
+        ranges = list(tokens.decoded(column))
+        assert [low for low, _ in ranges] == [0, 3, 4, 6]
+        assert [x for _, some in ranges for x in some] == texts
+    assert list(tokens.decoded(pa.array([], pa.string()))) == []
+
+
 # ---- language model
 
 

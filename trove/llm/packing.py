@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trove.llm.tokens import BATCH_BYTES, shared_cache
-from trove.llm.words import by_bytes, keyed
+from trove.llm.tokens import decoded, shared_cache
+from trove.llm.words import keyed
 from trove.session import stored
 
 LENGTH = 2048
@@ -76,11 +76,9 @@ def token_pieces(
         encoded = shared_cache(path)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            sizes = [len(x.encode()) for x in texts]
-            for low, high in by_bytes(texts, BATCH_BYTES, sizes):
+            for low, texts in decoded(batch.column(1)):
                 at, rows = [], []
-                for k, ids in enumerate(encoded(texts[low:high]), low):
+                for k, ids in enumerate(encoded(texts), low):
                     data = ids + end
                     total = len(data) // 4
                     for start in range(0, total, length):

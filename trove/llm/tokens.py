@@ -178,6 +178,18 @@ def parts(text: str) -> list[str]:
     return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
 
 
+def decoded(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Neighbouring texts of about ``BATCH_BYTES``, and the place of the first.
+
+    A range is decoded when it is its turn, and what Arrow has freed by the end
+    goes back to the system: a Python worker would keep the most it ever held.
+    """
+    sizes = pc.binary_length(column).to_pylist()
+    for start, stop in by_bytes(sizes, BATCH_BYTES, sizes):
+        yield start, column.slice(start, stop - start).to_pylist()
+    pa.default_memory_pool().release_unused()
+
+
 def token_counts(
     docs: DataFrame,
     path: str,
@@ -197,13 +209,12 @@ def token_counts(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoded = shared_cache(path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            sizes = [len(x.encode()) for x in texts]
+            sizes = pc.binary_length(batch.column(1))
             totals: list[int] = []
-            for start, stop in by_bytes(texts, BATCH_BYTES, sizes):
-                totals += (len(ids) // 4 for ids in encoded(texts[start:stop]))
+            for _, texts in decoded(batch.column(1)):
+                totals += (len(ids) // 4 for ids in encoded(texts))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(totals, pa.int64())],
+                [batch.column(0), sizes.cast(pa.int64()), pa.array(totals, pa.int64())],
                 schema.names,
             )
 

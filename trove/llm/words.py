@@ -178,7 +178,7 @@ def keyed(docs: DataFrame, text_col: str, *ids: Column | str) -> DataFrame:
 
 
 def by_bytes(
-    texts: list[str] | list[bytes], limit: int, sizes: list[int] | None = None
+    texts: list[str] | list[bytes] | list[int], limit: int, sizes: list[int] | None = None
 ) -> Iterator[tuple[int, int]]:
     """Ranges of neighbours whose lengths, or ``sizes``, add up to about ``limit``."""
     start = total = 0
