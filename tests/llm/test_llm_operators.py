@@ -23,9 +23,11 @@ from trove.llm import (
     packing,
     pii,
     quality,
+    rarity,
     setjoin,
     sharding,
     tokens,
+    words,
 )
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -317,6 +319,37 @@ def brute_lines(rows):
     return gone
 
 
+def test_sets_of_many_lines_are_made_together():
+    texts = [(t or "").encode() for _, t in odd_texts()] + [b"\n\na b a\n", b"", b"B a", b"x\n\ny x y\n \nz"]
+    got = {}
+    for owners, units, sizes, flat in line_dedup.line_sets(texts):
+        for i, unit, one in zip(owners.tolist(), units.tolist(), np.split(flat, np.cumsum(sizes)[:-1]), strict=True):
+            assert (i, unit) not in got and (np.diff(one) > 0).all()
+            got[i, unit] = set(one.view(np.int64).tolist())
+    lines = {(i, n): x.lower().split() for i, t in enumerate(texts) for n, x in enumerate(t.split(b"\n"))}
+    hashes = {w: words.word_hash(w) for x in lines.values() for w in x}
+    assert got == {k: {hashes[w] for w in x} for k, x in lines.items() if x}
+    assert list(line_dedup.line_sets([])) == []
+
+
+def test_hashes_of_one_set_are_not_posted():
+    """Prefixes by level and then hash; what only one set holds is left out and counted."""
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(0, 70, 300)
+    sizes[:4] = 0, 1, 64, 65
+    flat = np.concatenate([np.sort(rng.choice(1 << 60, n, replace=False)) for n in sizes]).astype(np.uint64)
+    levels = rng.choice([8, 8, 12, 16, 255], len(flat)).astype(np.uint8)
+    wanted = rng.random(300) < 0.8
+    skip, ends, posted = setjoin.prefixes(flat, sizes, wanted, levels)
+    stops = np.cumsum(sizes)
+    for k in range(300):
+        own = sorted(zip(levels[stops[k] - sizes[k] : stops[k]].tolist(), flat[stops[k] - sizes[k] : stops[k]].tolist()))
+        first = own[: setjoin.prefix_length(int(sizes[k]))] if wanted[k] and sizes[k] else []
+        assert posted[ends[k] : ends[k + 1]].tolist() == [h for level, h in first if level > rarity.SINGLE]
+        assert skip[k] == sum(level <= rarity.SINGLE for level, _ in first)
+    assert rarity.Rarity(np.array([0, 1, 2, 3]), np.zeros(1)).levels[:3].tolist() == [0, rarity.SINGLE, 12]
+
+
 def test_line_dedup_matches_brute_force(spark, none):
     rows = [r for r in odd_texts() if r[0] != 7] + [
         (400, "A b c d e f\na b c d e f\nshort"),

@@ -23,37 +23,26 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trove.llm import setjoin
-from trove.llm.rarity import rarity
-from trove.llm.words import Words, blocks_of, distinct, keyed, raw_texts
+from trove.llm.rarity import SetBlock, rarity
+from trove.llm.words import blocks_of, distinct_runs, keyed, raw_texts
 from trove.session import stored
 
 #: Lines without words are never removed and remove nothing.
 LEAST_WORDS = 1
 
 
-def line_sets(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray]]:
+def line_sets(texts: list[bytes]) -> Iterator[SetBlock]:
     """The number and word set of each line with words."""
     for start, _, words in blocks_of(texts):
-        yield from ((start + owner, unit, found) for owner, unit, found in _sets_of(words))
-
-
-def _sets_of(words: Words) -> Iterator[tuple[int, int, np.ndarray]]:
-    lines = words.lines()
-    cuts = np.flatnonzero(np.diff(lines)) + 1
-    lows, highs = np.append(0, cuts)[: len(lines)], np.append(cuts, len(lines))[: len(lines)]
-    long = highs - lows >= LEAST_WORDS
-    lows, highs = lows[long], highs[long]
-    owners = np.searchsorted(words.bounds, lows, "right") - 1
-    # Breaks before a text: its own and one between any two texts.
-    breaks = np.flatnonzero(np.frombuffer(words.data, np.uint8) == 10)
-    first = np.searchsorted(breaks, words.offsets[owners])
-    units = lines[lows] - first
-    for low, high, owner, unit in zip(
-        lows.tolist(), highs.tolist(), owners.tolist(), units.tolist(), strict=True
-    ):
-        found = distinct(words.hashes[low:high])
-        if len(found) >= LEAST_WORDS:
-            yield owner, unit, found
+        breaks = words.breaks()
+        # A line is what lies between two breaks; a text begins a line.
+        cuts = np.searchsorted(words.starts, breaks)
+        sizes = np.diff(np.concatenate([[0], cuts, [len(words.starts)]]))
+        lines, counts, found = distinct_runs(words.hashes, np.where(sizes >= LEAST_WORDS, sizes, 0))
+        owners = np.searchsorted(words.offsets, np.append(-1, breaks)[lines] + 1, "right") - 1
+        # Breaks before a text: its own and one between any two texts.
+        units = lines - np.searchsorted(breaks, words.offsets[owners])
+        yield start + owners, units, counts, found
 
 
 def removed_lines(

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from trove.llm import setjoin
 from trove.llm.components import components
-from trove.llm.rarity import SIZES, Rarity, rarity
+from trove.llm.rarity import SIZES, Rarity, SetBlock, rarity
 from trove.llm.words import blocks_of, keyed, mixed, shingle_sets
 from trove.session import stored
 
@@ -36,11 +36,12 @@ MOST_SMALL = 16
 VERIFY_COST = 4.0
 
 
-def document_sets(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray]]:
+def document_sets(texts: list[bytes]) -> Iterator[SetBlock]:
     """The one set of each document: its shingles, none without words."""
-    for start, _, words in blocks_of(texts):
-        for i, found in enumerate(shingle_sets(words, SHINGLE), start):
-            yield i, 0, found
+    for start, stop, words in blocks_of(texts):
+        found = list(shingle_sets(words, SHINGLE))
+        sizes = np.array(list(map(len, found)), np.int64)
+        yield np.arange(start, stop), np.zeros(stop - start, np.int64), sizes, np.concatenate(found)
 
 
 def partner_sizes(n: int, percent: int) -> range:

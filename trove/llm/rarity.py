@@ -25,10 +25,13 @@ BLOCK = 1 << 16
 FAN_IN = 256
 #: Sets of at most so many members are also counted by size.
 SIZES = 64
-_HELD = 1 << 20
+#: The level of a hash that one set holds; other hashes may raise a level, none lowers it.
+SINGLE = 8
 
-#: Makes ``(text number, unit number, sorted set of hashes)`` of texts.
-Sets = Callable[[list[bytes]], Iterator[tuple[int, int, np.ndarray]]]
+#: Text numbers, unit numbers and sizes of some sets, and all their hashes, sorted within a set.
+SetBlock = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+#: Makes the sets of texts, many at a time.
+Sets = Callable[[list[bytes]], Iterator[SetBlock]]
 
 
 class Rarity:
@@ -45,11 +48,6 @@ class Rarity:
         """The level of each hash."""
         return self.levels[(hashes & np.uint64(len(self.levels) - 1)).view(np.int64)]
 
-    def order(self, found: np.ndarray) -> np.ndarray:
-        """The places of a sorted set's hashes from the rarest to the most frequent."""
-        low = found & np.uint64(len(self.levels) - 1)
-        return np.argsort(self.levels[low.view(np.int64)], kind="stable")
-
 
 def rarity(texts: DataFrame, sets: Sets, width: int = WIDTH) -> Rarity:
     """The sketch of all sets of ``texts``, whose last column is the text."""
@@ -57,26 +55,12 @@ def rarity(texts: DataFrame, sets: Sets, width: int = WIDTH) -> Rarity:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, sizes = np.zeros(width, np.int32), np.zeros(BLOCK, np.int32)
-        held: list[np.ndarray] = []
-        have = 0
-
-        def add() -> None:
-            nonlocal have
-            if held:
-                low = np.concatenate(held) & np.uint64(width - 1)
-                np.add.at(total, low.view(np.int64), 1)
-                held.clear()
-            have = 0
-
         for batch in batches:
-            for _, _, found in sets(raw_texts(batch, last)):
-                held.append(found)
-                have += len(found)
-                if len(found) <= SIZES:
-                    sizes[len(found)] += 1
-                if have > _HELD:
-                    add()
-        add()
+            for _, _, lengths, found in sets(raw_texts(batch, last)):
+                low = found & np.uint64(width - 1)
+                np.add.at(total, low.view(np.int64), 1)
+                sizes[: SIZES + 1] += np.bincount(lengths[lengths <= SIZES], minlength=SIZES + 1)
+            pa.default_memory_pool().release_unused()
         fan = TaskContext.get().partitionId() // FAN_IN
         parts = [*np.split(total, width // BLOCK), sizes] if width >= BLOCK else [total, sizes]
         for block, part in enumerate(parts):

@@ -12,7 +12,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +19,8 @@ from pyspark.sql import functions as F
 BLOCK = 1 << 19
 #: Bytes of texts that are worked on together; a longer text is alone.
 TEXTS = 8 << 20
+#: Cells of a grid of runs.
+GRID = 1 << 18
 
 _ODD = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64
@@ -82,10 +83,9 @@ class Words:
     def of(self, i: int) -> np.ndarray:
         return self.hashes[self.bounds[i] : self.bounds[i + 1]]
 
-    def lines(self) -> np.ndarray:
-        """The number of line breaks in ``data`` before each word."""
-        breaks = np.flatnonzero(np.frombuffer(self.data, np.uint8) == 10)
-        return np.searchsorted(breaks, self.starts)
+    def breaks(self) -> np.ndarray:
+        """The places of the line breaks in ``data``."""
+        return np.flatnonzero(np.frombuffer(self.data, np.uint8) == 10)
 
 
 def words_of(texts: list[bytes], lower: bool = True) -> Words:
@@ -161,10 +161,48 @@ def distinct(values: np.ndarray) -> np.ndarray:
     return found[new]
 
 
-def fingerprint(values: np.ndarray) -> int:
-    """A signed 64-bit hash of a sorted set."""
-    got = xxhash.xxh3_64_intdigest(np.ascontiguousarray(values).tobytes())
-    return got - (got >> 63 << 64)
+def grids(sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Runs of about equal size: their numbers, and which cells of a row each of them fills.
+
+    Rows are as wide as the next power of two; runs without members are left out.
+    """
+    some = np.flatnonzero(sizes)
+    wide = np.frexp(sizes[some] - 0.5)[1]
+    for power in np.unique(wide).tolist():
+        rows = some[wide == power]
+        step = max(1, GRID >> power)
+        for low in range(0, len(rows), step):
+            part = rows[low : low + step]
+            yield part, np.arange(1 << power) < sizes[part, None]
+
+
+def distinct_runs(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct values of each run of ``values``, one run after another.
+
+    Returns the runs' numbers in the order in which they come out, how many
+    values each has left, and the values. Empty runs do not come out.
+    """
+    starts = np.cumsum(sizes) - sizes
+    order, counts, found = [sizes[:0]], [sizes[:0]], [values[:0]]
+    for rows, inside in grids(sizes):
+        grid = np.full(inside.shape, ~np.uint64(0))
+        grid[inside] = values[(starts[rows, None] + np.arange(inside.shape[1]))[inside]]
+        grid.sort(axis=1)
+        inside[:, 1:] &= grid[:, 1:] != grid[:, :-1]
+        order.append(rows)
+        counts.append(inside.sum(axis=1))
+        found.append(grid[inside])
+    return np.concatenate(order), np.concatenate(counts), np.concatenate(found)
+
+
+def fingerprints(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A signed 64-bit hash of each set; ``flat`` has the members of one after another."""
+    out = np.zeros(len(sizes), np.uint64)
+    some = np.flatnonzero(sizes)
+    if len(some):
+        starts = (np.cumsum(sizes) - sizes)[some]
+        out[some] = mixed(np.add.reduceat(mixed(flat + _ODD[3]), starts) + sizes[some].astype(np.uint64))
+    return out.view(np.int64)
 
 
 def raw_texts(batch: pa.RecordBatch, column: int) -> list[bytes | None]:
