@@ -3,6 +3,7 @@
 import collections
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -29,6 +30,7 @@ from trove.llm import (
     tokens,
     words,
 )
+from trove.session import shared_dir
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _key string, token string, fp long"
@@ -633,6 +635,18 @@ def test_base_scores_and_normalised_model(odd, none, spark):
     assert np.isfinite(got.score).all() and hpylm.score(none, model, table).count() == 0
 
 
+def test_sweeps_leave_one_table_of_each_kind(spark):
+    """What a sweep wrote goes when the next one has read it; what scoring reads stays."""
+    docs = make_docs(spark, [(k, f"a b c{k % 5} a b") for k in range(20)])
+    before = set(os.listdir(shared_dir(spark)))
+    model, table = hpylm.fit(docs, head_words=2, shipped_words=4)
+    left = [x.rsplit("-", 1)[0] for x in os.listdir(shared_dir(spark)) if x not in before]
+    assert sorted(left) == ["pairs", "parent", "seats"]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    assert hpylm.score(docs, model, table).count() == 20
+    assert table.count() == model.distinct - len(model.words)
+
+
 def test_model_of_nothing(odd, none):
     model, table = hpylm.fit(none)
     got = hpylm.score(odd[1], model, table).toPandas()

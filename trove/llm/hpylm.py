@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trove.llm.words import blocks_of, keyed, raw_texts, word_hash
-from trove.session import stored
+from trove.session import Shelf
 
 #: Words whose pairs among each other are shipped to every task.
 HEAD_WORDS = 1024
@@ -188,8 +188,9 @@ def sample(pairs: DataFrame, counts: DataFrame, distinct: int) -> tuple[DataFram
     """
     off = discount(*pairs.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first())
     share, zero = 1 / (distinct + 1), F.lit(0).cast("long")
+    shelf = Shelf(pairs.sparkSession)
     state = pairs.where("c > 1").select("u", "w", "c", F.lit(1).cast("long").alias("t"), zero.alias("sum"))
-    state = stored(state, "seats")
+    state = shelf.put(state, "seats")
     total, unseen = distinct, []
 
     def tally(state: DataFrame, words: DataFrame, sweep: int) -> DataFrame:
@@ -203,7 +204,7 @@ def sample(pairs: DataFrame, counts: DataFrame, distinct: int) -> tuple[DataFram
         own, served = F.expr("ones_u + coalesce(tu, 0L)"), F.expr("ones_w + coalesce(tw, 0L)")
         kept = ["h", "c", "ones_u", "ones_w", "owns", "roots"]
         served = words.join(seats, "h", "left").select(*kept, own.alias("own"), served.alias("served"))
-        served = stored(served.sortWithinPartitions("h"), "served")
+        served = shelf.put(served.sortWithinPartitions("h"), "served")
         sizes = F.coalesce(F.sum("served"), zero), F.count_if(F.col("served") == 1), F.count_if(F.col("served") == 2)
         customers, ones, twos = served.agg(*sizes).first()
         below, others = discount(ones, twos), max(total - 1, 0)
@@ -215,7 +216,10 @@ def sample(pairs: DataFrame, counts: DataFrame, distinct: int) -> tuple[DataFram
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(t)], [*batch.schema.names, "most"])
 
         schema = T.StructType([*served.schema.fields, T.StructField("most", T.LongType())])
-        most = stored(served.mapInArrow(sit, schema), "parent")
+        most = shelf.put(served.mapInArrow(sit, schema), "parent")
+        # What the sweep before left is not read again.
+        for label, n in (("served", 0), ("parent", 1), ("seats", 1)):
+            shelf.keep_last(label, n)
         total = most.agg(F.coalesce(F.sum("most"), zero)).first()[0]
         spare = (STRENGTH + below * total) / (STRENGTH + customers) * share
         root = (F.col("served") - below * F.col("most")) / (STRENGTH + customers) + spare
@@ -239,7 +243,7 @@ def sample(pairs: DataFrame, counts: DataFrame, distinct: int) -> tuple[DataFram
                 made = [pa.array(t), pa.array(done + t * add)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], batch.schema.names[:5])
 
-        return stored(met.sortWithinPartitions("u", "w").mapInArrow(seat, state.schema), "seats")
+        return shelf.put(met.sortWithinPartitions("u", "w").mapInArrow(seat, state.schema), "seats")
 
     words = tally(state, counts.withColumns({"owns": zero, "roots": F.lit(0.0)}), -1)
     for sweep in range(BURN_IN + SAMPLES):
@@ -260,11 +264,12 @@ def fit(
 ) -> tuple[Model, DataFrame]:
     """The model of all ``docs``, and the table of words that are not shipped."""
     # Sorted, so that seats drawn from the rows of a batch are the same in any run.
-    pairs = stored(pair_counts(keyed(docs, text_col)).sortWithinPartitions("u", "w"), "pairs")
+    shelf = Shelf(docs.sparkSession)
+    pairs = shelf.put(pair_counts(keyed(docs, text_col)).sortWithinPartitions("u", "w"), "pairs")
     once = F.count_if(F.col("c") == 1)
     counts = pairs.groupBy(F.col("w").alias("h")).agg(F.sum("c").alias("c"), once.alias("ones_w"))
     counts = counts.join(pairs.groupBy(F.col("u").alias("h")).agg(once.alias("ones_u")), "h")
-    counts = stored(counts.select("h", "c", "ones_u", "ones_w").sortWithinPartitions("h"), "words")
+    counts = shelf.put(counts.select("h", "c", "ones_u", "ones_w").sortWithinPartitions("h"), "words")
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
 
     # The lowest count level from which on no more words than may be shipped lie.
@@ -276,6 +281,7 @@ def fit(
             break
         least, room = at, room - n
     pairs, words, unseen = sample(pairs, counts, distinct)
+    shelf.keep_last("words", 0)
     norm = tokens + 0.1 * (distinct + 1)
     base = F.log10((F.col("c") + 0.1) / norm).alias("base")
     words = words.select("h", "c", base, "spare", "root")
@@ -426,12 +432,13 @@ def score(
             yield pa.RecordBatch.from_arrays(near, names)
             yield pa.RecordBatch.from_arrays(far, names)
 
-    first = stored(keyed(docs, text_col, *ids).mapInArrow(run, schema), "scores")
+    shelf = Shelf(docs.sparkSession)
+    first = shelf.put(keyed(docs, text_col, *ids).mapInArrow(run, schema), "scores")
     asked = first.select("_row", "_words").mapInArrow(ask, "_row long, u long, w long, n long")
     zero = F.lit(0)
     asked = asked.join(model.pairs, ["u", "w"], "left").select("_row", "u", "w", "n", F.coalesce("net", F.lit(0.0)).alias("net"))
     kind = "_row long, u long, w long, n long, net double, left boolean, right boolean, count double, spare double, root double, l double"
-    judged = stored(asked.mapInArrow(judge, kind), "judged")
+    judged = shelf.put(asked.mapInArrow(judge, kind), "judged")
     # Only words that are not shipped are joined, so no key here is frequent.
     far = judged.where("l IS NULL").drop("l")
     contexts = table.select(F.col("h").alias("u"), F.col("c").alias("c_"), F.col("spare").alias("s_"))
