@@ -604,6 +604,17 @@ def test_texts_are_decoded_range_by_range(monkeypatch):
     assert list(tokens.decoded(pa.array([], pa.string()))) == []
 
 
+def test_freed_memory_goes_back(monkeypatch):
+    """After each batch of texts, whatever step worked on them."""
+    calls = []
+    for module in (tokens, quality):
+        monkeypatch.setattr(module, "give_back", lambda: calls.append(1))
+    assert len(list(tokens.decoded(pa.array(["a", "b"])))) == 1 and len(calls) == 1
+    quality._counts([b"some words", b""])
+    assert len(calls) == 2
+    words.give_back()
+
+
 # ---- language model
 
 

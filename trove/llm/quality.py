@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trove.llm.words import blocks_of, distinct, keyed, raw_texts, windows
+from trove.llm.words import blocks_of, distinct, give_back, keyed, raw_texts, windows
 
 #: The trees are fitted to at most so many labelled rows, those of least id hash.
 SAMPLE_ROWS = 20_000
@@ -290,4 +290,5 @@ def _counts(texts: list[bytes]) -> np.ndarray:
     rows = []
     for start, stop, words in blocks_of(texts, lower=False):
         rows += [statistics_of(t, words.of(i)) for i, t in enumerate(texts[start:stop])]
+    give_back()
     return np.array(rows, np.int64).reshape(-1, len(COUNTS) + len(_MORE))

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trove.llm.words import raw_texts
+from trove.llm.words import give_back, raw_texts
 
 WIDTH = 1 << 22
 BLOCK = 1 << 16
@@ -60,7 +60,7 @@ def rarity(texts: DataFrame, sets: Sets, width: int = WIDTH) -> Rarity:
                 low = found & np.uint64(width - 1)
                 np.add.at(total, low.view(np.int64), 1)
                 sizes[: SIZES + 1] += np.bincount(lengths[lengths <= SIZES], minlength=SIZES + 1)
-            pa.default_memory_pool().release_unused()
+            give_back()
         fan = TaskContext.get().partitionId() // FAN_IN
         parts = [*np.split(total, width // BLOCK), sizes] if width >= BLOCK else [total, sizes]
         for block, part in enumerate(parts):

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trove.llm.words import by_bytes, keyed
+from trove.llm.words import by_bytes, give_back, keyed
 
 BATCH_BYTES = 4 << 20
 CACHE_PARTS = 600_000
@@ -181,13 +181,13 @@ def parts(text: str) -> list[str]:
 def decoded(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
     """Neighbouring texts of about ``BATCH_BYTES``, and the place of the first.
 
-    A range is decoded when it is its turn, and what Arrow has freed by the end
-    goes back to the system: a Python worker would keep the most it ever held.
+    A range is decoded when it is its turn, and what is freed by the end
+    goes back to the system.
     """
     sizes = pc.binary_length(column).to_pylist()
     for start, stop in by_bytes(sizes, BATCH_BYTES, sizes):
         yield start, column.slice(start, stop - start).to_pylist()
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def token_counts(

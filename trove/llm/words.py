@@ -7,6 +7,7 @@ only, so words are maximal runs without ``\\x20`` and ``\\x09-\\x0D``, and only
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +23,9 @@ TEXTS = 8 << 20
 #: Cells of a grid of runs.
 GRID = 1 << 18
 
+# Only glibc has it.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 _ODD = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64
 )
@@ -215,6 +219,13 @@ def keyed(docs: DataFrame, text_col: str, *ids: Column | str) -> DataFrame:
     return docs.select(*ids, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 
 
+def give_back() -> None:
+    """Return what is freed to the system: a Python worker would keep the most it ever held."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def by_bytes(
     texts: list[str] | list[bytes] | list[int], limit: int, sizes: list[int] | None = None
 ) -> Iterator[tuple[int, int]]:
