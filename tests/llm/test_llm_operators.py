@@ -4,6 +4,7 @@ import collections
 import itertools
 import math
 import os
+import pickle
 import random
 import re
 import zlib
@@ -12,6 +13,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from trove.llm import (
@@ -612,7 +614,8 @@ def test_freed_memory_goes_back(monkeypatch):
     assert len(list(tokens.decoded(pa.array(["a", "b"])))) == 1 and len(calls) == 1
     quality._counts([b"some words", b""])
     assert len(calls) == 2
-    words.give_back()
+    # Tasks are sent the function with what it names.
+    pickle.loads(cloudpickle.dumps(words.give_back))()
 
 
 # ---- language model

@@ -23,9 +23,6 @@ TEXTS = 8 << 20
 #: Cells of a grid of runs.
 GRID = 1 << 18
 
-# Only glibc has it.
-_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-
 _ODD = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64
 )
@@ -222,8 +219,10 @@ def keyed(docs: DataFrame, text_col: str, *ids: Column | str) -> DataFrame:
 def give_back() -> None:
     """Return what is freed to the system: a Python worker would keep the most it ever held."""
     pa.default_memory_pool().release_unused()
-    if _trim is not None:
-        _trim(0)
+    # Looked up here, as tasks cannot be sent a pointer; only glibc has it.
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def by_bytes(
