@@ -667,6 +667,66 @@ def test_model_of_nothing(odd, none):
     assert np.isfinite(got.score).all() and (got.base_score == 0).all() and (got.n_known == 0).all()
 
 
+def test_scores_of_stored_pairs_without_a_copy_of_the_words(spark):
+    """Pairs of shipped words and all others give what the model says of them; no text's words are stored."""
+    train = [f"the a{k % 7} of b{k % 5} z{k} z{k} the of" for k in range(40)] + ["", "the of", None]
+    texts = [*train, "of a3 never b2 z3", "never never", "z3 z3 z3 the"]
+    docs = make_docs(spark, list(enumerate(train)))
+    before = set(os.listdir(shared_dir(spark)))
+    model, table = hpylm.fit(docs, head_words=2, shipped_words=14)
+    counts, pairs = collections.Counter(), collections.Counter()
+    hashed = lambda t: [*(hpylm.word_hash(w.encode()) for w in (t or "").split()), hpylm.END_HASH]
+    for t in train:
+        words = hashed(t)
+        counts.update(words)
+        pairs.update(zip([hpylm.END_HASH, *words[:-1]], words, strict=True))
+    found = model.pairs.collect()
+    assert sorted((r.u, r.w) for r in found) == sorted(pairs)
+    net = {(r.u, r.w): r.net for r in found}
+    assert all(0 < net[k] < c for k, c in pairs.items())
+    class_lp = model.after[-1, -1]
+    root = 10 ** (model.after[-1, model.dish] + model.tail)
+    known = {h: (s, r) for h, s, r in zip(model.words.tolist(), model.spare, root, strict=True)}
+    known |= {r.h: (r.spare, 10 ** (class_lp + r.lp)) for r in table.collect()}
+    assert set(known) == set(counts)
+    unseen = (1.0, 10 ** (class_lp + model.tail_unseen))
+    got = {r.doc_id: r.score for r in hpylm.score(make_docs(spark, list(enumerate(texts))), model, table).collect()}
+    for i, t in enumerate(texts):
+        words, total = hashed(t), 0.0
+        for u, w in zip([hpylm.END_HASH, *words[:-1]], words, strict=True):
+            p = net.get((u, w), 0) / (hpylm.STRENGTH + counts[u]) + known.get(u, unseen)[0] * known.get(w, unseen)[1]
+            total += math.log10(p)
+        assert got[i] == pytest.approx(total)
+    left = sorted(x.rsplit("-", 1)[0] for x in os.listdir(shared_dir(spark)) if x not in before)
+    assert left == ["judged", "pairs", "parent", "seats"]
+
+
+def test_seats_follow_the_restaurant():
+    """All dishes at once as a customer at a time, parties included; one customer has one table."""
+    rng = np.random.default_rng(0)
+    customers, others, parent, off = np.repeat([1, 2, 9, 700], 2000), 30.0, 0.01, 0.7
+    got = hpylm.reseat(rng.permutation(customers), others, parent, off, rng)
+    assert got.min() == 1 and len(got) == len(customers)
+    got = hpylm.reseat(customers, others, parent, off, rng).reshape(4, -1).mean(axis=1)
+    want = np.ones((4, 2000))
+    for sat in range(1, 700):
+        more = (np.array([1, 2, 9, 700]) > sat)[:, None]
+        new = (hpylm.STRENGTH + off * (others + want)) * parent
+        want += more & (rng.random(want.shape) < new / (new + sat - off * want))
+    assert got == pytest.approx(want.mean(axis=1), rel=0.04)
+
+
+def test_words_are_found_by_their_first_bits():
+    rng = np.random.default_rng(1)
+    some = np.unique(rng.integers(-(1 << 63), (1 << 63) - 1, 5000))
+    close = np.arange(1 << 40, (1 << 40) + 50)
+    words = np.unique(np.concatenate([some[::2], close[::2]]))
+    asked = np.concatenate([some, close, [(1 << 63) - 1, -(1 << 63)]])
+    at, known = hpylm.Places(words).find(asked)
+    assert known.tolist() == np.isin(asked, words).tolist() and (words[at[known]] == asked[known]).all()
+    assert not hpylm.Places(words[:0]).find(asked)[1].any()
+
+
 def test_pairs_beyond_the_head_keep_both_words(spark):
     """Rare words as context and as next word; everything after a context adds up to 1."""
     texts = [f"the x{k} y{k} of z" for k in range(30)] * 2 + ["the of the z"] * 20
