@@ -206,6 +206,8 @@ def word_counts(texts: DataFrame, parts: int) -> DataFrame:
         if held:
             (h,), c = summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c)], ["h", "c"])
+            held.clear()
+            give_back()
 
     return texts.mapInArrow(count, WORDS).repartitionById(parts, "b").mapInArrow(merge, "h long, c long")
 
@@ -271,11 +273,11 @@ def pair_blocks(texts: DataFrame, shipped: Broadcast, parts: int) -> DataFrame:
             held.clear()
             keys.sort()
             (keys,), n = runs(keys)
-            b, k, n = dealt(part_of(keys, parts), keys, n)
+            b, k, n = dealt(part_of(keys, parts), keys, n.astype(np.uint32))
             yield batch_of(DEALT, b=b, k=k, n=n)
             del keys, b, k, n
             (u, w), n = grouped(u, w)
-            b, u, w, n = dealt(far_part(u, w, parts), u, w, n)
+            b, u, w, n = dealt(far_part(u, w, parts), u, w, n.astype(np.uint32))
             yield batch_of(DEALT, b=b, us=u, ws=w, n=n)
             del b, u, w, n
             give_back()
@@ -301,21 +303,24 @@ def pair_blocks(texts: DataFrame, shipped: Broadcast, parts: int) -> DataFrame:
         for batch in batches:
             for _, k, u, w, n in zip(*batch.columns, strict=True):
                 if k.is_valid:
-                    near.append((ints(k), ints(n)))
+                    near.append((ints(k), ints(n, "<u4")))
                 else:
-                    far.append((ints(u), ints(w), ints(n)))
+                    far.append((ints(u), ints(w), ints(n, "<u4")))
         if near:
             (keys,), n = summed(*(np.concatenate(x) for x in zip(*near, strict=True)))
             part = part_of(keys, parts)
             b, k, c = dealt(part, keys, n)
             one, two = (np.bincount(part, n == x, parts)[b.to_numpy()].astype(np.int64) for x in (1, 2))
             yield batch_of(PAIRS, b=b, k=k, n=c, one=pa.array(one), two=pa.array(two))
+            near.clear()
+            del keys, n, part, b, k, c
+            give_back()
         if far:
             u, w, c = (np.concatenate(x) for x in zip(*far, strict=True))
             order = np.lexsort((w, u))
             u, w, c = u[order], w[order], c[order]
             first = np.flatnonzero(np.append(True, (u[1:] != u[:-1]) | (w[1:] != w[:-1])))
-            c = np.add.reduceat(c, first)
+            c = np.add.reduceat(c, first, dtype=np.int64)
             u, w, part = u[first], w[first], far_part(u[first], w[first], parts)
             once = c == 1
             b, us, ws = dealt(part[once], u[once], w[once])
@@ -323,6 +328,9 @@ def pair_blocks(texts: DataFrame, shipped: Broadcast, parts: int) -> DataFrame:
             yield batch_of(PAIRS, b=b, us=us, ws=ws, one=pa.array(one))
             made = {"b": part, "u": u, "w": w, "c": c}
             yield batch_of(PAIRS, **{x: pa.array(v[~once]) for x, v in made.items()})
+            far.clear()
+            del u, w, c, order, first, part, once, b, us, ws, made
+            give_back()
 
     made = texts.mapInArrow(count, DEALT)
     return made.repartitionById(parts, "b").mapInArrow(merge, PAIRS)
@@ -339,7 +347,7 @@ def summed(keys: np.ndarray, values: np.ndarray) -> tuple[list[np.ndarray], np.n
     order = np.argsort(keys)
     keys, values = keys[order], values[order]
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    return [keys[first]], np.add.reduceat(values, first)
+    return [keys[first]], np.add.reduceat(values, first, dtype=np.int64)
 
 
 def looked_up(u: np.ndarray, w: np.ndarray, of: np.ndarray, to: np.ndarray, net: np.ndarray) -> np.ndarray:
@@ -380,6 +388,7 @@ def added(table: DataFrame, shipped: Broadcast) -> tuple[np.ndarray, np.ndarray]
             for side, column in zip(sides, (u, w), strict=True):
                 at, known = places.find(column.filter(some).to_numpy())
                 np.add.at(side, at[known], values[known])
+        give_back()
         sums = sides.astype(np.int64)
         for low in range(0, size, SLICE):
             a, b = (x[low : low + SLICE] for x in sums)
@@ -464,6 +473,7 @@ def sample(
                 made = {"k": keys, "c": n, "t": np.ones_like(n), "sum": np.zeros_like(n)}
                 made = {x: pa.array([v.tobytes()], pa.binary()) for x, v in made.items()}
                 yield batch_of(SEATS, b=pa.array([b.as_py()]), **made)
+            give_back()
 
     near = pairs.where("k IS NOT NULL").select("b", "k", "n", "u", "w", "c").mapInArrow(begin, SEATS)
     far = pairs.where("c > 1").select("b", "u", "w", F.col("c").alias("far_c"), F.lit(1).cast("long").alias("far_t"), zero.alias("far_sum"))
@@ -532,6 +542,7 @@ def sample(
                     made = {"k": keys, "c": c, "t": t, "sum": done + t * add}
                     made = {x: pa.array([v.tobytes()], pa.binary()) for x, v in made.items()}
                     yield batch_of(SEATS, b=pa.array([b.as_py()]), **made)
+                give_back()
 
         def seat_far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, root = sums.value
@@ -545,6 +556,7 @@ def sample(
                 t = reseat(c, far_own - t, far_root, off, _seed(sweep, u ^ w))
                 made = {"u": u, "w": w, "far_c": c, "far_t": t, "far_sum": done + t * add}
                 yield batch_of(SEATS, b=batch.column(0), **{x: pa.array(v) for x, v in made.items()})
+            give_back()
 
         near = state.where("k IS NOT NULL").select("b", "k", "c", "t", "sum").mapInArrow(seat, SEATS)
         contexts = rare.select(F.col("h").alias("u"), "own")
