@@ -14,7 +14,8 @@ that was met once always has one table, so sweeps touch the other pairs only.
 Seats and the parent's probabilities are averaged over the sweeps after a burn-in.
 
 The most frequent words are the head: what follows a head word among head words
-is shipped to every task as a matrix, all other pairs are looked up by a join.
+is shipped to every task as a matrix, all other pairs are dealt out and looked up
+in blocks.
 """
 
 from __future__ import annotations
