@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from trove.operators import bm25, dense, descent, fusion, ivf, prep, sparse
 from trove.operators.moments import as_matrix
 from trove.plans import hybrid
+from workload import queries
 
 
 def vectors(spark, rows, id_type="bigint", id_name="id"):
@@ -127,6 +128,26 @@ def test_neighbours_of_some_rows_among_all(spark):
     assert got == brute([r for r in rows if r[0] % 20 == 0], rows, 4, "l2", skip_self=True)
 
 
+#: Searches that ask for the neighbours of every row, and by how many hits a row; the
+#: last ones give one line about all rows.
+WHOLE = {
+    "knn_graph": 6,
+}
+
+
+@pytest.mark.parametrize("name", list(WHOLE))
+def test_search_asks_for_every_row(spark, tmp_path, name):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=64).tolist(), i % 5) for i in range(1, 46)]
+    frame = vectors(spark, rows).withColumnsRenamed({"id": "vec_id", "cell": "label"})
+    frame.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = queries.__dict__[name](spark, str(tmp_path))
+    if WHOLE[name]:
+        assert sorted(map(tuple, got.groupBy("query_id").count().collect())) == [(r[0], WHOLE[name]) for r in rows]
+    else:
+        assert got.first()["n_queries"] == len(rows)
+
+
 def test_best_is_as_sorted():
     """Blocks in any order, with ties, repeated slots and more wanted than there is."""
     rng = np.random.default_rng(3)
