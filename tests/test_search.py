@@ -132,6 +132,7 @@ def test_neighbours_of_some_rows_among_all(spark):
 #: last ones give one line about all rows.
 WHOLE = {
     "knn_graph": 6,
+    "pq_scores": 10,
     "pq_recall": 0,
 }
 
