@@ -133,6 +133,7 @@ def test_neighbours_of_some_rows_among_all(spark):
 WHOLE = {
     "knn_graph": 6,
     "pq_scores": 10,
+    "ivf_search_label_cells": 10,
     "pq_recall": 0,
     "knn_graph_descent": 0,
 }
