@@ -134,6 +134,7 @@ WHOLE = {
     "knn_graph": 6,
     "pq_scores": 10,
     "ivf_search_label_cells": 10,
+    "ivf_full_probe": 10,
     "pq_recall": 0,
     "knn_graph_descent": 0,
 }
