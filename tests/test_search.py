@@ -135,6 +135,7 @@ WHOLE = {
     "pq_scores": 10,
     "ivf_search_label_cells": 10,
     "ivf_full_probe": 10,
+    "auto_index_search": 20,
     "pq_recall": 0,
     "knn_graph_descent": 0,
 }
