@@ -138,6 +138,7 @@ WHOLE = {
     "auto_index_search": 20,
     "pq_recall": 0,
     "knn_graph_descent": 0,
+    "ivf_recall": 0,
 }
 
 
