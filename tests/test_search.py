@@ -122,6 +122,35 @@ def test_more_queries_than_are_shipped_copy_no_rows(spark, cell):
     assert found(got) == brute(asked, rows, 7, "l2", same_cell=cell is not None)
 
 
+def test_blocks_of_queries_rank_their_own_hits(spark):
+    """No hit travels: the task that holds a query meets all rows."""
+    rows = made(60, 4, 3, copies=0.3)
+    frame = vectors(spark, rows).repartition(3)
+    got = dense.knn_join(frame.withColumnRenamed("id", "query_id"), frame, 7, "cosine", max_shipped=80)
+    shown = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in shown and "CoGroup" not in shown
+    assert found(got) == brute(rows, rows, 7, "cosine")
+
+
+@pytest.mark.parametrize("shipped", [10**6, 60])
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_no_copy_of_a_row_is_its_own_neighbour(spark, shipped, kind):
+    key = str if kind == "string" else int
+    rows = [(key(100 + i % 40), v, c) for i, v, c in made(50, 3, 9)] + [(key(100), [0.0, 0.0, 0.0], 0)]
+    frame = vectors(spark, rows, kind).repartition(3)
+    got = dense.knn_join(
+        frame.withColumnRenamed("id", "query_id"), frame, 6, "l2", exclude_self=True, max_shipped=shipped
+    ).collect()
+    want = []
+    for q in {r[0] for r in rows}:
+        pairs = sorted(
+            (float(sum((x - y) ** 2 for x, y in zip(a, b))), i)
+            for p, a, _ in rows for i, b, _ in rows if p == q and i != q
+        )
+        want += [(q, n, i, s) for n, (s, i) in enumerate(pairs[:6], 1)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_neighbours_of_some_rows_among_all(spark):
     rows = made(40, 3, 5)
     got = found(dense.knn_graph(vectors(spark, rows), 4, "l2", of="id % 20 = 0"))
