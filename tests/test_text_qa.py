@@ -116,6 +116,37 @@ def test_long_answers_hold_one_block_at_a_time(spark):
     assert got == want | {(3, 0): "", (4, 0): ""}
 
 
+def test_blocks_are_joined_where_rows_were_sorted(spark):
+    """Rows are shuffled once; only blocks that two tasks share are put together."""
+    asked = spark.createDataFrame([(i, q, "x") for i, q in enumerate("abcab")], "qid int, query string, question string")
+    asked = asked.selectExpr("*", "array(named_struct('name', 'v', 'type', 'int')) AS schema")
+    texts = {"a": [f"{i % 700:04d}é" for i in range(2000)], "b": [f"r{i}" for i in range(37)], "z": ["none asks"]}
+    rows = spark.createDataFrame([(q, r) for q, found in texts.items() for r in found], "query string, row string").repartition(3)
+    short = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "3000", "spark.sql.files.openCostInBytes": "0"}
+    before = {name: spark.conf.get(name) for name in short}
+    try:
+        for name, value in short.items():
+            spark.conf.set(name, value)
+        out = qa.answers(asked, rows, block_rows=10)
+        assert "NOT whole" in plan(out) and "Sort [" not in plan(out).split("FlatMapGroupsInArrow")[0]
+        got = [(r["qid"], r["block"], r["response"]) for r in out.collect()]
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    want = []
+    for i, q in enumerate("abcab"):
+        lines = sorted(texts.get(q, []))
+        want += [(i, at // 10, "\n".join(lines[at : at + 10])) for at in range(0, len(lines), 10)] or [(i, 0, "")]
+    assert sorted(got) == sorted(want)
+
+
+def test_answers_without_any_rows(spark):
+    asked = spark.createDataFrame([(1, "a", "x"), (2, None, "y")], "qid int, query string, question string")
+    asked = asked.selectExpr("*", "array(named_struct('name', 'v', 'type', 'int')) AS schema")
+    out = qa.answers(asked, spark.createDataFrame([], "query string, row string"))
+    assert sorted((r["qid"], r["block"], r["response"]) for r in out.collect()) == [(1, 0, ""), (2, 0, "")]
+
+
 def test_filter_and_columns_reach_the_scan(spark, small_dir):
     shown = plan(q.filter_search(spark, small_dir))
     assert "EqualTo(p_brand,Brand#7)" in shown and "GreaterThanOrEqual(p_retailprice" in shown
